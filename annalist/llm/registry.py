@@ -1,8 +1,8 @@
 """All queries of the subpackage and the SQL for those that SQL can express."""
 
-from annalist.llm import bpe, decontaminate, language, simhash
+from annalist.llm import bpe, decontaminate, language, quality_rules, simhash, tokencount
 
-MODULES = (simhash, bpe, decontaminate, language)
+MODULES = (simhash, bpe, quality_rules, tokencount, decontaminate, language)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
