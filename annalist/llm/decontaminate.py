@@ -177,7 +177,7 @@ def _united(docs: DataFrame, blocks: Iterator, width: int) -> DataFrame:
         sent.destroy()
         found = own if found is None else found.unionByName(own)
 
-    def unite(key, part: pa.Table) -> pa.Table:
+    def unite(key, part):
         n = max(part.column("n_words").to_pylist())
         mask, items = np.zeros(n, bool), set()
         for starts, ends, own in zip(*(part.column(c).to_pylist() for c in ("starts", "ends", "items")), strict=True):
