@@ -124,7 +124,8 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, row: Callable[
 
     A column of ``docs`` that has a name of ``schema`` is replaced.
     """
-    new = [field.split()[0] for field in schema.split(", ")]
+    new, kinds = zip(*(field.split() for field in schema.split(", ")), strict=True)
+    types = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     kept = [c for c in docs.columns if c not in new]
     sent = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file: fixed size
     made = docs.select(*kept).schema
@@ -136,7 +137,7 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, row: Callable[
         for batch in stream:
             if batch.num_rows:
                 rows = [row(codec, text or "") for text in batch.column(at).to_pylist()]
-                columns = [pa.array(list(values)) for values in zip(*rows, strict=True)]
+                columns = [pa.array(list(values), types[kind]) for values, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*kept, *new])
 
     return docs.select(*kept).mapInArrow(run, out)
@@ -181,6 +182,16 @@ def coded_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return coded(docs, load_ranks(path), pattern, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def coded_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``docs`` with n_tokens, ids, ids_sha256 and decoded_sha256."""
+
+    def row(codec: Codec, text: str) -> tuple:
+        ids = codec.encode(text)
+        return len(ids), ids, sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(codec.decode(ids)).hexdigest()
+
+    return coded(docs, load_ranks(path), pattern, row, "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of all documents."""
     import public_tokenizers

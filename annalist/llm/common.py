@@ -59,3 +59,9 @@ def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
     for batch in stream:
         if batch.num_rows:
             yield [column.to_pylist() for column in batch.columns]
+
+
+def set_aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with its columns of these names renamed, and the columns that bring all of them back."""
+    own = {c: f"aside_{k}" if c in names else c for k, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(c).alias(new) for c, new in own.items())), [F.col(new).alias(c) for c, new in own.items()]

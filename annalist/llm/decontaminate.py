@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import batches, cut, table, utf8
+from annalist.llm.common import batches, cut, set_aside, table, utf8
 
 WIDTH = 13
 #: Words of the windows that are broadcast at once: some 100 MB in a Python worker at most.
@@ -193,7 +193,8 @@ def _united(docs: DataFrame, blocks: Iterator, width: int) -> DataFrame:
 
 def removed(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` without the contaminated rows; the others stay as they are."""
-    return judged(docs, benchmark, width).filter("not contaminated").select(*docs.columns)
+    plain, back = set_aside(docs, (*_NAMES, "row"))
+    return judged(plain, benchmark, width).filter("not contaminated").select(*back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import cut, remainder, table
+from annalist.llm.common import cut, remainder, set_aside, table
 from annalist.llm.quality_rules import base_counts
 
 FEATURES = 256
@@ -214,9 +214,8 @@ def filtered(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """
     labelled = docs.select("doc_id", "text")
     model = train(described(labelled).drop("text"), labels)
-    plain = docs.select(*(F.col(c).alias(f"_{c}" if c in ("stats", "score") else c) for c in docs.columns))
-    kept = scored(described(plain), model).filter(F.col("score") >= threshold)
-    return kept.select(*(F.col(f"_{c}" if c in ("stats", "score") else c).alias(c) for c in docs.columns))
+    plain, back = set_aside(docs, ("stats", "score"))
+    return scored(described(plain), model).filter(F.col("score") >= threshold).select(*back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ verified on the whole 64 bits.
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and is linked
 like any other; equal texts share a fingerprint and so a class; rows that repeat a doc_id are each
-returned; a null doc_id is returned with its fingerprint and the class of the equal fingerprints
-(null when no row of the class has an id); an empty table gives an empty result.
+returned; a null doc_id is returned with its fingerprint and its class, whose id is null if no row
+of the class has one; a text of any length is read whole; an empty table gives an empty result;
+other columns are ignored, and kept where documents are filtered.
 """
 
 from __future__ import annotations
@@ -338,19 +339,51 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+#: Classes without any id are named from here upward.
+NAMELESS = (1 << 63) - (1 << 48)
+
+
+def classes(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp, copies, rep, component) for each row of ``docs``; ``rep`` stands for the fingerprint."""
+    prints = cut(fingerprints(docs, size))
+    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("fp"), F.lit((1 << 48) - 1))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("rep", F.coalesce("rep", nameless)))
+    nodes = distinct.select("fp", "rep")
+    made = plan(nodes, nodes.count(), radius)
+    found = components(links(nodes, made))
+    known = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", "copies", "rep", F.coalesce("component", "rep").alias("component"))
+    return prints.join(known.hint("merge"), "fp").select("doc_id", "fp", "copies", "rep", "component")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, copies, component_id) for each row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable over links, ``copies`` the rows of that
     fingerprint. Extra columns of ``docs`` are ignored.
     """
-    prints = cut(fingerprints(docs, size))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    nodes = distinct.filter("rep is not null").select("fp", "rep")
-    made = plan(nodes, nodes.count(), radius)
-    found = components(links(nodes, made))
-    classes = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", "copies", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes.hint("merge"), "fp").select("doc_id", "fp", "copies", "component_id")
+    named = F.when(F.col("component") < NAMELESS, F.col("component"))
+    return classes(docs, radius, size).select("doc_id", "fp", "copies", named.alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
+    """One row of ``docs`` for each class, with all its columns: that of the smallest doc_id.
+
+    Of rows that repeat that id the least in order of the columns stays; of a class without any id,
+    the least row of one fingerprint.
+    """
+    found = cut(classes(docs.select("doc_id", "text"), radius, size))
+    keep = cut(found.filter("doc_id = component").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows")))
+    kept = docs.alias("d").join(keep.alias("k"), F.col("d.doc_id") == F.col("k.id"))
+    out = kept.filter("k.rows = 1").select("d.*")
+    least = F.min(F.struct("d.*")).alias("least")
+    if keep.filter("rows > 1").limit(1).count():
+        out = out.unionByName(kept.filter("k.rows > 1").groupBy("k.id").agg(least).select("least.*"))
+    nameless = found.filter(f"doc_id is null and component >= {NAMELESS} and rep = component").select("fp").distinct()
+    if nameless.limit(1).count():
+        one = F.udf(lambda text: int(np.uint64(fingerprint(bytes(text or b""), size)).view(np.int64)), "long")
+        rows = docs.filter("doc_id is null").alias("d").join(nameless.alias("k"), one(utf8(F.col("d.text"))) == F.col("k.fp"))
+        out = out.unionByName(rows.groupBy("k.fp").agg(least).select("least.*"))
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
