@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ENTITY_BYTES, FACT_BYTES, SPILLS = 56_000, 600, 50
@@ -106,5 +106,9 @@ def scrubbed(lines: DataFrame, needles: DataFrame, column: str) -> DataFrame:
     ``needles`` are the ids and statements of one erasure: a handful.
     """
     found = needles.agg(F.collect_set("needle").alias("needles"))
-    word = lambda c, n: F.coalesce(c.rlike(F.concat(F.lit(r"(^|[^A-Za-z0-9_])\Q"), n, F.lit(r"\E($|[^A-Za-z0-9_])"))), F.lit(False))
-    return lines.crossJoin(F.broadcast(found)).filter(~F.exists("needles", lambda n: word(F.col(column), n))).drop("needles")
+
+    def named(needle: Column) -> Column:
+        word = F.concat(F.lit(r"(^|[^A-Za-z0-9_])\Q"), needle, F.lit(r"\E($|[^A-Za-z0-9_])"))
+        return F.coalesce(F.rlike(F.col(column), word), F.lit(False))
+
+    return lines.crossJoin(F.broadcast(found)).filter(~F.exists("needles", named)).drop("needles")
