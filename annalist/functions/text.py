@@ -105,7 +105,7 @@ def first_lines(text: Column, lines: int) -> Column:
     full = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     shown = F.array_join(F.slice(full, 1, lines), "\n")
     more = F.when(F.size(full) > lines, F.lit("\n...")).otherwise(F.lit(""))
-    return F.when((F.lit(lines) == 0) | (text == ""), F.lit("")).when(F.size(full) == 0, F.trim(text)).otherwise(F.concat(shown, more))
+    return F.when((F.lit(lines) == 0) | (text == ""), F.lit("")).when(F.size(full) == 0, F.lit("")).otherwise(F.concat(shown, more))
 
 
 def normalised(text: Column) -> Column:

@@ -4,11 +4,11 @@ SOURCE = "source struct<kind:string, custom_kind:string, source_id:string, posit
 #: What an adapter gives; the journal adds ``seq`` and ``ingested_at``.
 RAW_EVENT = f"event_id string, scope_id string, session_id string, occurred_at timestamp, role string, {SOURCE}, content string, content_sha256 string, redaction string, metadata string"
 EVENT = f"{RAW_EVENT}, seq bigint, ingested_at timestamp"
-SOURCES = "sources array<struct<event_id:string, role:string, evidence:string>>"
+#: A fact beside what it is about. ``ord`` is its place in the entity.
 FACT = (
-    "entity_id string, path string, ord int, title string, aliases array<string>, entity_type string, entity_visibility string, "
+    "entity_id string, path string, ord bigint, title string, aliases array<string>, entity_type string, entity_visibility string, "
     "id string, predicate string, statement string, kind string, status string, observed_at timestamp, valid_from timestamp, "
-    f"valid_to timestamp, expires_at timestamp, supersedes array<string>, {SOURCES}, visibility string"
+    "valid_to timestamp, expires_at timestamp, supersedes array<string>, source_ids array<string>, evidence string, visibility string"
 )
 #: control: suppressed, retracted, deleted or redacted.
 CONTROL = "control string, target string, at timestamp, reason string, state string"

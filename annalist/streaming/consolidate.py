@@ -28,3 +28,14 @@ def next_window(events: DataFrame, after: int, high_water: int) -> int | None:
     return rows[0]
 
 
+
+
+def follow(events: DataFrame, publish, checkpoint: str):
+    """Run ``publish(batch, batch_id)`` over a stream of new journal files until it has caught up.
+
+    Structured Streaming keeps the offsets in ``checkpoint``; a batch that is replayed after a
+    failure has the same id, so a publisher that names its request by it applies it once.
+    """
+    query = events.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
