@@ -373,7 +373,8 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) ->
     """
     found = cut(classes(docs.select("doc_id", "text"), radius, size))
     keep = cut(found.filter("doc_id = component").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows")))
-    kept = docs.alias("d").join(keep.alias("k"), F.col("d.doc_id") == F.col("k.id"))
+    # Always a shuffle join: the list of what stays grows with the documents.
+    kept = docs.alias("d").join(keep.alias("k").hint("merge"), F.col("d.doc_id") == F.col("k.id"))
     out = kept.filter("k.rows = 1").select("d.*")
     least = F.min(F.struct("d.*")).alias("least")
     if keep.filter("rows > 1").limit(1).count():
