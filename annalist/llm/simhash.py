@@ -327,9 +327,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = edges.agg(size.alias("s")).first()["s"]
     while state["n"]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Written apart, so that the join may split a hub's edges (it cannot share the aggregate's shuffle).
+        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.filter("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         edges = cut(small.select("e.a", "e.b").filter("a <> b").distinct())
         now = edges.agg(size.alias("s")).first()["s"]
