@@ -14,7 +14,9 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 from hashlib import sha256
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +25,11 @@ from pyspark.sql import functions as F
 from annalist.llm.common import batches, table
 
 #: Matches kept in each of a worker's two generations, and the longest that is kept.
-CACHED, CACHED_LENGTH = 1 << 18, 48
+CACHED, CACHED_LENGTH = 1 << 17, 48
+#: The longest match in bytes whose tree is merged with others, and how many at once.
+TREES, ROWS = 64, 4096
+#: Characters of the texts, or matches of one long text, that are encoded together.
+GROUP = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -32,6 +38,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def by_rank(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """Token bytes at their ranks; None where a rank has no token."""
+    out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one match: always merge the pair of least rank, the leftmost of equals."""
     n = len(piece)
@@ -86,41 +100,155 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Pairs:
+    """Ranks of pairs of tokens, and the segment trees of many short matches at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = [(ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        self.codes, self.ranks = pairs[:, 0].copy(), pairs[:, 1].copy()
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray, never: int) -> np.ndarray:
+        """The rank of each pair; ``never`` for those that do not merge."""
+        code = a << 32 | b
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.ranks[at], never)
+
+    def merge(self, pieces: list[bytes], size: int) -> list[list[int]]:
+        """The ids of matches of at most ``size`` bytes, a power of two: a row of each array is one match's tree.
+
+        As in ``merge``, a node holds rank * size + position. In each step every match that is not
+        done merges its root's pair, and updates three leaves and the paths above them.
+        """
+        if not len(self.codes):
+            return [self.bytes[np.frombuffer(piece, np.uint8)].tolist() for piece in pieces]
+        never, rows = 1 << 40, len(pieces)
+        n = np.fromiter(map(len, pieces), np.int64, rows)
+        raw = np.frombuffer(b"".join(piece.ljust(size, b"\0") for piece in pieces), np.uint8).reshape(rows, size)
+        place = np.arange(size)
+        ids, live = self.bytes[raw], place < n[:, None]
+        after, before = np.tile(place + 1, (rows, 1)), np.tile(place - 1, (rows, 1))
+        tree = np.full((rows, 2 * size), never * size)
+        pair = place[:-1] < n[:, None] - 1
+        first = np.full((rows, size - 1), never)
+        first[pair] = self.rank(ids[:, :-1][pair], ids[:, 1:][pair], never)
+        tree[:, size : 2 * size - 1] = first * size + place[:-1]
+        k = size
+        while k > 1:
+            k //= 2
+            tree[:, k : 2 * k] = np.minimum(tree[:, 2 * k : 4 * k : 2], tree[:, 2 * k + 1 : 4 * k : 2])
+        at = np.arange(rows)
+        while len(at := at[tree[at, 1] < never * size]):
+            root = tree[at, 1]
+            i = root % size
+            gone = after[at, i]
+            end = after[at, gone]
+            ids[at, i], live[at, gone], after[at, i] = root // size, False, end
+            tree[at, size + gone] = never * size
+            more = end < n[at]
+            before[at[more], end[more]] = i[more]
+            new = np.full(len(at), never)
+            new[more] = self.rank(ids[at[more], i[more]], ids[at[more], end[more]], never)
+            tree[at, size + i] = new * size + i
+            left = before[at, i]
+            has = left >= 0
+            tree[at[has], size + left[has]] = self.rank(ids[at[has], left[has]], ids[at[has], i[has]], never) * size + left[has]
+            row = np.concatenate([at, at, at[has]])
+            node = (size + np.concatenate([gone, i, left[has]])) >> 1
+            while node[0]:
+                tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
+                node >>= 1
+        flat, ends = ids[live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Codec:
     """Encodes and decodes whole texts; remembers the ids of short matches within a bound."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.split = ranks, regex.compile(pattern)
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.ranks, self.split, self.pairs = ranks, regex.compile(pattern), Pairs(ranks)
+        self.tokens = by_rank(ranks)
+        self.decimals = [str(rank) for rank in range(len(self.tokens))]
         self.young: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
 
-    def _ids(self, piece: str) -> list[int]:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = merge(piece.encode(), self.ranks)
-        if len(piece) <= CACHED_LENGTH:
-            if len(self.young) >= CACHED:
-                self.old, self.young = self.young, {}
-            self.young[piece] = ids
-        return ids
+    def _learn(self, pieces: set[str]) -> None:
+        """Put the ids of matches into ``young``: short ones are merged many at a time."""
+        young, old, get = self.young, self.old, self.ranks.get
+        by: dict[int, list[str]] = {}
+        for piece in pieces:
+            if (ids := old.get(piece)) is not None:
+                young[piece] = ids
+                continue
+            raw = piece.encode()
+            if (rank := get(raw)) is not None:
+                young[piece] = [rank]
+            elif len(raw) <= TREES:
+                by.setdefault(1 << (len(raw) - 1).bit_length(), []).append(piece)
+            else:
+                young[piece] = merge(raw, self.ranks)
+        for size, some in by.items():
+            for k in range(0, len(some), ROWS):
+                part = some[k : k + ROWS]
+                young.update(zip(part, self.pairs.merge([piece.encode() for piece in part], size), strict=True))
+
+    def _forget(self, pieces: set[str]) -> None:
+        """Keep short matches only, and those of two generations at most."""
+        for piece in pieces:
+            if len(piece) > CACHED_LENGTH:
+                del self.young[piece]
+        if len(self.young) > CACHED:
+            self.old, self.young = self.young, {}
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text; no special tokens."""
         out: list[int] = []
-        add = out.extend
-        for found in self.split.finditer(text) if len(text) > 1 << 20 else self.split.findall(text):
-            piece = found if isinstance(found, str) else found[0]
-            add(self.young.get(piece) or self._ids(piece))
+        for ids in self.encode_all([text]):
+            out = ids
+        return out
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text. Texts are split in groups of bounded length; a longer one by itself, in runs of matches."""
+        group: list[str] = []
+        held = 0
+        for text in texts:
+            if group and held + len(text) > GROUP:
+                yield from self._group(group)
+                group, held = [], 0
+            group.append(text)
+            held += len(text)
+        if group:
+            yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[list[int]]:
+        if len(texts) == 1 and len(texts[0]) > GROUP:
+            out, found = [], (m[0] for m in self.split.finditer(texts[0]))
+            while run := list(islice(found, GROUP)):
+                out += self._run([run])[0]
+            yield out
+            return
+        yield from self._run([self.split.findall(text) for text in texts])
+
+    def _run(self, found: list[list[str]]) -> list[list[int]]:
+        new = set().union(*found).difference(self.young)
+        self._learn(new)
+        ids = self.young.__getitem__
+        out = [list(chain.from_iterable(map(ids, pieces))) for pieces in found]
+        self._forget(new)
         return out
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes that the ids stand for."""
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def digests(self, ids: list[int]) -> tuple[str, str]:
+        """Of the decimal ids joined by spaces, and of the bytes decoded from them."""
+        return sha256(" ".join(map(self.decimals.__getitem__, ids)).encode()).hexdigest(), sha256(self.decode(ids)).hexdigest()
+
 
-def coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, row: Callable[[Codec, str], tuple], schema: str) -> DataFrame:
-    """``docs`` with the columns of ``schema`` that ``row(codec, text)`` gives; all others are kept.
+def coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, row: Callable[[Codec, list[int]], tuple], schema: str) -> DataFrame:
+    """``docs`` with the columns of ``schema`` that ``row(codec, ids)`` gives; all others are kept.
 
     A column of ``docs`` that has a name of ``schema`` is replaced.
     """
@@ -136,7 +264,7 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, row: Callable[
         codec = _codec(sent, pattern)
         for batch in stream:
             if batch.num_rows:
-                rows = [row(codec, text or "") for text in batch.column(at).to_pylist()]
+                rows = [row(codec, ids) for ids in codec.encode_all([text or "" for text in batch.column(at).to_pylist()])]
                 columns = [pa.array(list(values), types[kind]) for values, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*kept, *new])
 
@@ -155,20 +283,14 @@ def _codec(sent, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def digests(codec: Codec, text: str) -> tuple[int, str, str]:
-    """Count and digest of the ids, and the digest of the bytes decoded from them."""
-    ids = codec.encode(text)
-    return len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(codec.decode(ids)).hexdigest()
-
-
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` with ``ids``: the token ids of each text."""
-    return coded(docs, load_ranks(path), pattern, lambda codec, text: (codec.encode(text),), "ids array<int>")
+    return coded(docs, load_ranks(path), pattern, lambda codec, ids: (ids,), "ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, column: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``: the bytes for the ids in ``column`` (null where those are null)."""
-    sent = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in load_ranks(path).items()})
+    sent = encoded.sparkSession.sparkContext.broadcast(by_rank(load_ranks(path)))
 
     @F.udf("binary", useArrow=True)
     def joined(ids):
@@ -179,15 +301,14 @@ def decode(encoded: DataFrame, path: str, column: str = "ids") -> DataFrame:
 
 def coded_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256."""
-    return coded(docs, load_ranks(path), pattern, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return coded(docs, load_ranks(path), pattern, lambda codec, ids: (len(ids), *codec.digests(ids)), "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def coded_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` with n_tokens, ids, ids_sha256 and decoded_sha256."""
 
-    def row(codec: Codec, text: str) -> tuple:
-        ids = codec.encode(text)
-        return len(ids), ids, sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(codec.decode(ids)).hexdigest()
+    def row(codec: Codec, ids: list[int]) -> tuple:
+        return len(ids), ids, *codec.digests(ids)
 
     return coded(docs, load_ranks(path), pattern, row, "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 

@@ -34,6 +34,7 @@ def test_ids_are_those_of_the_library(ranks, truth):
 
 def test_a_small_cache_changes_nothing(ranks, truth, monkeypatch):
     monkeypatch.setattr(bpe, "CACHED", 3)
+    monkeypatch.setattr(bpe, "GROUP", 40)
     codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
     text = fixtures.prose(1, 400)
     assert codec.encode(text) == truth.encode_ordinary(text)
@@ -42,6 +43,22 @@ def test_a_small_cache_changes_nothing(ranks, truth, monkeypatch):
 def test_leftmost_of_equal_ranks():
     ranks = {bytes([b]): b for b in range(256)} | {b"aa": 256, b"aaa": 257}
     assert bpe.merge(b"aaaaa", ranks) == [256, 257]
+    assert bpe.Pairs(ranks).merge([b"aaaaa", b"aa", b"ba", b"aaaa"], 8) == [[256, 257], [256], [98, 97], [256, 256]]
+
+
+def test_trees_of_many_matches_are_those_of_one(ranks):
+    draw, pairs = random.Random(1), bpe.Pairs(ranks)
+    for size in (2, 4, 8, 32, 64):
+        some = [bytes(draw.choices(b"aeinorst \xc3\xa9", k=draw.randint(2, size))) for _ in range(300)]
+        some = [x for x in some if x not in ranks]
+        assert pairs.merge(some, size) == [bpe.merge(x, ranks) for x in some]
+
+
+def test_a_long_text_in_runs(ranks, truth, monkeypatch):
+    monkeypatch.setattr(bpe, "GROUP", 100)
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    texts = [fixtures.prose(1, 400), "", "a b", fixtures.prose(2, 3)]
+    assert list(codec.encode_all(texts)) == [truth.encode_ordinary(t) for t in texts]
 
 
 def test_documents(spark, truth):
