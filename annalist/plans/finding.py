@@ -12,6 +12,7 @@ from annalist.plans.views import NOW, conversation_events, document_events, docu
 
 #: Words of the synthetic prose: a rare one, a common one, one with an ending and a stopword.
 QUERY = "thereing handed the connected"
+PROMPT = "that thon and thre with ther than"
 EVENT_QUERY = "the thereing entre hand"
 
 
@@ -170,22 +171,27 @@ def reranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("place", "id", F.round("score", 6).alias("score"))
 
 
+def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best twenty turns as a list of hits; every third lost its score."""
+    top = search.search_events(conversation_events(spark, sf_dir), EVENT_QUERY, 20)
+    return top.select(F.col("seq").alias("id"), F.when(F.col("rank") % 3 == 0, 0.0).otherwise(F.col("score")).alias("score"), F.col("rank").alias("place"))
+
+
 def rerank_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a judge is shown of a list of forty hits, of which every third has no score."""
-    d = table(spark, sf_dir, "documents").filter("doc_id < 40")
-    base = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, 0.0).otherwise(F.col("n_chars") / 10.0).alias("score"), (F.col("doc_id") + 1).alias("place"))
-    return search.judged_pool(base).select("id", "place")
+    """What a judge is shown of a list of hits, of which every third has no score."""
+    return search.judged_pool(_page(spark, sf_dir)).select("id", "place")
 
 
 def merged_judgement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judged hits first by relevance, the rest as they stood; one judged hit has no relevance."""
-    d = table(spark, sf_dir, "documents").filter("doc_id < 40")
-    base = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, 0.0).otherwise(F.col("n_chars") / 10.0).alias("score"), (F.col("doc_id") + 1).alias("place"))
-    judged = search.judged_pool(base).filter("id <> 2").select("id", ((F.col("id") * 7 % 5) / 5.0).alias("relevance"))
+    base = _page(spark, sf_dir)
+    judged = search.judged_pool(base).filter("place <> 2").select("id", ((F.col("place") * 7 % 5) / 5.0).alias("relevance"))
     return search.reranked(base, judged, 12).select("place", "id", "score")
 
 
-_POOL_SQL = """base as (select doc_id as id, case when doc_id % 3 = 0 then 0.0 else n_chars / 10.0 end as score, doc_id + 1 as place from documents where doc_id < 40),
+_POOL_SQL = f"""{sql.CONVERSATION_EVENTS}, {sql.event_scores(EVENT_QUERY, "j_conv")},
+base as (select seq as id, case when place % 3 = 0 then 0.0 else score end as score, place from (
+  select seq, score, row_number() over (order by score desc, seq) as place from es where score > 0 qualify place <= 20)),
 pool as (select *, row_number() over (partition by score > 0 order by place) as k, count(*) filter (where score > 0) over () as pos from base
          qualify (score > 0 and k <= 5) or (score <= 0 and k <= 8 - least(pos, 5)))"""
 
@@ -212,14 +218,14 @@ from h left join l on h.event_id = l.event_id"""
 
 def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts that earn a place beside a prompt."""
-    return search.prompt_facts(_facts(spark, sf_dir), QUERY + " please").select("place", "id")
+    return search.prompt_facts(_facts(spark, sf_dir), PROMPT).select("place", "id")
 
 
 PROMPT_SQL = f"""
-with {sql.FACTS}, {sql.fact_scores(QUERY + " please")},
+with {sql.FACTS}, {sql.fact_scores(PROMPT)},
 t as (select id, statement, row_number() over (order by score desc, path, ord, id) as r from fs where score > 0 qualify r <= 12),
 k as (select id, row_number() over (order by r) as place from t
-      where len(list_intersect({sql.content_terms("statement")}, {sql.listed([t for t in dict.fromkeys(map(search.stem, search.tokens(QUERY + " please"))) if len(t) > 2 and t not in search.W.FACT_STOPWORDS])})) >= 2)
+      where len(list_intersect({sql.content_terms("statement")}, {sql.listed([t for t in dict.fromkeys(map(search.stem, search.tokens(PROMPT))) if len(t) > 2 and t not in search.W.FACT_STOPWORDS])})) >= 2)
 select place, id from k where place <= 6"""
 
 
@@ -245,7 +251,7 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _case_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("doc_id < 2000")
+    d = table(spark, sf_dir, "documents")
     return d.select(F.floor(F.col("doc_id") / 5).alias("case_id"), (F.col("doc_id") % 5 + 1).cast("int").alias("place"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("statement"))
 
 
@@ -263,7 +269,7 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CASES_SQL = """cs as (
   select item_id as case_id, case when item_id % 2 = 0 then 'even' else 'odd' end as category, cast(item_id * 3 as varchar) as e from benchmark),
-ch as (select doc_id // 5 as c, list(cast(doc_id as varchar) order by doc_id) as ids, lower(string_agg(text, chr(10) order by doc_id)) as said from documents where doc_id < 2000 group by 1),
+ch as (select doc_id // 5 as c, list(cast(doc_id as varchar) order by doc_id) as ids, lower(string_agg(text, chr(10) order by doc_id)) as said from documents group by 1),
 sc as (select case_id, category, coalesce(list_contains(ids, e), false) as recall, coalesce(contains(said, 'the'), false) as includes_ok,
               not coalesce(contains(said, 'zzqx') or contains(said, 'no' || e), false) as excludes_ok, nullif(list_position(ids, e), 0) as p
        from cs left join ch on case_id = c)"""
@@ -313,7 +319,7 @@ ORACLE_SQL = {
     "combined_search": COMBINED_SQL,
     "rerank_pool": f"with {_POOL_SQL} select id, place from pool",
     "merged_judgement": f"""with {_POOL_SQL}, r as (
-       select b.id, case when p.id is not null then case when b.id = 2 then 0.0 else (b.id * 7 % 5) / 5.0 end else b.score end as score, p.id is not null as pooled, b.place as old
+       select b.id, case when p.id is not null then case when b.place = 2 then 0.0 else (b.place * 7 % 5) / 5.0 end else b.score end as score, p.id is not null as pooled, b.place as old
        from base b left join pool p using (id))
        select row_number() over (order by pooled desc, case when pooled then score end desc, old) as place, id, score from r qualify place <= 12""",
     "source_excerpts": EXCERPTS_SQL,

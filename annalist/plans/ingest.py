@@ -62,8 +62,8 @@ def chat_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata that is kept: the given one, else all other fields."""
-    found = chats.chat_export(_chat_lines(spark, sf_dir)).filter("role = 'tool'")
-    return found.select("source_id", F.get_json_object("metadata", "$.k").alias("k"))
+    found = chats.chat_export(_chat_lines(spark, sf_dir))
+    return found.select("source_id", F.get_json_object("metadata", "$.k").alias("k"), F.get_json_object("metadata", "$.tag").alias("tag"))
 
 
 def agent_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +143,7 @@ def notes_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calendars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calendars of three events each; one has nothing in it."""
-    e = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
+    e = table(spark, sf_dir, "events")
     ts = F.col("ts").cast("timestamp")
     day = F.when(F.col("event_id") % 2 == 0, F.date_format(ts, "yyyyMMdd'T'HHmmss'Z'")).otherwise(F.date_format(ts, "yyyyMMdd"))
     block = F.concat(F.lit("BEGIN:VEVENT\nUID: u"), F.col("event_id"), F.lit("\nDTSTART:"), day, F.lit("\nX:y\nSUMMARY:buy "), F.col("user_id"), F.lit("\nEND:VEVENT\n"))
@@ -153,15 +153,15 @@ def calendars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CALENDAR_SQL = """
-with e as (select *, unnest(['u', 'v']) as p, unnest([0, 1]) as position from events where event_type = 'purchase')
+with e as (select *, unnest(['u', 'v']) as p, unnest([0, 1]) as position from events)
 select '/c/' || event_id || '.ics' as file, position, p || event_id as source_id,
        strftime(case when event_id % 2 = 0 then date_trunc('second', ts) else date_trunc('day', ts) end, '%Y-%m-%d %H:%M:%S') as at, 'buy ' || user_id as content from e"""
 
 
 def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captions of every conversation: cue numbers, cues, speech."""
-    t = _turns(spark, sf_dir).filter(~F.contains("text", F.lit("\n")))
-    four = F.array(F.lit("WEBVTT"), (F.col("turn") + 1).cast("string"), F.concat(F.lit("00:00:0"), F.col("turn"), F.lit(".5 --> 00:01:00.0")), F.concat(F.lit("said "), F.left("text", F.lit(40))))
+    t = _turns(spark, sf_dir)
+    four = F.array(F.lit("WEBVTT"), (F.col("turn") + 1).cast("string"), F.concat(F.lit("00:00:0"), F.col("turn"), F.lit(".5 --> 00:01:00.0")), F.concat(F.lit("said "), F.replace("text", F.lit("\n"), F.lit(" "))))
     rows = t.select(F.concat(F.lit("/v/c"), F.col("conv_id"), F.lit(".vtt")).alias("file"), "turn", F.posexplode(four).alias("k", "value")).select("file", (F.col("turn") * 4 + F.col("k")).cast("int").alias("line"), "value")
     found = notes.captions(rows, F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return found.select("source_id", "position", F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss.SSS").alias("at"), "content")
@@ -169,9 +169,9 @@ def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CAPTION_SQL = """
 select 'c' || conv_id as source_id, row_number() over (partition by conv_id order by turn) - 1 as position,
-       case when turn < 10 then strftime(timestamp '2024-01-01' + to_milliseconds(turn * 1000 + 5), '%Y-%m-%d %H:%M:%S.%g') else strftime(timestamp '2024-01-01' + to_milliseconds(turn * 1000 + 5), '%Y-%m-%d %H:%M:%S.%g') end as at,
-       'said ' || left(text, 40) as content
-from conversations where not contains(text, chr(10))"""
+       strftime(timestamp '2024-01-01' + to_milliseconds(turn * 1000 + 5), '%Y-%m-%d %H:%M:%S.%g') as at,
+       'said ' || replace(text, chr(10), ' ') as content
+from conversations"""
 
 
 def ide_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +214,7 @@ select doc_id, doc_id % 6 in (0, 3, 4) as found, doc_id % 6 = 4 as transcript, d
 def framed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Framed logs of a file for each source; every fifth is torn in its last record."""
     d = table(spark, sf_dir, "documents")
-    body = F.to_json(F.struct("doc_id", F.md5("text").alias("h"), F.left("text", F.lit(20)).alias("t")))
+    body = F.to_json(F.struct("doc_id", F.md5("text").alias("h"), F.col("text").alias("t")))
     whole = d.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", journal.frame(body).alias("f")))), lambda x: x["f"]), "").alias("content"))
     torn = F.regexp_extract("source", "([0-9]+)$", 1).cast("int") % 5 == 0
     logs = whole.select(F.col("source").alias("file"), F.when(torn, F.left("content", F.char_length("content") - 9)).otherwise(F.col("content")).alias("content"))
@@ -270,7 +270,7 @@ select doc_id as seq, md5(case when x then '[erased]' else text end) as content,
 def entity_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity files of every source, rendered and parsed again; broken ones are left out."""
     d = table(spark, sf_dir, "documents")
-    fact = F.struct(F.concat(F.lit("fact_"), F.col("doc_id")).alias("id"), F.col("lang").alias("predicate"), F.left("text", F.lit(50)).alias("statement"), F.lit("active").alias("status"), F.lit("2024-01-01T00:00:00Z").alias("valid_from"))
+    fact = F.struct(F.concat(F.lit("fact_"), F.col("doc_id")).alias("id"), F.col("lang").alias("predicate"), F.col("text").alias("statement"), F.lit("active").alias("status"), F.lit("2024-01-01T00:00:00Z").alias("valid_from"))
     e = d.groupBy("source").agg(F.to_json(F.sort_array(F.collect_list(fact))).alias("facts"))
 
     def render(source: str, facts: str) -> str:
@@ -284,27 +284,27 @@ def entity_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ENTITY_SQL = """
-select 'w_' || source as entity_id, 'memory/workstreams/' || source || '.md' as path, 'fact_' || doc_id as fact_id, lang as predicate, left(text, 50) as statement, 'active' as status,
+select 'w_' || source as entity_id, 'memory/workstreams/' || source || '.md' as path, 'fact_' || doc_id as fact_id, lang as predicate, text as statement, 'active' as status,
        case when source = 'src2' then 'shared' else 'private' end as entity_visibility, '2024-01-01' as valid_from from documents where source <> 'src3'"""
 
 
 def entity_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The body of each entity: its active facts."""
     d = table(spark, sf_dir, "documents")
-    fact = F.struct("doc_id", F.concat(F.lit("fact_"), F.col("doc_id")).alias("id"), F.left("text", F.lit(50)).alias("statement"), F.when(F.col("doc_id") % 3 == 0, "superseded").otherwise("active").alias("status"))
+    fact = F.struct("doc_id", F.concat(F.lit("fact_"), F.col("doc_id")).alias("id"), F.col("text").alias("statement"), F.when(F.col("doc_id") % 3 == 0, "superseded").otherwise("active").alias("status"))
     e = d.groupBy("source").agg(F.sort_array(F.collect_list(fact)).alias("facts"))
     return e.select("source", F.md5(entities.body(F.col("source"), F.col("facts"))).alias("body"))
 
 
 BODY_SQL = """
 select source, md5('# ' || source || chr(10) || chr(10) || '## Current facts' || chr(10) || chr(10) ||
-       coalesce(string_agg('- [fact_' || doc_id || '] ' || left(text, 50) || chr(10), '' order by doc_id) filter (where doc_id % 3 > 0), '')) as body from documents group by 1"""
+       coalesce(string_agg('- [fact_' || doc_id || '] ' || text || chr(10), '' order by doc_id) filter (where doc_id % 3 > 0), '')) as body from documents group by 1"""
 
 
 def records_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as JSON lines and as text lines."""
     e = conversation_events(spark, sf_dir)
-    return e.select("seq", F.get_json_object(F.to_json(F.struct("event_id", "seq", "role")), "$.event_id").alias("event_id"), F.concat_ws(" ", F.col("seq").cast("string"), "role", F.left("content", F.lit(20))).alias("line"))
+    return e.select("seq", F.get_json_object(F.to_json(F.struct("event_id", "seq", "role")), "$.event_id").alias("event_id"), F.concat_ws(" ", F.col("seq").cast("string"), "role", "content").alias("line"))
 
 
 QUERIES = {
@@ -334,7 +334,7 @@ QUERIES = {
 ORACLE_SQL = {
     "chat_exports": CHAT_SQL,
     "chat_problems": "select ['unknown role boss', 'missing id', 'bad json'][n - 1] as problem, count(*) as n from (select (conv_id + turn) % 7 as n from conversations) where n in (2, 3, 4) group by 1",
-    "chat_metadata": "select conv_id || ':' || turn as source_id, case when (conv_id + turn) % 7 = 6 then '1' end as k from conversations where (conv_id + turn) % 7 = 6",
+    "chat_metadata": "select conv_id || ':' || turn as source_id, case when n = 6 then '1' end as k, case when n = 0 then 'a' end as tag from (select *, (conv_id + turn) % 7 as n from conversations) where n in (0, 1, 5, 6)",
     "agent_transcripts": TRANSCRIPT_SQL,
     "agent_rollouts": ROLLOUT_SQL,
     "session_stores": "select 'opencode:S' || conv_id || ':m' || conv_id || '.' || turn || ':p1' as source_id, role, md5(text) as content from conversations where turn <> 1 and role in ('user', 'assistant') and conv_id % 10 <> 5",
@@ -354,5 +354,5 @@ ORACLE_SQL = {
     "journal_redact": REDACT_SQL,
     "entity_files": ENTITY_SQL,
     "entity_bodies": BODY_SQL,
-    "records_out": f"with {sql.CONVERSATION_EVENTS} select seq, event_id, seq || ' ' || role || ' ' || left(content, 20) as line from j_conv",
+    "records_out": f"with {sql.CONVERSATION_EVENTS} select seq, event_id, seq || ' ' || role || ' ' || content as line from j_conv",
 }

@@ -28,7 +28,7 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slugs, hashes, fact ids, event ids, families, folders, types and labels."""
     d = table(spark, sf_dir, "documents")
     entity = F.concat(F.element_at(F.array(*map(F.lit, ("w_", "p_", "o_", "pref_", "c_", "x_"))), (F.col("doc_id") % 6 + 1).cast("int")), F.col("source"), F.when(F.col("doc_id") % 2 == 0, "_2").otherwise(""))
-    title = F.left("text", F.lit(90))
+    title = F.col("text")
     kind = F.element_at(F.array(*map(F.lit, ("chat", "calendar", "voice", "ide_history", "custom"))), (F.col("doc_id") % 5 + 1).cast("int"))
     where = F.concat(F.lit("claude:"), F.col("source"))
     return d.select(
@@ -55,8 +55,8 @@ IDENTITIES_SQL = f"""
 with d as (
   select *, {_kind_sql(("w_", "p_", "o_", "pref_", "c_", "x_"), 6)} || source || case when doc_id % 2 = 0 then '_2' else '' end as entity,
          {_kind_sql(("chat", "calendar", "voice", "ide_history", "custom"), 5)} as kind, 'claude:' || source as w from documents)
-select doc_id, {sql.slug("left(text, 90)")} as slug, sha256(text) as sha,
-       'fact_' || left(sha256(entity || '|' || lang || '|' || lower(left(text, 90))), 12) as fact_id,
+select doc_id, {sql.slug("text")} as slug, sha256(text) as sha,
+       'fact_' || left(sha256(entity || '|' || lang || '|' || lower(text)), 12) as fact_id,
        case kind when 'chat' then 'evt_chat_' || w when 'calendar' then 'evt_cal_' || w || '_' || doc_id when 'voice' then 'evt_voice_' || w || '_' || doc_id
                  when 'ide_history' then 'evt_ide_' || w || '_' || doc_id else 'evt_mail_' || w || '_' || doc_id end as event_id,
        case kind when 'chat' then 'claude' when 'ide_history' then 'ide' when 'custom' then 'mail' else kind end as source_label,
@@ -73,7 +73,7 @@ from d"""
 def clipped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clipped texts and first lines."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.md5(text.clip(F.col("text"), 2048)).alias("clip"), text.first_lines(F.col("text"), 2).alias("lines"), text.first_lines(F.concat(F.lit("\n \n"), F.left("text", F.lit(50))), 1).alias("led"))
+    return d.select("doc_id", F.md5(text.clip(F.col("text"), 2048)).alias("clip"), text.first_lines(F.col("text"), 2).alias("lines"), text.first_lines(F.concat(F.lit("\n \n"), "text"), 1).alias("led"))
 
 
 def quotes_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def own_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What users typed, out of turns with injected blocks, commands, images and temporary paths."""
     c = table(spark, sf_dir, "conversations")
     n = F.col("conv_id") % 6
-    said = F.left("text", F.lit(120))
+    said = F.col("text")
     raw = (
         F.when(n == 0, F.concat(F.lit("<system-reminder a=1>x\ny</system-reminder>"), said))
         .when(n == 1, F.concat(F.lit("<command-name>go</command-name><command-args> "), said, F.lit(" </command-args>")))
@@ -103,7 +103,7 @@ OWN_WORDS_SQL = """
 select conv_id, turn,
        case conv_id % 6 when 0 then regexp_replace(s, '^\\s+', '') when 1 then trim(s, ' ') when 2 then s || chr(10) || 'end'
             when 5 then regexp_replace(regexp_replace(s, '^\\s+', ''), '\\n$', '') end as said
-from (select *, left(text, 120) as s from conversations)"""
+from (select *, text as s from conversations)"""
 
 
 def note_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids cited in texts, and replies without their fences."""
     d = table(spark, sf_dir, "documents")
-    cited = F.concat(F.left("text", F.lit(30)), F.lit(" [fact_"), F.col("doc_id"), F.lit("] [id_x] [other_1] [fact_"))
+    cited = F.concat("text", F.lit(" [fact_"), F.col("doc_id"), F.lit("] [id_x] [other_1] [fact_"))
     fenced = F.concat(F.lit("```json\n{\"n\": "), F.col("doc_id"), F.lit("}\n```"))
     return d.select("doc_id", F.array_join(text.reference_tokens(cited), ",").alias("cited"), F.get_json_object(text.without_fence(fenced), "$.n").cast("long").alias("n"))
 
@@ -163,7 +163,7 @@ from t"""
 
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts of texts that do not hold the term: their first 320 bytes, widened to whole characters."""
-    c = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", passages.excerpt_column(F.col("text"), ["zzqx"]).alias("excerpt"))
 
 
@@ -204,7 +204,7 @@ ORACLE_SQL = {
     "text_tokens": f"select word, {sql.stem('word')} as stem, count(*) as n from (select unnest({sql.tokens('text')}) as word from conversations) group by all",
     "term_sets": f"select conv_id, turn, {_SORTED.format(sql.content_words('text'))} as words, {_SORTED.format(sql.content_terms('text'))} as terms, {_SORTED.format(sql.stems('text'))} as stems from conversations",
     "identities": IDENTITIES_SQL,
-    "clipped_lines": f"select doc_id, md5(case when length(text) > 2048 then left(text, 2048) || '…' else text end) as clip, {_first('text', 2)} as lines, {_first('(chr(10) || chr(32) || chr(10) || left(text, 50))', 1)} as led from documents",
+    "clipped_lines": f"select doc_id, md5(case when length(text) > 2048 then left(text, 2048) || '…' else text end) as clip, {_first('text', 2)} as lines, {_first('(chr(10) || chr(32) || chr(10) || text)', 1)} as led from documents",
     "quotes_normalised": f"select doc_id, md5(q) as normalised, right(q, 20) as tail from (select doc_id, {sql.normalised(_RAW)} as q from documents)",
     "own_words": OWN_WORDS_SQL,
     "note_kinds": "select doc_id, ['agents', 'claude', 'codex', 'readme', 'windsurf', 'project_markdown'][doc_id % 6 + 1] as kind, ['user', 'assistant', 'tool', 'system', 'note', null][doc_id % 6 + 1] as role, doc_id % 3 as rank from documents",

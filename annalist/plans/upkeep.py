@@ -22,7 +22,7 @@ def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n == 3, F.lit("i live in Rome, please don't shout. "))
         .otherwise("")
     )
-    return conversation_events(spark, sf_dir).withColumn("content", F.concat(opening, F.left("content", F.lit(10))))
+    return conversation_events(spark, sf_dir).withColumn("content", F.concat(opening, "content"))
 
 
 def rule_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,11 +101,16 @@ select doc_id, item_id from d, b where length(q) >= 8 and contains(s, q)"""
 
 
 def quotes_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes with elisions: parts of each text in order, and out of order."""
-    c = table(spark, sf_dir, "conversations").filter(F.char_length("text") > 150)
-    a, b = F.substring("text", 5, 30), F.substring("text", 90, 30)
-    right = F.concat(F.lit("**"), a, F.lit("** … "), b)
-    return c.select("conv_id", "turn", passages.quoted_column(F.col("text"), right).alias("in_order"))
+    """Every turn quoted in two halves with an elision between them: found if a half is long enough to count."""
+    c = table(spark, sf_dir, "conversations")
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    quote = F.concat(F.lit("**"), F.left("text", half), F.lit("** … "), F.substring(F.col("text"), half + 1, F.char_length("text")))
+    return c.select("conv_id", "turn", passages.quoted_column(F.col("text"), quote).alias("in_order"))
+
+
+QUOTES_SQL = f"""
+with c as (select conv_id, turn, left(text, length(text) // 2) as a, substr(text, length(text) // 2 + 1) as b from conversations)
+select conv_id, turn, length({sql.normalised("a")}) >= 8 or length({sql.normalised("b")}) >= 8 as in_order from c"""
 
 
 def restatements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,15 +119,15 @@ def restatements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first sentence of each document as a statement of its source."""
+    """Each document as a statement of its source."""
     d = table(spark, sf_dir, "documents")
     entity = F.when(F.col("doc_id") % 11 == 0, "pref_user").otherwise(F.concat(F.lit("w_g"), F.regexp_extract("source", "([0-9]+)$", 1).cast("int") % 3, F.when(F.col("doc_id") % 4 == 0, "_2").otherwise("")))
-    return d.select(F.col("doc_id").alias("id"), entity.alias("entity_id"), F.split("text", "[.\n]")[0].alias("statement"))
+    return d.select(F.col("doc_id").alias("id"), entity.alias("entity_id"), F.col("text").alias("statement"))
 
 
 STATEMENTS_SQL = f"""st as (
   select doc_id as id, case when doc_id % 11 = 0 then 'pref_user' else 'w_g' || (cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 3) || case when doc_id % 4 = 0 then '_2' else '' end end as entity_id,
-         regexp_split_to_array(text, '[.\\n]')[1] as statement from documents),
+         text as statement from documents),
 ws as (select *, {sql.family("entity_id")} as f, {sql.content_words("statement")} as w from st),
 pr as (
   select x.id as a, y.id as b, x.f as af, y.f as bf, len(list_intersect(x.w, y.w)) as i, len(x.w) as na, len(y.w) as nb
@@ -137,9 +142,12 @@ def duplicate_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def placeable_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposals that restate neither a fact nor an earlier proposal, and are not blocked."""
-    s = _statements(spark, sf_dir).withColumn("id", F.concat(F.lit("f"), "id")).withColumn("order", F.regexp_extract("id", "([0-9]+)", 1).cast("long"))
-    blocked = s.filter(F.col("order") % 41 == 0).select(F.col("id").alias("target"))
-    return similarity.placeable(s.filter(F.col("order") % 3 > 0), s.filter(F.col("order") % 3 == 0).select("id", "entity_id", "statement"), blocked).select("id")
+    s = _statements(spark, sf_dir).withColumn("order", F.col("id"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    proposals, existing = s.join(labels, "id", "left_anti"), s.join(labels.filter("quality = 1"), "id", "left_semi")
+    again = s.join(labels.filter("quality = 0 or toxic = 1"), "id", "left_semi")
+    blocked = labels.filter("toxic = 1").select(F.col("id").alias("target"))
+    return similarity.placeable(proposals.unionByName(again), existing.select("id", "entity_id", "statement"), blocked).select("id")
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,46 +160,46 @@ def outdated_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = lambda k: F.concat(F.lit("evt_ide_md:/"), "source", F.lit("/"), F.col("doc_id") % 50, F.lit(":"), k)
     h = F.left(F.sha2("text", 256), F.lit(8))
     facts = d.select(F.col("doc_id").alias("id"), F.lit("active").alias("status"), F.when(F.col("doc_id") % 4 == 0, F.array(version(h), F.lit("evt_chat_x"))).otherwise(F.array(version(h))).alias("source_ids"))
-    notes = d.filter("doc_id % 2 = 0").select(version(h).alias("event_id"), F.lit("note").alias("role"), F.col("doc_id").alias("seq"))
+    notes = d.filter("lang = 'en'").select(version(h).alias("event_id"), F.lit("note").alias("role"), F.col("doc_id").alias("seq"))
     return extract.outdated(facts, notes)
 
 
 OUTDATED_SQL = """
-with d as (select doc_id, 'evt_ide_md:/' || source || '/' || (doc_id % 50) || ':' as p, left(sha256(text), 8) as h from documents),
-n as (select p, arg_max(p || h, doc_id) as cur from d where doc_id % 2 = 0 group by 1)
+with d as (select doc_id, lang, 'evt_ide_md:/' || source || '/' || (doc_id % 50) || ':' as p, left(sha256(text), 8) as h from documents),
+n as (select p, arg_max(p || h, doc_id) as cur from d where lang = 'en' group by 1)
 select doc_id as id from d join n using (p) where doc_id % 4 <> 0 and cur <> p || h"""
 
 
 def remembered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts after an upsert: known ids are replaced whole, new ones added."""
     f = _base(spark, sf_dir)
-    new = f.filter("doc_id % 5 = 0").withColumn("id", F.when(F.col("doc_id") % 10 == 0, F.col("id")).otherwise(F.concat("id", F.lit("n")))).withColumn("status", F.lit("active")).withColumn("statement", F.lit("new"))
+    new = f.join(table(spark, sf_dir, "labels"), "doc_id").withColumn("id", F.when(F.col("quality") == 1, F.col("id")).otherwise(F.concat("id", F.lit("n")))).withColumn("status", F.lit("active")).withColumn("statement", F.lit("new"))
     return change.upserted(f, new).select("id", "status", F.md5("statement").alias("statement"))
 
 
 def corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts after corrections: the old one is superseded and names the new one."""
     f = _base(spark, sf_dir)
-    pairs = f.filter("doc_id % 6 = 0").select("id", F.concat("id", F.lit("c")).alias("new_id"))
+    pairs = f.join(table(spark, sf_dir, "labels").filter("toxic = 1"), "doc_id").select("id", F.concat("id", F.lit("c")).alias("new_id"))
     return change.superseded(f, pairs).select("id", "status", F.array_join("supersedes", ",").alias("supersedes"))
 
 
 def forgotten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts after forgetting: suppressed and retracted ones are pruned; others keep their state."""
     f, controls = _base(spark, sf_dir), label_controls(spark, sf_dir)
-    ids = f.filter("doc_id % 8 = 0").select("id")
+    ids = f.join(table(spark, sf_dir, "labels").filter("quality = 0"), "doc_id").select("id")
     after = change.forgotten(controls, ids)
     return change.pruned(change.with_status(f, ids, "retracted"), after).select("id", "status")
 
 
 FORGOTTEN_SQL = f"""
 with {sql.FACTS}, both_ as (select target from ctl where control = 'suppressed' intersect select target from ctl where control = 'retracted')
-select id, status from f_docs where doc_id % 8 > 0 and id not in (select target from both_)"""
+select id, status from f_docs where doc_id not in (select doc_id from labels where quality = 0) and id not in (select target from both_)"""
 
 
 def controls_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Controls after forgetting: each id suppressed and retracted once."""
-    ids = _base(spark, sf_dir).filter("doc_id % 8 = 0").select("id")
+    ids = _base(spark, sf_dir).join(table(spark, sf_dir, "labels").filter("quality = 0"), "doc_id").select("id")
     return change.forgotten(label_controls(spark, sf_dir), ids).groupBy("control").agg(F.count("*").alias("n"), F.count_distinct("target").alias("targets"))
 
 
@@ -207,7 +215,7 @@ def erased(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that name no erased id; a longer id that begins with one stays."""
     d = table(spark, sf_dir, "documents")
-    lines = d.select("doc_id", F.concat(F.lit("- [fact_"), F.col("doc_id") % 100, F.lit("] "), F.left("text", F.lit(20))).alias("line"))
+    lines = d.select("doc_id", F.concat(F.lit("- [fact_"), F.col("doc_id") % 100, F.lit("] "), "text").alias("line"))
     needles = d.filter("doc_id in (1, 2, 33)").select(F.concat(F.lit("fact_"), F.col("doc_id")).alias("needle"))
     return change.scrubbed(lines, needles, "line").select("doc_id")
 
@@ -224,7 +232,7 @@ def bad_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     day = F.lit("2024-01-02").cast("timestamp")
     f = d.select(
-        F.when(F.col("doc_id") % 50 == 0, " ").otherwise(F.col("doc_id").cast("string")).alias("id"), F.when(F.col("doc_id") % 7 > 0, F.col("lang")).alias("predicate"), F.when(F.col("doc_id") % 9 > 0, F.left("text", F.lit(9))).otherwise("").alias("statement"),
+        F.when(F.col("doc_id") % 50 == 0, " ").otherwise(F.col("doc_id").cast("string")).alias("id"), F.when(F.col("doc_id") % 7 > 0, F.col("lang")).alias("predicate"), F.when(F.col("doc_id") % 9 > 0, F.col("text")).otherwise("").alias("statement"),
         day.alias("valid_from"), F.when(F.col("doc_id") % 4 == 0, F.lit("2024-01-01").cast("timestamp")).when(F.col("doc_id") % 4 == 1, day).alias("valid_to"),
     )
     return eligibility.violations(f).groupBy("reason").agg(F.count("*").alias("n"))
@@ -233,7 +241,7 @@ def bad_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 BAD_FACTS_SQL = """
 select reason, count(*) as n from (
   select 'empty id' as reason from documents where doc_id % 50 = 0 union all select 'empty predicate' from documents where doc_id % 7 = 0 or lang is null
-  union all select 'empty statement' from documents where doc_id % 9 = 0 or trim(left(text, 9), ' ') = '' union all select 'ends before it begins' from documents where doc_id % 4 = 0) group by 1"""
+  union all select 'empty statement' from documents where doc_id % 9 = 0 or trim(text, ' ') = '' union all select 'ends before it begins' from documents where doc_id % 4 = 0) group by 1"""
 
 
 def unknown_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,8 +306,8 @@ select * from s union all select (select count(*) from s) + 1, '- … and ' || (
 def overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree after some files were written and some deleted."""
     d = table(spark, sf_dir, "documents")
-    base = d.filter("doc_id % 2 = 0").select(F.concat(F.lit("memory/"), "doc_id").alias("path"), F.col("lang").alias("title"))
-    updates = d.filter("doc_id % 3 = 0").select(F.concat(F.lit("memory/"), "doc_id").alias("path"), F.lit("new").alias("title"), (F.col("doc_id") % 5 == 0).alias("deleted"))
+    base = d.filter("lang in ('en', 'es')").select(F.concat(F.lit("memory/"), "doc_id").alias("path"), F.col("lang").alias("title"))
+    updates = d.filter("lang in ('en', 'fr')").select(F.concat(F.lit("memory/"), "doc_id").alias("path"), F.lit("new").alias("title"), (F.col("source") == "src1").alias("deleted"))
     return report.overlaid(base, updates)
 
 
@@ -335,8 +343,9 @@ def statement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agreed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What two passes of a judge agree on, but for what is to be kept."""
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    return d.filter("doc_id % 2 = 0").intersect(d.filter("doc_id % 3 = 0")).join(d.filter("doc_id % 4 = 0"), "doc_id", "left_anti")
+    labels = table(spark, sf_dir, "labels")
+    first, second = labels.filter("quality = 1").select("doc_id"), labels.filter("toxic = 1").select("doc_id")
+    return first.intersect(second).join(table(spark, sf_dir, "documents").filter("lang = 'fr'"), "doc_id", "left_anti")
 
 
 def blocked_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,14 +405,14 @@ ORACLE_SQL = {
     "model_candidates": "select conv_id * 1000 + turn as seq, cast(0 as bigint) as k, md5(left(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\n$', ''), 2000)) as said from conversations where role = 'user' and trim(text, ' ') <> ''",
     "model_gate": GATE_SQL,
     "evidence_found": EVIDENCE_SQL,
-    "quotes_in_order": "select conv_id, turn, true as in_order from conversations where length(text) > 150",
+    "quotes_in_order": QUOTES_SQL,
     "restatements": f"with {STATEMENTS_SQL} select a, b from ma",
     "outdated_facts": OUTDATED_SQL,
-    "remembered": f"""with {sql.DOCUMENT_FACTS} select id, status, md5(statement) as statement from f_docs where doc_id % 10 <> 0
-       union all select id || case when doc_id % 10 = 0 then '' else 'n' end, 'active', md5('new') from f_docs where doc_id % 5 = 0""",
-    "corrected": f"with {sql.DOCUMENT_FACTS} select id, case when doc_id % 6 = 0 then 'superseded' else status end as status, case when doc_id % 6 = 0 then id || 'c' else '' end as supersedes from f_docs",
+    "remembered": f"""with {sql.DOCUMENT_FACTS} select id, status, md5(statement) as statement from f_docs where doc_id not in (select doc_id from labels where quality = 1)
+       union all select id || case when quality = 1 then '' else 'n' end, 'active', md5('new') from f_docs join labels using (doc_id)""",
+    "corrected": f"with {sql.DOCUMENT_FACTS} select id, case when t then 'superseded' else status end as status, case when t then id || 'c' else '' end as supersedes from (select *, doc_id in (select doc_id from labels where toxic = 1) as t from f_docs)",
     "forgotten": FORGOTTEN_SQL,
-    "controls_after": f"""with {sql.FACTS}, a as (select * from ctl union select c, id from f_docs, (values ('suppressed'), ('retracted')) v(c) where doc_id % 8 = 0)
+    "controls_after": f"""with {sql.FACTS}, a as (select * from ctl union select c, id from f_docs, (values ('suppressed'), ('retracted')) v(c) where doc_id in (select doc_id from labels where quality = 0))
        select control, count(*) as n, count(distinct target) as targets from a group by 1""",
     "erased": f"""with {sql.DOCUMENT_FACTS}, g as (select * from f_docs where entity_id = 'w_src2') select 'fact' as kind, id from g
        union all select 'event', source_ids[1] from g""",
@@ -417,12 +426,12 @@ ORACLE_SQL = {
                      (select count(distinct entity_id) as entities, count(*) filter (where status = 'active') as active_facts from f_docs)""",
     "event_status": "select event_type, count(*) as n, max(event_id) as last_seq, count(distinct user_id) as users, cast(sum(cast(json_extract(props, '$.k') as bigint)) as bigint) as k from events group by 1",
     "entity_index": INDEX_SQL,
-    "overlaid": """select 'memory/' || doc_id as path, case when doc_id % 3 = 0 then 'new' else lang end as title from documents
-       where (doc_id % 2 = 0 or doc_id % 3 = 0) and not (doc_id % 15 = 0)""",
+    "overlaid": """select 'memory/' || doc_id as path, case when lang in ('en', 'fr') then 'new' else lang end as title from documents
+       where lang in ('en', 'es', 'fr') and not (lang in ('en', 'fr') and source = 'src1')""",
     "export_sections": EXPORT_SQL,
     "timings": TIMINGS_SQL,
     "statement_counts": f"with {sql.DOCUMENT_FACTS} select entity_id, md5(statement) as statement, count(*) as n from f_docs group by 1, 2 having count(*) > 1",
-    "agreed_findings": "select doc_id from documents where doc_id % 6 = 0 and doc_id % 4 > 0",
+    "agreed_findings": "select distinct doc_id from labels where quality = 1 and toxic = 1 and doc_id not in (select doc_id from documents where lang = 'fr')",
     "blocked_targets": f"with {sql.FACTS} select distinct target from ctl where control in ('suppressed', 'deleted')",
     "consolidation_windows": WINDOWS_SQL,
 }
