@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch: long texts must not add up to gigabytes in a Python worker.
-ROWS_PER_BATCH = "1000"
+ROWS_PER_BATCH = "400"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
