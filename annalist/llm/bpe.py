@@ -105,24 +105,43 @@ class Pairs:
 
     def __init__(self, ranks: dict[bytes, int]):
         found = [(ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-        self.codes, self.ranks = pairs[:, 0].copy(), pairs[:, 1].copy()
+        pairs = np.array(found, np.int64).reshape(-1, 2)
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        # An open-addressed table, a quarter full at most: a pair lies at its place or soon after it.
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        self.codes, self.ranks = np.full(1 << self.bits, -1), np.zeros(1 << self.bits, np.int64)
+        at = self._place(pairs[:, 0])
+        while len(pairs):
+            free = self.codes[at] < 0
+            self.codes[at[free]] = pairs[free, 0]  # of several for one place the last stays
+            own = self.codes[at] == pairs[:, 0]
+            self.ranks[at[own]] = pairs[own, 1]
+            pairs, at = pairs[~own], (at[~own] + 1) & ((1 << self.bits) - 1)
+
+    def _place(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def rank(self, a: np.ndarray, b: np.ndarray, never: int) -> np.ndarray:
         """The rank of each pair; ``never`` for those that do not merge."""
         code = a << 32 | b
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where(self.codes[at] == code, self.ranks[at], never)
+        at = self._place(code)
+        held = self.codes[at]
+        out = np.where(held == code, self.ranks[at], never)
+        open_ = np.flatnonzero((held != code) & (held >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            held = self.codes[at[open_]]
+            found = held == code[open_]
+            out[open_[found]] = self.ranks[at[open_[found]]]
+            open_ = open_[~found & (held >= 0)]
+        return out
 
-    def merge(self, pieces: list[bytes], size: int) -> list[list[int]]:
+    def merge(self, pieces: list[bytes], size: int) -> list[tuple[int, ...]]:
         """The ids of matches of at most ``size`` bytes, a power of two: a row of each array is one match's tree.
 
         As in ``merge``, a node holds rank * size + position. In each step every match that is not
         done merges its root's pair, and updates three leaves and the paths above them.
         """
-        if not len(self.codes):
-            return [self.bytes[np.frombuffer(piece, np.uint8)].tolist() for piece in pieces]
         never, rows = 1 << 40, len(pieces)
         n = np.fromiter(map(len, pieces), np.int64, rows)
         raw = np.frombuffer(b"".join(piece.ljust(size, b"\0") for piece in pieces), np.uint8).reshape(rows, size)
@@ -159,7 +178,7 @@ class Pairs:
             while node[0]:
                 tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
                 node >>= 1
-        flat, ends = ids[live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
+        flat, ends = tuple(ids[live].tolist()), np.cumsum(live.sum(axis=1)).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
@@ -170,28 +189,33 @@ class Codec:
         self.ranks, self.split, self.pairs = ranks, regex.compile(pattern), Pairs(ranks)
         self.tokens = by_rank(ranks)
         self.decimals = [str(rank) for rank in range(len(self.tokens))]
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        # Tuples, which the garbage collector soon stops to follow.
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def _learn(self, pieces: set[str]) -> None:
         """Put the ids of matches into ``young``: short ones are merged many at a time."""
-        young, old, get = self.young, self.old, self.ranks.get
-        by: dict[int, list[str]] = {}
-        for piece in pieces:
-            if (ids := old.get(piece)) is not None:
-                young[piece] = ids
-                continue
-            raw = piece.encode()
-            if (rank := get(raw)) is not None:
-                young[piece] = [rank]
-            elif len(raw) <= TREES:
-                by.setdefault(1 << (len(raw) - 1).bit_length(), []).append(piece)
+        young, old = self.young, self.old
+        again = pieces & old.keys()
+        young.update((piece, old[piece]) for piece in again)
+        new = list(pieces - again)
+        raw = [piece.encode() for piece in new]
+        known = list(map(self.ranks.get, raw))
+        by: dict[int, list[int]] = {}
+        for k, rank in enumerate(known):
+            if rank is not None:
+                young[new[k]] = (rank,)
+            elif (n := len(raw[k])) <= TREES:
+                by.setdefault(n - 1, []).append(k)
             else:
-                young[piece] = merge(raw, self.ranks)
-        for size, some in by.items():
+                young[new[k]] = tuple(merge(raw[k], self.ranks))
+        sizes: dict[int, list[int]] = {}
+        for n, some in by.items():
+            sizes.setdefault(1 << n.bit_length(), []).extend(some)
+        for size, some in sizes.items():
             for k in range(0, len(some), ROWS):
                 part = some[k : k + ROWS]
-                young.update(zip(part, self.pairs.merge([piece.encode() for piece in part], size), strict=True))
+                young.update(zip([new[j] for j in part], self.pairs.merge([raw[j] for j in part], size), strict=True))
 
     def _forget(self, pieces: set[str]) -> None:
         """Keep short matches only, and those of two generations at most."""
