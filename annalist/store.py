@@ -9,6 +9,7 @@ one fails. Tables that a change does not touch are carried over by name.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 from collections.abc import Callable
@@ -67,18 +68,30 @@ class Store:
         if overwrite:
             stream = self._fs.create(path, True)
         else:
-            # Written aside and renamed, which fails if the name is taken: no reader sees half a file.
+            # Written aside and then given its name, which fails if the name is taken: no reader sees half a file.
             aside = self._path(f"{self.root}/{name}.{uuid.uuid4().hex}")
             stream = self._fs.create(aside, False)
             stream.write(bytearray(text.encode()))
             stream.close()
-            if self._fs.exists(path) or not self._fs.rename(aside, path):
-                self._fs.delete(aside, False)
+            if not self._named(aside, path):
                 raise Conflict(f"{name} is there already")
             return
         stream.write(bytearray(text.encode()))
         stream.close()
 
+    def _named(self, aside, path) -> bool:
+        """Give a file its name unless that is taken; of two that try, one succeeds."""
+        if self._fs.getScheme() != "file":
+            return not self._fs.exists(path) and self._fs.rename(aside, path)
+        # A local rename would replace the other's file; a link is refused.
+        try:
+            os.link(aside.toUri().getPath(), path.toUri().getPath())
+        except FileExistsError:
+            return False
+        finally:
+            self._fs.delete(aside, False)
+        return True
+
     def _names(self, folder: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{folder}")))
 

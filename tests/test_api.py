@@ -84,9 +84,10 @@ def test_two_writers_with_one_base(memory):
         except Conflict:
             return None
 
-    with ThreadPoolExecutor(2) as pool:
-        out = list(pool.map(publish, range(2)))
-    assert sorted(map(str, out)) == ["1", "None"] and memory.store.head() == 1
+    with ThreadPoolExecutor(4) as pool:
+        out = list(pool.map(publish, range(4)))
+    assert sorted(map(str, out)) == ["1", "None", "None", "None"] and memory.store.head() == 1
+    assert memory.store.manifest()["state"]["by"] == out.index(1)
 
 
 def test_interrupted_changes_are_finished(memory):
