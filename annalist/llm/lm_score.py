@@ -1,17 +1,21 @@
-"""Language-model scores from a weighted back-off automaton.
+"""Language-model scores of a back-off model of three words, whole at any size of the corpus.
 
-Spark counts all words of the training texts. Words with at least 1 / 2 ** 20 of all tokens (so at
-most 2 ** 20 of them) and the n-grams of up to three words that reach 1 / 2 ** 18 of all tokens
-(at most 2 ** 18 for each order) become an automaton: a state for each context, arcs that carry
-log-probabilities, and a failure arc from each state to its shorter context that carries the
-back-off weight. What is broadcast is thus bounded at any size of the corpus. One traversal of a
-text from left to right adds up arcs; a word that is too rare for the automaton falls back to the
-root and leaves its unigram term to a join with the whole table of counts, in which no word that
-is left can be frequent among the training texts.
+Spark counts all words and all n-grams of two and three words of the training texts. Every n-gram
+that occurs twice stays, whatever its words and however large the corpus, in tables that Spark
+keeps partitioned. N-grams go by 64-bit hashes, as ``xxhash64`` makes them of two shorter ones.
+
+A back-off score is a sum over the n-grams of a text: a bigram adds what its probability differs
+by from its words' terms, a trigram what it differs by from its bigrams'. So each n-gram has one
+number, and scoring is one lookup of all n-grams of a text: batches of texts send their n-grams,
+dealt by hash into buckets, to the buckets of the table and get sums back. Frequent words (at
+least 1 / 2 ** 20 of all tokens) are broadcast; other words' terms come from a join with the whole
+table of counts. Two broadcast bitmaps of 2 ** 28 bits keep n-grams that occur once from being
+sent; a bit that is set in error costs a lookup that finds nothing.
 
 Unigrams are discounted by D = n1 / (n1 + 2 n2); all unknown words share the mass of the
-discounts. Longer n-grams are discounted likewise and back off with weights that make each state's
-probabilities add up to one.
+discounts. Longer n-grams are discounted likewise (for trigrams, n1 counts those whose bigrams are
+in the bitmap) and back off with weights that make each context's probabilities add up to one.
+``Automaton`` is the same model for vocabularies of up to 2 ** 16 words, held in one process.
 
 Defined cases: a null or empty text consists of its end; with no training text every token is
 unknown and scores 0 in the model; a text of any length is read whole; repeated rows are each
@@ -28,8 +32,8 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm.common import batches, cut, remainder, table, utf8
@@ -40,6 +44,12 @@ WORD_SHARE, CONTEXT_SHARE, GRAM_SHARE = 1 << 20, 1 << 14, 1 << 18
 END = b" "
 #: Counts held in a task before they are passed on.
 HELD = 1 << 20
+#: N-grams held in a task, places in a bitmap, n-grams of the table in one bucket, and buckets at least.
+GRAMS_HELD, PLACES, BUCKET, BUCKETS = 1 << 21, 1 << 28, 1 << 20, 64
+#: Spark's seed of xxhash64.
+SEED = 42
+#: What stands before a text's first word.
+START = b"  "
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -207,72 +217,284 @@ class Automaton:
         return total
 
 
-def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
-    """The automaton and the whole table of word counts, learned from all rows of ``texts`` (one column of bytes)."""
+# ---- n-grams by hash
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def _hashed(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    h = (seed + (_P5 + np.uint64(8))) ^ _turned(x * _P2, 31) * _P1
+    h = _turned(h, 27) * _P1 + _P4
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
+
+
+def gram_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``xxhash64(a, b)`` of Spark for unsigned numbers."""
+    return _hashed(b, _hashed(a, np.full(1, SEED, np.uint64)))
+
+
+def word_hash(word: bytes) -> int:
+    """``xxhash64(word)`` of Spark, as a signed number."""
+    return int(np.uint64(xxhash.xxh64_intdigest(word, SEED)).view(np.int64))
+
+
+def hashes(texts: list[list[bytes]]) -> np.ndarray:
+    """The hashes of the texts' words with START before, END and a 0 after each text."""
+    out: list[int] = []
+    start, end = xxhash.xxh64_intdigest(START, SEED), xxhash.xxh64_intdigest(END, SEED)
+    for own in texts:
+        out.append(start)
+        out += map(xxhash.xxh64_intdigest, own, repeat(SEED))
+        out += (end, 0)
+    return np.array(out, np.uint64)
+
+
+def in_bitmap(bitmap: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Whether the place of each n-gram is marked."""
+    at = grams & np.uint64(PLACES - 1)
+    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def all_gram_counts(texts: DataFrame, order: int, sent=None) -> DataFrame:
+    """(a, b, n): n-grams by the hashes of their first and last words but one; trigrams only if the bitmap has both bigrams."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            a, b = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            _, first, n = np.unique(gram_hash(a, b), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+
+        for (own,) in batches(stream):
+            h = hashes([words(text) for text in own])
+            a, b = h[:-1], h[1:]
+            good = (a != 0) & (b != 0)
+            if order == 3:
+                pairs = gram_hash(a, b)
+                good &= in_bitmap(sent.value, pairs)
+                good = good[:-1] & good[1:]
+                a, b = pairs[:-1], pairs[1:]
+            held.append((a[good], b[good]))
+            size += len(held[-1][0])
+            if size > GRAMS_HELD:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    return texts.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def twice_or_more(grams: DataFrame) -> tuple[DataFrame, float]:
+    """The n-grams that occur twice, and the discount of their order."""
+    seen = Observation()
+    kept = cut(grams.observe(seen, F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).filter("n >= 2"))
+    once, twice = seen.get["once"], seen.get["twice"]
+    return kept, once / (once + 2 * twice) if once and twice else 0.5
+
+
+def marked(grams: DataFrame) -> np.ndarray:
+    """The bitmap of the n-grams ``g``: at most PLACES / 64 rows are gathered."""
+    place = F.col("g").bitwiseAND(PLACES - 1)
+    rows = grams.select(F.shiftright(place, 6).alias("k"), F.expr("shiftleft(1L, cast(g & 63 as int))").alias("bit")).groupBy("k").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(PLACES // 64, np.int64)
+    out[rows["k"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+class Model:
+    """The frequent words with their back-off weights, and the table ``terms`` (g, term) of all n-grams that occur twice."""
+
+    def __init__(self, vocabulary: Vocabulary, weights: np.ndarray, start: float, terms: DataFrame, grams: int, bitmaps: tuple[np.ndarray, np.ndarray]):
+        self.vocabulary, self.weights, self.start = vocabulary, weights, start
+        self.terms, self.grams, self.bitmaps = terms, grams, bitmaps
+
+
+def train(texts: DataFrame) -> tuple[Model, DataFrame]:
+    """The model and the whole table of word counts and back-off weights, learned from all rows of ``texts`` (one column of bytes)."""
     spark = texts.sparkSession
     counts = cut(word_counts(texts))
     total, types, once, twice = counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
     ).first()
-    hot = counts.filter((F.col("n") * WORD_SHARE >= total) | (F.col("word") == F.lit(END))).toArrow()
-    vocabulary = Vocabulary(list(zip(hot["word"].to_pylist(), hot["n"].to_pylist(), strict=True)), total, types, once, twice)
-    sent = spark.sparkContext.broadcast(vocabulary)
-    bigrams, discount2 = frequent(gram_counts(texts, sent, 2, None), total)
-    trigrams, discount3 = frequent(gram_counts(texts, sent, 3, np.array(sorted(bigrams), np.int64)), total)
+    hot = (F.col("n") * WORD_SHARE >= total) | (F.col("word") == F.lit(END))
+    found = counts.filter(hot).toArrow()
+    vocabulary = Vocabulary(list(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True)), total, types, once, twice)
+
+    # A text has one start and one end.
+    start = counts.filter(F.col("word") == F.lit(END)).select(F.lit(word_hash(START)).alias("h"), "n")
+    single = counts.select(F.xxhash64("word").alias("h"), "n").filter("n > 0").unionByName(start)
+    bigrams, discount2 = twice_or_more(all_gram_counts(texts, 2))
+    named = bigrams.withColumn("g", F.xxhash64("a", "b"))
+    both = marked(named)
+    sent = spark.sparkContext.broadcast(both)
+    trigrams, discount3 = twice_or_more(all_gram_counts(texts, 3, sent))
     sent.destroy()
-    return Automaton(vocabulary, bigrams, discount2, trigrams, discount3), counts
+
+    def weight(p: str, shorter: str):
+        left, rest = (F.greatest(1 - F.sum(c), F.lit(1e-12)) for c in (p, shorter))
+        return F.log10(left / rest)
+
+    size = float(max(total, 1))
+    pairs = named.join(single.select(F.col("h").alias("a"), F.col("n").alias("na")).hint("merge"), "a")
+    pairs = pairs.join(single.select(F.col("h").alias("b"), F.col("n").alias("nb")).hint("merge"), "b")
+    pairs = cut(pairs.select("g", "a", "n", ((F.col("n") - discount2) / F.col("na")).alias("p"), ((F.col("nb") - vocabulary.discount) / size).alias("shorter")))
+    weights1 = cut(pairs.groupBy("a").agg(weight("p", "shorter").alias("weight")))
+    triples = trigrams.join(pairs.select(F.col("g").alias("a"), F.col("n").alias("na")).hint("merge"), "a")
+    triples = triples.join(pairs.select(F.col("g").alias("b"), F.col("p").alias("shorter")).hint("merge"), "b")
+    triples = cut(triples.select(F.xxhash64("a", "b").alias("g"), "a", ((F.col("n") - discount3) / F.col("na")).alias("p"), "shorter"))
+    weights2 = cut(triples.groupBy("a").agg(weight("p", "shorter").alias("weight")))
+
+    own = F.log10("p") - F.col("weight") - F.log10("shorter")
+    after = weights2.select(F.col("a").alias("g"), F.col("weight").alias("after"))
+    terms2 = pairs.join(weights1.hint("merge"), "a").select("g", own.alias("term")).join(after.hint("merge"), "g", "left")
+    terms3 = triples.join(weights2.hint("merge"), "a").select("g", own.alias("term"))
+    terms = cut(terms2.select("g", (F.col("term") + F.coalesce("after", F.lit(0.0))).alias("term")).unionByName(terms3))
+
+    words_ = counts.withColumn("h", F.xxhash64("word")).join(weights1.select(F.col("a").alias("h"), "weight").hint("merge"), "h", "left")
+    counts = cut(words_.select("word", "n", F.coalesce("weight", F.lit(0.0)).alias("weight")))
+    found = counts.filter(hot).toArrow()
+    weights = np.zeros(len(vocabulary.counts))
+    for word, x in zip(found["word"].to_pylist(), found["weight"].to_pylist(), strict=True):
+        if word != END:
+            weights[vocabulary.number[word]] = x
+    first = weights1.filter(F.col("a") == F.lit(word_hash(START))).first()
+    return Model(vocabulary, weights, first["weight"] if first else 0.0, terms, terms.count(), (both, marked(triples))), counts
+
+
+def gram_sums(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, more): the terms of all n-grams of each row of ``docs`` (row, bytes), those with none left out."""
+    buckets = BUCKETS
+    while buckets * BUCKET < model.grams:
+        buckets *= 2
+    sent = docs.sparkSession.sparkContext.broadcast(model.bitmaps)
+
+    def asked(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        two, three = sent.value
+        for rows, texts in batches(stream):
+            h = hashes([words(text) for text in texts])
+            doc = np.cumsum(h == 0) - (h == 0)
+            pairs = gram_hash(h[:-1], h[1:])
+            good = (h[:-1] != 0) & (h[1:] != 0) & in_bitmap(two, pairs)
+            triples = gram_hash(pairs[:-1], pairs[1:])
+            longer = good[:-1] & good[1:] & in_bitmap(three, triples)
+            grams = np.concatenate([pairs[good], triples[longer]])
+            at = np.concatenate([doc[:-1][good], doc[:-2][longer]]).astype(np.uint32)
+            bucket = ((grams >> np.uint64(32)) & np.uint64(buckets - 1)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+            order = np.argsort(bucket, kind="stable")
+            grams, at, bucket = grams[order], at[order], bucket[order]
+            every, begin = np.unique(bucket, return_index=True)
+            upto = [*begin[1:], len(bucket)]
+            name = np.array(rows, np.int64).tobytes()
+            parts = [(grams[i:j].tobytes(), at[i:j].tobytes()) for i, j in zip(begin, upto, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(every.astype(np.int32)), pa.nulls(len(every), pa.int64()), pa.nulls(len(every), pa.float64()), pa.array([name] * len(every), pa.binary()), pa.array([g for g, _ in parts], pa.binary()), pa.array([d for _, d in parts], pa.binary())],
+                ["bucket", "g", "term", "rows", "grams", "docs"],
+            )
+
+    def answered(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, keys, values = None, [], None, None
+        for batch in stream:
+            bucket, g, term = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            packed = g.is_null().to_numpy(zero_copy_only=False)
+            for k in np.unique(bucket):
+                if k != now:
+                    now, held, keys = k, [], None
+                mine = bucket == k
+                table = np.flatnonzero(mine & ~packed)
+                if len(table):
+                    held.append((g.take(pa.array(table)).to_numpy().view(np.uint64), term.take(pa.array(table)).to_numpy()))
+                for i in np.flatnonzero(mine & packed).tolist():
+                    if keys is None:
+                        keys = np.concatenate([x for x, _ in held] or [np.zeros(0, np.uint64)])
+                        values = np.concatenate([x for _, x in held] or [np.zeros(0)])
+                        order, held = np.argsort(keys), []
+                        keys, values = np.append(keys[order], np.uint64(0)), np.append(values[order], 0.0)
+                    rows, grams, docs = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in ((3, np.int64), (4, np.uint64), (5, np.uint32)))
+                    at = np.searchsorted(keys[:-1], grams)
+                    sums = np.bincount(docs, np.where(keys[at] == grams, values[at], 0.0), len(rows))
+                    some = np.flatnonzero(sums)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[some]), pa.array(sums[some])], ["row", "more"])
+
+    layout = "bucket int, g long, term double, rows binary, grams binary, docs binary"
+    table_ = model.terms.select(
+        F.shiftright("g", 32).bitwiseAND(buckets - 1).cast("int").alias("bucket"), "g", "term", *(F.lit(None).cast("binary").alias(c) for c in ("rows", "grams", "docs"))
+    )
+    both = table_.unionByName(docs.mapInArrow(asked, layout)).repartition(buckets, "bucket")
+    # The table's rows of a bucket before what is asked of it.
+    sums = both.sortWithinPartitions("bucket", F.col("g").isNull()).mapInArrow(answered, "row long, more double")
+    return sums.groupBy("row").agg(F.sum("more").alias("more"))
 
 
 _DOC = "doc struct<doc_id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,score:double>"
 _DOC_TYPE = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
 
-def scored(docs: DataFrame, automaton: Automaton, counts: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs`` (doc_id, held_out, bytes)."""
-    vocabulary = automaton.vocabulary
+def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs`` (doc_id, held_out, bytes).
+
+    ``docs`` is read twice and its rows are known by their places, so it must be a scan, not a shuffle.
+    """
+    vocabulary = model.vocabulary
     total, types = vocabulary.total, vocabulary.types
     norm = float(total + types + 1)
     base = np.log10((vocabulary.counts + 1) / norm)
     base[0] = 0
-    sent = docs.sparkSession.sparkContext.broadcast((automaton, base))
+    known = vocabulary.counts > 0
+    own1 = np.where(known, np.log10(np.where(known, vocabulary.counts - vocabulary.discount, 1.0) / max(total, 1)), 0.0)
+    own1[0] = 0
+    # Not the number of the task, which a union shifts.
+    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, base, own1, own1 + model.weights))
+    start = model.start
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, base = sent.value
-        vocabulary, row = automaton.vocabulary, TaskContext.get().partitionId() << 40
+        vocabulary, base, own1, weighted = sent.value
         ends = bool(vocabulary.counts[vocabulary.end])
         names = ["row", "word", "tf", "doc"]
-        for ids, held, texts in batches(stream):
+        for ids, held, texts, places in batches(stream):
             found, rare = [], []
-            for doc_id, held_out, text in zip(ids, held, texts, strict=True):
+            for doc_id, held_out, text, row in zip(ids, held, texts, places, strict=True):
                 own = words(text)
                 numbers = vocabulary.ids(own)
                 cold = Counter(compress(own, [not k for k in numbers]))
                 rare += [(row, word, tf) for word, tf in cold.items()]
                 known = len(own) - sum(cold.values()) + ends
-                score = automaton.traverse([*numbers, vocabulary.end])
+                score = weighted[numbers].sum() + start + (own1[vocabulary.end] if ends else 0.0)
                 if not ends:
                     rare.append((row, END, 1))
                 at = base[numbers].sum() + (base[vocabulary.end] if ends else 0.0)
                 # A word with a space of its own: never among the counts, and spread evenly.
-                found.append((row, b" %d" % row, 0, (doc_id, held_out, len(own) + 1, known, float(at), score)))
-                row += 1
+                found.append((row, b" %d" % row, 0, (doc_id, held_out, len(own) + 1, known, float(at), float(score))))
             if rare:
                 r, w, n = zip(*rare, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(w, pa.binary()), pa.array(n, pa.int64()), pa.nulls(len(r), _DOC_TYPE)], names)
             r, w, n, d = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(w, pa.binary()), pa.array(n, pa.int64()), pa.array(d, _DOC_TYPE)], names)
 
+    more = gram_sums(docs.select("row", docs.columns[2]), model) if model.grams else None
     rows = docs.mapInArrow(run, f"row long, word binary, tf long, {_DOC}")
     n = F.coalesce("n", F.lit(0))
     unknown = vocabulary.probability(0)
-    model = F.when(n > 0, F.log10((n - F.lit(vocabulary.discount)) / F.lit(float(max(total, 1))))).otherwise(F.lit(log10(unknown) if unknown > 0 else 0.0))
+    terms = F.when(n > 0, F.log10((n - F.lit(vocabulary.discount)) / F.lit(float(max(total, 1))))).otherwise(F.lit(log10(unknown) if unknown > 0 else 0.0))
     joined = rows.join(counts.hint("merge"), "word", "left")
     summed = joined.groupBy("row").agg(
         F.max("doc").alias("doc"),
         F.sum(F.when(n > 0, F.col("tf")).otherwise(0)).alias("known"),
         F.sum(F.col("tf") * F.log10((n + 1) / F.lit(norm))).alias("base"),
-        F.sum(F.col("tf") * model).alias("model"),
+        F.sum(F.col("tf") * (terms + F.coalesce("weight", F.lit(0.0)))).alias("model"),
     )
+    if more is None:
+        summed = summed.withColumn("more", F.lit(0.0))
+    else:
+        summed = summed.join(more.hint("merge"), "row", "left")
     return summed.select(
         "doc.doc_id",
         "doc.held_out",
@@ -280,7 +502,7 @@ def scored(docs: DataFrame, automaton: Automaton, counts: DataFrame) -> DataFram
         (F.col("doc.n_known") + F.col("known")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("doc.base") + F.col("base")).alias("base_score"),
-        (F.col("doc.score") + F.col("model")).alias("score"),
+        (F.col("doc.score") + F.col("model") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 
@@ -288,8 +510,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scores of all documents, learned from those whose remainder by 7 is not 2."""
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 7) == 2
-    automaton, counts = train(docs.filter(~held_out).select(utf8(F.col("text"))))
-    return scored(docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), utf8(F.col("text"))), automaton, counts)
+    model, counts = train(docs.filter(~held_out).select(utf8(F.col("text"))))
+    return scored(docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), utf8(F.col("text"))), model, counts)
 
 
 QUERIES = {"op5_lm_score": query}

@@ -121,3 +121,36 @@ def test_nothing_to_learn_from(spark):
     assert len(found) == 1
     _, found = run(spark, fixtures.nothing(spark))
     assert found == []
+
+
+@pytest.mark.parametrize("share", [1 << 20, 20])
+def test_all_grams_that_occur_twice_are_scored(spark, share, monkeypatch):
+    """Also those of rare words, at any share of the tokens: the same as one automaton of all words and n-grams."""
+    rows = [(k, fixtures.prose(k % 9, 40 + k % 5)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [lm_score.words(t.encode()) for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2]
+    counts = Counter(w for t in kept for w in [*t, lm_score.END])
+    times = Counter(counts.values())
+    for name in ("WORD_SHARE", "CONTEXT_SHARE", "GRAM_SHARE"):
+        monkeypatch.setattr(lm_score, name, 1 << 40)
+    vocabulary = lm_score.Vocabulary(list(counts.items()), sum(counts.values()), len(counts), times[1], times[2])
+    grams = {2: Counter(), 3: Counter()}
+    for t in kept:
+        ids = [vocabulary.start, *vocabulary.ids(t), vocabulary.end]
+        for n in grams:
+            grams[n].update(tuple(ids[k : k + n]) for k in range(len(ids) - n + 1))
+    two = {g: n for g, n in grams[2].items() if n > 1}
+    three = {g: n for g, n in grams[3].items() if g[:2] in two and g[1:] in two}
+    discount = lambda c: (lambda once, twice: once / (once + 2 * twice) if once and twice else 0.5)(*(sum(n == k for n in c.values()) for k in (1, 2)))
+    key = lambda g: sum(w << 16 * (len(g) - 1 - k) for k, w in enumerate(g))
+    made = lm_score.Automaton(vocabulary, {key(g): n for g, n in two.items()}, discount(grams[2]), {key(g): n for g, n in three.items() if n > 1}, discount(three))
+    unknown = math.log10(vocabulary.probability(0))
+
+    def whole(text):
+        ids = vocabulary.ids(lm_score.words(text.encode()))
+        return made.traverse([*ids, vocabulary.end]) + unknown * ids.count(0)
+
+    for name in ("WORD_SHARE", "CONTEXT_SHARE", "GRAM_SHARE"):
+        monkeypatch.setattr(lm_score, name, share)
+    _, found = run(spark, docs)
+    assert {r.doc_id: round(r.score, 6) for r in found} == {k: round(whole(t), 6) for k, t in rows}
