@@ -1,9 +1,10 @@
 """Sharding by balanced label propagation: equal texts move together while shard sizes stay equal.
 
-Documents are dealt by hash. In each round every group of linked documents (equal texts) votes for
-the shard that most of it is in, among those with room; a quota, the share of the demand that the
-shard's capacity admits, decides which groups move, and a join carries the decisions to the
-documents. Groups larger than half a shard, of which there are at most twice as many as shards,
+Documents are dealt by hash. In each round every split group of linked documents (equal texts) votes
+for the shard that most of it is in, among those with room for it, or else for any shard with room,
+drawn by spare capacity; a quota, the share of the demand that the shard's capacity admits, decides
+which groups move, and a join carries the decisions to the documents. The last few thousand groups
+are placed exactly, and rounds end when no group is split or none that is fits anywhere. Groups larger than half a shard, of which there are at most twice as many as shards,
 are planned on the driver over as few shards as hold them. Documents without links are ballast:
 passes over a histogram of (shard, hash bucket) move whole buckets from shards that are too large
 to those that are too small, finer in each pass, down to single documents.
@@ -25,7 +26,8 @@ from annalist.llm.common import cut, table
 
 SHARDS = 40
 OVERHEAD = 16
-ROUNDS = 4
+#: Groups that are placed exactly, on the driver, at a time.
+PLACED = 1 << 12
 PASSES = 4
 BUCKETS = 1024
 #: In each later pass only so large a part of the ballast is put into buckets.
@@ -84,12 +86,24 @@ def plan_large(groups: list[tuple[tuple[int, int], float, dict[int, int]]], capa
     return out
 
 
-def propagate(linked: DataFrame, total: float, shards: int, rounds: int = ROUNDS) -> DataFrame:
-    """``linked`` (row, doc_id, size, text_crc32, k1, k2, shard) with the shards that its groups have moved to."""
+def place_exactly(groups: list[tuple[tuple[int, int], float, list[int]]], spare: list[float]) -> dict[tuple[int, int], int]:
+    """A shard for each group (key, size, its shards, most of it first) that fits, largest first; ``spare`` is used up."""
+    out = {}
+    for key, size, held in sorted(groups, key=lambda g: (-g[1], g[0])):
+        widest = max(range(len(spare)), key=lambda k: (spare[k], -k))
+        to = next((k for k in [*held, widest] if spare[k] >= size), None)
+        if to is not None:
+            spare[to] -= size
+            out[key] = to
+    return out
+
+
+def propagate(linked: DataFrame, total: float, shards: int) -> DataFrame:
+    """``linked`` (row, doc_id, size, text_crc32, k1, k2, shard) with the shards that its groups have moved to, and ``spread``: is the group planned over several?"""
     spark, capacity = linked.sparkSession, total / shards
     planned: dict[tuple[int, int], list[tuple[int, float]]] = {}
-    state = cut(linked)
-    for turn in range(rounds):
+    state, turn, before = cut(linked.withColumn("spread", F.lit(False))), 0, -1
+    while True:
         cells = cut(state.groupBy("k1", "k2", "shard").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
         groups = cells.groupBy("k1", "k2").agg(F.sum("size").alias("size"), F.count("*").alias("cells"), F.sort_array(F.collect_list(F.struct("n", F.col("shard"))), asc=False).alias("votes"))  # SHARDS cells at most
         groups = groups.withColumn("large", F.col("size") > capacity / 2)
@@ -102,26 +116,44 @@ def propagate(linked: DataFrame, total: float, shards: int, rounds: int = ROUNDS
         for shard, size in groups.filter("not large and cells = 1").groupBy(F.col("votes")[0]["shard"]).agg(F.sum("size")).collect():
             together[shard] = float(size)
         spare = [max(r - t, 0.0) for r, t in zip(room, together, strict=True)]
-        if turn and not groups.filter("not large and cells > 1").limit(1).count():
+        split = groups.filter("not large and cells > 1")
+        left = split.count()
+        if turn and not left:
             break
-        open_ = F.array(*(F.lit(x > 0) for x in spare))
-        best = F.filter("votes", lambda v: open_[v["shard"]])
-        votes = groups.filter("not large and cells > 1").select("k1", "k2", "size", F.try_element_at(F.array_sort(best, _first), F.lit(1))["shard"].alias("target")).filter("target is not null")
-        asked = [0.0] * shards
-        for shard, size in votes.groupBy("target").agg(F.sum("size")).collect():
-            asked[shard] = float(size)
-        quota = F.array(*(F.lit(min(1.0, s / a) if a else 0.0) for s, a in zip(spare, asked, strict=True)))
-        moves = votes.filter(_draw(1000 + turn, "k1", "k2") < quota[F.col("target")]).select("k1", "k2", F.array(F.col("target")).alias("to"), F.array(F.lit(1.0)).alias("upto"))
+        if left <= PLACED or left == before:
+            # The smallest: if none of them fits, none of the others does.
+            few = [((g.k1, g.k2), float(g["size"]), [v.shard for v in sorted(g.votes, key=lambda v: (-v.n, v.shard))]) for g in split.orderBy("size", "k1", "k2").limit(PLACED).collect()]
+            found = place_exactly(few, spare)
+            if turn and not found:
+                break
+            moves = spark.createDataFrame([(*key, [to], [1.0]) for key, to in found.items()], _MOVES)
+        else:
+            best = F.array_sort(F.filter("votes", lambda v: F.array(*(F.lit(x) for x in spare))[v["shard"]] >= F.col("size")), _first)
+            # The least of exponential draws at the rates of the spare capacities.
+            drawn = F.array_max(
+                F.array(*(F.when(F.col("size") <= x, F.struct((F.log(_draw(4000 + turn * shards + k, "k1", "k2") + 1e-13) / max(x, 1.0)).alias("draw"), F.lit(k).alias("shard"))) for k, x in enumerate(spare)))
+            )["shard"]
+            votes = cut(split.select("k1", "k2", "size", F.coalesce(F.try_element_at(best, F.lit(1))["shard"], drawn).alias("target")).filter("target is not null"))
+            quotas = [0.0] * shards
+            for shard, size, squares in votes.groupBy("target").agg(F.sum("size"), F.sum(F.col("size").cast("double") * F.col("size"))).collect():
+                # Three standard deviations below the room, so that draws do not overfill a shard.
+                quotas[shard] = 1.0 if size <= spare[shard] else max(spare[shard] - 3 * squares**0.5, 0.0) / float(size)
+            quota = F.array(*map(F.lit, quotas))
+            moves = votes.filter(_draw(1000 + turn, "k1", "k2") < quota[F.col("target")]).select("k1", "k2", F.array(F.col("target")).alias("to"), F.array(F.lit(1.0)).alias("upto"))
         if turn == 0 and planned:
             rows = [(*key, [s for s, _ in parts], [x for _, x in parts]) for key, parts in planned.items()]
-            moves = moves.unionByName(spark.createDataFrame(rows, "k1 long, k2 long, to array<int>, upto array<double>"))
+            moves = moves.unionByName(spark.createDataFrame(rows, _MOVES))
         moves = cut(moves)
         draw = _draw(2000, "row")
         chosen = F.element_at(F.col("to"), F.size(F.filter("upto", lambda x: x <= draw)).cast("int") + 1)
-        state = cut(state.join(moves.hint("merge"), ["k1", "k2"], "left").withColumn("shard", F.coalesce(chosen, "shard")).select(linked.columns))
+        state = cut(state.join(moves.hint("merge"), ["k1", "k2"], "left").withColumn("shard", F.coalesce(chosen, "shard")).withColumn("spread", F.coalesce(F.size("to") > 1, "spread")).select(state.columns))
+        turn, before = turn + 1, left
     return state
 
 
+_MOVES = "k1 long, k2 long, to array<int>, upto array<double>"
+
+
 def _first(a: Column, b: Column) -> Column:
     """Most votes first, then the smaller shard."""
     return F.when(a["n"] != b["n"], F.when(a["n"] > b["n"], -1).otherwise(1)).otherwise(F.when(a["shard"] < b["shard"], -1).when(a["shard"] > b["shard"], 1).otherwise(0))
@@ -176,12 +208,13 @@ def shards(docs: DataFrame, count: int = SHARDS) -> DataFrame:
     many = cut(base.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2"))
     linked = base.join(many.hint("merge"), ["k1", "k2"], "left_semi").select(base.columns)
     single = base.join(many.hint("merge"), ["k1", "k2"], "left_anti").select(base.columns)
-    state = propagate(linked, total, count).withColumn("alone", F.lit(False)).unionByName(single.withColumn("alone", F.lit(True)))
+    state = propagate(linked, total, count).withColumn("alone", F.lit(False)).unionByName(single.withColumn("spread", F.lit(False)).withColumn("alone", F.lit(True)))
     state = even_out(cut(state), F.col("alone"), total, count, 100, PASSES)
-    loads, largest = _loads(state, count), state.agg(F.max("size")).first()[0] or 0
-    if loads and max(abs(x - total / count) for x in loads) > max(largest, 0.01 * total / count):
-        # Too little ballast: linked documents must give way.
-        state = even_out(state, F.lit(True), total, count, 200, PASSES)
+    largest = state.agg(F.max("size")).first()[0] or 0
+    # Too little ballast: copies that are spread anyway must give way, then all linked documents.
+    for first, movable in ((300, F.col("alone") | F.col("spread")), (200, F.lit(True))):
+        if max(abs(x - total / count) for x in _loads(state, count)) > max(largest, 0.01 * total / count):
+            state = even_out(state, movable, total, count, first, PASSES)
     return with_slots(state).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard")
     )

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from annalist.llm import sharding
 from tests.llm import fixtures
@@ -67,3 +68,28 @@ def test_plan_of_large_groups(sizes):
         assert bounds == sorted(bounds) and bounds[-1] == 1.0
         assert plan[k, 0][0][0] == k
     assert all(r >= 0 for r in room)
+
+
+@pytest.mark.parametrize("placed", [200, 1 << 12])
+def test_no_pair_stays_split_between_full_shards(spark, placed, monkeypatch):
+    """A text with a third of all bytes fills whole shards; pairs of copies within those must go elsewhere."""
+    monkeypatch.setattr(sharding, "PLACED", placed)
+    rows = [(k, "the same text again and again" if k % 3 == 0 else fixtures.prose(k // 3 % 700 + 1000 * (k % 3 == 1), 6)) for k in range(4200)]
+    rows += [(k, fixtures.prose(k, 6)) for k in range(5000, 6500)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sized = sharding.sized(docs).withColumn("shard", F.floor(sharding._draw(0, "row") * 40).cast("int"))
+    pairs = sized.join(sized.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), ["k1", "k2"], "left_semi")
+    total = float(sum(len(t) + 16 for _, t in rows))
+    where, text = defaultdict(set), dict(rows)
+    for r in sharding.propagate(pairs.select(sized.columns), total, 40).collect():
+        where[text[r.doc_id]].add(r.shard)
+    assert len(where.pop("the same text again and again")) >= 10 and len(where) > 1300
+    assert not [t for t, s in where.items() if len(s) > 1]
+    sizes = laws(sharding.shards(docs, 40).collect(), rows, 40)
+    assert max(sizes) - min(sizes) <= 0.02 * sum(sizes) / 40 + 2 * max(len(t) + 16 for _, t in rows)
+
+
+def test_groups_that_fit_are_placed_largest_first():
+    spare = [10.0, 30.0, 25.0]
+    found = sharding.place_exactly([((1, 0), 12.0, [0, 2]), ((2, 0), 20.0, [0]), ((3, 0), 40.0, [1]), ((4, 0), 9.0, [0, 1])], spare)
+    assert found == {(2, 0): 1, (1, 0): 2, (4, 0): 0} and spare == [1.0, 10.0, 13.0]
