@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.storage import cut
+
 ENTITY_BYTES, FACT_BYTES, SPILLS = 56_000, 600, 50
 
 
@@ -69,23 +71,45 @@ def placed(proposals: DataFrame, sizes: DataFrame) -> DataFrame:
     """(id, home): the file for each new fact (id, entity_id, statement, order), family by family.
 
     ``sizes`` has (entity_id, family, bytes) of the present files. A family holds at most fifty files
-    of bounded size; what goes beyond is left out, so each group is cut to what can fit.
+    of bounded size; a fact that fits nowhere is skipped, and later ones go on. Each round places the
+    next facts of every family, as many as its files could hold at most, and leaves out those of the
+    rest that are too large for all files: room never grows. It ends when no fact is left.
     """
     from pyspark.sql import Window
 
     most = SPILLS * (ENTITY_BYTES // FACT_BYTES)
-    near = proposals.withColumn("k", F.row_number().over(Window.partitionBy("entity_id").orderBy("order"))).filter(F.col("k") <= most)
-    files = sizes.groupBy("family").agg(F.collect_list(F.struct("entity_id", "bytes")).alias("files"))
-    rows = near.join(files, F.col("entity_id") == F.col("family"), "left").groupBy("entity_id").agg(
-        F.sort_array(F.collect_list(F.struct("order", "id", F.octet_length("statement").alias("n")))).alias("new"), F.first("files").alias("files")
-    )
+    files = sizes.groupBy("family").agg(F.collect_list(F.struct("entity_id", F.col("bytes").cast("long").alias("bytes"))).alias("files"))
+    size = F.coalesce(F.octet_length("statement"), F.lit(0))
+    waiting = cut(proposals.select("entity_id", "order", "id", size.alias("n")).filter(F.col("n") + FACT_BYTES <= ENTITY_BYTES))
 
     def fill(entity_id, new, files):
-        found = homes([(f["entity_id"], f["bytes"]) for f in files or []], entity_id, [x["n"] for x in new])
-        return [{"id": x["id"], "home": h} for x, h in zip(new, found, strict=True) if h is not None]
-
-    fold = F.udf(fill, "array<struct<id:string, home:string>>")
-    return rows.select(F.explode(fold("entity_id", "new", "files")).alias("p")).select("p.id", "p.home")
+        held = {f["entity_id"]: f["bytes"] for f in files or []}
+        found = homes(list(held.items()), entity_id, [x["n"] for x in new])
+        for x, h in zip(new, found, strict=True):
+            if h is not None:
+                held[h] = held.get(h, 0) + x["n"] + FACT_BYTES
+        names = [entity_id, *(f"{entity_id}_{k}" for k in range(2, SPILLS + 1))]
+        return {
+            "placed": [{"id": x["id"], "home": h} for x, h in zip(new, found, strict=True) if h is not None],
+            "files": [{"entity_id": k, "bytes": v} for k, v in held.items()],
+            "room": max(ENTITY_BYTES - held.get(k, 0) for k in names),
+        }
+
+    fold = F.udf(fill, "struct<placed:array<struct<id:string, home:string>>, files:array<struct<entity_id:string, bytes:bigint>>, room:bigint>")
+    place, out = F.struct("order", "id"), None
+    while True:
+        # Equal places are taken together, so that none is cut in two.
+        near = waiting.withColumn("k", F.rank().over(Window.partitionBy("entity_id").orderBy("order", "id"))).filter(F.col("k") <= most)
+        new = near.groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("order", "id", "n"))).alias("new"), F.max(place).alias("last"))
+        rows = new.join(files, F.col("entity_id") == F.col("family"), "left")
+        step = cut(rows.select("entity_id", "last", fold("entity_id", "new", "files").alias("f")))
+        found = step.select(F.explode("f.placed").alias("p")).select("p.id", "p.home")
+        out = found if out is None else out.unionByName(found)
+        ends = step.select("entity_id", "last", F.col("f.room").alias("room"))
+        waiting = cut(waiting.join(ends, "entity_id").filter((place > F.col("last")) & (F.col("n") + FACT_BYTES <= F.col("room"))).select(waiting.columns))
+        if waiting.isEmpty():
+            return out
+        files = step.select(F.col("entity_id").alias("family"), F.col("f.files").alias("files"))
 
 
 def erasure_targets(facts: DataFrame, target: str) -> DataFrame:

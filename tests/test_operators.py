@@ -219,6 +219,21 @@ def test_spill_files():
     assert change.homes(full, "w_a", [10]) == [None]
 
 
+def test_a_short_fact_after_many_that_fit_nowhere_is_placed(spark):
+    sizes = [("w_a", 56_000 - 700), *((f"w_a_{k}", 56_000) for k in range(2, 51))]
+    rows = [(f"a{k}", "w_a", "x" * 200, k) for k in range(5000)] + [("late", "w_a", "short", 5000), ("more", "w_a", "short", 5001)]
+    rows += [(f"b{k}", "w_b", "y" * (k * 7919 % 3000), k) for k in range(11_000)] + [("c", "w_c", "z" * 60_000, 1), ("d", "w_c", "z", 2)]
+    own = {}
+    for entity in ("w_a", "w_b", "w_c"):
+        mine = [r for r in rows if r[1] == entity]
+        found = change.homes(sizes if entity == "w_a" else [], entity, [len(r[2]) for r in mine])
+        own |= {r[0]: h for r, h in zip(mine, found, strict=True) if h is not None}
+    assert own["late"] == "w_a" and "more" not in own
+    files = spark.createDataFrame([(e, "w_a", n) for e, n in sizes], "entity_id string, family string, bytes long")
+    found = change.placed(spark.createDataFrame(rows, "id string, entity_id string, statement string, order long"), files).collect()
+    assert len(found) == len(own) and {r.id: r.home for r in found} == own
+
+
 def test_scrubbing_needs_the_whole_id(spark):
     lines = spark.createDataFrame([("[fact_1] x",), ("[fact_12] y",), ("z",), (None,)], "line string")
     needles = spark.createDataFrame([("fact_1",)], "needle string")
