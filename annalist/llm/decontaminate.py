@@ -8,8 +8,9 @@ stays bounded whatever the benchmark's size.
 
 Defined cases: a null or wordless text has no hits and is not contaminated; a null or wordless item
 has no window; repeated document rows are each judged; a window that several items share counts for
-each of them; an item_id that occurs twice counts once; empty tables give an empty result or no
-hits; other columns are kept by the filters and ignored by the report.
+each of them; an item_id that occurs twice counts once; items without an id hit like others and count as
+one, left out of the digest; empty tables give an empty result or no hits; other columns are kept by
+the filters and ignored by the report.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ class Windows:
             grams = np.array(list(windows), dtype=np.int64).reshape(-1, n)
             hashes = np.array([_hashes(g, n)[0] for g in grams], dtype=np.uint64)
             order = np.argsort(hashes, kind="stable")
-            owners = [sorted(x) for x in windows.values()]
+            owners = [_in_order(x) for x in windows.values()]
             self.sets.append((n, hashes[order], grams[order], [owners[k] for k in order]))
 
     def hits(self, text: list[bytes]) -> tuple[np.ndarray, set[str]]:
@@ -95,7 +96,7 @@ class Windows:
 def _blocks(benchmark: DataFrame, width: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The items in blocks of at most BLOCK words; an item beyond that is cut with an overlap."""
     block, held = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string"), utf8(F.col("text"))).filter("item_id is not null and text is not null")
+    rows = benchmark.select(F.col("item_id").cast("string"), utf8(F.col("text"))).filter("text is not null")
     for item, text in rows.toLocalIterator():
         found = words(text)
         step = max(1, BLOCK - width + 1)
@@ -110,8 +111,12 @@ def _blocks(benchmark: DataFrame, width: int) -> Iterator[list[tuple[str, list[b
         yield block
 
 
-def _verdict(n: int, hit: int, items: list[str]) -> tuple:
-    return n, hit, len(items), sha256(",".join(items).encode()).hexdigest(), hit > 0 and SHARE * hit >= n
+def _in_order(items: set[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
+def _verdict(n: int, hit: int, items: list[str | None]) -> tuple:
+    return n, hit, len(items), sha256(",".join(x for x in items if x is not None).encode()).hexdigest(), hit > 0 and SHARE * hit >= n
 
 
 _SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -135,7 +140,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
                     for text in batch.column(at).cast(pa.binary()).to_pylist():
                         found = words(text)
                         mask, items = windows.hits(found)
-                        rows.append(_verdict(len(found), int(mask.sum()), sorted(items)))
+                        rows.append(_verdict(len(found), int(mask.sum()), _in_order(items)))
                     columns = [pa.array(list(values)) for values in zip(*rows, strict=True)]
                     yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *_NAMES])
 
@@ -159,7 +164,7 @@ def spans(numbered: DataFrame, sent, first: bool) -> DataFrame:
                 mask, items = windows.hits(found)
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
                 if first or len(edges):
-                    out.append((row, len(found), edges[::2].tolist(), edges[1::2].tolist(), sorted(items)))
+                    out.append((row, len(found), edges[::2].tolist(), edges[1::2].tolist(), _in_order(items)))
             if out:
                 types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), types, strict=True)], ["row", "n_words", "starts", "ends", "items"])
@@ -184,7 +189,7 @@ def _united(docs: DataFrame, blocks: Iterator, width: int) -> DataFrame:
             for a, b in zip(starts, ends, strict=True):
                 mask[a:b] = True
             items.update(own)
-        values = [key[0].as_py(), *_verdict(n, int(mask.sum()), sorted(items))]
+        values = [key[0].as_py(), *_verdict(n, int(mask.sum()), _in_order(items))]
         return pa.table({name: [value] for name, value in zip(["row", *_NAMES], values, strict=True)})
 
     verdicts = found.groupBy("row").applyInArrow(unite, f"row long, {_SCHEMA}")

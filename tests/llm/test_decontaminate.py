@@ -83,3 +83,16 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.judged(fixtures.nothing(spark), none).count() == 0
     assert decontaminate.judged(fixtures.documents(spark), none).filter("contaminated or n_hit > 0").count() == 0
+
+
+@pytest.mark.parametrize("block", [1 << 20, 20])
+def test_items_without_an_id_hit_too(spark, monkeypatch, block):
+    """They count as one item, as in SQL, and only their id is left out of the digest."""
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    own, named = fixtures.prose(901, 20), fixtures.prose(902, 20)
+    docs = spark.createDataFrame([(1, own), (2, own + " " + named), (3, fixtures.prose(903, 20))], "doc_id long, text string")
+    known = [(None, own), (None, fixtures.prose(904, 20)), (7, named), (None, named), (None, None)]
+    found = decontaminate.judged(docs, spark.createDataFrame(known, "item_id long, text string")).collect()
+    digest = lambda x: sha256(x.encode()).hexdigest()
+    assert {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found} == {1: (20, 1, digest(""), True), 2: (40, 2, digest("7"), True), 3: (0, 0, digest(""), False)}
+    assert [r.doc_id for r in decontaminate.removed(docs, spark.createDataFrame(known, "item_id long, text string")).collect()] == [3]
