@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +66,31 @@ def set_aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[
     """``docs`` with its columns of these names renamed, and the columns that bring all of them back."""
     own = {c: f"aside_{k}" if c in names else c for k, c in enumerate(docs.columns)}
     return docs.select(*(F.col(c).alias(new) for c, new in own.items())), [F.col(new).alias(c) for c, new in own.items()]
+
+
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column one after another and the bounds of its rows; a null row is empty."""
+    column = column.fill_null(b"")
+    kind = np.int32 if pa.types.is_binary(column.type) else np.int64
+    bounds = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    return data, bounds - bounds[0]
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def row_hash(*columns: np.ndarray) -> np.ndarray:
+    """``xxhash64`` of Spark for columns of longs, as longs."""
+    h = np.full(1, 42, np.uint64)
+    for x in columns:
+        h = (h + (_P5 + np.uint64(8))) ^ _turned(x.view(np.uint64) * _P2, 31) * _P1
+        h = _turned(h, 27) * _P1 + _P4
+        h = (h ^ h >> np.uint64(33)) * _P2
+        h = (h ^ h >> np.uint64(29)) * _P3
+        h = h ^ h >> np.uint64(32)
+    return h.view(np.int64)

@@ -1,518 +1,504 @@
-"""Language-model scores of a back-off model of three words, whole at any size of the corpus.
-
-Spark counts all words and all n-grams of two and three words of the training texts. Every n-gram
-that occurs twice stays, whatever its words and however large the corpus, in tables that Spark
-keeps partitioned. N-grams go by 64-bit hashes, as ``xxhash64`` makes them of two shorter ones.
-
-A back-off score is a sum over the n-grams of a text: a bigram adds what its probability differs
-by from its words' terms, a trigram what it differs by from its bigrams'. So each n-gram has one
-number, and scoring is one lookup of all n-grams of a text: batches of texts send their n-grams,
-dealt by hash into buckets, to the buckets of the table and get sums back. Frequent words (at
-least 1 / 2 ** 20 of all tokens) are broadcast; other words' terms come from a join with the whole
-table of counts. Two broadcast bitmaps of 2 ** 28 bits keep n-grams that occur once from being
-sent; a bit that is set in error costs a lookup that finds nothing.
-
-Unigrams are discounted by D = n1 / (n1 + 2 n2); all unknown words share the mass of the
-discounts. Longer n-grams are discounted likewise (for trigrams, n1 counts those whose bigrams are
-in the bitmap) and back off with weights that make each context's probabilities add up to one.
-``Automaton`` is the same model for vocabularies of up to 2 ** 16 words, held in one process.
+"""Language-model scores by a back-off automaton of three words, whole at any size of the corpus.
+
+States are the contexts of two words, of one word and of none. Each n-gram of the training texts is
+an arc from its context; a word without an arc takes the failure arc to the shorter context, whose
+weight multiplies what follows. Probabilities are interpolated by absolute discounting: an arc of
+an n-gram that occurs n times has (n - D) / c and the weight times the shorter context's
+probability; the weight is D * T / c, where c counts the context and T its different followers. D is
+n1 / (n1 + 2 n2) of each order. Nothing is pruned: every n-gram counts, those that occur once too.
+
+The automaton grows with the corpus, so no process holds it. Texts are taken in chunks of about
+``CHUNK`` tokens. A chunk sends its distinct contexts and n-grams with their counts, dealt by the
+hash of the context, to buckets; a bucket adds up what all chunks sent and answers each chunk with
+the corpus' numbers, in the chunk's own order, so that no names travel back. Where the answers of a
+chunk meet its texts they are the part of the automaton that the texts can reach, and one traversal
+from left to right scores them: the state before a token is given by the two tokens before it, so
+that the arcs of all tokens are looked up at once.
+
+Words and contexts go by hashes, wide enough that a context meets another by chance in one of 2 **
+22 cases at most; followers by 32 bits within their context. Contexts of words that a sample shows
+to be frequent are dealt, by follower, over several buckets whose sums are added. The sample
+decides where numbers are added, never which.
 
 Defined cases: a null or empty text consists of its end; with no training text every token is
-unknown and scores 0 in the model; a text of any length is read whole; repeated rows are each
-scored; a null doc_id counts as remainder 0; an empty table gives an empty result; other columns
-are ignored.
+unknown and scores 0 in the model; all unknown words share the mass of the discounts; a text of any
+length is read whole; repeated rows are each scored; a null doc_id counts as remainder 0; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from itertools import compress, repeat
-from math import log10
+import struct
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Observation, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import batches, cut, remainder, table, utf8
+from annalist.llm.common import cut, flat_bytes, remainder, table, utf8
 
-#: Shares of all tokens: of a word in the automaton, of a word in its n-grams, of an n-gram.
-WORD_SHARE, CONTEXT_SHARE, GRAM_SHARE = 1 << 20, 1 << 14, 1 << 18
-#: The end of a text; no word holds a space.
-END = b" "
-#: Counts held in a task before they are passed on.
-HELD = 1 << 20
-#: N-grams held in a task, places in a bitmap, n-grams of the table in one bucket, and buckets at least.
-GRAMS_HELD, PLACES, BUCKET, BUCKETS = 1 << 21, 1 << 28, 1 << 20, 64
-#: Spark's seed of xxhash64.
-SEED = 42
-#: What stands before a text's first word.
-START = b"  "
+#: Tokens of a chunk and, as estimated, of a bucket.
+CHUNK, BUCKET = 1 << 21, 1 << 20
+#: Buckets at least and at most.
+BUCKETS = (64, 1 << 20)
+#: The share of rows in the sample that shows sizes and frequent words, and the least share of a frequent word.
+SAMPLE, FREQUENT = 0.01, 1 / 1024
+#: Spare bits of a hash beyond those that count the corpus' tokens.
+SPARE_BITS = 22
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 18
 
 
-def words(text: bytes | None) -> list[bytes]:
-    """The lower-cased words of a text."""
-    return (text or b"").lower().split()
+# ---- words and hashes
 
+_MULTIPLIER = 0x9E3779B97F4A7C15
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over all rows of ``texts`` (one column of bytes), with END once for each."""
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers scattered over 64 bits; different ones stay different."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-            held.clear()
-            return made
 
-        for (own,) in batches(stream):
-            for text in own:
-                held.update(words(text))
-            held[END] += len(own)
-            if len(held) > HELD:
-                yield out()
-        yield out()
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """A number for each byte, the same for both cases of A-Z, and whether a byte belongs to a word."""
+    number = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER))
+    number[ord("A") : ord("Z") + 1] = number[ord("a") : ord("z") + 1]
+    inside = np.ones(256, bool)
+    inside[[32, *range(9, 14)]] = False
+    return number, inside
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+_NUMBER, _INSIDE = _tables()
 
-class Vocabulary:
-    """Numbers for the frequent words: those of n-grams first, then the end, the start and the others."""
 
-    def __init__(self, counts: list[tuple[bytes, int]], total: int, types: int, once: int, twice: int):
-        self.total, self.types = total, types
-        self.discount = once / (once + 2 * twice) if once and twice else 0.5
-        rest = sorted(((w, n) for w, n in counts if w != END), key=lambda x: (-x[1], x[0]))
-        n_context = sum(n * CONTEXT_SHARE >= total for _, n in rest)
-        self.end, self.start = n_context + 1, n_context + 2
-        names = [w for w, _ in rest]
-        self.number = dict(zip(names[:n_context], range(1, n_context + 1), strict=True))
-        self.number |= dict(zip(names[n_context:], range(n_context + 3, len(names) + 3), strict=True))
-        ends = dict(counts).get(END, 0)
-        own = [n for _, n in rest]
-        self.counts = np.array([0, *own[:n_context], ends, ends, *own[n_context:]], np.int64)
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n - 1 of an odd number and of its inverse, modulo 2 ** 64."""
+    both = []
+    for base in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)):
+        factors = np.full(n, base, np.uint64)
+        factors[0] = 1
+        both.append(np.cumprod(factors))
+    return both[0], both[1]
 
-    def ids(self, found: list[bytes]) -> list[int]:
-        """Numbers of words; 0 for those without."""
-        return list(map(self.number.get, found, repeat(0)))
 
-    def probability(self, n: int) -> float:
-        """The model's unigram probability of a word that was counted n times."""
-        return (n - self.discount) / self.total if n else self.discount * self.types / max(self.total, 1)
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each lower-cased word, number of words of each text); text k is data[bounds[k]:bounds[k + 1]]."""
+    inside = _INSIDE[data]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    edges = bounds[(bounds > 0) & (bounds < len(data))]
+    begins[edges], ends[edges - 1] = inside[edges], inside[edges - 1]
+    begin, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    out = np.empty(len(begin), np.uint64)
+    at = 0
+    while at < len(begin):
+        low = begin[at]
+        upto = max(at + 1, int(np.searchsorted(end, low + PIECE, "right")))
+        size = int(end[upto - 1] - low)
+        up, down = _powers(max(size, PIECE) + 1)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_NUMBER[data[low : low + size]] * up[:size], out=sums[1:])
+        out[at:upto] = (sums[end[at:upto] - low] - sums[begin[at:upto] - low]) * down[begin[at:upto] - low]
+        at = upto
+    return mixed(out + (end - begin).astype(np.uint64)), np.diff(np.searchsorted(begin, bounds))
 
 
-def gram_counts(texts: DataFrame, sent, order: int, kept: np.ndarray | None) -> DataFrame:
-    """(gram, n): n-grams of numbered words, 16 bits each; trigrams only if both their bigrams are in ``kept``."""
+START, END = (int(x) for x in mixed(np.array([1, 2], np.uint64)))
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, held, size = sent.value, [], 0
 
-        def out() -> pa.RecordBatch:
-            grams, at = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64))], ["gram", "n"])
-
-        for (own,) in batches(stream):
-            ids: list[int] = []
-            for text in own:
-                ids.append(vocabulary.start)
-                ids += vocabulary.ids(words(text))
-                ids += (vocabulary.end, 0)
-            at = np.array(ids, np.int64)
-            at[at > vocabulary.start] = 0
-            pairs = at[:-1] << 16 | at[1:]
-            good = (at[:-1] > 0) & (at[1:] > 0)
-            if order == 3:
-                good &= np.isin(pairs, kept)
-                good = good[:-1] & good[1:]
-                pairs = pairs[:-1] << 16 | at[2:]
-            found, n = np.unique(pairs[good], return_counts=True)
-            held.append((found, n))
-            size += len(found)
-            if size > HELD:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
+# ---- packing
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned numbers as bytes: places of equal weight together, compressed."""
+    parts = []
+    for a in arrays:
+        a = np.ascontiguousarray(a, "<u8")
+        width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+        parts += [struct.pack("<QB", len(a), width), np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    """What ``pack`` was given, as 64-bit numbers."""
+    data, out, at = zstandard.ZstdDecompressor().decompress(data), [], 0
+    while at < len(data):
+        n, width = struct.unpack_from("<QB", data, at)
+        at += 9
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+        out.append(a.view("<u8").ravel())
+        at += n * width
+    return out
+
 
-    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def frequent(grams: DataFrame, total: int) -> tuple[dict[int, int], float]:
-    """The n-grams of at least 1 / GRAM_SHARE of all tokens, twice at least, and the discount of their order."""
-    least = max(2, -(-total // GRAM_SHARE))
-    # What is below the bound is only counted by its count, so that at most GRAM_SHARE rows are gathered.
-    key = F.when(F.col("n") >= least, F.col("gram")).otherwise(-F.least(F.col("n"), F.lit(3)))
-    summed = grams.groupBy(key.alias("gram")).agg(F.sum("n").alias("n"), F.count("*").alias("grams")).toArrow()
-    found, times = {}, {}
-    for gram, n, grams_n in zip(*(c.to_pylist() for c in summed.columns), strict=True):
-        if gram >= 0:
-            found[gram] = n
-        else:
-            times[-gram] = grams_n
-    once, twice = times.get(1, 0), times.get(2, 0) + sum(n == 2 for n in found.values())
-    return found, once / (once + 2 * twice) if once and twice else 0.5
-
-
-class Automaton:
-    """States for contexts; each has arcs {word: (log10 probability, next state)}, a failure state and its log10 weight."""
-
-    def __init__(self, vocabulary: Vocabulary, bigrams: dict[int, int], discount2: float, trigrams: dict[int, int], discount3: float):
-        self.vocabulary = vocabulary
-        own = vocabulary.counts
-        p1 = np.array([vocabulary.probability(int(n)) for n in own])
-        by: dict[tuple[int, ...], dict[int, float]] = {}
-        for gram, n in bigrams.items():
-            by.setdefault((gram >> 16,), {})[gram & 0xFFFF] = (n - discount2) / float(own[gram >> 16])
-        for gram, n in trigrams.items():
-            by.setdefault((gram >> 32, gram >> 16 & 0xFFFF), {})[gram & 0xFFFF] = (n - discount3) / bigrams[gram >> 16]
-        states = {(): 0} | {context: k + 1 for k, context in enumerate(sorted(by, key=lambda c: (len(c), c)))}
-
-        def state(context: tuple[int, ...]) -> int:
-            while context not in states:
-                context = context[1:]
-            return states[context]
-
-        self.arcs: list[dict[int, tuple[float, int]]] = [{}]
-        self.fail, self.weight = [0], [0.0]
-        root = self.arcs[0]
-        for w in range(1, len(own)):
-            if w != vocabulary.start and own[w]:
-                root[w] = (log10(p1[w]), state((w,)))
-        open_: dict[tuple[int, ...], float] = {}
-
-        def probability(context: tuple[int, ...], w: int) -> float:
-            if not context:
-                return float(p1[w])
-            if context in by:
-                if w in by[context]:
-                    return by[context][w]
-                return open_[context] * probability(context[1:], w)
-            return probability(context[1:], w)
-
-        for context in list(states)[1:]:
-            arcs = by[context]
-            rest = 1 - sum(probability(context[1:], w) for w in arcs)
-            left = max(1 - sum(arcs.values()), 1e-12)
-            open_[context] = left / max(rest, 1e-12)
-            self.arcs.append({w: (log10(p), state((*context, w)[-2:])) for w, p in arcs.items()})
-            self.fail.append(state(context[1:]))
-            self.weight.append(log10(open_[context]))
-        self.first = state((vocabulary.start,))
-
-    def traverse(self, ids: list[int]) -> float:
-        """The sum of log10 probabilities of numbered words; a word 0 adds nothing at the root."""
-        arcs, fail, weight, at, total = self.arcs, self.fail, self.weight, self.first, 0.0
-        for w in ids:
-            found = arcs[at].get(w)
-            while found is None and at:
-                total += weight[at]
-                at = fail[at]
-                found = arcs[at].get(w)
-            if found is not None:
-                total += found[0]
-                at = found[1]
-        return total
-
-
-# ---- n-grams by hash
-
-_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-
-
-def _turned(x: np.ndarray, by: int) -> np.ndarray:
-    return x << np.uint64(by) | x >> np.uint64(64 - by)
-
-
-def _hashed(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    h = (seed + (_P5 + np.uint64(8))) ^ _turned(x * _P2, 31) * _P1
-    h = _turned(h, 27) * _P1 + _P4
-    h = (h ^ h >> np.uint64(33)) * _P2
-    h = (h ^ h >> np.uint64(29)) * _P3
-    return h ^ h >> np.uint64(32)
-
-
-def gram_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """``xxhash64(a, b)`` of Spark for unsigned numbers."""
-    return _hashed(b, _hashed(a, np.full(1, SEED, np.uint64)))
-
-
-def word_hash(word: bytes) -> int:
-    """``xxhash64(word)`` of Spark, as a signed number."""
-    return int(np.uint64(xxhash.xxh64_intdigest(word, SEED)).view(np.int64))
-
-
-def hashes(texts: list[list[bytes]]) -> np.ndarray:
-    """The hashes of the texts' words with START before, END and a 0 after each text."""
-    out: list[int] = []
-    start, end = xxhash.xxh64_intdigest(START, SEED), xxhash.xxh64_intdigest(END, SEED)
-    for own in texts:
-        out.append(start)
-        out += map(xxhash.xxh64_intdigest, own, repeat(SEED))
-        out += (end, 0)
-    return np.array(out, np.uint64)
-
-
-def in_bitmap(bitmap: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Whether the place of each n-gram is marked."""
-    at = grams & np.uint64(PLACES - 1)
-    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
-def all_gram_counts(texts: DataFrame, order: int, sent=None) -> DataFrame:
-    """(a, b, n): n-grams by the hashes of their first and last words but one; trigrams only if the bitmap has both bigrams."""
+def gaps(ordered: np.ndarray) -> np.ndarray:
+    """Steps between ordered numbers, from 0."""
+    return np.diff(ordered, prepend=np.uint64(0))
+
+
+# ---- where n-grams go
+
+
+class Deal:
+    """Width of hashes, number of buckets, and over how many buckets the followers of frequent words are dealt."""
+
+    def __init__(self, tokens: int, frequent: dict[int, float]):
+        self.chunk = CHUNK
+        self.bits = min(64, max(CHUNK, tokens).bit_length() + SPARE_BITS)
+        wanted = max(1, tokens // BUCKET)
+        self.bucket_bits = min(max(wanted, BUCKETS[0]), BUCKETS[1]).bit_length() - 1
+        pieces = {h: 1 << max(0, int(4 * share * self.buckets).bit_length()) for h, share in frequent.items()}
+        self.names = np.array(sorted(h for h, n in pieces.items() if n > 1), np.uint64)
+        self.counts = np.array([pieces[int(h)] for h in self.names], np.uint64)
+
+    @property
+    def buckets(self) -> int:
+        return 1 << self.bucket_bits
+
+    def narrow(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(64 - self.bits)
+
+    def bucket(self, contexts: np.ndarray) -> np.ndarray:
+        return contexts >> np.uint64(self.bits - self.bucket_bits)
+
+    def pieces(self, words: np.ndarray) -> np.ndarray:
+        """Over how many buckets the followers of each (narrow) word hash go."""
+        out = np.ones(len(words), np.uint64)
+        if len(self.names):
+            names = self.narrow(self.names)
+            at = np.minimum(np.searchsorted(names, words), len(names) - 1)
+            out = np.where(names[at] == words, self.counts[at], out)
+        return out
+
+
+class Asked:
+    """Entries (context, follower, count) in the order in which a chunk sends them.
+
+    ``base`` names each entry's context within the chunk; ``pieces`` over how many buckets the context goes.
+    """
+
+    def __init__(self, deal: Deal, context: np.ndarray, base: np.ndarray, follower: np.ndarray, n: np.ndarray, pieces: np.ndarray):
+        self.entries = len(base)
+        own = context[base]
+        split = np.flatnonzero(pieces[base] > 1)
+        if len(split):
+            turn = (follower[split] >> np.uint64(32)) & (pieces[base[split]] - np.uint64(1))
+            own[split] = self._piece(deal, own[split], turn)
+            # Each piece is asked for its followers' number, also where the chunk has none of them.
+            many = np.unique(base[split])
+            times = pieces[many].astype(np.int64)
+            more = np.repeat(many, times)
+            turn = np.arange(len(more)) - np.repeat(np.cumsum(times) - times, times)
+            own = np.concatenate([own, self._piece(deal, context[more], turn.astype(np.uint64))])
+            base = np.concatenate([base, more])
+            follower = np.concatenate([follower, np.zeros(len(more), np.uint64)])
+            n = np.concatenate([n, np.zeros(len(more), n.dtype)])
+        self.order = np.argsort(own, kind="stable")
+        own = own[self.order]
+        new = np.flatnonzero(np.diff(own, prepend=~own[:1]) != 0) if len(own) else np.zeros(0, np.int64)
+        self.contexts, self.sizes = own[new], np.diff(new, append=len(own))
+        self.base = base[self.order][new]
+        self.followers = follower[self.order] & np.uint64(0xFFFFFFFF)
+        self.n = n[self.order]
+
+    @staticmethod
+    def _piece(deal: Deal, context: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        return deal.narrow(mixed(context * np.uint64(_MULTIPLIER) + turn + np.uint64(1)))
+
+    def messages(self, deal: Deal) -> Iterator[tuple[int, bytes]]:
+        """(bucket, what it is sent)."""
+        bucket = deal.bucket(self.contexts)
+        ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        every, first = np.unique(bucket, return_index=True)
+        for k, i, j in zip(every.tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
+            a, b = ends[i], ends[j]
+            yield int(k), pack(gaps(self.contexts[i:j]), self.sizes[i:j], self.followers[a:b], self.n[a:b])
+
+
+class Chunk:
+    """Some texts as numbered tokens, and their distinct n-grams.
+
+    ``words`` are the sorted narrow hashes, ``ids`` the tokens of all texts, each text between a
+    start and an end; ``sizes`` their numbers; ``train`` the texts that are learned from.
+    """
+
+    def __init__(self, deal: Deal, words: np.ndarray, ids: np.ndarray, sizes: np.ndarray, train: np.ndarray):
+        self.deal, self.words, self.train, v = deal, words, train, max(len(words), 1)
+        first = np.zeros(len(ids), bool)
+        first[np.cumsum(sizes) - sizes] = True
+        self.starts, at = ids[first], np.flatnonzero(~first).astype(np.int32)
+        self.text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes - 1)
+        self.word = ids[at].astype(np.int32)
+        self.pairs, self.pair = _numbered(ids[at - 1].astype(np.int64) * v + self.word)
+        self.third = np.flatnonzero(~first[at - 1]).astype(np.int32)
+        del first, at
+        self.triples, self.triple = _numbered(self.pair[self.third - 1].astype(np.int64) * v + self.word[self.third])
+        #: Context and last word of each pair; context and last pair of each triple.
+        self.one, self.two = (x.astype(np.int32) for x in np.divmod(self.pairs, v))
+        self.before = (self.triples // v).astype(np.int32)
+        self.shorter = np.zeros(len(self.triples), np.int32)
+        self.shorter[self.triple] = self.pair[self.third]
+
+    def asked(self, kind: int) -> Asked:
+        """What the chunk asks of its words, pairs or triples."""
+        deal, words, v = self.deal, self.words, max(len(self.words), 1)
+        learned = np.repeat(self.train, np.bincount(self.text, minlength=len(self.train)))
+        if kind == 0:
+            n = np.bincount(self.word, learned, len(words)) + np.bincount(self.starts, self.train, len(words))
+            return Asked(deal, words, np.arange(len(words)), np.zeros(len(words), np.uint64), n, np.ones(len(words), np.uint64))
+        names, pieces = mixed(words), deal.pieces(words)
+        if kind == 1:
+            return Asked(deal, words, self.one, names[self.two], np.bincount(self.pair, learned, len(self.pairs)), pieces)
+        contexts = deal.narrow(mixed(words[self.one] * np.uint64(_MULTIPLIER) + names[self.two]))
+        n = np.bincount(self.triple, learned[self.third], len(self.triples))
+        return Asked(deal, contexts, self.before, names[self.triples % v], n, np.minimum(pieces[self.one], pieces[self.two]))
+
+    def answers(self, kind: int, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(count of each entry, followers of each context), from the buckets' answers in their order."""
+        asked, found = self.asked(kind), [unpack(part) for part in parts]
+        counts, types = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.uint64)]).astype(np.float64) for k in (0, 1))
+        if len(counts) != len(asked.n) or len(types) != len(asked.contexts):
+            raise ValueError("the texts of a chunk changed between two reads")
+        out = np.zeros(len(asked.order))
+        out[asked.order] = counts
+        groups = (len(self.words), len(self.words), len(self.pairs))[kind]
+        return out[: asked.entries], np.bincount(asked.base, types, groups)
+
+    def scores(self, totals: Totals, parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known tokens, base score, score) of each text."""
+        n1, _ = self.answers(0, parts[0])
+        n2, followers1 = self.answers(1, parts[1])
+        n3, followers2 = self.answers(2, parts[2])
+        d1, d2, d3 = totals.discounts
+        p1 = totals.unigram(n1)
+        p2 = interpolated(n2, n1[self.one], followers1[self.one], d2, p1[self.two])
+        p3 = interpolated(n3, n2[self.before], followers2[self.before], d3, p2[self.shorter])
+        base = np.log10((n1 + 1) / (totals.tokens + totals.types + 1))
+        arcs, texts = np.log10(p2)[self.pair], len(self.train)
+        arcs[self.third] = np.log10(p3)[self.triple]
+        return tuple(np.bincount(self.text, w, texts) for w in ((n1 > 0)[self.word], base[self.word], arcs))  # type: ignore[return-value]
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the place of each key among them."""
+    found, inverse = np.unique(keys, return_inverse=True)
+    return found, inverse.astype(np.int32)
+
+
+def interpolated(n: np.ndarray, context: np.ndarray, followers: np.ndarray, discount: float, shorter: np.ndarray) -> np.ndarray:
+    """Probabilities of n-grams from their counts, those of their contexts, and the shorter context's probabilities."""
+    seen = context > 0
+    c = np.where(seen, context, 1)
+    return np.where(seen, np.maximum(n - discount, 0) / c + discount * followers / c * shorter, shorter)
+
+
+class Totals:
+    """What the whole corpus has: tokens, different tokens and the discount of each order."""
+
+    def __init__(self, tokens: int, types: int, times: list[tuple[int, int]]):
+        self.tokens, self.types = tokens, types
+        self.discounts = [once / (once + 2 * twice) if once and twice else 0.5 for once, twice in times]
+
+    def unigram(self, n: np.ndarray) -> np.ndarray:
+        size, d = max(self.tokens, 1), self.discounts[0]
+        return np.where(n > 0, (n - d) / size, d * self.types / size if self.tokens else 1.0)
+
+
+# ---- the passes
+
+
+def chunks(deal: Deal, stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, pa.Table]]:
+    """(name, words, tokens and texts' sizes of a chunk, its rows without texts) of rows (row, doc_id, held_out, text).
+
+    Chunks end after the row that fills them, whatever the batches, so that two reads make the same ones.
+    """
+    start, end = (int(deal.narrow(np.array([x], np.uint64))[0]) for x in (START, END))
+    held: list[tuple[np.ndarray, np.ndarray, pa.RecordBatch]] = []
+    size = 0
+
+    def made() -> tuple[int, np.ndarray, np.ndarray, np.ndarray, pa.Table]:
+        rows = pa.Table.from_batches([b for _, _, b in held]).combine_chunks()
+        counts = np.concatenate([c for _, c, _ in held])
+        sizes = counts + 2
+        tokens = np.full(int(sizes.sum()), end, np.uint64)
+        stops = np.cumsum(sizes)
+        tokens[stops - sizes] = start
+        inner = np.ones(len(tokens), bool)
+        inner[stops - sizes] = inner[stops - 1] = False
+        tokens[inner] = np.concatenate([h for h, _, _ in held])
+        held.clear()
+        words, ids = _numbered(tokens)
+        return rows["row"][0].as_py(), words, ids, sizes, rows
+
+    for batch in stream:
+        if not batch.num_rows:
+            continue
+        data, bounds = flat_bytes(batch.column(3))
+        hashes, counts = word_hashes(data, bounds)
+        hashes, rest = deal.narrow(hashes), batch.select([0, 1, 2])
+        upto = np.cumsum(counts + 1)
+        begin = 0
+        while begin < len(counts):
+            before = upto[begin] - counts[begin] - 1
+            stop = int(np.searchsorted(upto, before + deal.chunk - size)) + 1
+            full, stop = stop <= len(counts), min(stop, len(counts))
+            a, b = (int(counts[:k].sum()) for k in (begin, stop))
+            held.append((hashes[a:b], counts[begin:stop], rest.slice(begin, stop - begin)))
+            size += int(upto[stop - 1] - before)
+            if full:
+                size = 0
+                yield made()
+            begin = stop
+    if held:
+        yield made()
+
+
+def sampled(docs: DataFrame) -> Deal:
+    """Sizes and frequent words, as a sample of the rows of ``docs`` (row, doc_id, held_out, text) shows them."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        every = [word_hashes(*flat_bytes(batch.column(3)))[0] for batch in stream if batch.num_rows]
+        words, n = np.unique(np.concatenate(every) if every else np.zeros(0, np.uint64), return_counts=True)
+        # A word that is frequent in all is so in some task; a task passes on 1 / FREQUENT words at most.
+        often = n >= max(2, FREQUENT * n.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([None, *words[often].view(np.int64).tolist()], pa.int64()), pa.array([int(n.sum()), *n[often].tolist()], pa.int64())], ["word", "n"])
+
+    found = docs.sample(SAMPLE, seed=1).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    tokens = found.filter("word is null").first()
+    tokens = tokens["n"] if tokens else 0
+    often = found.filter(F.col("word").isNotNull() & (F.col("n") >= F.lit(FREQUENT * tokens))).collect() if tokens else []
+    return Deal(int(tokens / SAMPLE), {int(np.uint64(r["word"] % (1 << 64))): r["n"] / tokens for r in often})
+
+
+def bucket_sums(messages: list[list[np.ndarray]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(answer to each message, its contexts' numbers, its entries' numbers) of one bucket and kind."""
+    contexts = [np.cumsum(m[0]) for m in messages]
+    every, number = np.unique(np.concatenate(contexts), return_inverse=True)
+    owner = np.repeat(number, np.concatenate([m[1] for m in messages]).astype(np.int64)).astype(np.uint64)
+    entries, at = np.unique(owner << np.uint64(32) | np.concatenate([m[2] for m in messages]), return_inverse=True)
+    n = np.bincount(at, np.concatenate([m[3] for m in messages]).astype(np.float64), len(entries)).astype(np.int64)
+    types = np.bincount((entries >> np.uint64(32)).astype(np.int64), n > 0, len(every)).astype(np.int64)
+    out, a, i = [], 0, 0
+    for m in messages:
+        b, j = a + len(m[2]), i + len(m[0])
+        out.append(pack(n[at[a:b]], types[number[i:j]]))
+        a, i = b, j
+    return out, every, n
+
+
+_ANSWERS = "chunk long, kind int, bucket int, payload binary, once long, twice long, tokens long, types long"
 
-        def out() -> pa.RecordBatch:
-            a, b = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-            _, first, n = np.unique(gram_hash(a, b), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
-
-        for (own,) in batches(stream):
-            h = hashes([words(text) for text in own])
-            a, b = h[:-1], h[1:]
-            good = (a != 0) & (b != 0)
-            if order == 3:
-                pairs = gram_hash(a, b)
-                good &= in_bitmap(sent.value, pairs)
-                good = good[:-1] & good[1:]
-                a, b = pairs[:-1], pairs[1:]
-            held.append((a[good], b[good]))
-            size += len(held[-1][0])
-            if size > GRAMS_HELD:
-                yield out()
-                held, size = [], 0
-        if size:
-            yield out()
 
-    return texts.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def twice_or_more(grams: DataFrame) -> tuple[DataFrame, float]:
-    """The n-grams that occur twice, and the discount of their order."""
-    seen = Observation()
-    kept = cut(grams.observe(seen, F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).filter("n >= 2"))
-    once, twice = seen.get["once"], seen.get["twice"]
-    return kept, once / (once + 2 * twice) if once and twice else 0.5
-
-
-def marked(grams: DataFrame) -> np.ndarray:
-    """The bitmap of the n-grams ``g``: at most PLACES / 64 rows are gathered."""
-    place = F.col("g").bitwiseAND(PLACES - 1)
-    rows = grams.select(F.shiftright(place, 6).alias("k"), F.expr("shiftleft(1L, cast(g & 63 as int))").alias("bit")).groupBy("k").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(PLACES // 64, np.int64)
-    out[rows["k"].to_numpy()] = rows["bits"].to_numpy()
-    return out.view(np.uint8)
-
-
-class Model:
-    """The frequent words with their back-off weights, and the table ``terms`` (g, term) of all n-grams that occur twice."""
-
-    def __init__(self, vocabulary: Vocabulary, weights: np.ndarray, start: float, terms: DataFrame, grams: int, bitmaps: tuple[np.ndarray, np.ndarray]):
-        self.vocabulary, self.weights, self.start = vocabulary, weights, start
-        self.terms, self.grams, self.bitmaps = terms, grams, bitmaps
-
-
-def train(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the whole table of word counts and back-off weights, learned from all rows of ``texts`` (one column of bytes)."""
-    spark = texts.sparkSession
-    counts = cut(word_counts(texts))
-    total, types, once, twice = counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
-    ).first()
-    hot = (F.col("n") * WORD_SHARE >= total) | (F.col("word") == F.lit(END))
-    found = counts.filter(hot).toArrow()
-    vocabulary = Vocabulary(list(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True)), total, types, once, twice)
-
-    # A text has one start and one end.
-    start = counts.filter(F.col("word") == F.lit(END)).select(F.lit(word_hash(START)).alias("h"), "n")
-    single = counts.select(F.xxhash64("word").alias("h"), "n").filter("n > 0").unionByName(start)
-    bigrams, discount2 = twice_or_more(all_gram_counts(texts, 2))
-    named = bigrams.withColumn("g", F.xxhash64("a", "b"))
-    both = marked(named)
-    sent = spark.sparkContext.broadcast(both)
-    trigrams, discount3 = twice_or_more(all_gram_counts(texts, 3, sent))
-    sent.destroy()
-
-    def weight(p: str, shorter: str):
-        left, rest = (F.greatest(1 - F.sum(c), F.lit(1e-12)) for c in (p, shorter))
-        return F.log10(left / rest)
-
-    size = float(max(total, 1))
-    pairs = named.join(single.select(F.col("h").alias("a"), F.col("n").alias("na")).hint("merge"), "a")
-    pairs = pairs.join(single.select(F.col("h").alias("b"), F.col("n").alias("nb")).hint("merge"), "b")
-    pairs = cut(pairs.select("g", "a", "n", ((F.col("n") - discount2) / F.col("na")).alias("p"), ((F.col("nb") - vocabulary.discount) / size).alias("shorter")))
-    weights1 = cut(pairs.groupBy("a").agg(weight("p", "shorter").alias("weight")))
-    triples = trigrams.join(pairs.select(F.col("g").alias("a"), F.col("n").alias("na")).hint("merge"), "a")
-    triples = triples.join(pairs.select(F.col("g").alias("b"), F.col("p").alias("shorter")).hint("merge"), "b")
-    triples = cut(triples.select(F.xxhash64("a", "b").alias("g"), "a", ((F.col("n") - discount3) / F.col("na")).alias("p"), "shorter"))
-    weights2 = cut(triples.groupBy("a").agg(weight("p", "shorter").alias("weight")))
-
-    own = F.log10("p") - F.col("weight") - F.log10("shorter")
-    after = weights2.select(F.col("a").alias("g"), F.col("weight").alias("after"))
-    terms2 = pairs.join(weights1.hint("merge"), "a").select("g", own.alias("term")).join(after.hint("merge"), "g", "left")
-    terms3 = triples.join(weights2.hint("merge"), "a").select("g", own.alias("term"))
-    terms = cut(terms2.select("g", (F.col("term") + F.coalesce("after", F.lit(0.0))).alias("term")).unionByName(terms3))
-
-    words_ = counts.withColumn("h", F.xxhash64("word")).join(weights1.select(F.col("a").alias("h"), "weight").hint("merge"), "h", "left")
-    counts = cut(words_.select("word", "n", F.coalesce("weight", F.lit(0.0)).alias("weight")))
-    found = counts.filter(hot).toArrow()
-    weights = np.zeros(len(vocabulary.counts))
-    for word, x in zip(found["word"].to_pylist(), found["weight"].to_pylist(), strict=True):
-        if word != END:
-            weights[vocabulary.number[word]] = x
-    first = weights1.filter(F.col("a") == F.lit(word_hash(START))).first()
-    return Model(vocabulary, weights, first["weight"] if first else 0.0, terms, terms.count(), (both, marked(triples))), counts
-
-
-def gram_sums(docs: DataFrame, model: Model) -> DataFrame:
-    """(row, more): the terms of all n-grams of each row of ``docs`` (row, bytes), those with none left out."""
-    buckets = BUCKETS
-    while buckets * BUCKET < model.grams:
-        buckets *= 2
-    sent = docs.sparkSession.sparkContext.broadcast(model.bitmaps)
-
-    def asked(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two, three = sent.value
-        for rows, texts in batches(stream):
-            h = hashes([words(text) for text in texts])
-            doc = np.cumsum(h == 0) - (h == 0)
-            pairs = gram_hash(h[:-1], h[1:])
-            good = (h[:-1] != 0) & (h[1:] != 0) & in_bitmap(two, pairs)
-            triples = gram_hash(pairs[:-1], pairs[1:])
-            longer = good[:-1] & good[1:] & in_bitmap(three, triples)
-            grams = np.concatenate([pairs[good], triples[longer]])
-            at = np.concatenate([doc[:-1][good], doc[:-2][longer]]).astype(np.uint32)
-            bucket = ((grams >> np.uint64(32)) & np.uint64(buckets - 1)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
-            order = np.argsort(bucket, kind="stable")
-            grams, at, bucket = grams[order], at[order], bucket[order]
-            every, begin = np.unique(bucket, return_index=True)
-            upto = [*begin[1:], len(bucket)]
-            name = np.array(rows, np.int64).tobytes()
-            parts = [(grams[i:j].tobytes(), at[i:j].tobytes()) for i, j in zip(begin, upto, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(every.astype(np.int32)), pa.nulls(len(every), pa.int64()), pa.nulls(len(every), pa.float64()), pa.array([name] * len(every), pa.binary()), pa.array([g for g, _ in parts], pa.binary()), pa.array([d for _, d in parts], pa.binary())],
-                ["bucket", "g", "term", "rows", "grams", "docs"],
+def answered(docs: DataFrame, deal: Deal) -> DataFrame:
+    """What each bucket answers each chunk, and with a null ``chunk`` what it knows of the corpus."""
+
+    def ask(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, words, ids, sizes, own in chunks(deal, stream):
+            chunk = Chunk(deal, words, ids, sizes, ~own["held_out"].to_numpy())
+            for kind in range(3):
+                for bucket, payload in chunk.asked(kind).messages(deal):
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([name], pa.int64()), pa.array([payload], pa.binary())], ["bucket", "kind", "chunk", "payload"])
+
+    start = int(deal.narrow(np.array([START], np.uint64))[0])
+
+    def add(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, messages = None, [], []
+
+        def out() -> pa.RecordBatch:
+            replies, contexts, n = bucket_sums(messages)
+            bucket, kind = now
+            words = n[contexts != np.uint64(start)] if kind == 0 else n
+            numbers = [int((words == 1).sum()), int((words == 2).sum()), int(words.sum()), int((words > 0).sum())]
+            k = len(names)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([*names, None], pa.int64()), pa.array([kind] * (k + 1), pa.int32()), pa.array([bucket] * (k + 1), pa.int32()), pa.array([*replies, None], pa.binary()), *(pa.array([None] * k + [x], pa.int64()) for x in numbers)],
+                [field.split()[0] for field in _ANSWERS.split(", ")],
             )
 
-    def answered(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, keys, values = None, [], None, None
         for batch in stream:
-            bucket, g, term = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
-            packed = g.is_null().to_numpy(zero_copy_only=False)
-            for k in np.unique(bucket):
-                if k != now:
-                    now, held, keys = k, [], None
-                mine = bucket == k
-                table = np.flatnonzero(mine & ~packed)
-                if len(table):
-                    held.append((g.take(pa.array(table)).to_numpy().view(np.uint64), term.take(pa.array(table)).to_numpy()))
-                for i in np.flatnonzero(mine & packed).tolist():
-                    if keys is None:
-                        keys = np.concatenate([x for x, _ in held] or [np.zeros(0, np.uint64)])
-                        values = np.concatenate([x for _, x in held] or [np.zeros(0)])
-                        order, held = np.argsort(keys), []
-                        keys, values = np.append(keys[order], np.uint64(0)), np.append(values[order], 0.0)
-                    rows, grams, docs = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in ((3, np.int64), (4, np.uint64), (5, np.uint32)))
-                    at = np.searchsorted(keys[:-1], grams)
-                    sums = np.bincount(docs, np.where(keys[at] == grams, values[at], 0.0), len(rows))
-                    some = np.flatnonzero(sums)
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[some]), pa.array(sums[some])], ["row", "more"])
-
-    layout = "bucket int, g long, term double, rows binary, grams binary, docs binary"
-    table_ = model.terms.select(
-        F.shiftright("g", 32).bitwiseAND(buckets - 1).cast("int").alias("bucket"), "g", "term", *(F.lit(None).cast("binary").alias(c) for c in ("rows", "grams", "docs"))
-    )
-    both = table_.unionByName(docs.mapInArrow(asked, layout)).repartition(buckets, "bucket")
-    # The table's rows of a bucket before what is asked of it.
-    sums = both.sortWithinPartitions("bucket", F.col("g").isNull()).mapInArrow(answered, "row long, more double")
-    return sums.groupBy("row").agg(F.sum("more").alias("more"))
-
-
-_DOC = "doc struct<doc_id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,score:double>"
-_DOC_TYPE = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-
-
-def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs`` (doc_id, held_out, bytes).
-
-    ``docs`` is read twice and its rows are known by their places, so it must be a scan, not a shuffle.
+            for bucket, kind, name, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now is not None and now != (bucket, kind):
+                    yield out()
+                    names, messages = [], []
+                now = (bucket, kind)
+                names.append(name)
+                messages.append(unpack(payload))
+        if now is not None:
+            yield out()
+
+    sent = docs.mapInArrow(ask, "bucket int, kind int, chunk long, payload binary").repartition(deal.buckets, "bucket")
+    return sent.sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(add, _ANSWERS)
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs`` (doc_id, held_out, text as bytes).
+
+    Rows that are not ``held_out`` are learned from. ``docs`` is read twice and its rows are known by
+    their places, so it must be a scan or a written table, not a shuffle.
     """
-    vocabulary = model.vocabulary
-    total, types = vocabulary.total, vocabulary.types
-    norm = float(total + types + 1)
-    base = np.log10((vocabulary.counts + 1) / norm)
-    base[0] = 0
-    known = vocabulary.counts > 0
-    own1 = np.where(known, np.log10(np.where(known, vocabulary.counts - vocabulary.discount, 1.0) / max(total, 1)), 0.0)
-    own1[0] = 0
-    # Not the number of the task, which a union shifts.
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, base, own1, own1 + model.weights))
-    start = model.start
+    spark = docs.sparkSession
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *docs.columns).toDF("row", "doc_id", "held_out", "text")
+    deal = sampled(rows)
+    found = cut(answered(rows, deal))
+    known = {r["kind"]: r for r in found.filter("chunk is null").groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("once", "twice", "tokens", "types"))).collect()}
+    times = [(known[k]["once"], known[k]["twice"]) if k in known else (0, 0) for k in range(3)]
+    totals = Totals(known[0]["tokens"], known[0]["types"], times) if 0 in known else Totals(0, 0, times)
+
+    def kept(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, words, ids, sizes, own in chunks(deal, stream):
+            doc_ids, held_out = own["doc_id"], own["held_out"].to_numpy().astype(np.uint64)
+            nulls = doc_ids.is_null().to_numpy().astype(np.uint64)
+            numbers = doc_ids.fill_null(0).to_numpy().view(np.uint64)
+            payload = pack(gaps(words), ids, sizes, numbers, nulls, held_out)
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), pa.array([payload], pa.binary())], ["chunk", "kind", "bucket", "payload"])
+
+    def traverse(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, [[], [], [], []]
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, base, own1, weighted = sent.value
-        ends = bool(vocabulary.counts[vocabulary.end])
-        names = ["row", "word", "tf", "doc"]
-        for ids, held, texts, places in batches(stream):
-            found, rare = [], []
-            for doc_id, held_out, text, row in zip(ids, held, texts, places, strict=True):
-                own = words(text)
-                numbers = vocabulary.ids(own)
-                cold = Counter(compress(own, [not k for k in numbers]))
-                rare += [(row, word, tf) for word, tf in cold.items()]
-                known = len(own) - sum(cold.values()) + ends
-                score = weighted[numbers].sum() + start + (own1[vocabulary.end] if ends else 0.0)
-                if not ends:
-                    rare.append((row, END, 1))
-                at = base[numbers].sum() + (base[vocabulary.end] if ends else 0.0)
-                # A word with a space of its own: never among the counts, and spread evenly.
-                found.append((row, b" %d" % row, 0, (doc_id, held_out, len(own) + 1, known, float(at), float(score))))
-            if rare:
-                r, w, n = zip(*rare, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(w, pa.binary()), pa.array(n, pa.int64()), pa.nulls(len(r), _DOC_TYPE)], names)
-            r, w, n, d = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(w, pa.binary()), pa.array(n, pa.int64()), pa.array(d, _DOC_TYPE)], names)
-
-    more = gram_sums(docs.select("row", docs.columns[2]), model) if model.grams else None
-    rows = docs.mapInArrow(run, f"row long, word binary, tf long, {_DOC}")
-    n = F.coalesce("n", F.lit(0))
-    unknown = vocabulary.probability(0)
-    terms = F.when(n > 0, F.log10((n - F.lit(vocabulary.discount)) / F.lit(float(max(total, 1))))).otherwise(F.lit(log10(unknown) if unknown > 0 else 0.0))
-    joined = rows.join(counts.hint("merge"), "word", "left")
-    summed = joined.groupBy("row").agg(
-        F.max("doc").alias("doc"),
-        F.sum(F.when(n > 0, F.col("tf")).otherwise(0)).alias("known"),
-        F.sum(F.col("tf") * F.log10((n + 1) / F.lit(norm))).alias("base"),
-        F.sum(F.col("tf") * (terms + F.coalesce("weight", F.lit(0.0)))).alias("model"),
-    )
-    if more is None:
-        summed = summed.withColumn("more", F.lit(0.0))
-    else:
-        summed = summed.join(more.hint("merge"), "row", "left")
-    return summed.select(
-        "doc.doc_id",
-        "doc.held_out",
-        "doc.n_tokens",
-        (F.col("doc.n_known") + F.col("known")).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("doc.base") + F.col("base")).alias("base_score"),
-        (F.col("doc.score") + F.col("model") + F.coalesce("more", F.lit(0.0))).alias("score"),
-    )
+        def out() -> pa.RecordBatch:
+            steps, ids, sizes, numbers, nulls, held_out = unpack(parts[-1][0])
+            sizes, held = sizes.astype(np.int64), held_out.astype(bool)
+            chunk = Chunk(deal, np.cumsum(steps), ids.astype(np.int32), sizes, ~held)
+            known, base, score = chunk.scores(totals, parts[:3])
+            k = len(sizes)
+            columns = [pa.array(numbers.view(np.int64), mask=nulls.astype(bool)), pa.array(held), pa.array(sizes - 1), pa.array(known.astype(np.int64)), pa.array(np.full(k, totals.tokens)), pa.array(base), pa.array(score)]
+            return pa.RecordBatch.from_arrays(columns, [field.split()[0] for field in _SCORES.split(", ")])
+
+        for batch in stream:
+            for name, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != now:
+                    if now is not None:
+                        yield out()
+                    now, parts = name, [[], [], [], []]
+                parts[kind].append(payload)
+        if now is not None:
+            yield out()
+
+    texts = rows.mapInArrow(kept, "chunk long, kind int, bucket int, payload binary")
+    both = found.filter("chunk is not null").select("chunk", "kind", "bucket", "payload").unionByName(texts)
+    met = both.repartition(deal.buckets, "chunk").sortWithinPartitions("chunk", "kind", "bucket").select("chunk", "kind", "payload")
+    # Written at once: the two reads of the rows must be dealt alike.
+    return cut(met.mapInArrow(traverse, _SCORES))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scores of all documents, learned from those whose remainder by 7 is not 2."""
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 7) == 2
-    model, counts = train(docs.filter(~held_out).select(utf8(F.col("text"))))
-    return scored(docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), utf8(F.col("text"))), model, counts)
+    return scored(docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), utf8(F.col("text"))))
 
 
-QUERIES = {"op5_lm_score": query}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {"op5_lm_score": query}
 ORACLE_SQL: dict[str, str] = {}

@@ -1,7 +1,8 @@
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,145 +13,120 @@ from tests.llm import fixtures
 
 def run(spark, docs):
     held = remainder(F.col("doc_id"), 7) == 2
-    automaton, counts = lm_score.train(docs.filter(~held).select(utf8(F.col("text"))))
-    return automaton, lm_score.scored(docs.select("doc_id", held.alias("held_out"), utf8(F.col("text"))), automaton, counts).collect()
-
-
-def expected(rows):
-    tokens = [(i, "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split() + [None]) for i, t in rows]
-    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    c = Counter(w for i, own in tokens if not out(i) for w in own)
-    n, v = sum(c.values()), len(c)
-    return Counter((i, out(i), len(own), sum(c[w] > 0 for w in own), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own), 6)) for i, own in tokens)
-
-
-@pytest.mark.parametrize("share", [1 << 20, 50, 1])
-def test_base_columns(spark, share, monkeypatch):
-    """With small shares few words or none are in the automaton, and the join has to find the rest."""
-    monkeypatch.setattr(lm_score, "WORD_SHARE", share)
-    monkeypatch.setattr(lm_score, "CONTEXT_SHARE", min(share, lm_score.CONTEXT_SHARE))
-    _, found = run(spark, fixtures.documents(spark))
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found) == expected(fixtures.texts())
-    assert all(math.isfinite(r.score) and r.score <= 0 for r in found)
-
-
-def test_where_a_word_is_looked_up_does_not_change_its_unigram_term(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "CONTEXT_SHARE", 1)
-    _, all_hot = run(spark, fixtures.documents(spark))
-    monkeypatch.setattr(lm_score, "WORD_SHARE", 20)
-    _, some_hot = run(spark, fixtures.documents(spark))
-    key = lambda rows: sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in rows)
-    assert key(all_hot) == key(some_hot)
-
-
-def automaton():
-    texts = [lm_score.words(fixtures.prose(k % 6, 60).encode()) for k in range(8)]
-    counts = Counter(w for t in texts for w in [*t, lm_score.END])
-    times = Counter(counts.values())
-    vocabulary = lm_score.Vocabulary(list(counts.items()), sum(counts.values()), len(counts), times[1], times[2])
-    grams = {2: Counter(), 3: Counter()}
-    for t in texts:
-        ids = [vocabulary.start, *vocabulary.ids(t), vocabulary.end]
-        for n in grams:
-            for g in zip(*(ids[k:] for k in range(n))):
-                grams[n][sum(w << 16 * (n - 1 - k) for k, w in enumerate(g))] += 1
-    kept = {g: c for g, c in grams[2].items() if c > 1}
-    both = {g: c for g, c in grams[3].items() if c > 1 and g >> 16 in kept and g & 0xFFFFFFFF in kept}
-    return lm_score.Automaton(vocabulary, kept, 0.4, both, 0.6), kept, both
-
-
-def test_each_state_adds_up_to_one():
-    made, kept, both = automaton()
-    vocabulary = made.vocabulary
-    assert both and len(made.arcs) > 20
-    every = [w for w in range(1, len(vocabulary.counts)) if w != vocabulary.start]
-    for state in range(len(made.arcs)):
-        made.first = state
-        known = sum(10 ** made.traverse([w]) for w in every)
-        made.first = state
-        unknown = 10 ** made.traverse([0]) * vocabulary.probability(0)
-        assert known + unknown == pytest.approx(1, abs=1e-6)
-
-
-def test_traversal_is_the_recursive_back_off():
-    made, kept, both = automaton()
-    vocabulary = made.vocabulary
-    n1 = vocabulary.counts
-
-    def p(context, w):
-        if not context:
-            return vocabulary.probability(int(n1[w]))
-        table = {g & 0xFFFF: c for g, c in (kept if len(context) == 1 else both).items() if g >> 16 == sum(x << 16 * (len(context) - 1 - k) for k, x in enumerate(context))}
-        if not table:
-            return p(context[1:], w)
-        total, cut = (n1[context[0]], 0.4) if len(context) == 1 else (kept[context[0] << 16 | context[1]], 0.6)
-        if w in table:
-            return (table[w] - cut) / total
-        return (1 - sum((c - cut) / total for c in table.values())) / (1 - sum(p(context[1:], x) for x in table)) * p(context[1:], w)
-
-    for seed in (0, 1, 20):
-        ids = [vocabulary.start, *(i for i in vocabulary.ids(lm_score.words(fixtures.prose(seed, 60).encode())) if i), vocabulary.end]
-        own = sum(math.log10(p(ids[max(0, k - 2) : k], ids[k])) for k in range(1, len(ids)))
-        assert made.traverse(ids[1:]) == pytest.approx(own, rel=1e-6)
-
-
-def test_frequent_grams_are_all_of_them(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "HELD", 10)
-    texts = [fixtures.prose(k, 60) for k in range(8)]
-    frame = spark.createDataFrame([(t.encode(),) for t in texts], "text binary").repartition(3)
-    counts = Counter(w for t in texts for w in [*lm_score.words(t.encode()), lm_score.END])
-    vocabulary = lm_score.Vocabulary(list(counts.items()), sum(counts.values()), len(counts), 1, 1)
-    sent = spark.sparkContext.broadcast(vocabulary)
-    found, _ = lm_score.frequent(lm_score.gram_counts(frame, sent, 2, None), sum(counts.values()))
-    own = Counter()
-    for t in texts:
-        ids = [vocabulary.start, *vocabulary.ids(lm_score.words(t.encode())), vocabulary.end]
-        own.update(a << 16 | b for a, b in zip(ids, ids[1:]))
-    assert found == {g: n for g, n in own.items() if n >= 2}
+    return lm_score.scored(docs.select("doc_id", held.alias("held_out"), utf8(F.col("text")))).collect()
+
+
+def words(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+
+
+def out(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+
+
+class Plain:
+    """The same model in dictionaries, with probabilities by recursion."""
+
+    def __init__(self, rows):
+        self.counts = [Counter(), Counter(), Counter()]
+        for i, text in rows:
+            if not out(i):
+                own = ["<s>", *words(text), "</s>"]
+                for n in range(3):
+                    self.counts[n].update(tuple(own[k - n : k + 1]) for k in range(1, len(own)) if k >= n)
+                self.counts[0]["<s>",] += 1
+        self.context, self.types = defaultdict(int), defaultdict(int)
+        for own in self.counts[1:]:
+            for gram, n in own.items():
+                self.context[gram[:-1]] += n
+                self.types[gram[:-1]] += 1
+        starts = self.counts[0].pop(("<s>",), 0)
+        self.tokens, self.distinct = sum(self.counts[0].values()), len(self.counts[0])
+        self.starts = starts
+        self.discount = []
+        for own in self.counts:
+            once, twice = (sum(n == k for n in own.values()) for k in (1, 2))
+            self.discount.append(once / (once + 2 * twice) if once and twice else 0.5)
+
+    def p(self, gram):
+        d, n = self.discount[len(gram) - 1], self.counts[len(gram) - 1][gram]
+        if len(gram) == 1:
+            if not self.tokens:
+                return 1.0
+            return (n - d) / self.tokens if n else d * self.distinct / self.tokens
+        c = self.context[gram[:-1]]
+        if not c:
+            return self.p(gram[1:])
+        return max(n - d, 0) / c + d * self.types[gram[:-1]] / c * self.p(gram[1:])
+
+    def row(self, i, text):
+        own = ["<s>", *words(text), "</s>"]
+        score = sum(math.log10(self.p(tuple(own[max(0, k - 2) : k + 1]))) for k in range(1, len(own)))
+        c = [self.counts[0][w,] for w in own[1:]]
+        base = sum(math.log10((n + 1) / (self.tokens + self.distinct + 1)) for n in c)
+        return i, out(i), len(c), sum(n > 0 for n in c), self.tokens, round(base, 6), round(score, 6)
+
+
+def rounded(found):
+    return Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in found)
+
+
+@pytest.mark.parametrize("size", [1 << 21, 100])
+def test_scores_are_those_of_the_whole_model(spark, size, monkeypatch):
+    """With one chunk for each partition, and with many chunks that each see little of the corpus."""
+    monkeypatch.setattr(lm_score, "CHUNK", size)
+    monkeypatch.setattr(lm_score, "SPARE_BITS", 43)
+    monkeypatch.setattr(lm_score, "BUCKETS", (4, 4))
+    plain = Plain(fixtures.texts())
+    found = run(spark, fixtures.documents(spark))
+    assert rounded(found) == Counter(plain.row(*r) for r in fixtures.texts())
+
+
+def test_frequent_words_go_over_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SAMPLE", 1.0)
+    monkeypatch.setattr(lm_score, "FREQUENT", 1 / 200)
+    monkeypatch.setattr(lm_score, "CHUNK", 300)
+    monkeypatch.setattr(lm_score, "SPARE_BITS", 43)
+    rows = [(k, fixtures.prose(k % 9, 60 + k % 5)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).sort("doc_id")
+    kept = docs.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), utf8(F.col("text"))).withColumn("row", F.lit(0))
+    deal = lm_score.sampled(kept.select("row", "doc_id", "held_out", "text"))
+    assert len(deal.names) > 5 and deal.counts.max() > 2
+    plain = Plain(rows)
+    assert rounded(run(spark, docs)) == Counter(plain.row(*r) for r in rows)
+
+
+def test_probabilities_of_each_context_add_up_to_one():
+    plain = Plain([(k, fixtures.prose(k % 6, 60)) for k in range(12)])
+    every = [w for (w,) in plain.counts[0]]
+    contexts = [(), *list(plain.context)[::7]]
+    assert any(len(c) == 2 for c in contexts)
+    for context in contexts:
+        assert sum(plain.p((*context, w)) for w in [*every, "unknown"]) == pytest.approx(1, abs=1e-9)
+
+
+def test_hashes_follow_lower_cased_words_and_text_bounds():
+    texts = [b"Hello  World hello\tx", b"", b"a b", b" ", "Éa".encode(), b"x" * 300_000 + b" hello"]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    hashes, counts = lm_score.word_hashes(data, np.cumsum([0, *map(len, texts)]))
+    own = [w for t in texts for w in t.lower().split()]
+    assert counts.tolist() == [len(t.split()) for t in texts]
+    assert [[a == b for a in own] for b in own] == [[a == b for a in hashes] for b in hashes]
+
+
+def test_packed_arrays_come_back():
+    draw = np.random.default_rng(3)
+    arrays = [draw.integers(0, 1 << 63, 1000).astype(np.uint64), np.zeros(0, np.uint64), np.array([5], np.uint64), draw.integers(0, 9, 70).astype(np.uint64)]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, lm_score.unpack(lm_score.pack(*arrays)), strict=True))
 
 
 def test_held_out_texts_score_better_than_the_base(spark):
     docs = spark.createDataFrame([(k, fixtures.prose(k, 200)) for k in range(150)], "doc_id long, text string")
-    _, found = run(spark, docs)
-    held = [r for r in found if r.held_out]
+    held = [r for r in run(spark, docs) if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
 def test_nothing_to_learn_from(spark):
-    _, found = run(spark, spark.createDataFrame([(4, "a b")], "doc_id long, text string").filter("doc_id = 4"))
-    assert len(found) == 1
-    _, found = run(spark, fixtures.nothing(spark))
-    assert found == []
-
-
-@pytest.mark.parametrize("share", [1 << 20, 20])
-def test_all_grams_that_occur_twice_are_scored(spark, share, monkeypatch):
-    """Also those of rare words, at any share of the tokens: the same as one automaton of all words and n-grams."""
-    rows = [(k, fixtures.prose(k % 9, 40 + k % 5)) for k in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = [lm_score.words(t.encode()) for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2]
-    counts = Counter(w for t in kept for w in [*t, lm_score.END])
-    times = Counter(counts.values())
-    for name in ("WORD_SHARE", "CONTEXT_SHARE", "GRAM_SHARE"):
-        monkeypatch.setattr(lm_score, name, 1 << 40)
-    vocabulary = lm_score.Vocabulary(list(counts.items()), sum(counts.values()), len(counts), times[1], times[2])
-    grams = {2: Counter(), 3: Counter()}
-    for t in kept:
-        ids = [vocabulary.start, *vocabulary.ids(t), vocabulary.end]
-        for n in grams:
-            grams[n].update(tuple(ids[k : k + n]) for k in range(len(ids) - n + 1))
-    two = {g: n for g, n in grams[2].items() if n > 1}
-    three = {g: n for g, n in grams[3].items() if g[:2] in two and g[1:] in two}
-    discount = lambda c: (lambda once, twice: once / (once + 2 * twice) if once and twice else 0.5)(*(sum(n == k for n in c.values()) for k in (1, 2)))
-    key = lambda g: sum(w << 16 * (len(g) - 1 - k) for k, w in enumerate(g))
-    made = lm_score.Automaton(vocabulary, {key(g): n for g, n in two.items()}, discount(grams[2]), {key(g): n for g, n in three.items() if n > 1}, discount(three))
-    unknown = math.log10(vocabulary.probability(0))
-
-    def whole(text):
-        ids = vocabulary.ids(lm_score.words(text.encode()))
-        return made.traverse([*ids, vocabulary.end]) + unknown * ids.count(0)
-
-    for name in ("WORD_SHARE", "CONTEXT_SHARE", "GRAM_SHARE"):
-        monkeypatch.setattr(lm_score, name, share)
-    _, found = run(spark, docs)
-    assert {r.doc_id: round(r.score, 6) for r in found} == {k: round(whole(t), 6) for k, t in rows}
+    rows = [(i, "a b") for i in range(100) if out(i)][:1]
+    assert [(r.n_known, r.train_tokens, r.score) for r in run(spark, spark.createDataFrame(rows, "doc_id long, text string"))] == [(0, 0, 0.0)]
+    assert run(spark, fixtures.nothing(spark)) == []
