@@ -1,16 +1,16 @@
 """Quality rules: counts of words and symbols, and n-gram perplexity bands for each language.
 
-The language model is a modified Kneser-Ney model of order 4 over symbols: code points folded to an
-alphabet of 32 (white space, letters, digits, marks, and hashed classes of other characters). So
-its size has a bound, 32 ** 4 entries, at any size of the corpus, and it may be broadcast. Spark
-counts the n-grams of all texts; lower orders hold continuation counts; three discounts for each
-order come from the counts of counts. The model is stored as sorted arrays of n-gram hashes with
-log-probabilities and back-off weights beside them; a batch of texts looks each of its distinct
-n-grams up once.
+The language model is a modified Kneser-Ney model of order 5 over code points, A-Z lower-cased and
+otherwise as they are, so that any script is modelled. Spark counts the n-grams of all texts; lower
+orders hold continuation counts; three discounts for each order come from the counts of counts;
+probabilities and back-off weights are computed by joins, order by order, so that no process holds
+the model. What scoring needs is one number for each n-gram and each context, which add up to the
+log-probability of a symbol: they are stored as sorted hash arrays and broadcast in blocks of at
+most ``BLOCK`` entries. A model of several blocks is applied block by block, whose sums are added.
 
 A text passes if its log-perplexity per symbol lies in the band of its language: quartiles of all
-texts of that language, counted in bins of 0.005, widened by ``SPREAD`` interquartile ranges. A text
-of a language with fewer than ``LEAST`` texts is held to the band of all texts.
+texts of that language, counted in bins of 0.005, widened by ``SPREAD`` interquartile ranges. Every
+language has a band of its own, however few its texts.
 
 Defined cases: a null text has no words, fails the base rules and is not kept; so does any text of
 under 50 words; a null language is a language of its own; a text of any length is read whole;
@@ -24,23 +24,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from annalist.llm.common import cut, set_aside, table
+from annalist.llm.common import cut, row_hash, set_aside, table
 
-ORDER = 4
-SYMBOLS = 32
+ORDER = 5
 LEAST_WORDS = 50
 SPREAD = 3.0
-LEAST = 30
 BIN = 0.005
 #: Languages whose bands are broadcast.
 SENT = 10_000
+#: Entries of the model that are broadcast at once, 16 bytes each.
+BLOCK = 1 << 22
+#: Distinct n-grams that a task holds before it passes them on, and symbols that are looked up at once.
+HELD, PIECE = 1 << 20, 1 << 20
 #: The largest log-perplexity that has a bin of its own.
 TOP = 40.0
 MARKS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
+#: Bits of a symbol, and the symbol that stands before and after each text.
+SYMBOL, EDGE = 21, 0x110000
 
 
 # ---- base rules
@@ -89,214 +93,246 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 # ---- symbols and n-grams
 
 
-def _folding() -> np.ndarray:
-    """Symbol of each code point below 1 << 16: 0 white space, 1 to 26 letters, 27 digits, 28 marks, 29 other ASCII, 30 and 31 the rest."""
-    out = 30 + (np.arange(1 << 16) * 2654435761 >> 7 & 1)
-    out[:128] = 29
-    out[[ord(c) for c in SPACE]] = 0
-    for k in range(26):
-        out[ord("a") + k] = out[ord("A") + k] = 1 + k
-    out[ord("0") : ord("9") + 1] = 27
-    out[[ord(c) for c in MARKS]] = 28
-    return out.astype(np.uint32)
+def windows(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(high, low, text number) of each n-gram of full order, some texts at a time.
 
+    One ends at each code point of a text and at its end. The first two symbols are packed into
+    ``high``, the last three into ``low``. An empty or null text has none.
+    """
+    held, size = [], 0
+    for k, text in enumerate([*texts, None]):
+        if text:
+            points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+            points[(points >= 65) & (points <= 90)] += 32
+            held.append((k, points))
+            size += len(points)
+        if held and (size >= PIECE or k == len(texts)):
+            edge = np.full(ORDER, EDGE, np.int64)
+            symbols = np.concatenate([edge[:-1], *(x for _, own in held for x in (own, edge))])
+            high = symbols[: 1 - ORDER] << SYMBOL | symbols[1 : 2 - ORDER]
+            low = symbols[2 : 3 - ORDER] << 2 * SYMBOL | symbols[3:-1] << SYMBOL | symbols[4:]
+            lengths = np.array([len(own) for _, own in held])
+            starts = np.cumsum(lengths + ORDER) - lengths - ORDER
+            owner = np.repeat(np.arange(len(held)), lengths + 1)
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(lengths + 1) - lengths - 1, lengths + 1) + starts[owner]
+            yield high[at], low[at], np.array([n for n, _ in held])[owner]
+            held, size = [], 0
+
+
+def ending(high, low, order: int):
+    """The last ``order`` symbols of n-grams, for arrays and for columns."""
+    mask = lambda x, n: x.bitwiseAND((1 << n * SYMBOL) - 1) if isinstance(x, Column) else x & ((1 << n * SYMBOL) - 1)
+    return (mask(high, max(order - 3, 0)), mask(low, min(order, 3)))
+
+
+def context(high, low):
+    """All symbols but the last."""
+    if isinstance(high, Column):
+        return F.shiftright(high, SYMBOL), F.shiftleft(high.bitwiseAND((1 << SYMBOL) - 1), 2 * SYMBOL).bitwiseOR(F.shiftright(low, SYMBOL))
+    return high >> SYMBOL, (high & (1 << SYMBOL) - 1) << 2 * SYMBOL | low >> SYMBOL
+
+
+def counts(docs: DataFrame) -> DataFrame:
+    """(high, low, n): how often each n-gram of full order occurs in all texts of ``docs``."""
 
-_FOLD = _folding()
-
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-def symbols(text: str) -> np.ndarray:
-    """The symbols of a text, after ORDER - 1 spaces and before one."""
-    points = np.frombuffer(f"{' ' * (ORDER - 1)}{text} ".encode("utf-32-le", "replace"), np.uint32)
-    return _FOLD[np.minimum(points, (1 << 16) - 1)]
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            high, low, n = (np.concatenate([x[k] for x in held]) for k in range(3))
+            order = np.lexsort((low, high))
+            high, low, n = high[order], low[order], n[order]
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(high) != 0) | (np.diff(low) != 0)]))
+            return high[new], low[new], np.add.reduceat(n, new)
 
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["high", "low", "n"])
 
-def grams(text: str) -> np.ndarray:
-    """The code of the n-gram of full order that ends at each symbol of the text and at its end."""
-    own = symbols(text)
-    code = np.zeros(len(own) - ORDER + 1, np.uint32)
-    for k in range(ORDER):
-        code = code * SYMBOLS + own[k : k + len(code)]
-    return code
+        for batch in stream:
+            for high, low, _ in windows(batch.column(0).to_pylist()):
+                _, first, n = np.unique(row_hash(high, low), return_index=True, return_counts=True)
+                held.append((high[first], low[first], n))
+                if sum(len(x[2]) for x in held) > HELD:
+                    held = [merged()]
+                    if len(held[0][2]) > HELD // 2:
+                        yield out()
+                        held = []
+        if held:
+            yield out()
 
+    return docs.select("text").mapInArrow(run, "high long, low long, n long").groupBy("high", "low").agg(F.sum("n").alias("n"))
 
-def counts(docs: DataFrame) -> np.ndarray:
-    """How often each n-gram of full order occurs in all texts of ``docs``; SYMBOLS ** ORDER counts."""
-    size = SYMBOLS**ORDER
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in stream:
-            own = [grams(text) for text in batch.column(0).to_pylist() if text]
-            if own:
-                total += np.bincount(np.concatenate(own), minlength=size)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["gram", "n"])
-
-    summed = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    out = np.zeros(size, np.int64)
-    for batch in _arrow(summed):
-        out[batch.column("gram").to_numpy()] = batch.column("n").to_numpy()
-    return out
+# ---- the model
 
 
-def _arrow(df: DataFrame) -> list[pa.RecordBatch]:
-    """The rows of a frame of bounded size."""
-    return df.toArrow().to_batches()
+def discounts(grams: DataFrame) -> list[float]:
+    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more, from all counts of counts of an order."""
+    n1, n2, n3, n4 = grams.agg(*(F.count_if(F.col("n") == k) for k in (1, 2, 3, 4))).first()
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    found = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 0.75, 3 - 4 * y * n4 / n3 if n3 else 0.9]
+    return [min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1)]
 
 
-# ---- the model
+class Model:
+    """(key, value) of each n-gram and context in blocks of sorted hash arrays, and the value of a symbol that no text holds."""
 
+    def __init__(self, blocks: list[tuple[np.ndarray, np.ndarray]], unseen: float):
+        self.blocks, self.unseen = blocks, unseen
 
-def discounts(found: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more; 0 to each count's own size."""
-    n1, n2, n3, n4 = (float((found == k).sum()) for k in (1, 2, 3, 4))
-    if not (n1 and n2 and n3 and n4):
-        return np.array([0.5, 0.75, 0.9])
-    y = n1 / (n1 + 2 * n2)
-    return np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.05, [0.95, 1.95, 2.95])
 
+def values(grams: DataFrame) -> tuple[DataFrame, float]:
+    """(key, value) for the model of counted n-grams of full order, and the value of an unknown symbol.
 
-def mixed(gram: np.ndarray) -> np.ndarray:
-    """The 64-bit hash under which an n-gram code is stored; different codes differ."""
-    return (gram.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    A symbol's log-probability after a context is ``unseen`` and the values of the contexts of all
+    lengths before it and of the n-grams of all lengths that end with it, those that exist.
+    """
+    own = {ORDER: grams}
+    for n in range(ORDER - 1, 0, -1):
+        # The continuation count of a shorter n-gram: the symbols that were seen before it.
+        high, low = ending(F.col("high"), F.col("low"), n)
+        own[n] = cut(own[n + 1].select(high.alias("high"), low.alias("low")).groupBy("high", "low").agg(F.count("*").alias("n")))
+    shorter, found, unseen = None, [], 0.0
+    for n in range(1, ORDER + 1):
+        cuts = discounts(own[n])
+        taken = F.element_at(F.array(*map(F.lit, cuts)), F.least(F.col("n"), F.lit(3)).cast("int"))
+        rows = own[n].withColumn("d", taken)
+        if n == 1:
+            total, lost, symbols = rows.agg(F.sum("n"), F.sum("d"), F.count("*")).first()
+            if not total:
+                return grams.select(F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("value")), 0.0
+            weight = lost / total
+            unseen = float(np.log(weight / (symbols + 1)))
+            shorter = cut(rows.select("high", "low", ((F.col("n") - F.col("d")) / total + F.lit(weight / (symbols + 1))).alias("p")))
+            found.append(shorter.select(F.xxhash64("high", "low", F.lit(n).cast("long")).alias("key"), (F.log("p") - unseen).alias("value")))
+            continue
+        before = context(F.col("high"), F.col("low"))
+        after = Window.partitionBy("before_high", "before_low")
+        rows = rows.withColumns({"before_high": before[0], "before_low": before[1]}).withColumns({"total": F.sum("n").over(after), "lost": F.sum("d").over(after)})
+        end_high, end_low = ending(F.col("high"), F.col("low"), n - 1)
+        rows = rows.withColumns({"weight": F.col("lost") / F.col("total"), "own": (F.col("n") - F.col("d")) / F.col("total"), "end_high": end_high, "end_low": end_low})
+        less = shorter.select(F.col("high").alias("end_high"), F.col("low").alias("end_low"), F.col("p").alias("less"))
+        rows = cut(rows.join(less, ["end_high", "end_low"]).select("high", "low", "before_high", "before_low", "weight", "less", (F.col("own") + F.col("weight") * F.col("less")).alias("p")))
+        value = F.log("p") - F.log("weight") - F.log("less")
+        found.append(rows.select(F.xxhash64("high", "low", F.lit(n).cast("long")).alias("key"), value.alias("value")))
+        contexts = rows.groupBy("before_high", "before_low").agg(F.first("weight").alias("weight"))
+        found.append(contexts.select(F.xxhash64("before_high", "before_low", F.lit(ORDER + n).cast("long")).alias("key"), F.log("weight").alias("value")))
+        shorter = rows.select("high", "low", "p")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return cut(out), unseen
+
+
+def model(docs: DataFrame) -> Model:
+    """The model of all texts of ``docs``, in blocks by ranges of the hash."""
+    entries, unseen = values(cut(counts(docs)))
+    n = -(-entries.count() // BLOCK)
+    blocks = []
+    for k in range(n):
+        rows = entries.filter(F.pmod("key", F.lit(n)) == k).toArrow()
+        keys, order = _sorted(rows["key"].to_numpy())
+        blocks.append((keys, rows["value"].to_numpy()[order]))
+    return Model(blocks, unseen)
+
+
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    return keys[order], order
+
+
+def looked_up(block: tuple[np.ndarray, np.ndarray], high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The sum of a block's values for the last symbol of each n-gram of full order."""
+    keys, held = block
+    out = np.zeros(len(high))
+    for n in range(1, ORDER + 1):
+        end = ending(high, low, n)
+        for name, gram in ((n, end), (ORDER + n, context(*end)))[: 1 if n == 1 else 2]:
+            own = row_hash(*gram, np.full(1, name, np.int64))
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            out += np.where(keys[at] == own, held[at], 0.0)
+    return out
 
 
-class Model:
-    """Sorted hash arrays for each order: n-gram hash, log-probability, and log back-off weight of it as a context."""
-
-    def __init__(self, full: np.ndarray):
-        own, tables = full, {}
-        for n in range(ORDER, 0, -1):
-            tables[n] = own
-            # The continuation count of a shorter n-gram: the symbols that were seen before it.
-            own = (own.reshape(SYMBOLS, -1) > 0).sum(axis=0)
-        lower, weights, probs = np.full(SYMBOLS, 1.0 / SYMBOLS), {}, {}
-        for n in range(1, ORDER + 1):
-            found = tables[n].astype(np.float64).reshape(-1, SYMBOLS)
-            cut_off = np.concatenate([[0], discounts(tables[n])])[np.minimum(tables[n], 3)].reshape(-1, SYMBOLS)
-            total = found.sum(axis=1, keepdims=True)
-            seen = total > 0
-            weight = np.where(seen, cut_off.sum(axis=1, keepdims=True) / np.where(seen, total, 1), 1.0)
-            below = np.tile(lower.reshape(-1, SYMBOLS), (SYMBOLS, 1)) if n > 1 else lower.reshape(1, -1)
-            lower = (np.where(seen, (found - cut_off) / np.where(seen, total, 1), 0.0) + weight * below).ravel()
-            probs[n], weights[n - 1] = lower, weight.ravel()
-        #: The probability of a symbol that no text holds.
-        self.unseen = max(weights[0][0], 1e-30) / SYMBOLS
-        self.arrays = []
-        for n in range(ORDER, 0, -1):
-            # Padding makes contexts that end no longer n-gram: they are stored for their weights.
-            held = tables[n] if n == ORDER else tables[n] + tables[n + 1].reshape(-1, SYMBOLS).sum(axis=1)
-            kept = np.flatnonzero(held)
-            hashes = mixed(kept)
-            order = np.argsort(hashes)
-            back = weights.get(n, np.ones(SYMBOLS**n))[kept]
-            self.arrays.append((hashes[order], np.log(probs[n][kept][order]).astype(np.float32), np.log(np.maximum(back[order], 1e-30)).astype(np.float32)))
-
-    def _find(self, n: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(found, place) of n-gram codes in the arrays of order n."""
-        hashes = self.arrays[ORDER - n][0]
-        if not len(hashes):
-            return np.zeros(len(codes), bool), np.zeros(len(codes), np.int64)
-        key = mixed(codes)
-        at = np.minimum(np.searchsorted(hashes, key), len(hashes) - 1)
-        return hashes[at] == key, at
-
-    def log_probs(self, codes: np.ndarray) -> np.ndarray:
-        """The log-probability of the last symbol of each n-gram of full order, given those before it."""
-        out, open_, codes = np.zeros(len(codes)), np.arange(len(codes)), codes.astype(np.int64)
-        for n in range(ORDER, 0, -1):
-            own = codes[open_] % SYMBOLS**n
-            found, at = self._find(n, own)
-            out[open_[found]] += self.arrays[ORDER - n][1][at[found]]
-            open_ = open_[~found]
-            if n > 1 and len(open_):
-                context = codes[open_] % SYMBOLS**n // SYMBOLS
-                known, at = self._find(n - 1, context)
-                out[open_[known]] += self.arrays[ORDER - n + 1][2][at[known]]
-        out[open_] += np.log(self.unseen)
-        return out
-
-    def perplexities(self, texts: list[str | None]) -> list[float]:
-        """The log-perplexity per symbol of each text; 0 for a null or empty one."""
-        own = [grams(text) if text else np.zeros(0, np.uint32) for text in texts]
-        present = np.zeros(SYMBOLS**ORDER, bool)
-        for codes in own:
-            present[codes] = True
-        distinct = np.flatnonzero(present)
-        score = np.zeros(SYMBOLS**ORDER)
-        score[distinct] = self.log_probs(distinct)
-        return [float(-score[codes].mean()) if len(codes) else 0.0 for codes in own]
+def sums(block: tuple[np.ndarray, np.ndarray], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of a block's values, number of symbols) of each text."""
+    total, size = np.zeros(len(texts)), np.zeros(len(texts))
+    for high, low, owner in windows(texts):
+        _, first, inverse = np.unique(row_hash(high, low), return_index=True, return_inverse=True)
+        total += np.bincount(owner, looked_up(block, high[first], low[first])[inverse], len(texts))
+        size += np.bincount(owner, minlength=len(texts))
+    return total, size
 
 
 # ---- bands and verdicts
 
 
-_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double"
+_BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double"
+_NAMES = [field.split()[0] for field in _BASE.split(", ")]
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the base counts and ``log_perplexity``; columns of these names are replaced."""
-    names = [field.split()[0] for field in _SCHEMA.split(", ")]
-    docs = docs.drop(*names)
-    at, sent = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
+    """``docs`` with the base counts and ``log_perplexity`` (0 for a null or empty text); columns of these names are replaced.
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            if batch.num_rows:
+    Each block of the model adds its part in the same pass over the rows.
+    """
+    docs = docs.drop(*_NAMES)
+    at, width = docs.columns.index("text"), len(docs.columns)
+    unseen, context_ = model.unseen, docs.sparkSession.sparkContext
+
+    def step(sent, first: bool):
+        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in stream:
+                if not batch.num_rows:
+                    continue
                 texts = batch.column(at).to_pylist()
-                rows = [(*c, base_failed(c[0], c[4]), p) for c, p in zip(map(base_counts, texts), sent.value.perplexities(texts), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(v)) for v in zip(*rows, strict=True))], [*batch.schema.names, *names])
+                more, size = sums(sent.value, texts) if sent else (np.zeros(len(texts)), np.zeros(len(texts)))
+                more = -more / np.maximum(size, 1)
+                columns, names = batch.columns[:width], batch.schema.names[:width]
+                if first:
+                    rows = [(*c, base_failed(c[0], c[4])) for c in map(base_counts, texts)]
+                    more -= np.where(size > 0, unseen, 0.0)
+                    columns += [pa.array(list(v)) for v in zip(*rows, strict=True)]
+                else:
+                    more += batch.column(batch.num_columns - 1).to_numpy()
+                    columns += batch.columns[width:-1]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(more)], [*names, *_NAMES])
+
+        return run
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{out}, {_SCHEMA}")
-
+    for k, block in enumerate(model.blocks or [None]):
+        docs = docs.mapInArrow(step(context_.broadcast(block) if block else None, k == 0), f"{out}, {_BASE}")
+    return docs
 
-def quartiles(bins: list[tuple[int, int]]) -> tuple[float, float]:
-    """First and third quartile of counted bins: middles of the bins that hold them."""
-    at = np.array(sorted(bins))
-    upto = np.cumsum(at[:, 1])
-    return tuple(float((at[np.searchsorted(upto, q * upto[-1]), 0] + 0.5) * BIN) for q in (0.25, 0.75))  # type: ignore[return-value]
 
+def bands(found: DataFrame) -> DataFrame:
+    """(band_lang, band_low, band_high): the band of each language's texts that pass the base rules.
 
-Band = tuple[float, float]
-
-
-def bands(found: DataFrame) -> tuple[dict[str | None, Band], Band]:
-    """Lower and upper log-perplexity for each language with ``LEAST`` texts, and for all texts, of those that pass the base rules.
-
-    ``found`` has lang, base_failed and log_perplexity. At most TOP / BIN bins for each language reach
-    the driver, a few rows at a time.
+    ``found`` has lang, base_failed and log_perplexity; TOP / BIN bins for each language at most are gathered.
     """
     code = F.floor(F.least(F.col("log_perplexity"), F.lit(TOP)) / BIN).alias("bin")
-    by: dict[str | None, dict[int, int]] = {}
-    every: dict[int, int] = {}
-    for lang, k, n in found.filter("not base_failed").groupBy("lang", code).agg(F.count("*")).toLocalIterator():
-        by.setdefault(lang, {})[k] = n
-        every[k] = every.get(k, 0) + n
-
-    def band(own: dict[int, int]) -> Band:
-        low, high = quartiles(list(own.items()))
-        room = SPREAD * max(high - low, BIN)
-        return low - room, high + room
-
-    return {lang: band(own) for lang, own in by.items() if sum(own.values()) >= LEAST}, band(every) if every else (float("-inf"), float("inf"))
+    bins = found.filter("not base_failed").groupBy("lang", code).agg(F.count("*").alias("n"))
+    own = Window.partitionBy("lang")
+    bins = bins.withColumns({"upto": F.sum("n").over(own.orderBy("bin")), "all": F.sum("n").over(own)})
+    at = [(F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) + 0.5) * BIN for q in (0.25, 0.75)]
+    rows = bins.groupBy("lang").agg(at[0].alias("low"), at[1].alias("high"))
+    room = SPREAD * F.greatest(F.col("high") - F.col("low"), F.lit(BIN))
+    return cut(rows.select(F.col("lang").alias("band_lang"), (F.col("low") - room).alias("band_low"), (F.col("high") + room).alias("band_high")))
 
 
-def verdict(found: DataFrame, limits: tuple[dict[str | None, Band], Band]) -> DataFrame:
+def verdict(found: DataFrame, limits: DataFrame) -> DataFrame:
     """``found`` with ``kept``: the base rules passed and the log-perplexity within its band."""
-    by, every = limits
-    rows = found.sparkSession.createDataFrame([(lang, *band) for lang, band in by.items()], "band_lang string, band_low double, band_high double")
     # A row for each language: small enough to send, unless the column holds no languages at all.
-    rows = F.broadcast(rows) if len(by) <= SENT else rows
+    rows = F.broadcast(limits) if limits.limit(SENT + 1).count() <= SENT else limits
     both = found.join(rows, F.col("lang").eqNullSafe(F.col("band_lang")), "left")
-    inside = F.col("log_perplexity").between(F.coalesce("band_low", F.lit(every[0])), F.coalesce("band_high", F.lit(every[1])))
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False))
     return both.withColumn("kept", ~F.col("base_failed") & inside).drop("band_lang", "band_low", "band_high")
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, the base counts, base_failed, log_perplexity, kept) for each row of ``docs``."""
-    model = Model(counts(docs))
-    found = cut(scored(docs.select("doc_id", "lang", "text"), model).drop("text"))
+    found = cut(scored(docs.select("doc_id", "lang", "text"), model(docs)).drop("text"))
     return verdict(found, bands(found))
 
 
@@ -305,10 +341,10 @@ def filtered(docs: DataFrame) -> DataFrame:
 
     Rows are judged where they are read, not joined, so that no text is shuffled.
     """
-    model = Model(counts(docs))
-    limits = bands(scored(docs.select("doc_id", "lang", "text"), model).drop("text"))
-    plain, back = set_aside(docs, (*(field.split()[0] for field in _SCHEMA.split(", ")), "band_lang", "band_low", "band_high", "kept"))
-    return verdict(scored(plain, model), limits).filter("kept").select(*back)
+    made = model(docs)
+    limits = bands(scored(docs.select("doc_id", "lang", "text"), made).drop("text"))
+    plain, back = set_aside(docs, (*_NAMES, "band_lang", "band_low", "band_high", "kept"))
+    return verdict(scored(plain, made), limits).filter("kept").select(*back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,49 +39,105 @@ def test_many_different_words():
     assert rules.repeated_words(words) == 5000
 
 
-def counted(texts):
-    out = np.zeros(rules.SYMBOLS**rules.ORDER, np.int64)
-    for text in texts:
-        np.add.at(out, rules.grams(text), 1)
-    return out
+def symbols(text):
+    return [rules.EDGE] * 4 + [ord(c.lower()) if "A" <= c <= "Z" else ord(c) for c in text] + [rules.EDGE]
 
 
-def test_counts_agree_with_a_loop(spark):
-    texts = [t for _, t in fixtures.texts() if t]
-    assert (rules.counts(fixtures.documents(spark)) == counted(texts)).all()
+def grams(text):
+    own = symbols(text)
+    return [tuple(own[k : k + 5]) for k in range(len(own) - 4)]
 
 
-def test_probabilities_of_every_context_add_up_to_one():
-    model = rules.Model(counted([fixtures.prose(k, 60) for k in range(5)]))
-    for context in [0, 1, 5 * 32 + 20, 20 * 1024 + 8 * 32 + 5, 31 * 1024 + 31 * 32 + 31]:
-        codes = context * rules.SYMBOLS + np.arange(rules.SYMBOLS)
-        assert np.exp(model.log_probs(codes)).sum() == pytest.approx(1, abs=1e-4)
+def named(gram):
+    high = gram[0] << 21 | gram[1]
+    return high, gram[2] << 42 | gram[3] << 21 | gram[4]
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(t,) for t in texts], "text string")
+
 
+def log_probability(model, gram):
+    high, low = (np.array([x], np.int64) for x in named(gram))
+    return model.unseen + sum(rules.looked_up(block, high, low)[0] for block in model.blocks)
 
-def test_kneser_ney_by_hand():
-    """The full-order probability from the formula, with dictionaries."""
-    texts = [fixtures.prose(k, 60) for k in range(4)]
-    tables = {4: Counter(g for t in texts for g in zip(*(rules.symbols(t)[k : len(rules.symbols(t)) - 3 + k].tolist() for k in range(4))))}
-    for n in (3, 2, 1):
-        tables[n] = Counter(g[1:] for g in tables[n + 1])
-    cuts = {n: rules.discounts(np.array(list(tables[n].values()))) for n in tables}
 
-    def p(g):
+class Plain:
+    """Modified Kneser-Ney in dictionaries, by the formula."""
+
+    def __init__(self, texts):
+        self.tables = {5: Counter(g for t in texts for g in grams(t))}
+        for n in (4, 3, 2, 1):
+            self.tables[n] = Counter(g[1:] for g in self.tables[n + 1])
+        self.cuts = {}
+        for n, table in self.tables.items():
+            n1, n2, n3, n4 = (sum(c == k for c in table.values()) for k in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+            found = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 0.75, 3 - 4 * y * n4 / n3 if n3 else 0.9]
+            self.cuts[n] = [min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1)]
+
+    def p(self, g):
         if not g:
-            return 1 / rules.SYMBOLS
-        n, lower = len(g), p(g[1:])
-        own = [(h, c) for h, c in tables[n].items() if h[:-1] == g[:-1]]
+            return 1 / (len(self.tables[1]) + 1)
+        n, lower = len(g), self.p(g[1:])
+        own = [(h, c) for h, c in self.tables[n].items() if h[:-1] == g[:-1]]
         total = sum(c for _, c in own)
         if not total:
             return lower
-        cut = lambda c: cuts[n][min(c, 3) - 1] if c else 0
-        c = tables[n].get(g, 0)
+        cut = lambda c: self.cuts[n][min(c, 3) - 1] if c else 0
+        c = self.tables[n].get(g, 0)
         return (c - cut(c)) / total + sum(cut(c) for _, c in own) / total * lower
 
-    model = rules.Model(counted(texts))
-    for g in [*list(tables[4])[:30], (1, 1, 1, 1), (20, 8, 5, 27)]:
-        code = np.array([((g[0] * 32 + g[1]) * 32 + g[2]) * 32 + g[3]])
-        assert np.exp(model.log_probs(code))[0] == pytest.approx(p(g), rel=1e-4)
+
+TEXTS = [fixtures.prose(k, 60) for k in range(4)] + ["\u65e5\u672c\u8a9e\u306e\u6587 \u65e5\u672c", "\U0001f600 Éa ünd"]
+
+
+def test_counts_agree_with_a_loop(spark):
+    texts = [t for _, t in fixtures.texts() if t]
+    found = {(r.high, r.low): r.n for r in rules.counts(fixtures.documents(spark)).collect()}
+    assert found == Counter(named(g) for t in texts for g in grams(t))
+
+
+@pytest.mark.parametrize("block", [1 << 22, 200])
+def test_kneser_ney_by_hand(spark, block, monkeypatch):
+    """Known and unknown n-grams, with the model in one block and in many."""
+    monkeypatch.setattr(rules, "BLOCK", block)
+    plain, model = Plain(TEXTS), rules.model(frame(spark, TEXTS))
+    assert len(model.blocks) == (1 if block > 200 else -(-sum(len(k) for k, _ in model.blocks) // 200))
+    known = list(plain.tables[5])
+    odd = [(*g[:4], 0x6F22) for g in known[:5]] + [(0x6F22, *g[1:]) for g in known[5:10]] + [(0x6F22,) * 5, (*known[3][:3], 0x6F22, 101)]
+    for g in [*known[::9], *known[-12:], *odd]:
+        assert np.exp(log_probability(model, g)) == pytest.approx(plain.p(g), rel=1e-9)
+
+
+def test_probabilities_of_every_context_add_up_to_one():
+    plain = Plain(TEXTS)
+    every = [s for (s,) in plain.tables[1]]
+    for g in list(plain.tables[5])[::97]:
+        assert sum(plain.p((*g[:4], s)) for s in [*every, 0x6F22]) == pytest.approx(1, abs=1e-9)
+
+
+def test_perplexities_are_means_of_log_probabilities(spark, monkeypatch):
+    plain = Plain(TEXTS)
+    for block in (1 << 22, 500):
+        monkeypatch.setattr(rules, "BLOCK", block)
+        docs = spark.createDataFrame([(k, t) for k, t in enumerate([*TEXTS, "", None])], "doc_id long, text string")
+        found = {r.doc_id: r.log_perplexity for r in rules.scored(docs, rules.model(docs)).collect()}
+        for k, text in enumerate([*TEXTS, "", None]):
+            own = [np.log(plain.p(g)) for g in grams(text)] if text and len(text) < 100 else None
+            if own:
+                assert found[k] == pytest.approx(-np.mean(own))
+            elif not text:
+                assert found[k] == 0
+
+
+def test_gibberish_in_any_script_is_rejected(spark):
+    draw = np.random.default_rng(0)
+    words = ["".join(chr(0x430 + c) for c in draw.integers(0, 32, 4)) for _ in range(30)]
+    rows = [(k, " ".join(draw.choice(words, 80)), "ru") for k in range(60)]
+    rows += [(100 + k, " ".join("".join(chr(0x430 + c) for c in draw.integers(0, 32, 6)) for _ in range(80)), "ru") for k in range(3)]
+    found = {r.doc_id: r.kept for r in rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert found == {k: k < 100 for k, *_ in rows}
 
 
 def test_verdicts_follow_the_bands(spark):
@@ -97,20 +153,16 @@ def test_verdicts_follow_the_bands(spark):
 
 def test_each_language_has_its_band(spark):
     rows = [(lang, False, base + k % 9 / 100) for lang, base in (("en", 1.0), ("", 2.0), (None, 3.0)) for k in range(40)] + [("xx", False, 1.0), ("en", True, 9.0)]
-    by, every = rules.bands(spark.createDataFrame(rows, "lang string, base_failed boolean, log_perplexity double"))
-    assert set(by) == {"en", "", None}
+    limits = rules.bands(spark.createDataFrame(rows, "lang string, base_failed boolean, log_perplexity double"))
+    by = {r.band_lang: (r.band_low, r.band_high) for r in limits.collect()}
+    assert set(by) == {"en", "", None, "xx"}
     for lang, base in (("en", 1.0), ("", 2.0), (None, 3.0)):
         assert base - 0.3 < by[lang][0] < base and base + 0.08 < by[lang][1] < base + 0.4
-    probe = [("en", False, 1.0), ("en", False, 2.0), (None, False, 3.0), ("", False, 3.0), ("xx", False, 2.0), ("en", True, 1.0)]
-    found = rules.verdict(spark.createDataFrame(probe, "lang string, base_failed boolean, log_perplexity double"), (by, every)).collect()
-    assert sorted((str(r.lang), r.log_perplexity, r.kept) for r in found) == sorted([("en", 1.0, True), ("en", 2.0, False), ("None", 3.0, True), ("", 3.0, False), ("xx", 2.0, True), ("en", 1.0, False)])
-
-
-def test_perplexities_are_means_of_log_probabilities():
-    texts = [fixtures.prose(k, 60) for k in range(4)]
-    model = rules.Model(counted(texts))
-    for text, found in zip([*texts, "", None], model.perplexities([*texts, "", None])):
-        assert found == pytest.approx(-model.log_probs(rules.grams(text)).mean() if text else 0.0)
+    probe = [("en", False, 1.0), ("en", False, 2.0), (None, False, 3.0), ("", False, 3.0), ("xx", False, 2.0), ("xx", False, 1.0), ("yy", False, 1.0), ("en", True, 1.0)]
+    found = rules.verdict(spark.createDataFrame(probe, "lang string, base_failed boolean, log_perplexity double"), limits).collect()
+    assert sorted((str(r.lang), r.log_perplexity, r.kept) for r in found) == sorted(
+        [("en", 1.0, True), ("en", 2.0, False), ("None", 3.0, True), ("", 3.0, False), ("xx", 2.0, False), ("xx", 1.0, True), ("yy", 1.0, False), ("en", 1.0, False)]
+    )
 
 
 def test_all_columns_are_kept(spark):
