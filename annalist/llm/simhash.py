@@ -5,13 +5,22 @@ correlated bits together. For every fingerprint thresholds t_1..t_m with sum ``r
 are chosen (-1: the block is not probed): any fingerprint within the radius must be within t_i in
 some block i. A dynamic program picks those thresholds that promise the fewest candidates, as
 estimated from histograms of all fingerprints; probes then meet the index in an equi-join and are
-verified on the whole 64 bits.
+verified on the whole fingerprint.
+
+Two passes keep the links of a cluster of many different near copies linear in its size. First each
+fingerprint is compared with a few that every other one under the same block value is compared with
+too; what links makes first classes. The probes then link only fingerprints of different first
+classes. No link between classes is lost, and those within a class change nothing.
+
+``deduplicated`` asks for texts whose five-word shingles are similar by ``SIMILARITY``. A wide
+fingerprint of 256 bits estimates that similarity from the share of differing bits; its first 64 bits
+find the candidates, with a radius that such pairs seldom exceed, and all its bits verify them.
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and is linked
 like any other; equal texts share a fingerprint and so a class; rows that repeat a doc_id are each
-returned; a null doc_id is returned with its fingerprint and its class, whose id is null if no row
-of the class has one; a text of any length is read whole; an empty table gives an empty result;
-other columns are ignored, and kept where documents are filtered.
+returned, with the class of their own text; a null doc_id is returned with its fingerprint and its
+class, whose id is null if no row of the class has one; a text of any length is read whole; an empty
+table gives an empty result; other columns are ignored, and kept where documents are filtered.
 """
 
 from __future__ import annotations
@@ -22,17 +31,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import batches, cut, table, utf8
+from annalist.llm.common import batches, cut, set_aside, table
 
 BITS = 64
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-#: A probe is shuffled; its price in verified candidates.
-PROBE_COST = 8.0
+#: Words of a wide fingerprint, the shingle and similarity of ``deduplicated``, and the radius of its candidates.
+WIDE, STAGE_SHINGLE, SIMILARITY, STAGE_RADIUS = 4, 5, 0.8, 10
+#: A probe is made, shuffled and sorted; its price in verified candidates.
+PROBE_COST = 64.0
 #: The largest threshold of one block; a ball of radius 3 in a block is never the cheapest here.
 MAX_THRESHOLD = 2
 #: Widest part of a block for which a histogram is kept: 2 ** 11 counts.
@@ -44,11 +55,11 @@ CHUNK = 1 << 18
 # ---- fingerprints
 
 
-def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
-    """The SimHash of a text's word shingles: bit set if set in over half of the hashes."""
+def fingerprint(text: bytes | None, size: int = SHINGLE, wide: int = 1) -> list[int]:
+    """The SimHash of a text's word shingles, 64 bits for each of ``wide`` seeds: bit set if set in over half of the hashes."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return [0] * wide
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths) + np.arange(len(words))
@@ -58,24 +69,35 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
     else:
         ends = ends[size - 1 :]
         starts = starts[: len(ends)]
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    digest, counts = xxhash.xxh64_intdigest, np.zeros((wide, BITS), np.int64)
     for k in range(0, len(ends), CHUNK):
         spans = zip(starts[k : k + CHUNK].tolist(), ends[k : k + CHUNK].tolist(), strict=True)
         hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(ends), bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for each row of ``docs``; fp holds the 64 bits as a signed long."""
+        for w in range(wide):
+            if w:  # a hash of the hash
+                hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + np.uint64(w)
+                hashes = (hashes ^ hashes >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+                hashes ^= hashes >> np.uint64(29)
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[w] += bits.sum(axis=0, dtype=np.int64)
+    return [int(np.packbits(2 * own > len(ends), bitorder="little").view("<u8")[0]) for own in counts]
+
+
+def fingerprints(docs: DataFrame, size: int = SHINGLE, wide: int = 1) -> DataFrame:
+    """``docs`` with fp and, of a wide fingerprint, w1 and so on; each holds 64 bits as a signed long. Columns of these names are replaced."""
+    names = ["fp", *(f"w{k}" for k in range(1, wide))]
+    docs = docs.drop(*names)
+    at = docs.columns.index("text")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in batches(stream):
-            found = np.array([fingerprint(text, size) for text in texts], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        for batch in stream:
+            if batch.num_rows:
+                texts = batch.column(at).cast(pa.binary()).to_pylist()
+                found = np.array([fingerprint(text, size, wide) for text in texts], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(wide))], [*batch.schema.names, *names])
 
-    return docs.select(F.col("doc_id").cast("long"), utf8(F.col("text"))).mapInArrow(run, "doc_id long, fp long")
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{own}, " + ", ".join(f"{n} long" for n in names))
 
 
 # ---- blocks of correlated bits
@@ -263,28 +285,57 @@ def plan(distinct: DataFrame, n: int, radius: int = RADIUS) -> Plan:
 # ---- links and classes
 
 
-def links(distinct: DataFrame, made: Plan) -> DataFrame:
-    """(a, b), a > b: representatives of two fingerprints within the radius.
+def _keyed(nodes: DataFrame, made: Plan, which: str, rest: list[str]) -> DataFrame:
+    """(key, fp, rest) of each of ``nodes`` under its probes or its index values."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for at in range(0, batch.num_rows, 1 << 14):
+                some = batch.slice(at, 1 << 14)
+                for keys, k in getattr(made, which)(some.column(0).to_numpy().view(np.uint64)):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *(c.take(pa.array(k)) for c in some.columns)], ["key", "fp", *rest])
+
+    return nodes.select("fp", *rest).mapInArrow(run, ", ".join(f"{n} long" for n in ("key", "fp", *rest)))
+
+
+def _near(a: str, b: str, words: list[str], limit: int) -> Column:
+    """Whether at most ``limit`` bits of two fingerprints differ, over all their words."""
+    bits = [F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words]
+    return sum(bits[1:], bits[0]) <= limit
 
-    A hot key is split by the skew handling of the sort-merge join; the check on all 64 bits is
-    part of the join, so that unverified candidates are never written.
+
+def first_links(nodes: DataFrame, made: Plan, words: list[str], limit: int) -> DataFrame:
+    """(a, b), a > b: links of fingerprints to three under each of their block values: the least, the greatest and one by hash.
+
+    At most three rows for each fingerprint and block.
     """
+    rest = [w for w in words if w != "fp"] + ["node"]
+    index = _keyed(nodes, made, "index", rest)
+    own = F.struct("node", *words)
+    hubs = index.groupBy("key").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.min(F.struct(F.xxhash64("node").alias("h"), own.alias("own"))).alias("some"))
+    hubs = hubs.select("key", F.explode(F.array_distinct(F.array("low", "high", "some.own"))).alias("hub")).select("key", "hub.*")
+    near = _near("i", "h", words, limit)
+    met = index.alias("i").join(hubs.alias("h").hint("merge"), (F.col("i.key") == F.col("h.key")) & (F.col("i.node") != F.col("h.node")) & near)
+    return met.select(F.greatest("i.node", "h.node").alias("a"), F.least("i.node", "h.node").alias("b"))
 
-    def rows(which: str):
-        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for fps, reps in _fps(stream):
-                for at in range(0, len(fps), 1 << 14):
-                    some, own = fps[at : at + (1 << 14)], reps[at : at + (1 << 14)]
-                    for keys, k in getattr(made, which)(some):
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(some[k].view(np.int64)), pa.array(own[k])], ["key", "fp", "rep"])
 
-        return distinct.mapInArrow(run, "key long, fp long, rep long")
+def links(nodes: DataFrame, made: Plan, words: list[str], limit: int) -> DataFrame:
+    """(a, b), a > b: first classes with fingerprints within the limit, of ``nodes`` (node, fp, further words, first).
 
-    probes, index = rows("probes").alias("p"), rows("index").alias("i").hint("merge")
-    near = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("i.fp"))) <= made.radius
-    return probes.join(index, (F.col("p.key") == F.col("i.key")) & (F.col("p.rep") > F.col("i.rep")) & near).select(
-        F.col("p.rep").alias("a"), F.col("i.rep").alias("b")
-    )
+    A hot key is split by the skew handling of the sort-merge join; the checks on the first 64 bits and
+    on the classes are part of the join, so that unverified candidates are never written.
+    """
+    rest = ["node", "first"]
+    probes, index = _keyed(nodes, made, "probes", rest).alias("p"), _keyed(nodes, made, "index", rest).alias("i").hint("merge")
+    # Probes find every neighbour of theirs, so that one direction is enough.
+    pair = (F.col("p.key") == F.col("i.key")) & (F.col("p.node") > F.col("i.node")) & (F.col("p.first") != F.col("i.first"))
+    met = probes.join(index, pair & _near("p", "i", ["fp"], made.radius))
+    if len(words) > 1:
+        # The first 64 bits have left few pairs; the further words are joined to those.
+        met = met.select("p.node", F.col("i.node").alias("other"))
+        one, two = (nodes.select(F.col("node").alias(name), "first", *words).alias(x) for x, name in (("p", "node"), ("i", "other")))
+        met = met.join(one.hint("merge"), "node").join(two.hint("merge"), "other").filter(_near("p", "i", words, limit))
+    return met.select(F.greatest("p.first", "i.first").alias("a"), F.least("p.first", "i.first").alias("b"))
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -341,20 +392,22 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-#: Classes without any id are named from here upward.
-NAMELESS = (1 << 63) - (1 << 48)
-
+def classes(prints: DataFrame, radius: int = RADIUS, limit: int | None = None) -> DataFrame:
+    """(words of the fingerprint, copies, component) for each distinct fingerprint of ``prints`` (fp, further words).
 
-def classes(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, copies, rep, component) for each row of ``docs``; ``rep`` stands for the fingerprint."""
-    prints = cut(fingerprints(docs, size))
-    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("fp"), F.lit((1 << 48) - 1))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("rep", F.coalesce("rep", nameless)))
-    nodes = distinct.select("fp", "rep")
-    made = plan(nodes, nodes.count(), radius)
-    found = components(links(nodes, made))
-    known = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", "copies", "rep", F.coalesce("component", "rep").alias("component"))
-    return prints.join(known.hint("merge"), "fp").select("doc_id", "fp", "copies", "rep", "component")
+    Links have at most ``radius`` different bits in fp and ``limit`` in all words. Components are
+    named by a node of theirs.
+    """
+    words = prints.columns
+    limit = radius if limit is None else limit
+    node = F.col("fp") if len(words) == 1 else F.xxhash64(*words)
+    nodes = cut(prints.groupBy(*words).agg(F.count("*").alias("copies")).withColumn("node", node))
+    made = plan(nodes.select("fp", "node"), nodes.count(), radius)
+    first = components(first_links(nodes, made, words, limit))
+    named = nodes.join(first.withColumnRenamed("component", "first").hint("merge"), "node", "left")
+    nodes = cut(named.select(*words, "copies", "node", F.coalesce("first", "node").alias("first")))
+    more = components(links(nodes, made, words, limit)).withColumnRenamed("node", "first")
+    return nodes.join(more.hint("merge"), "first", "left").select(*words, "copies", F.coalesce("component", "first").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
@@ -363,30 +416,49 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE)
     ``component_id`` is the smallest doc_id reachable over links, ``copies`` the rows of that
     fingerprint. Extra columns of ``docs`` are ignored.
     """
-    named = F.when(F.col("component") < NAMELESS, F.col("component"))
-    return classes(docs, radius, size).select("doc_id", "fp", "copies", named.alias("component_id"))
+    prints = cut(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), size).drop("text"))
+    known = cut(classes(prints.select("fp"), radius))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(known.hint("merge"), "fp")
+    ids = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = cut(known.join(ids.hint("merge"), "component").select("fp", "copies", "component_id"))
+    return prints.join(known.hint("merge"), "fp").select("doc_id", "fp", "copies", "component_id")
+
 
+def most_bits(similarity: float, bits: int) -> int:
+    """The most differing bits at which a fingerprint's estimate of the similarity (Jaccard's, of shingles) is as asked."""
+    overlap = 2 * similarity / (1 + similarity)
+    return int(bits * math.acos(overlap) / math.pi)
 
-def deduplicated(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """One row of ``docs`` for each class, with all its columns: that of the smallest doc_id.
 
-    Of rows that repeat that id the least in order of the columns stays; of a class without any id,
-    the least row of one fingerprint.
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, radius: int = STAGE_RADIUS, size: int = STAGE_SHINGLE) -> DataFrame:
+    """One row of ``docs`` for each class of similar texts, with all its columns.
+
+    The row of the smallest doc_id stays (a null one only where the class has no other); of rows that
+    repeat that id with the same fingerprint the least in order of the columns.
     """
-    found = cut(classes(docs.select("doc_id", "text"), radius, size))
-    keep = cut(found.filter("doc_id = component").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows")))
+    prints = cut(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), size, WIDE).drop("text"))
+    words = prints.columns[1:]
+    docs, back = set_aside(docs, (*words, *(f"k_{w}" for w in words), "k_id", "k_alone"))
+    known = classes(prints.select(*words), radius, most_bits(similarity, BITS * WIDE)).drop("copies")
+    found = prints.groupBy("doc_id", *words).agg(F.count("*").alias("rows"))
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *words, "rows")).alias("best")
+    keep = found.join(known.hint("merge"), words).groupBy("component").agg(best).select("best.*")
+    texts = found.groupBy("doc_id").agg(F.sum("rows").alias("all"))
+    keep = cut(keep.join(texts.hint("merge"), "doc_id", "left").select("doc_id", *words, F.col("doc_id").isNotNull() & (F.col("all") == 1)).toDF("k_id", *(f"k_{w}" for w in words), "k_alone"))
     # Always a shuffle join: the list of what stays grows with the documents.
-    kept = docs.alias("d").join(keep.alias("k").hint("merge"), F.col("d.doc_id") == F.col("k.id"))
-    out = kept.filter("k.rows = 1").select("d.*")
-    least = F.min(F.struct("d.*")).alias("least")
-    if keep.filter("rows > 1").limit(1).count():
-        out = out.unionByName(kept.filter("k.rows > 1").groupBy("k.id").agg(least).select("least.*"))
-    nameless = found.filter(f"doc_id is null and component >= {NAMELESS} and rep = component").select("fp").distinct()
-    if nameless.limit(1).count():
-        one = F.udf(lambda text: int(np.uint64(fingerprint(bytes(text or b""), size)).view(np.int64)), "long")
-        rows = docs.filter("doc_id is null").alias("d").join(nameless.alias("k"), one(utf8(F.col("d.text"))) == F.col("k.fp"))
-        out = out.unionByName(rows.groupBy("k.fp").agg(least).select("least.*"))
-    return out
+    alone = keep.filter("k_alone").select("k_id").hint("merge")
+    out = docs.join(alone, F.col("doc_id") == F.col("k_id")).drop("k_id")
+    others = keep.filter("not k_alone")
+    if others.limit(1).count():
+        # Ids that several rows have, and null: the rows are known by their fingerprints.
+        ids = others.select("k_id").distinct().hint("merge")
+        rows = docs.filter("doc_id is not null").join(ids, F.col("doc_id") == F.col("k_id"), "left_semi").unionByName(docs.filter("doc_id is null"))
+        same = F.col("doc_id").eqNullSafe(F.col("k_id"))
+        for w in words:
+            same &= F.col(w) == F.col(f"k_{w}")
+        met = fingerprints(rows, size, WIDE).join(others.hint("merge"), same)
+        out = out.unionByName(met.groupBy("doc_id", *words).agg(F.min(F.struct(*docs.columns)).alias("least")).select("least.*"))
+    return out.select(*back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

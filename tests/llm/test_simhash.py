@@ -1,9 +1,11 @@
 import itertools
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from annalist.llm import simhash
 from tests.llm import fixtures
@@ -38,7 +40,8 @@ def brute_classes(rows, radius=4):
 def test_fingerprint_is_that_of_the_rule():
     for _, text in fixtures.texts():
         if len(text or "") < 5000:
-            assert simhash.fingerprint(None if text is None else text.encode()) == brute_print(text)
+            assert simhash.fingerprint(None if text is None else text.encode()) == [brute_print(text)]
+            assert simhash.fingerprint((text or "").encode(), wide=4)[0] == brute_print(text)
 
 
 def test_long_text_in_chunks(monkeypatch):
@@ -60,9 +63,42 @@ def test_every_near_pair_is_found(spark, m, monkeypatch):
     near = [int(f) ^ sum(1 << int(b) for b in draw.choice(64, draw.integers(1, 7), replace=False)) for f in np.repeat(fps, 4)]
     every = np.unique(np.concatenate([fps, np.array(near, dtype=np.uint64)]))
     monkeypatch.setattr(simhash, "block_count", lambda n, radius: m)
-    frame = spark.createDataFrame([(int(f.view(np.int64)), k) for k, f in enumerate(every)], "fp long, rep long")
-    found = {(r.a, r.b) for r in simhash.links(frame, simhash.plan(frame, len(every))).collect()}
-    assert found == {(a, b) for a in range(len(every)) for b in range(a) if int(every[a] ^ every[b]).bit_count() <= 4}
+    frame = spark.createDataFrame([(int(f.view(np.int64)), k, k) for k, f in enumerate(every)], "fp long, node long, first long")
+    made = simhash.plan(frame.select("fp", "node"), len(every))
+    found = {(r.a, r.b) for r in simhash.links(frame, made, ["fp"], 4).collect()}
+    near = {(a, b) for a in range(len(every)) for b in range(a) if int(every[a] ^ every[b]).bit_count() <= 4}
+    assert found == near
+    assert {(r.a, r.b) for r in simhash.first_links(frame, made, ["fp"], 4).collect()} <= near
+
+
+def test_links_of_a_dense_cluster_are_linear(spark):
+    """5,000 different near copies of one fingerprint: some three million pairs of them link."""
+    draw = np.random.default_rng(1)
+    fps = {0x0123456789ABCDEF ^ sum(1 << int(b) for b in draw.choice(64, draw.integers(1, 4), replace=False)) for _ in range(6000)}
+    fps = np.array(sorted(fps), np.uint64)[:5000]
+    prints = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    nodes = prints.withColumn("node", F.col("fp"))
+    made = simhash.plan(nodes, len(fps))
+    first = simhash.first_links(nodes, made, ["fp"], 4)
+    assert first.count() <= 3 * 5 * len(fps)
+    named = simhash.components(first)
+    nodes = nodes.join(named, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("first"))
+    assert simhash.links(nodes, made, ["fp"], 4).count() <= 15 * len(fps)
+    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
+    parent, left = {}, set(range(len(fps)))
+    while left:
+        start = left.pop()
+        reached, fresh = {start}, [start]
+        while fresh:
+            near = np.flatnonzero((bits != bits[fresh.pop()]).sum(axis=1) <= 4)
+            new = set(near.tolist()) & left
+            left -= new
+            reached |= new
+            fresh += new
+        parent |= dict.fromkeys(reached, start)
+    found = {r.fp: r.component for r in simhash.classes(prints).collect()}
+    pairs = Counter((parent[k], found[int(f)]) for k, f in enumerate(fps.view(np.int64)))
+    assert len(pairs) == len(set(parent.values())) == len(set(found.values()))
 
 
 def test_allocation_is_the_cheapest():
@@ -93,16 +129,53 @@ def test_components_of_a_long_chain(spark):
     assert found == {k: 0 for k in range(1, 301)} | {1001: 1000}
 
 
+def similar(a, b):
+    """Jaccard's similarity of the sets of five-word shingles."""
+    sets = []
+    for text in (a, b):
+        words = (text or "").lower().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
 def test_deduplicated_keeps_one_of_each_class(spark):
     docs = fixtures.documents(spark)
     kept = simhash.deduplicated(docs)
     assert kept.columns == docs.columns
-    classes = brute_classes(fixtures.texts())
-    named = {c for _, _, c in classes if c is not None}
-    nameless = {p for _, p, c in classes if c is None}
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(named)
-    assert ids.count(None) == len(nameless)
+    texts, ids = dict(fixtures.texts()), [r.doc_id for r in kept.collect()]
+    # 2 has copies, 105 copies 5, 106 nearly 3, a null id copies 7; 100 to 102 have no words.
+    gone = {105, 101, 102}
+    assert similar(texts[3], texts[106]) >= 0.8
+    assert sorted(i for i in ids if i is not None) == sorted(set(i for i in texts if i is not None) - gone - {106})
+    assert ids.count(None) == 1
+
+
+def test_each_class_keeps_a_row_whatever_its_ids(spark):
+    a, b, c, d = (fixtures.prose(k, 80) for k in (201, 202, 203, 204))
+    rows = [(5, a, 1), (5, b, 2), (9, b, 3), (None, c, 4), (None, c, 4), (None, d, 5), (7, d, 6), (5, a, 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, fp long")
+    kept = Counter(map(tuple, simhash.deduplicated(frame).collect()))
+    assert kept == Counter([(5, a, 0), (5, b, 2), (None, c, 4), (7, d, 6)])
+    found = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(frame).collect()}
+    assert found == {(5, 5), (9, 5), (None, None), (None, 7), (7, 7)}
+
+
+def test_similar_texts_go_and_others_stay(spark):
+    """Against brute-force similarity: nearly all texts of 0.85 or more go, none under 0.7."""
+    draw = random.Random(5)
+    rows, expected = [], {}
+    for k in range(60):
+        words = fixtures.prose(300 + k, 150 + 10 * (k % 20)).split()
+        other = list(words)
+        for _ in range(1 + k % 12):
+            other[draw.randrange(len(other))] = f"new{k}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        expected[2 * k + 1] = similar(rows[-2][1], rows[-1][1])
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(2 * k in kept for k in range(60))
+    near = [i for i, s in expected.items() if s >= 0.85]
+    assert len(near) > 10 and sum(i not in kept for i in near) >= 0.9 * len(near)
+    assert all(i in kept for i, s in expected.items() if s < 0.7) and any(s < 0.7 for s in expected.values())
 
 
 def test_empty_table(spark):
