@@ -4,9 +4,10 @@ The prompt is the longest common prefix of turns: all turns before the first tur
 the two conversations differ. It is rendered once; what follows is rendered for each side, with
 the spans of characters that a loss may use (what the assistant says, and its end mark). Only
 DataFrame functions are used. Rows are first merged by (pair, turn, role, text), which adds up
-repeated rows before anything is gathered, and a pair of very long conversations gives one row for
-every ``PART`` turn numbers, so that no row gathers an unbounded conversation; parts are
-concatenated in order.
+repeated rows before anything is gathered. A pair is one row, however many turns it has; Spark's
+bound of 2 GB for a string holds. ``parts`` gives the same examples as a table of pieces of ``PART``
+turn numbers, for conversations beyond that bound: joined by pair_id and concatenated in order of
+part, the pieces are the whole texts.
 
 Defined cases: a missing side leaves an empty prompt and an empty completion, and ``paired`` false;
 equal conversations are all prompt; repeated rows count once; several rows of one turn are ordered
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from annalist.llm.common import table
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-#: Turn numbers of one output row.
+#: Turn numbers of one row of ``parts``.
 PART = 256
 
 
@@ -61,11 +62,19 @@ def _spans(turns: Column) -> Column:
 
 
 def formatted(sides: DataFrame) -> DataFrame:
-    """One row for each pair, and for each further ``PART`` turn numbers of a long one.
+    """One row for each pair: (pair_id, paired, prompt_turns, prompt, chosen, chosen_spans, rejected, rejected_spans).
 
-    (pair_id, part, paired, prompt_turns, prompt, chosen, chosen_spans, rejected, rejected_spans);
-    ``prompt_turns`` counts the prompt's rows of that part. ``sides`` is as ``sided`` gives it.
+    ``prompt_turns`` counts the prompt's rows. ``sides`` is as ``sided`` gives it.
     """
+    return _rows(sides, F.lit(0).cast("long")).drop("part")
+
+
+def parts(sides: DataFrame, size: int = PART) -> DataFrame:
+    """The columns of ``formatted`` and ``part``: a row for every ``size`` turn numbers of a pair; counts and spans are the part's own."""
+    return _rows(sides, F.floor(F.col("turn") / size).cast("long"))
+
+
+def _rows(sides: DataFrame, part: Column) -> DataFrame:
     clean = sides.select(
         "pair_id",
         "side",
@@ -80,7 +89,7 @@ def formatted(sides: DataFrame) -> DataFrame:
     common = F.col("split").isNull() | (F.col("turn") < F.col("split"))
     turns = (
         merged.join(heads, "pair_id")
-        .withColumn("part", F.floor(F.col("turn") / PART))
+        .withColumn("part", part)
         .groupBy("pair_id", "part", "paired")
         .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", common.alias("p"), "c", "r"))).alias("turns"))
     )
@@ -92,7 +101,7 @@ def formatted(sides: DataFrame) -> DataFrame:
     split = turns.select("pair_id", "part", "paired", *(x.alias(name) for name, x in own.items()))
     return split.select(
         "pair_id",
-        F.col("part").cast("long"),
+        "part",
         "paired",
         F.size("prompt").cast("long").alias("prompt_turns"),
         _text(F.col("prompt")).alias("prompt"),
@@ -123,17 +132,17 @@ with t as (
 m as (select pair_id, turn, role, text, bool_or(side = 0) as c, bool_or(side = 1) as r from t group by all),
 h as (select pair_id, min(case when not (c and r) then turn end) as split, bool_or(c) and bool_or(r) as paired from m group by all),
 x as (
-  select m.*, paired, cast(floor(turn / 256) as bigint) as part, split is null or turn < split as p,
+  select m.*, paired, split is null or turn < split as p,
          '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as line
   from m join h using (pair_id)),
 s as (
   select *, sum(length(line)) filter (where not p and c) over w as c_end, sum(length(line)) filter (where not p and r) over w as r_end
-  from x window w as (partition by pair_id, part order by turn, role, text rows unbounded preceding))
-select pair_id, part, paired, count(*) filter (where p) as prompt_turns,
+  from x window w as (partition by pair_id order by turn, role, text rows unbounded preceding))
+select pair_id, paired, count(*) filter (where p) as prompt_turns,
        coalesce(string_agg(line, '' order by turn, role, text) filter (where p), '') as prompt,
        coalesce(string_agg(line, '' order by turn, role, text) filter (where not p and c), '') as chosen,
        coalesce(string_agg((c_end - length(line) + 13 + length(role)) || ':' || c_end, ',' order by turn, role, text) filter (where not p and c and role = 'assistant'), '') as chosen_spans,
        coalesce(string_agg(line, '' order by turn, role, text) filter (where not p and r), '') as rejected,
        coalesce(string_agg((r_end - length(line) + 13 + length(role)) || ':' || r_end, ',' order by turn, role, text) filter (where not p and r and role = 'assistant'), '') as rejected_spans
-from s group by pair_id, part, paired"""
+from s group by pair_id, paired"""
 }

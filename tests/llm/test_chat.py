@@ -17,7 +17,7 @@ def rows():
     return [(*r, "e", 7) for r in out]
 
 
-def brute(data):
+def brute(data, size):
     sides = defaultdict(set)
     for conv, turn, role, text, *_ in data:
         if conv is not None:
@@ -26,8 +26,8 @@ def brute(data):
     for pair in {c >> 1 for c in sides}:
         c, r = sides[2 * pair], sides[2 * pair + 1]
         split = min((t for t, *_ in c ^ r), default=float("inf"))
-        for part in {t // chat.PART for t, *_ in c | r}:
-            own = lambda rows, keep: sorted(x for x in rows if x[0] // chat.PART == part and keep(x[0]))  # noqa: E731, B023
+        for part in {t // size for t, *_ in c | r}:
+            own = lambda rows, keep: sorted(x for x in rows if x[0] // size == part and keep(x[0]))  # noqa: E731, B023
             texts, spans = [], []
             for turns in (own(c | r, lambda t: t < split), own(c, lambda t: t >= split), own(r, lambda t: t >= split)):
                 text, span = "", []
@@ -42,12 +42,34 @@ def brute(data):
 
 
 def found(frame):
-    return {(r.pair_id, r.part): (r.paired, r.prompt, r.chosen, r.rejected, [tuple(s) for s in r.chosen_spans], [tuple(s) for s in r.rejected_spans]) for r in frame.collect()}
+    return {(r.pair_id, r.part if "part" in frame.columns else 0): (r.paired, r.prompt, r.chosen, r.rejected, [tuple(s) for s in r.chosen_spans], [tuple(s) for s in r.rejected_spans]) for r in frame.collect()}
 
 
 def test_pairs(spark):
+    """One row for each pair, also for one of 600 turns; a null turn comes first."""
     frame = spark.createDataFrame(rows(), SCHEMA).repartition(3)
-    assert found(chat.formatted(chat.neighbours(frame))) == brute(rows())
+    out = found(chat.formatted(chat.neighbours(frame)))
+    expected = brute(rows(), 10**9)
+    joined = {}
+    for (pair, part), own in sorted(expected.items()):  # a null turn is number -1, before part 0
+        joined[pair, 0] = own if (pair, 0) not in joined else _after(joined[pair, 0], own)
+    assert out == joined
+    assert out[4, 0][1].count("<|im_start|>") == 300 and out[4, 0][2].count("<|im_start|>") == 300 == out[4, 0][3].count("<|im_start|>")
+
+
+def _after(a, b):
+    move = lambda spans, text: [(x + len(text), y + len(text)) for x, y in spans]
+    return (a[0], a[1] + b[1], a[2] + b[2], a[3] + b[3], a[4] + move(b[4], a[2]), a[5] + move(b[5], a[3]))
+
+
+def test_parts_are_the_whole_in_pieces(spark):
+    sides = chat.neighbours(spark.createDataFrame(rows(), SCHEMA).repartition(3))
+    out = found(chat.parts(sides))
+    assert out == brute(rows(), chat.PART) and len([k for k in out if k[0] == 4]) == 3
+    joined = {}
+    for (pair, _), own in sorted(out.items()):
+        joined[pair, 0] = own if (pair, 0) not in joined else _after(joined[pair, 0], own)
+    assert joined == found(chat.formatted(sides))
 
 
 def test_prompt_is_the_longest_common_prefix(spark):
@@ -63,7 +85,7 @@ def test_explicit_pairs(spark):
     turns = spark.createDataFrame(rows(), SCHEMA)
     pairs = spark.createDataFrame([("p", 0, 1), ("q", 4, 0)], "pair_id string, chosen_id long, rejected_id long")
     out = found(chat.formatted(chat.sided(turns, pairs)))
-    assert out["p", 0] == brute(rows())[0, 0]
+    assert out["p", 0] == brute(rows(), 10**9)[0, 0]
     assert out["q", 0][1] == ""
 
 
