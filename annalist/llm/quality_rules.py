@@ -45,6 +45,8 @@ MARKS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
 #: Bits of a symbol, and the symbol that stands before and after each text.
 SYMBOL, EDGE = 21, 0x110000
+#: What marks the key of a sum in the model; up to 2 * ORDER, n-grams and contexts have their lengths.
+WHOLE = 2 * ORDER + 1
 
 
 # ---- base rules
@@ -132,6 +134,16 @@ def context(high, low):
     return high >> SYMBOL, (high & (1 << SYMBOL) - 1) << 2 * SYMBOL | low >> SYMBOL
 
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place of each distinct key, how often it occurs, the number of each place's key)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    starts, number = np.flatnonzero(new), np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new) - 1
+    return order[starts], np.diff(starts, append=len(keys)), number
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """(high, low, n): how often each n-gram of full order occurs in all texts of ``docs``."""
 
@@ -150,7 +162,7 @@ def counts(docs: DataFrame) -> DataFrame:
 
         for batch in stream:
             for high, low, _ in windows(batch.column(0).to_pylist()):
-                _, first, n = np.unique(row_hash(high, low), return_index=True, return_counts=True)
+                first, n, _ = _grouped(row_hash(high, low))
                 held.append((high[first], low[first], n))
                 if sum(len(x[2]) for x in held) > HELD:
                     held = [merged()]
@@ -185,7 +197,8 @@ def values(grams: DataFrame) -> tuple[DataFrame, float]:
     """(key, value) for the model of counted n-grams of full order, and the value of an unknown symbol.
 
     A symbol's log-probability after a context is ``unseen`` and the values of the contexts of all
-    lengths before it and of the n-grams of all lengths that end with it, those that exist.
+    lengths before it and of the n-grams of all lengths that end with it, those that exist. For an
+    n-gram of full order their sum is stored as well.
     """
     own = {ORDER: grams}
     for n in range(ORDER - 1, 0, -1):
@@ -214,6 +227,8 @@ def values(grams: DataFrame) -> tuple[DataFrame, float]:
         less = shorter.select(F.col("high").alias("end_high"), F.col("low").alias("end_low"), F.col("p").alias("less"))
         rows = cut(rows.join(less, ["end_high", "end_low"]).select("high", "low", "before_high", "before_low", "weight", "less", (F.col("own") + F.col("weight") * F.col("less")).alias("p")))
         value = F.log("p") - F.log("weight") - F.log("less")
+        if n == ORDER:
+            found.append(rows.select(F.xxhash64("high", "low", F.lit(WHOLE).cast("long")).alias("key"), (F.log("p") - unseen).alias("value")))
         found.append(rows.select(F.xxhash64("high", "low", F.lit(n).cast("long")).alias("key"), value.alias("value")))
         contexts = rows.groupBy("before_high", "before_low").agg(F.first("weight").alias("weight"))
         found.append(contexts.select(F.xxhash64("before_high", "before_low", F.lit(ORDER + n).cast("long")).alias("key"), F.log("weight").alias("value")))
@@ -241,25 +256,36 @@ def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], order
 
 
-def looked_up(block: tuple[np.ndarray, np.ndarray], high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """The sum of a block's values for the last symbol of each n-gram of full order."""
+def _found(block: tuple[np.ndarray, np.ndarray], name: int, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(is it there, its value or 0) of keys."""
     keys, held = block
-    out = np.zeros(len(high))
+    own = row_hash(high, low, np.full(1, name, np.int64))
+    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    there = keys[at] == own
+    return there, np.where(there, held[at], 0.0)
+
+
+def looked_up(block: tuple[np.ndarray, np.ndarray], high: np.ndarray, low: np.ndarray, only: bool = False) -> np.ndarray:
+    """The sum of a block's values for the last symbol of each n-gram of full order; of the ``only`` block known sums are taken whole."""
+    out, rest = np.zeros(len(high)), np.arange(len(high))
+    if only:
+        there, out = _found(block, WHOLE, high, low)
+        rest = np.flatnonzero(~there)
+        high, low = high[rest], low[rest]
     for n in range(1, ORDER + 1):
         end = ending(high, low, n)
-        for name, gram in ((n, end), (ORDER + n, context(*end)))[: 1 if n == 1 else 2]:
-            own = row_hash(*gram, np.full(1, name, np.int64))
-            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            out += np.where(keys[at] == own, held[at], 0.0)
+        out[rest] += _found(block, n, *end)[1]
+        if n > 1:
+            out[rest] += _found(block, ORDER + n, *context(*end))[1]
     return out
 
 
-def sums(block: tuple[np.ndarray, np.ndarray], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def sums(block: tuple[np.ndarray, np.ndarray], texts: list[str | None], only: bool) -> tuple[np.ndarray, np.ndarray]:
     """(sum of a block's values, number of symbols) of each text."""
     total, size = np.zeros(len(texts)), np.zeros(len(texts))
     for high, low, owner in windows(texts):
-        _, first, inverse = np.unique(row_hash(high, low), return_index=True, return_inverse=True)
-        total += np.bincount(owner, looked_up(block, high[first], low[first])[inverse], len(texts))
+        first, _, inverse = _grouped(row_hash(high, low))
+        total += np.bincount(owner, looked_up(block, high[first], low[first], only)[inverse], len(texts))
         size += np.bincount(owner, minlength=len(texts))
     return total, size
 
@@ -278,7 +304,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """
     docs = docs.drop(*_NAMES)
     at, width = docs.columns.index("text"), len(docs.columns)
-    unseen, context_ = model.unseen, docs.sparkSession.sparkContext
+    unseen, only, context_ = model.unseen, len(model.blocks) == 1, docs.sparkSession.sparkContext
 
     def step(sent, first: bool):
         def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +312,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 if not batch.num_rows:
                     continue
                 texts = batch.column(at).to_pylist()
-                more, size = sums(sent.value, texts) if sent else (np.zeros(len(texts)), np.zeros(len(texts)))
+                more, size = sums(sent.value, texts, only) if sent else (np.zeros(len(texts)), np.zeros(len(texts)))
                 more = -more / np.maximum(size, 1)
                 columns, names = batch.columns[:width], batch.schema.names[:width]
                 if first:

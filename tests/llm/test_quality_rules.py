@@ -108,6 +108,9 @@ def test_kneser_ney_by_hand(spark, block, monkeypatch):
     odd = [(*g[:4], 0x6F22) for g in known[:5]] + [(0x6F22, *g[1:]) for g in known[5:10]] + [(0x6F22,) * 5, (*known[3][:3], 0x6F22, 101)]
     for g in [*known[::9], *known[-12:], *odd]:
         assert np.exp(log_probability(model, g)) == pytest.approx(plain.p(g), rel=1e-9)
+        if len(model.blocks) == 1:
+            high, low = (np.array([x], np.int64) for x in named(g))
+            assert model.unseen + rules.looked_up(model.blocks[0], high, low, True)[0] == pytest.approx(np.log(plain.p(g)))
 
 
 def test_probabilities_of_every_context_add_up_to_one():
