@@ -42,9 +42,27 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that ``cut`` has written and nothing has deleted.
+_CUTS: list[str] = []
+
+
+def cuts() -> int:
+    """How many folders are kept."""
+    return len(_CUTS)
+
+
+def drop_cuts(spark: SparkSession, since: int) -> None:
+    """Delete what was cut after there were ``since`` folders, but for the last one."""
+    for path in _CUTS[since:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _CUTS[since:-1]
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(0))

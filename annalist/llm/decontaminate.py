@@ -148,7 +148,8 @@ def judged(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
 
     if second is None:
         return docs.mapInArrow(judge(spark.sparkContext.broadcast(Windows(first, width))), out)
-    return _united(docs.drop("row"), chain([first, second], blocks), width)
+    plain, back = set_aside(docs, ("row",))
+    return _united(plain, chain([first, second], blocks), width).select(*back, *_NAMES)
 
 
 def spans(numbered: DataFrame, sent, first: bool) -> DataFrame:
