@@ -4,8 +4,9 @@ Documents are dealt by hash. In each round every split group of linked documents
 for the shard that most of it is in, among those with room for it, or else for any shard with room,
 drawn by spare capacity; a quota, the share of the demand that the shard's capacity admits, decides
 which groups move, and a join carries the decisions to the documents. The last few thousand groups
-are placed exactly, and rounds end when no group is split or none that is fits anywhere. Groups larger than half a shard, of which there are at most twice as many as shards,
-are planned on the driver over as few shards as hold them. Documents without links are ballast:
+are placed exactly, and rounds end when no group is split or none that is fits anywhere. Groups larger than half a shard,
+of which there are at most twice as many as shards, are planned on the driver over as few shards as
+hold them. Documents without links are ballast:
 passes over a histogram of (shard, hash bucket) move whole buckets from shards that are too large
 to those that are too small, finer in each pass, down to single documents.
 
@@ -42,7 +43,7 @@ def _draw(salt: int, *columns: str) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, size, text_crc32, k1, k2, shard): sizes, text keys of 128 bits, first shards."""
+    """(row, doc_id, size, text_crc32, k1, k2): sizes, and text keys of 128 bits by two seeds."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -50,10 +51,22 @@ def sized(docs: DataFrame) -> DataFrame:
         (F.octet_length(text).cast("long") + OVERHEAD).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("k1"),
-        F.xxhash64(text, F.lit(1)).alias("k2"),
+        F.xxhash64(F.lit("second"), text).alias("k2"),
     )
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``sized`` with ``name``, by which draws are made: it follows from id and text, so that the layout of files decides nothing.
+
+    Rows of equal id and text, between which nothing can tell, are told apart by their places.
+    """
+    key = ["doc_id", "k1", "k2"]
+    again = rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*(F.col(c).alias(f"r_{c}") for c in key), F.col("n"))
+    same = F.col("doc_id").eqNullSafe(F.col("r_doc_id")) & (F.col("k1") == F.col("r_k1")) & (F.col("k2") == F.col("r_k2"))
+    both = rows.join(again.hint("merge"), same, "left")
+    return both.select(*rows.columns, F.xxhash64(*key, F.when(F.col("n").isNotNull(), F.col("row"))).alias("name"))
+
+
 def _loads(df: DataFrame, shards: int) -> list[float]:
     out = [0.0] * shards
     for shard, size in df.groupBy("shard").agg(F.sum("size")).collect():  # a row for each shard
@@ -99,7 +112,7 @@ def place_exactly(groups: list[tuple[tuple[int, int], float, list[int]]], spare:
 
 
 def propagate(linked: DataFrame, total: float, shards: int) -> DataFrame:
-    """``linked`` (row, doc_id, size, text_crc32, k1, k2, shard) with the shards that its groups have moved to, and ``spread``: is the group planned over several?"""
+    """``linked`` (row, doc_id, size, text_crc32, k1, k2, name, shard) with the shards that its groups have moved to, and ``spread``: is the group planned over several?"""
     spark, capacity = linked.sparkSession, total / shards
     planned: dict[tuple[int, int], list[tuple[int, float]]] = {}
     state, turn, before = cut(linked.withColumn("spread", F.lit(False))), 0, -1
@@ -144,7 +157,7 @@ def propagate(linked: DataFrame, total: float, shards: int) -> DataFrame:
             rows = [(*key, [s for s, _ in parts], [x for _, x in parts]) for key, parts in planned.items()]
             moves = moves.unionByName(spark.createDataFrame(rows, _MOVES))
         moves = cut(moves)
-        draw = _draw(2000, "row")
+        draw = _draw(2000, "name")
         chosen = F.element_at(F.col("to"), F.size(F.filter("upto", lambda x: x <= draw)).cast("int") + 1)
         state = cut(state.join(moves.hint("merge"), ["k1", "k2"], "left").withColumn("shard", F.coalesce(chosen, "shard")).withColumn("spread", F.coalesce(F.size("to") > 1, "spread")).select(state.columns))
         turn, before = turn + 1, left
@@ -169,7 +182,7 @@ def even_out(state: DataFrame, movable: Column, total: float, shards: int, first
         if max(over, default=0) < 1:
             break
         part = FINER**turn
-        draw = _draw(first + turn, "row")
+        draw = _draw(first + turn, "name")
         bucket = F.when(movable & (draw < part), F.floor(draw / part * BUCKETS).cast("int"))
         full = F.array(*(F.lit(x > 0) for x in over))
         found = state.withColumn("bucket", bucket).filter(F.col("bucket").isNotNull() & full[F.col("shard")])
@@ -193,17 +206,17 @@ def with_slots(state: DataFrame) -> DataFrame:
     """``state`` with gapless ``slot`` numbers in each shard: parts of bounded size are numbered apart."""
     largest = state.groupBy("shard").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     parts = -(-largest // SLOTS_AT_ONCE) or 1
-    state = state.withColumn("part", F.floor(_draw(3000, "row") * parts))
+    state = state.withColumn("part", F.floor(_draw(3000, "name") * parts))
     sizes = state.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("shard", "part").orderBy("doc_id", "row")
+    within = Window.partitionBy("shard", "part").orderBy("doc_id", "k1", "k2", "row")
     return state.withColumn("k", F.row_number().over(within)).join(offsets, ["shard", "part"]).withColumn("slot", F.col("offset") + F.col("k") - 1)
 
 
 def shards(docs: DataFrame, count: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of ``docs``."""
-    base = cut(sized(docs).withColumn("shard", F.floor(_draw(0, "row") * count).cast("int")))
+    base = cut(named(cut(sized(docs))).withColumn("shard", F.floor(_draw(0, "name") * count).cast("int")))
     total = float(base.agg(F.sum("size")).first()[0] or 0)
     many = cut(base.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2"))
     linked = base.join(many.hint("merge"), ["k1", "k2"], "left_semi").select(base.columns)

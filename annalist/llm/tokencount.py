@@ -15,6 +15,7 @@ repeated rows are each returned; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -101,19 +102,21 @@ class Counter:
         return tokens, total
 
 
-_COUNTERS: dict[int, Counter] = {}
+#: The counter of the vocabulary that a worker used last, by the name of its broadcast.
+_COUNTERS: dict[str, Counter] = {}
 
 
 def counted(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
     """``docs`` with n_tokens and score; columns of these names are replaced."""
     docs = docs.drop("n_tokens", "score")
     at, sent = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(pieces)  # a vocabulary file: fixed size
+    name = uuid.uuid4().hex
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if id(sent.value) not in _COUNTERS:
+        if name not in _COUNTERS:
             _COUNTERS.clear()
-            _COUNTERS[id(sent.value)] = Counter(sent.value)
-        counter = _COUNTERS[id(sent.value)]
+            _COUNTERS[name] = Counter(sent.value)
+        counter = _COUNTERS[name]
         for batch in stream:
             if batch.num_rows:
                 found = [counter.count(text) for text in batch.column(at).to_pylist()]

@@ -43,6 +43,26 @@ def test_one_group_of_a_third_of_all_rows(spark):
     assert len({r.shard for r in found if r.doc_id % 3 == 0}) <= 5
 
 
+def test_the_layout_of_files_decides_nothing(spark):
+    rows = [(k, fixtures.prose(k % 200, 5 + k % 40)) for k in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = [sorted(map(tuple, sharding.shards(own, 8).collect())) for own in (docs.coalesce(1), docs.repartition(5, "text"))]
+    assert found[0] == found[1]
+
+
+def test_propagation_is_a_loop_over_split_groups(spark):
+    """Few groups with room everywhere: each goes whole to the shard that most of it is in."""
+    rows = [(k, fixtures.prose(k % 60, 20)) for k in range(300)] + [(k, fixtures.prose(k, 40)) for k in range(1000, 2000)]
+    base = sharding.named(sharding.sized(spark.createDataFrame(rows, SCHEMA))).withColumn("shard", F.floor(sharding._draw(0, "name") * 8).cast("int"))
+    linked = base.filter("doc_id < 300")
+    held = defaultdict(Counter)
+    for r in linked.collect():
+        held[r.k1][r.shard] += 1
+    total = 40.0 * sum(r["size"] for r in base.collect())
+    for r in sharding.propagate(linked, total, 8).collect():
+        assert r.shard == min(held[r.k1], key=lambda s: (-held[r.k1][s], s))
+
+
 def test_only_copies(spark):
     rows = [(k, "copy") for k in range(400)]
     sizes = laws(sharding.shards(spark.createDataFrame(rows, SCHEMA), 4).collect(), rows, 4)
@@ -77,7 +97,7 @@ def test_no_pair_stays_split_between_full_shards(spark, placed, monkeypatch):
     rows = [(k, "the same text again and again" if k % 3 == 0 else fixtures.prose(k // 3 % 700 + 1000 * (k % 3 == 1), 6)) for k in range(4200)]
     rows += [(k, fixtures.prose(k, 6)) for k in range(5000, 6500)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    sized = sharding.sized(docs).withColumn("shard", F.floor(sharding._draw(0, "row") * 40).cast("int"))
+    sized = sharding.named(sharding.sized(docs)).withColumn("shard", F.floor(sharding._draw(0, "name") * 40).cast("int"))
     pairs = sized.join(sized.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), ["k1", "k2"], "left_semi")
     total = float(sum(len(t) + 16 for _, t in rows))
     where, text = defaultdict(set), dict(rows)
