@@ -84,7 +84,9 @@ def plan_large(groups: list[tuple[tuple[int, int], float, dict[int, int]]], capa
     for key, size, held in sorted(groups, key=lambda g: (-g[1], g[0])):
         left, parts = size, []
         for shard in sorted(range(len(room)), key=lambda k: (room[k] < capacity / 2, -held.get(k, 0), k)):
-            taken = min(left, max(room[shard], 0.0))
+            # Rows are drawn: three standard deviations are left free, so that no shard ends too full.
+            free = max(room[shard], 0.0)
+            taken = min(left, free - min(3 * (free * size / max(sum(held.values()), 1)) ** 0.5, free / 5))
             if taken > 0:
                 parts.append((shard, taken))
                 room[shard] -= taken
