@@ -27,6 +27,22 @@ AUTO_LAG = 200
 FACT_COLUMNS = "entity_id path ord title aliases entity_type entity_visibility id predicate statement kind status observed_at valid_from valid_to expires_at supersedes source_ids evidence visibility".split()
 
 
+Adapter = Callable[[DataFrame], DataFrame]
+
+
+def _session_store(found: DataFrame) -> DataFrame:
+    """Sessions, messages and parts of a store, which lie in folders of these names."""
+    own = [found.filter(F.col("file").rlike(f"/{name}/")) for name in ("session", "message", "part")]
+    return chats.opencode_store(*own)
+
+
+#: (kind of events, how files are read) of adapters that no file name or line tells.
+ADAPTERS: dict[str, tuple[str, Adapter]] = {
+    "session_store": ("chat", _session_store),
+    "local_transcript": ("chat", lambda found: chats.local_transcript(files.lines(found))),
+}
+
+
 class NotFound(Exception):
     """No such record, or it may not be shown."""
 
@@ -38,22 +54,32 @@ def _digest(value) -> str:
 class Memory:
     """A store and its journal under one folder."""
 
-    def __init__(self, spark: SparkSession, root: str, reranker: search.Reranker | None = None):
+    def __init__(self, spark: SparkSession, root: str, reranker: search.Reranker | None = None, adapters: dict[str, tuple[str, Adapter]] | None = None):
         self.spark, self.root, self.reranker = spark, root.rstrip("/"), reranker
+        self.adapters = ADAPTERS | (adapters or {})
         self.store, self.journal = Store(spark, f"{self.root}/store"), Journal(spark, f"{self.root}/journal")
 
     # ---- input
 
-    def ingest(self, *paths: str, scope: str = "personal", session: str = "default") -> dict[str, int]:
-        """Read files of any known format into the journal; how many events were new and skipped."""
+    def ingest(self, *paths: str, scope: str = "personal", session: str = "default", adapter: str | None = None) -> dict[str, int]:
+        """Read files of any known format into the journal; how many events were new and skipped.
+
+        ``adapter`` names what reads all of them: session stores, local transcripts or the user's own;
+        else each file's format is told by its name and first lines.
+        """
         found = cut(files.files(self.spark, *paths))
+        if adapter is not None:
+            if adapter not in self.adapters:
+                raise Invalid(f"no adapter {adapter}")
+            kind, read = self.adapters[adapter]
+            return self.journal.append(cut(raw_events(read(found), kind, scope, session)), ["file", "line", "event_id"])
         lines = files.lines(found)
         kinds = files.sniffed(lines)
         adapter = files.routed(F.col("file"), F.coalesce("kind", F.lit("chat")))
         chosen = cut(found.select("file").distinct().join(kinds, "file", "left").select("file", adapter.alias("adapter")))
 
         def own(rows: DataFrame, name: str) -> DataFrame:
-            return rows.join(F.broadcast(chosen.filter(F.col("adapter") == name).select("file")), "file", "left_semi")
+            return rows.join(chosen.filter(F.col("adapter") == name).select("file"), "file", "left_semi")
 
         made = {
             "chat": [chats.chat_export(own(lines, "chat")), chats.claude_transcript(own(lines, "claude")), chats.codex_rollout(own(lines, "codex"), session)],
@@ -249,7 +275,7 @@ class Memory:
             reason = F.when(~F.col("role").isin("user", "note"), "not a user statement or memory file").when(F.col("ok").isNull(), "no durable fact")
             set_aside = events.join(taken, "seq", "left").select("seq", reason.alias("reason"))
         found = cut(found)
-        blocked = controls.filter(F.col("control").isin("suppressed", "deleted")).select("target")
+        blocked = eligibility.blocked(controls)
         good = similarity.placeable(found.select("id", "entity_id", "statement", "order"), facts.filter("status = 'active'").select("id", "entity_id", "statement"), blocked)
         new = found.join(good, "id", "left_semi").groupBy("id").agg(F.max_by(F.struct("entity_id", "entity_type", "title", "predicate", "statement", "evidence", "event_id", "seq"), "order").alias("p"), F.min("order").alias("order")).select("id", "order", "p.*")
         new = cut(new)
@@ -278,10 +304,14 @@ class Memory:
 
     def consolidate_all(self, prefix: str, high_water: int = 200, **options) -> int:
         """Batches until the log is read; how many there were."""
-        n = 0
-        while not self.consolidate(f"{prefix}-{self.store.head() + 1}", high_water, **options).get("caught_up", True):
-            n += 1
-        return n
+        return self.consolidate_totals(prefix, high_water, **options)["batches"]
+
+    def consolidate_totals(self, prefix: str, high_water: int = 200, **options) -> dict[str, int]:
+        """Batches until the log is read: how many, and their events, accepted events and new facts."""
+        totals = dict.fromkeys(("batches", "events", "accepted", "facts"), 0)
+        while not (found := self.consolidate(f"{prefix}-{self.store.head() + 1}", high_water, **options)).get("caught_up", True):
+            totals = {k: n + found.get(k, 1) for k, n in totals.items()}
+        return totals
 
     def due(self) -> bool:
         """True if consolidation lags far enough to run by itself."""
@@ -295,18 +325,20 @@ class Memory:
         if judge:
             rest = live.join(found, "id", "left_anti").select("id", "statement").orderBy("id")
 
-            def both(stream):
+            def asked(stream):
                 import pyarrow as pa
 
                 for batch in stream:
                     items = batch.to_pylist()
                     for k in range(0, len(items), JUDGE_BATCH):
                         own = items[k : k + JUDGE_BATCH]
-                        ids = [i for i in judge(own) if i in set(judge(own[::-1]))]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string())], ["id"])
+                        passes = (judge(own), judge(own[::-1]))
+                        ids, turns = [i for p in passes for i in p], [n for n, p in enumerate(passes) for _ in p]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(turns, pa.int32())], ["id", "turn"])
 
-            once = rest.mapInArrow(both, "id string").select("id", F.lit("session_only").alias("kind"), F.lit(None).cast("string").alias("duplicate_of"))
-            found = found.unionByName(once)
+            named = cut(rest.mapInArrow(asked, "id string, turn int"))
+            once = change.agreed(named.filter("turn = 0"), named.filter("turn = 1"), live.limit(0))
+            found = found.unionByName(once.select("id", F.lit("session_only").alias("kind"), F.lit(None).cast("string").alias("duplicate_of")))
         found = cut(found.filter(~F.col("id").isin(*keep)) if keep else found)
         if apply:
             controls = change.forgotten(self.store.table("controls"), found.select("id"), "tidy")
@@ -318,26 +350,33 @@ class Memory:
     def erase(self, target: str) -> dict[str, int]:
         """Remove a fact or an entity for good: from every revision, with the text of the events it came from.
 
-        Facts with the same statement stay, and are counted in ``same_statement``.
+        What only older revisions still hold, as it was forgotten or pruned since, goes as well; so does
+        an id that only controls name. Facts with the same statement stay, and are counted in
+        ``same_statement``. What is erased already changes nothing.
         """
-        facts = self.store.table("facts")
-        gone = cut(change.erasure_targets(facts, target))
-        n = gone.count()
-        if not n and self.store.table("controls").filter((F.col("control") == "deleted") & (F.col("target") == target)).limit(1).count():
+        controls, facts = self.store.table("controls"), self.store.table("facts")
+        gone = cut(change.erasure_targets(self.store.ever("facts"), target))
+        n = gone.select("id").distinct().count()
+        known = {r.control for r in controls.filter(F.col("target") == target).select("control").distinct().collect()}
+        if not n and "deleted" in known:
             return {"facts": 0, "events": 0, "folders": 0, "same_statement": 0}
-        if not n:
+        if not n and not known:
             raise NotFound(target)
-        ids = gone.select("id")
+        ids = cut(gone.select("id").distinct())
         events = self.journal.redact(change.source_events(gone))
-        same = facts.join(gone.select(F.col("id").alias("g"), F.col("statement").alias("s")), F.col("statement") == F.col("s")).join(ids, "id", "left_anti").select("id").distinct().count()
-        named = cut(ids.unionByName(self.spark.createDataFrame([(target,)], "id string")).distinct())
+        said = gone.select(F.col("statement").alias("s")).distinct()
+        same = facts.join(said, F.col("statement") == F.col("s"), "left_semi").join(ids, "id", "left_anti").select("id").distinct().count()
+        named = ids.unionByName(self.spark.createDataFrame([(target,)], "id string")).distinct()
         fill = (F.current_timestamp().alias("at"), F.lit("erased").alias("reason"), F.lit("completed").alias("state"))
-        controls = self.store.table("controls").unionByName(named.select(F.lit("deleted").alias("control"), F.col("id").alias("target"), *fill))
+        fresh = named.join(controls.filter("control = 'deleted'").select(F.col("target").alias("id")), "id", "left_anti")
+        controls = controls.unionByName(fresh.select(F.lit("deleted").alias("control"), F.col("id").alias("target"), *fill))
         base = self.store.head()
         self.store.publish(base, f"erase-{base + 1}", _digest([target, base]), {"controls": controls, "facts": facts.join(ids, "id", "left_anti")})
         folders = self.store.rewrite(lambda name, rows: rows.join(ids, "id", "left_anti").select(rows.columns) if name == "facts" else rows)
         for request_id, intent in self.store.intents().items():
-            if target in json.dumps(intent):
+            request = (intent or {}).get("request") or {}
+            about = [x for x in (request.get("entity_id"), request.get("target"), (request.get("fact") or {}).get("id")) if x]
+            if target in about or ids.filter(F.col("id").isin(about)).limit(1).count():
                 self.store.complete_intent(request_id)
         return {"facts": n, "events": events, "folders": folders, "same_statement": same}
 
@@ -357,6 +396,17 @@ class Memory:
         rows = report.index_rows(report.entity_counts(entities, facts)).orderBy("k").collect()  # cut to a budget of bytes
         return report.INDEX_HEAD + "".join(r.line for r in rows)
 
+    def publish_index(self) -> Receipt | None:
+        """Make the index anew and publish it; None if it is as it was."""
+        made, base = self.index(), self.store.head()
+        if self.store.manifest()["state"].get("index") == made:
+            return None
+        return self.store.publish(base, f"index-{base + 1}", _digest(made), state={"index": made})
+
+    def session_start(self, entity: str = "pref_user") -> list[dict]:
+        """What a session starts with: the user's first preferences and how many facts are current."""
+        return [r.asDict() for r in report.session_start(self._readable(), entity).orderBy("ord").collect()]
+
     def export(self, title: str, current: str | None = None, project: str | None = None, include_file_facts: bool = False) -> str:
         """A file with the managed block of current facts put in."""
         keep: Column | None = eligibility.project_entities(project) if project else None
@@ -367,4 +417,10 @@ class Memory:
         facts, controls = self.store.table("facts"), self.store.table("controls")
         forms = eligibility.violations(facts).select(F.col("reason").alias("problem"), F.col("id").alias("what"))
         targets = validate.unknown_targets(controls, facts).select(F.lit("unknown target").alias("problem"), F.col("target").alias("what"))
-        return forms.unionByName(targets)
+        cited = validate.unknown_references(facts, facts, "statement").select(F.lit("unknown reference").alias("problem"), F.col("reference").alias("what"))
+        kinds = controls.filter(~F.col("control").isin("suppressed", "retracted", "deleted", "redacted") | F.col("target").isNull())
+        odd = kinds.select(F.lit("unknown control").alias("problem"), F.col("target").alias("what"))
+        through = self.store.manifest()["state"].get("through_seq", 0)
+        ahead = self.journal.events().agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last")).filter(F.col("last") < through)
+        late = ahead.select(F.lit("checkpoint beyond the log").alias("problem"), F.lit(str(through)).alias("what"))
+        return forms.unionByName(targets).unionByName(cited).unionByName(odd).unionByName(late)

@@ -1,19 +1,20 @@
 """The event log: append-only Parquet partitioned by day, with ids that are never taken twice.
 
-One writer appends at a time (a lock file guards local folders; on a cluster the driver is the
-writer). New events get consecutive numbers after the highest one; ids that are present are
+One writer appends at a time: it holds a lock file that only one can make. New events get consecutive numbers after the highest one; ids that are present are
 skipped, those of redacted events included, so that erased text does not come back. A batch is
 numbered from per-partition counts, not by one sort of all rows.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import text
 from annalist.schemas import EVENT
-from annalist.storage import cut
+from annalist.storage import cut, only_writer
 
 ERASED = "[erased]"
 
@@ -105,6 +106,21 @@ def frame(body: Column) -> Column:
     return F.concat(F.octet_length(body).cast("string"), F.lit("\n"), body, F.lit("\n"))
 
 
+def from_number(events: DataFrame, seq: int) -> DataFrame:
+    """Events from a number on."""
+    return events.filter(F.col("seq") >= seq)
+
+
+def one_event(events: DataFrame, event_id: str, seq: int) -> DataFrame:
+    """The event of an id and a number."""
+    return events.filter((F.col("event_id") == event_id) & (F.col("seq") == seq)).limit(1)
+
+
+def by_day(events: DataFrame, day: Column, seq: Column) -> DataFrame:
+    """(day, n, first, last): events of each day and the range of their numbers."""
+    return events.groupBy(day.alias("day")).agg(F.count("*").alias("n"), F.min(seq).alias("first"), F.max(seq).alias("last"))
+
+
 class Journal:
     """The log in a folder."""
 
@@ -119,13 +135,29 @@ class Journal:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
             found = self.spark.createDataFrame([], f"{EVENT}, project string, day date")
-        return found.filter(F.col("seq") >= from_seq) if from_seq else found
+        return from_number(found, from_seq) if from_seq else found
 
     def lookup(self, event_id: str, seq: int) -> DataFrame:
-        return self.events().filter((F.col("event_id") == event_id) & (F.col("seq") == seq)).limit(1)
+        return one_event(self.events(), event_id, seq)
 
     def append(self, batch: DataFrame, order: list[str], now: Column | None = None) -> dict[str, int]:
-        """Add the new events of a batch; how many were new and how many were skipped."""
+        """Add the new events of a batch; how many were new and how many were skipped. One writer at a time."""
+        with only_writer(self.spark, f"{self.path}.lock"):
+            return self._append(batch, order, now)
+
+    def append_one(self, kind: str, source_id: str, role: str, content: str, occurred_at: datetime | None = None, metadata: str = "{}", scope: str = "personal", session: str = "default") -> int:
+        """Add one event; its number, also if it was there already."""
+        row = (source_id, 0, occurred_at, role, content, metadata, "", 0)
+        rows = self.spark.createDataFrame([row], "source_id string, position long, occurred_at timestamp, role string, content string, metadata string, file string, line long")
+        event = cut(raw_events(rows, kind, scope, session))
+        self.append(event, ["event_id"])
+        return self.events().join(event.select("event_id"), "event_id", "left_semi").agg(F.min("seq")).first()[0]
+
+    def days(self) -> DataFrame:
+        """(day, n, first, last): the events of each day and the range of their numbers."""
+        return by_day(self.events(), F.col("day"), F.col("seq"))
+
+    def _append(self, batch: DataFrame, order: list[str], now: Column | None) -> dict[str, int]:
         now = F.current_timestamp() if now is None else now
         project = F.col("project") if "project" in batch.columns else F.get_json_object("metadata", "$.project")
         new = appended(self.events(), batch, order).withColumn("ingested_at", now).withColumn("project", project).withColumn("day", F.to_date("ingested_at"))
@@ -138,7 +170,11 @@ class Journal:
 
     def redact(self, ids: DataFrame) -> int:
         """Erase the text of events; only the days that hold any are rewritten. How many had not been erased yet."""
-        hit = self.events().join(F.broadcast(ids.select("event_id").distinct()), "event_id", "left_semi").filter(F.col("redaction") != "full")
+        with only_writer(self.spark, f"{self.path}.lock"):
+            return self._redact(ids)
+
+    def _redact(self, ids: DataFrame) -> int:
+        hit = self.events().join(ids.select("event_id").distinct(), "event_id", "left_semi").filter(F.col("redaction") != "full")
         days = [r.day for r in hit.select("day").distinct().collect()]
         count = hit.count()
         if days:

@@ -136,3 +136,8 @@ def scrubbed(lines: DataFrame, needles: DataFrame, column: str) -> DataFrame:
         return F.coalesce(F.rlike(F.col(column), word), F.lit(False))
 
     return lines.crossJoin(F.broadcast(found)).filter(~F.exists("needles", named)).drop("needles")
+
+
+def agreed(first: DataFrame, second: DataFrame, keep: DataFrame) -> DataFrame:
+    """(id): what two passes of a judge both name, each once, but for what is to be kept."""
+    return first.select("id").intersect(second.select("id")).join(keep.select("id"), "id", "left_anti")

@@ -124,3 +124,8 @@ def asks_something(prompt: Column) -> Column:
     """No command, and three words at least."""
     found = F.trim(prompt)
     return ~F.startswith(found, F.lit("/")) & (F.size(F.filter(F.split(found, r"\s+"), lambda x: x != "")) >= 3)
+
+
+def blocked(controls: DataFrame) -> DataFrame:
+    """(target): what may not be extracted again, each once."""
+    return controls.filter(F.col("control").isin("suppressed", "deleted")).select("target").distinct()

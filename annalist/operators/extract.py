@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import passages, text
@@ -13,6 +13,8 @@ from annalist.functions import words as W
 
 BATCH_BYTES, NOTE_CHARS, USER_CHARS = 16_000, 8_000, 2_000
 KNOWN_ENTITIES, KNOWN_FACTS, KNOWN_BYTES = 200, 40, 8_000
+#: The least characters of a quote that is looked for, and those of a token's piece: the longer of two words has as many.
+QUOTE_CHARS, PIECE = 8, 4
 
 
 def rule_proposals(events: DataFrame) -> DataFrame:
@@ -75,23 +77,21 @@ Client = Callable[[list[dict]], list[dict]]
 def model_proposals(rows: DataFrame, client: Client) -> DataFrame:
     """(ref, lasting, entity_type, entity_name, predicate, statement, evidence) from a client, one call for each packed batch.
 
-    ``rows`` are as ``candidates`` gives them. Batches are packed within partitions, in order of seq.
+    ``rows`` are as ``candidates`` gives them, of one bounded window of events. They are packed in order
+    of seq, all of them together, so that a call's content does not depend on how rows are dealt.
     """
     schema = "ref long, lasting boolean, entity_type string, entity_name string, predicate string, statement string, evidence string"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            items = batch.to_pylist()
-            packed = passages.pack([len(x["said"].encode()) for x in items], BATCH_BYTES)
-            for b in sorted(set(packed)):
-                own = [x for x, at in zip(items, packed, strict=True) if at == b]
-                refs = {x["seq"] for x in own}
-                found = [f for f in client([{"ref": x["seq"], "text": x["said"]} for x in own]) if f.get("ref") in refs]
-                if found:
-                    yield pa.RecordBatch.from_pylist([{n: f.get(n) for n in names} for f in found], pa.schema([("ref", pa.int64()), ("lasting", pa.bool_()), *((n, pa.string()) for n in names[2:])]))
+        items = (item for batch in stream for item in batch.to_pylist())
+        for own in passages.packed(items, lambda x: len(x["said"].encode()), BATCH_BYTES):
+            refs = {x["seq"] for x in own}
+            found = [f for f in client([{"ref": x["seq"], "text": x["said"]} for x in own]) if f.get("ref") in refs]
+            if found:
+                yield pa.RecordBatch.from_pylist([{n: f.get(n) for n in names} for f in found], pa.schema([("ref", pa.int64()), ("lasting", pa.bool_()), *((n, pa.string()) for n in names[2:])]))
 
-    return rows.sortWithinPartitions("seq", "k").mapInArrow(run, schema)
+    return rows.coalesce(1).sortWithinPartitions("seq", "k").mapInArrow(run, schema)
 
 
 def event_project(event: str = "") -> Column:
@@ -137,23 +137,45 @@ def gated(proposed: DataFrame, events: DataFrame, entities: DataFrame) -> DataFr
 
 
 def contained(source: DataFrame, quotes: DataFrame, source_text: str, quote_text: str) -> DataFrame:
-    """Pairs of a text and a quote that it contains after normalising (quotes of a checked, small table).
+    """Pairs of a text and a quote of eight characters or more that it contains after normalising.
 
-    A quote's rarest word, as a token of the text, is joined on; containment is then checked.
+    They are joined on a word: the longest inner one of a quote must be a token of the text. A quote of
+    two words has none, but the longer of them ends or begins a token, and a quote of one word lies
+    within a token; these are joined on pieces of tokens. Containment is then checked.
     """
-    normal = quotes.withColumn("quote_normal", text.normalised(F.col(quote_text))).filter(F.char_length("quote_normal") >= 8)
-    # A token inside the quote, not at its ends, must be a whole token of any text that contains it.
-    inner = F.filter(F.split("quote_normal", " "), lambda x: x != "")
-    key = F.when(F.size(inner) > 2, F.array_max(F.transform(F.slice(inner, F.lit(2), F.size(inner) - 2), lambda x: F.struct(F.char_length(x).alias("n"), x.alias("w"))))["w"])
-    keyed = normal.withColumn("key", key)
+    normal = quotes.withColumn("quote_normal", text.normalised(F.col(quote_text))).filter(F.char_length("quote_normal") >= QUOTE_CHARS)
+    said = F.split("quote_normal", " ")
+    inner = F.array_max(F.transform(F.slice(said, F.lit(2), F.greatest(F.size(said) - 2, F.lit(0))), lambda x: F.struct(F.char_length(x).alias("n"), x.alias("w"))))["w"]
+    keyed = normal.withColumn("words", F.size(said)).withColumn("key", inner)
     texts = source.withColumn("source_normal", text.normalised(F.col(source_text)))
-    tokens = texts.withColumn("key", F.explode(F.array_distinct(F.split("source_normal", " "))))
-    return tokens.join(keyed.filter("key is not null"), "key").filter(F.contains("source_normal", "quote_normal")).drop("key")
+    tokens = F.array_distinct(F.split("source_normal", " "))
+
+    def met(keys: Column, own: DataFrame) -> DataFrame:
+        return texts.withColumn("key", F.explode(keys)).join(own, "key").filter(F.contains("source_normal", "quote_normal")).drop("key", "words")
+
+    found = met(tokens, keyed.filter("words > 2"))
+    first, last = said[0], F.try_element_at(said, F.lit(2))
+    behind = F.char_length(last) >= F.char_length(first)
+    key = F.when(F.col("words") == 1, F.concat(F.lit("in "), F.left(first, F.lit(QUOTE_CHARS)))).when(behind, F.concat(F.lit("from "), F.left(last, F.lit(PIECE)))).otherwise(F.concat(F.lit("to "), F.right(first, F.lit(PIECE))))
+    short = keyed.filter("words <= 2").withColumn("key", key)
+    if short.isEmpty():
+        return found
+
+    def pieces(token: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.char_length(token) - (QUOTE_CHARS - 1), F.lit(1)))
+        runs = F.transform(places, lambda k: F.concat(F.lit("in "), F.substring(token, k, F.lit(QUOTE_CHARS))))
+        ends = F.array(F.concat(F.lit("from "), F.left(token, F.lit(PIECE))), F.concat(F.lit("to "), F.right(token, F.lit(PIECE))))
+        return F.when(F.char_length(token) >= QUOTE_CHARS, F.concat(ends, runs)).otherwise(ends)
+
+    return found.unionByName(met(F.array_distinct(F.flatten(F.transform(tokens, pieces))), short))
 
 
 def known_entities(facts: DataFrame) -> list[dict]:
     """What a model is told of entities: two hundred, forty statements each, while a budget of bytes lasts."""
-    rows = facts.filter("status = 'active'").groupBy("entity_id").agg(F.first("title").alias("title"), F.slice(F.sort_array(F.collect_list(F.struct("ord", "statement"))), 1, KNOWN_FACTS).alias("facts"))
+    live = facts.filter("status = 'active'")
+    some = live.select("entity_id").distinct().orderBy("entity_id").limit(KNOWN_ENTITIES)
+    first = live.join(some, "entity_id", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("entity_id").orderBy("ord", "statement"))).filter(F.col("k") <= KNOWN_FACTS)
+    rows = first.groupBy("entity_id").agg(F.min_by("title", "k").alias("title"), F.sort_array(F.collect_list(F.struct("ord", "statement"))).alias("facts"))
     budget, out = KNOWN_BYTES, []
     for row in rows.orderBy("entity_id").limit(KNOWN_ENTITIES).collect():
         shown = []

@@ -117,3 +117,38 @@ def timings(runs: DataFrame, by: list[str]) -> DataFrame:
         return F.element_at("v", F.floor((F.size("v") - 1) * q + 0.5).cast("int") + 1)
 
     return runs.groupBy(*by).agg(values.alias("v")).select(*by, F.size("v").cast("long").alias("runs"), at(0.0).alias("min_ms"), at(0.5).alias("median_ms"), at(0.95).alias("p95_ms"))
+
+
+def json_line(*columns: str) -> Column:
+    """A record as a line of JSON."""
+    return F.to_json(F.struct(*columns))
+
+
+def text_line(*columns: str) -> Column:
+    """A record as a line of text: what is known, set apart by spaces."""
+    return F.concat_ws(" ", *(F.col(c).cast("string") for c in columns))
+
+
+def by_type(events: DataFrame, kind: str, seq: str, user: str, weight: Column) -> DataFrame:
+    """(kind, n, last_seq, users, k): events of each kind, their last number, how many users, and a sum of what they hold."""
+    return events.groupBy(kind).agg(F.count("*").alias("n"), F.max(seq).alias("last_seq"), F.count_distinct(user).alias("users"), F.sum(weight).alias("k"))
+
+
+def repeated_statements(facts: DataFrame, statement: Column) -> DataFrame:
+    """(entity_id, statement, n): statements that an entity holds more than once."""
+    return facts.groupBy("entity_id", statement.alias("statement")).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def current_of_entities(readable: DataFrame) -> DataFrame:
+    """(entity_id, fact_id, facts): the first active fact of each entity and how many there are, of readable facts."""
+    return readable.filter("status = 'active'").groupBy("entity_id").agg(F.min_by("id", "ord").alias("fact_id"), F.count("*").alias("facts"))
+
+
+SESSION_FACTS = 20
+
+
+def session_start(readable: DataFrame, entity: str) -> DataFrame:
+    """(ord, id, statement, active_facts): what a session starts with: an entity's first facts, and how many facts are current in all."""
+    live = readable.filter("status = 'active'")
+    first = live.filter(F.col("entity_id") == entity).orderBy("ord").limit(SESSION_FACTS).select(F.col("ord").cast("long").alias("ord"), "id", "statement")
+    return first.crossJoin(F.broadcast(live.agg(F.count("*").alias("active_facts"))))  # one row

@@ -51,8 +51,7 @@ def readable_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def current_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What reading each entity gives: its first active fact and how many there are."""
-    found = eligibility.readable_facts(document_facts(spark, sf_dir), label_controls(spark, sf_dir)).filter("status = 'active'")
-    return found.groupBy("entity_id").agg(F.min_by("id", "ord").alias("fact_id"), F.count("*").alias("facts"))
+    return report.current_of_entities(eligibility.readable_facts(document_facts(spark, sf_dir), label_controls(spark, sf_dir)))
 
 
 def event_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,10 +114,7 @@ def fact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency and rarity of every stem among eligible facts."""
-    f = _facts(spark, sf_dir)
-    n = f.agg(F.count("*").alias("n"))
-    df = f.select(F.explode(text.stems(F.concat_ws(" ", "statement", "title", F.array_join("aliases", " ")))).alias("stem")).groupBy("stem").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(n)).select("stem", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
+    return search.rarities(_facts(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
 
 
 def event_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,10 +227,7 @@ select place, id from k where place <= 6"""
 
 def session_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a session starts with: how many facts are current, and the user's first twenty preferences."""
-    found = eligibility.readable_facts(document_facts(spark, sf_dir), label_controls(spark, sf_dir)).filter("status = 'active'")
-    total = found.agg(F.count("*").alias("active_facts"))
-    prefs = found.filter("entity_id = 'pref_user'").orderBy("ord").limit(20).select(F.col("ord").cast("long").alias("ord"), "id")
-    return prefs.crossJoin(F.broadcast(total))
+    return report.session_start(eligibility.readable_facts(document_facts(spark, sf_dir), label_controls(spark, sf_dir)), "pref_user").drop("statement")
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist import journal
+from annalist.operators import report
 from annalist.plans import sql
 from annalist.plans.views import conversation_events, document_events, table
 from annalist.sources import chats, entities, files, notes
@@ -243,13 +244,13 @@ select event_id, (select coalesce(max(seq + 1), 0) from j_conv where role = 'use
 def journal_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each day of the log, and the range of their numbers."""
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    return journal.by_day(e, F.date_format("ts", "yyyy-MM-dd"), F.col("event_id"))
 
 
 def journal_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events from a number on, and one by its id and number."""
     e = conversation_events(spark, sf_dir)
-    return e.filter("seq >= 50000").select("event_id", "seq").unionByName(e.filter("event_id = 'evt_chat_conv:3:1' and seq = 3001").select("event_id", "seq"))
+    return journal.from_number(e, 50000).select("event_id", "seq").unionByName(journal.one_event(e, "evt_chat_conv:3:1", 3001).select("event_id", "seq"))
 
 
 def journal_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,7 +305,7 @@ select source, md5('# ' || source || chr(10) || chr(10) || '## Current facts' ||
 def records_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as JSON lines and as text lines."""
     e = conversation_events(spark, sf_dir)
-    return e.select("seq", F.get_json_object(F.to_json(F.struct("event_id", "seq", "role")), "$.event_id").alias("event_id"), F.concat_ws(" ", F.col("seq").cast("string"), "role", "content").alias("line"))
+    return e.select("seq", F.get_json_object(report.json_line("event_id", "seq", "role"), "$.event_id").alias("event_id"), report.text_line("seq", "role", "content").alias("line"))
 
 
 QUERIES = {

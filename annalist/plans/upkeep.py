@@ -90,14 +90,18 @@ from u"""
 
 
 def evidence_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, as a quote, word by word."""
-    d, b = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    return extract.contained(d, b, "text", "quote").select("doc_id", "item_id")
+    """Documents that hold a benchmark item, or pieces of its first two words or of its first word, as a quote."""
+    d, b = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    quotes = F.array("text", F.regexp_extract("text", r"^\s*\S(\S+\s+\S+)", 1), F.regexp_extract("text", r"^\s*(\S+)", 1))
+    b = b.select("item_id", F.posexplode(quotes).alias("part", "quote"))
+    return extract.contained(d, b, "text", "quote").select("doc_id", "item_id", F.col("part").cast("long").alias("part"))
 
 
 EVIDENCE_SQL = f"""
-with d as (select doc_id, {sql.normalised("text")} as s from documents), b as (select item_id, {sql.normalised("text")} as q from benchmark)
-select doc_id, item_id from d, b where length(q) >= 8 and contains(s, q)"""
+with d as (select doc_id, {sql.normalised("text")} as s from documents),
+p as (select item_id, unnest([0, 1, 2]) as part, unnest([text, regexp_extract(text, '^\\s*\\S(\\S+\\s+\\S+)', 1), regexp_extract(text, '^\\s*(\\S+)', 1)]) as q from benchmark),
+b as (select item_id, cast(part as bigint) as part, {sql.normalised("q")} as q from p)
+select doc_id, item_id, part from d, b where length(q) >= 8 and contains(s, q)"""
 
 
 def quotes_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,7 +287,7 @@ def status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each type with their numbers and what their properties hold."""
     e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_seq"), F.count_distinct("user_id").alias("users"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
+    return report.by_type(e, "event_type", "event_id", "user_id", F.get_json_object("props", "$.k").cast("long"))
 
 
 def entity_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,19 +342,19 @@ select event_type, n as runs, v[1] as min_ms, v[cast(floor((n - 1) * 0.5 + 0.5)
 
 def statement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each statement occurs in its entity, where it does so more than once."""
-    return document_facts(spark, sf_dir).groupBy("entity_id", F.md5("statement").alias("statement")).agg(F.count("*").alias("n")).filter("n > 1")
+    return report.repeated_statements(document_facts(spark, sf_dir), F.md5("statement"))
 
 
 def agreed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What two passes of a judge agree on, but for what is to be kept."""
-    labels = table(spark, sf_dir, "labels")
-    first, second = labels.filter("quality = 1").select("doc_id"), labels.filter("toxic = 1").select("doc_id")
-    return first.intersect(second).join(table(spark, sf_dir, "documents").filter("lang = 'fr'"), "doc_id", "left_anti")
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
+    keep = table(spark, sf_dir, "documents").filter("lang = 'fr'").withColumnRenamed("doc_id", "id")
+    return change.agreed(labels.filter("quality = 1"), labels.filter("toxic = 1"), keep).withColumnRenamed("id", "doc_id")
 
 
 def blocked_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What may not be extracted again: suppressed or deleted, each once."""
-    return label_controls(spark, sf_dir).filter("control in ('suppressed', 'deleted')").select("target").distinct()
+    return eligibility.blocked(label_controls(spark, sf_dir))
 
 
 def consolidation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

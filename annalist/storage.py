@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +30,28 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Locked(Exception):
+    """Another writer is at work, or died and left its lock."""
+
+
+@contextmanager
+def only_writer(spark: SparkSession, name: str) -> Iterator[None]:
+    """Hold the file ``name``, which only one can make at a time; on object stores no lock holds, and their users must see to it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path.getParent())
+    try:
+        if fs.getScheme() == "file":
+            os.close(os.open(path.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+        else:
+            fs.create(path, False).close()
+    except Exception as taken:
+        if isinstance(taken, FileExistsError) or "FileAlreadyExists" in str(taken):
+            raise Locked(f"{name} is held; if its writer died, delete it") from None
+        raise
+    try:
+        yield
+    finally:
+        fs.delete(path, False)

@@ -21,6 +21,8 @@ from annalist.operators import eligibility
 from annalist.schemas import CONTROL, FACT
 
 TABLES = {"facts": FACT, "controls": CONTROL}
+#: File systems whose renames (for local files: links) refuse a name that is taken, in one step. Object stores do not.
+EXCLUSIVE = ("file", "hdfs", "viewfs")
 
 
 class Conflict(Exception):
@@ -45,6 +47,8 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        if self._fs.getScheme() not in EXCLUSIVE:
+            raise Invalid(f"{self._fs.getScheme()}: a store needs a file system on which of two renames to one name one fails")
         self._fs.mkdirs(self._path(f"{self.root}/revisions"))
         self._fs.mkdirs(self._path(f"{self.root}/intents"))
 
@@ -64,20 +68,22 @@ class Store:
             stream.close()
 
     def _write(self, name: str, text: str, overwrite: bool = False) -> None:
-        path = self._path(f"{self.root}/{name}")
-        if overwrite:
-            stream = self._fs.create(path, True)
-        else:
-            # Written aside and then given its name, which fails if the name is taken: no reader sees half a file.
-            aside = self._path(f"{self.root}/{name}.{uuid.uuid4().hex}")
-            stream = self._fs.create(aside, False)
-            stream.write(bytearray(text.encode()))
-            stream.close()
-            if not self._named(aside, path):
-                raise Conflict(f"{name} is there already")
-            return
+        # Written aside and then given its name: no reader sees half a file.
+        path, aside = (self._path(f"{self.root}/{name}{end}") for end in ("", f".{uuid.uuid4().hex}"))
+        stream = self._fs.create(aside, False)
         stream.write(bytearray(text.encode()))
         stream.close()
+        if overwrite:
+            self._replace(aside, path)
+        elif not self._named(aside, path):
+            raise Conflict(f"{name} is there already")
+
+    def _replace(self, aside, path) -> None:
+        """Put a file in another's place in one step."""
+        jvm = self.spark._jvm
+        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(aside, path, how)
 
     def _named(self, aside, path) -> bool:
         """Give a file its name unless that is taken; of two that try, one succeeds."""
@@ -152,19 +158,35 @@ class Store:
             return Receipt(known["revision"], True)
         if self.head() != base:
             raise Conflict(f"revision {base} is not the head")
+        if (state or {}).get("through_seq", 0) < manifest["state"].get("through_seq", 0) and "through_seq" in (state or {}):
+            raise Invalid("a checkpoint never goes back")
         stored = {name: self._stored(name, rows) for name, rows in (tables or {}).items()}
         fresh = {name: self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{folder}") for name, folder in stored.items()}
         for validator in validators:
             bad = validator(fresh).limit(5).collect()
             if bad:
-                for folder in stored.values():
-                    self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+                self._drop(stored)
                 raise Invalid(f"{bad}")
         receipts = manifest["receipts"] | {request_id: {"digest": digest, "revision": base + 1}}
         made = {"tables": manifest["tables"] | stored, "state": manifest["state"] | (state or {}), "receipts": receipts}
-        self._write(f"revisions/{base + 1:08d}.json", json.dumps(made))
+        try:
+            self._write(f"revisions/{base + 1:08d}.json", json.dumps(made))
+        except Conflict:
+            self._drop(stored)
+            raise
         return Receipt(base + 1, False)
 
+    def _drop(self, stored: dict[str, str]) -> None:
+        for folder in stored.values():
+            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+
+    def ever(self, name: str) -> DataFrame:
+        """All rows that a table has in any retained revision."""
+        folders = sorted({m["tables"][name] for m in map(self.manifest, self.revisions()) if name in m["tables"]})
+        if not folders:
+            return self.spark.createDataFrame([], TABLES[name])
+        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/{f}" for f in folders))
+
     # ---- intents: what was asked for, until it is published
 
     def write_intent(self, request_id: str, content: dict) -> None:

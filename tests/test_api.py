@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist.api import Memory, NotFound
+from annalist.storage import Locked, only_writer
 from annalist.store import Conflict, Invalid
 from annalist.streaming import consolidate
 
@@ -188,3 +189,66 @@ def test_streamed_events_are_published_once(spark, memory, tmp_path):
     memory.ingest(chat(tmp_path / "in" / "b.jsonl", [("user", "my name is Bob"), ("user", "x")]))
     consolidate.follow(stream(), publish, str(tmp_path / "offsets"))
     assert [n for _, n in seen] == [1, 2]
+
+
+def test_what_was_forgotten_is_erased_from_old_revisions(memory):
+    memory.request_change("remember", "r1", "w_app", fact("fact_7", "secret alpha"))
+    memory.request_change("remember", "r2", "w_app", fact("fact_77", "another thing"))
+    memory.request_change("correct", "r3", "w_app", fact("fact_8", "secret beta"), target="fact_7")
+    memory.request_change("forget", "r4", "w_app", target="fact_7")
+    memory.store.write_intent("q1", {"base": 1, "request": {"kind": "forget", "entity_id": "w_app", "target": "fact_77", "fact": None}})
+    memory.store.write_intent("q2", {"base": 1, "request": {"kind": "forget", "entity_id": "w_app", "target": "fact_7", "fact": None}})
+    assert memory.store.ever("facts").filter("id = 'fact_7'").count() > 0
+    assert memory.erase("fact_7")["facts"] == 1
+    for revision in memory.store.revisions():
+        rows = memory.store.table("facts", revision)
+        assert rows.filter("id = 'fact_7' or statement like '%alpha%'").count() == 0
+        assert revision < 2 or rows.filter("id = 'fact_77'").count() == 1
+    assert set(memory.store.intents()) == {"q1"}
+    assert memory.erase("fact_7") == {"facts": 0, "events": 0, "folders": 0, "same_statement": 0}
+
+
+def test_a_pruned_fact_goes_with_its_entity(memory):
+    memory.request_change("remember", "r1", "w_app", fact("fact_1", "old words"))
+    memory.request_change("forget", "r2", "w_app", target="fact_1")
+    memory.request_change("remember", "r3", "w_app", fact("fact_2", "new words"))
+    assert memory.erase("w_app")["facts"] == 2
+    assert memory.store.ever("facts").count() == 0
+
+
+def test_one_writer_at_a_time(memory, spark):
+    first = memory.journal.append_one("chat", "a:1", "user", "hello")
+    assert memory.journal.append_one("chat", "a:2", "user", "again") == first + 1
+    assert memory.journal.append_one("chat", "a:1", "user", "hello") == first
+    with only_writer(spark, f"{memory.journal.path}.lock"), pytest.raises(Locked):
+        memory.journal.append_one("chat", "a:3", "user", "more")
+    assert memory.journal.append_one("chat", "a:3", "user", "more") == first + 2
+    assert [r.n for r in memory.journal.days().collect()] == [3]
+
+
+def test_session_stores_and_own_adapters(spark, tmp_path):
+    store = tmp_path / "storage"
+    for name, content in {"session/p/S1.json": {"id": "S1"}, "message/S1/m1.json": {"id": "m1", "role": "user"}, "part/m1/t1.json": {"type": "text", "text": "from a store"}}.items():
+        (store / name).parent.mkdir(parents=True, exist_ok=True)
+        (store / name).write_text(json.dumps(content))
+    (tmp_path / "own.jsonl").write_text(json.dumps({"role": "user", "text": "plain row"}))
+    none = F.lit(None).cast("timestamp")
+    own = ("chat", lambda found: found.select(F.lit("own:1").alias("source_id"), F.lit(0).alias("position"), none.alias("occurred_at"), F.lit("user").alias("role"), F.upper("content").alias("content"), F.lit("{}").alias("metadata"), "file", F.lit(0).alias("line")))
+    memory = Memory(spark, str(tmp_path / "memory"), adapters={"loud": own})
+    assert memory.ingest(str(store), adapter="session_store") == {"new": 1, "skipped": 0}
+    assert memory.ingest(str(tmp_path / "own.jsonl"), adapter="local_transcript") == {"new": 1, "skipped": 0}
+    assert memory.ingest(str(tmp_path / "own.jsonl"), adapter="loud") == {"new": 1, "skipped": 0}
+    said = {r.content for r in memory.journal.events().collect()}
+    assert {"from a store", "plain row"} < said and any("PLAIN ROW" in s for s in said)
+    with pytest.raises(Invalid):
+        memory.ingest(str(store), adapter="none")
+
+
+def test_index_is_published_only_if_it_changed(memory):
+    memory.request_change("remember", "r1", "w_app", fact("fact_1", "words [fact_9]"))
+    assert memory.publish_index().revision == 2 and memory.publish_index() is None
+    assert "`w_app`" in memory.store.manifest()["state"]["index"]
+    assert {(r.problem, r.what) for r in memory.validate().collect()} == {("unknown reference", "fact_9")}
+    with pytest.raises(Invalid):
+        memory.store.publish(2, "back", "d", state={"through_seq": -1})
+    assert [r["active_facts"] for r in memory.session_start("w_app")] == [1]

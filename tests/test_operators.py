@@ -90,6 +90,30 @@ def test_rerankers(spark):
     assert search.combined(f, None, "needle", 3, search.first_that_answers([broken, judge])).orderBy("place").first().id == "f2"
     assert search.combined(f, None, "needle", 3, search.first_that_answers([broken])).count() == 3
 
+    def fails(query, statement):
+        raise RuntimeError("no answer")
+
+    late = search.judge_reranker(fails)
+    assert search.combined(f, None, "needle", 3, search.first_that_answers([late, judge])).orderBy("place").first().id == "f2"
+    assert [r.id for r in search.combined(f, None, "needle", 3, search.first_that_answers([late])).orderBy("place").collect()] == ["f0", "f1", "f2"]
+
+
+def test_short_quotes_are_found_within_tokens(spark):
+    texts = ["the bluebird sings loudly", "Bluebirds sing", "a bird sings", "sing blue bird", "of bluebirdsong"]
+    quotes = ["bluebird", "uebird sing", "bird sings", "blue bird s", "the bluebird sings", "loudly x", "a bird s", "uebirdson", "bird sin"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc long, said string")
+    q = spark.createDataFrame(list(enumerate(quotes)), "item long, quote string")
+    found = {(r.doc, r.item) for r in extract.contained(d, q, "said", "quote").collect()}
+    assert found == {(i, k) for i, t in enumerate(texts) for k, x in enumerate(quotes) if x in t.lower()}
+    assert extract.contained(d, q, "said", "quote").count() == len(found)
+
+
+def test_a_model_sees_the_same_batches_however_rows_are_dealt(spark):
+    rows = spark.createDataFrame([(k, 0, "x" * 3000) for k in range(12)], "seq long, k int, said string")
+    client = lambda batch: [{"ref": b["ref"], "lasting": True, "statement": str([x["ref"] for x in batch])} for b in batch]
+    calls = [sorted((r.ref, r.statement) for r in extract.model_proposals(rows.repartition(n), client).collect()) for n in (1, 5)]
+    assert calls[0] == calls[1] and len({s for _, s in calls[0]}) == 3
+
 
 @pytest.mark.parametrize(
     "change_, shown",
