@@ -38,7 +38,7 @@ SENT = 10_000
 #: Entries of the model that are broadcast at once, 16 bytes each.
 BLOCK = 1 << 22
 #: Distinct n-grams that a task holds before it passes them on, and symbols that are looked up at once.
-HELD, PIECE = 1 << 20, 1 << 20
+HELD, PIECE = 1 << 19, 1 << 18
 #: The largest log-perplexity that has a bin of its own.
 TOP = 40.0
 MARKS = "#*$%&|<>"
@@ -187,18 +187,18 @@ def discounts(grams: DataFrame) -> list[float]:
 
 
 class Model:
-    """(key, value) of each n-gram and context in blocks of sorted hash arrays, and the value of a symbol that no text holds."""
+    """(key, value) of each n-gram and context in broadcast blocks of sorted hash arrays, and the value of a symbol that no text holds."""
 
-    def __init__(self, blocks: list[tuple[np.ndarray, np.ndarray]], unseen: float):
+    def __init__(self, blocks: list, unseen: float):
         self.blocks, self.unseen = blocks, unseen
 
 
 def values(grams: DataFrame) -> tuple[DataFrame, float]:
-    """(key, value) for the model of counted n-grams of full order, and the value of an unknown symbol.
+    """(key, value, part) for the model of counted n-grams of full order, and the value of an unknown symbol.
 
     A symbol's log-probability after a context is ``unseen`` and the values of the contexts of all
     lengths before it and of the n-grams of all lengths that end with it, those that exist. For an
-    n-gram of full order their sum is stored as well.
+    n-gram of full order their sum is given as well (part ``sum``, beside ``longest`` and ``rest``).
     """
     own = {ORDER: grams}
     for n in range(ORDER - 1, 0, -1):
@@ -213,11 +213,11 @@ def values(grams: DataFrame) -> tuple[DataFrame, float]:
         if n == 1:
             total, lost, symbols = rows.agg(F.sum("n"), F.sum("d"), F.count("*")).first()
             if not total:
-                return grams.select(F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("value")), 0.0
+                return grams.select(F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("value"), F.lit("").alias("part")), 0.0
             weight = lost / total
             unseen = float(np.log(weight / (symbols + 1)))
             shorter = cut(rows.select("high", "low", ((F.col("n") - F.col("d")) / total + F.lit(weight / (symbols + 1))).alias("p")))
-            found.append(shorter.select(F.xxhash64("high", "low", F.lit(n).cast("long")).alias("key"), (F.log("p") - unseen).alias("value")))
+            found.append(shorter.select(F.xxhash64("high", "low", F.lit(n).cast("long")).alias("key"), (F.log("p") - unseen).alias("value"), F.lit("rest").alias("part")))
             continue
         before = context(F.col("high"), F.col("low"))
         after = Window.partitionBy("before_high", "before_low")
@@ -227,11 +227,12 @@ def values(grams: DataFrame) -> tuple[DataFrame, float]:
         less = shorter.select(F.col("high").alias("end_high"), F.col("low").alias("end_low"), F.col("p").alias("less"))
         rows = cut(rows.join(less, ["end_high", "end_low"]).select("high", "low", "before_high", "before_low", "weight", "less", (F.col("own") + F.col("weight") * F.col("less")).alias("p")))
         value = F.log("p") - F.log("weight") - F.log("less")
+        part = F.lit("longest" if n == ORDER else "rest")
         if n == ORDER:
-            found.append(rows.select(F.xxhash64("high", "low", F.lit(WHOLE).cast("long")).alias("key"), (F.log("p") - unseen).alias("value")))
-        found.append(rows.select(F.xxhash64("high", "low", F.lit(n).cast("long")).alias("key"), value.alias("value")))
+            found.append(rows.select(F.xxhash64("high", "low", F.lit(WHOLE).cast("long")).alias("key"), (F.log("p") - unseen).alias("value"), F.lit("sum").alias("part")))
+        found.append(rows.select(F.xxhash64("high", "low", F.lit(n).cast("long")).alias("key"), value.alias("value"), part.alias("part")))
         contexts = rows.groupBy("before_high", "before_low").agg(F.first("weight").alias("weight"))
-        found.append(contexts.select(F.xxhash64("before_high", "before_low", F.lit(ORDER + n).cast("long")).alias("key"), F.log("weight").alias("value")))
+        found.append(contexts.select(F.xxhash64("before_high", "before_low", F.lit(ORDER + n).cast("long")).alias("key"), F.log("weight").alias("value"), F.lit("rest").alias("part")))
         shorter = rows.select("high", "low", "p")
     out = found[0]
     for more in found[1:]:
@@ -242,13 +243,15 @@ def values(grams: DataFrame) -> tuple[DataFrame, float]:
 def model(docs: DataFrame) -> Model:
     """The model of all texts of ``docs``, in blocks by ranges of the hash."""
     entries, unseen = values(cut(counts(docs)))
-    n = -(-entries.count() // BLOCK)
+    n = -(-entries.filter("part <> 'sum'").count() // BLOCK)
+    # Of one block, an n-gram of full order is known by its sum; sums cannot be added up from several.
+    entries = entries.filter(F.col("part") != F.lit("longest" if n == 1 else "sum"))
     blocks = []
     for k in range(n):
-        rows = entries.filter(F.pmod("key", F.lit(n)) == k).toArrow()
+        rows = entries.filter(F.pmod("key", F.lit(n)) == k).select("key", "value").toArrow()
         keys, order = _sorted(rows["key"].to_numpy())
         blocks.append((keys, rows["value"].to_numpy()[order]))
-    return Model(blocks, unseen)
+    return Model([docs.sparkSession.sparkContext.broadcast(block) for block in blocks], unseen)
 
 
 def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -304,7 +307,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """
     docs = docs.drop(*_NAMES)
     at, width = docs.columns.index("text"), len(docs.columns)
-    unseen, only, context_ = model.unseen, len(model.blocks) == 1, docs.sparkSession.sparkContext
+    unseen, only = model.unseen, len(model.blocks) == 1
 
     def step(sent, first: bool):
         def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +331,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     for k, block in enumerate(model.blocks or [None]):
-        docs = docs.mapInArrow(step(context_.broadcast(block) if block else None, k == 0), f"{out}, {_BASE}")
+        docs = docs.mapInArrow(step(block, k == 0), f"{out}, {_BASE}")
     return docs
 
 
