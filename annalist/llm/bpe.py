@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import batches, table
+from annalist.llm.common import batches, giving_back, table
 
 #: Matches kept in each of a worker's two generations, and the longest that is kept.
 CACHED, CACHED_LENGTH = 1 << 17, 48
@@ -292,7 +292,7 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, row: Callable[
                 columns = [pa.array(list(values), types[kind]) for values, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*kept, *new])
 
-    return docs.select(*kept).mapInArrow(run, out)
+    return docs.select(*kept).mapInArrow(giving_back(run), out)
 
 
 _CODECS: dict[tuple[int, str], Codec] = {}

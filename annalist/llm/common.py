@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,22 @@ def drop_cuts(spark: SparkSession, since: int) -> None:
     del _CUTS[since:-1]
 
 
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def giving_back(run: Step) -> Step:
+    """``run`` for Arrow batches; at the end of a task its worker, which is kept, returns the memory that it has freed."""
+
+    def whole(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(stream)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(0))

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import cut, flat_bytes, remainder, table, utf8
+from annalist.llm.common import cut, flat_bytes, giving_back, remainder, table, utf8
 
 #: Tokens of a chunk and, as estimated, of a bucket.
 CHUNK, BUCKET = 1 << 21, 1 << 20
@@ -371,7 +371,7 @@ def sampled(docs: DataFrame) -> Deal:
         often = n >= max(2, FREQUENT * n.sum())
         yield pa.RecordBatch.from_arrays([pa.array([None, *words[often].view(np.int64).tolist()], pa.int64()), pa.array([int(n.sum()), *n[often].tolist()], pa.int64())], ["word", "n"])
 
-    found = docs.sample(SAMPLE, seed=1).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = docs.sample(SAMPLE, seed=1).mapInArrow(giving_back(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     tokens = found.filter("word is null").first()
     tokens = tokens["n"] if tokens else 0
     often = found.filter(F.col("word").isNotNull() & (F.col("n") >= F.lit(FREQUENT * tokens))).collect() if tokens else []
@@ -434,8 +434,8 @@ def answered(docs: DataFrame, deal: Deal) -> DataFrame:
         if now is not None:
             yield out()
 
-    sent = docs.mapInArrow(ask, "bucket int, kind int, chunk long, payload binary").repartition(deal.buckets, "bucket")
-    return sent.sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(add, _ANSWERS)
+    sent = docs.mapInArrow(giving_back(ask), "bucket int, kind int, chunk long, payload binary").repartition(deal.buckets, "bucket")
+    return sent.sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(giving_back(add), _ANSWERS)
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -485,11 +485,11 @@ def scored(docs: DataFrame) -> DataFrame:
         if now is not None:
             yield out()
 
-    texts = rows.mapInArrow(kept, "chunk long, kind int, bucket int, payload binary")
+    texts = rows.mapInArrow(giving_back(kept), "chunk long, kind int, bucket int, payload binary")
     both = found.filter("chunk is not null").select("chunk", "kind", "bucket", "payload").unionByName(texts)
     met = both.repartition(deal.buckets, "chunk").sortWithinPartitions("chunk", "kind", "bucket").select("chunk", "kind", "payload")
     # Written at once: the two reads of the rows must be dealt alike.
-    return cut(met.mapInArrow(traverse, _SCORES))
+    return cut(met.mapInArrow(giving_back(traverse), _SCORES))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

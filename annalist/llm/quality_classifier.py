@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import cut, remainder, set_aside, table
+from annalist.llm.common import cut, giving_back, remainder, set_aside, table
 from annalist.llm.quality_rules import base_counts
 
 FEATURES = 256
@@ -73,7 +73,7 @@ def described(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "stats"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{out}, stats array<double>")
+    return docs.mapInArrow(giving_back(run), f"{out}, stats array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -114,7 +114,7 @@ def normal_equations(train: DataFrame, kernel: Kernel) -> np.ndarray:
         return pa.table({"row": pa.array([key[0].as_py()], pa.int64()), "sums": pa.array([sums], pa.list_(pa.float64()))})
 
     schema = "row long, sums array<double>"
-    summed = train.select("fold", "stats", "y").mapInArrow(run, schema).groupBy("row").applyInArrow(add, schema)
+    summed = train.select("fold", "stats", "y").mapInArrow(giving_back(run), schema).groupBy("row").applyInArrow(add, schema)
     out = np.zeros((2 * size, size))
     for row, sums in summed.collect():  # 2 * (FEATURES + 2) rows
         out[row] = sums
@@ -184,7 +184,7 @@ def train(stats: DataFrame, labels: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[0][found]), pa.array(total[1][found])], ["bin", "n0", "n1"])
 
     counts = np.zeros((2, BINS))
-    for k, n0, n1 in rows.mapInArrow(run, "bin long, n0 long, n1 long").groupBy("bin").agg(F.sum("n0"), F.sum("n1")).collect():  # BINS rows
+    for k, n0, n1 in rows.mapInArrow(giving_back(run), "bin long, n0 long, n1 long").groupBy("bin").agg(F.sum("n0"), F.sum("n1")).collect():  # BINS rows
         counts[:, k] = n0, n1
     made.levels = isotonic(counts.sum(axis=0), counts[1])
     return made
@@ -204,7 +204,7 @@ def scored(described_docs: DataFrame, model: Model) -> DataFrame:
 
     places = [docs.columns.index(c) for c in kept]
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
-    return docs.mapInArrow(run, f"{out}, score double" if out else "score double")
+    return docs.mapInArrow(giving_back(run), f"{out}, score double" if out else "score double")
 
 
 def filtered(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

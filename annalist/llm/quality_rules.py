@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from annalist.llm.common import cut, row_hash, set_aside, table
+from annalist.llm.common import cut, giving_back, row_hash, set_aside, table
 
 ORDER = 5
 LEAST_WORDS = 50
@@ -172,7 +172,7 @@ def counts(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "high long, low long, n long").groupBy("high", "low").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(giving_back(run), "high long, low long, n long").groupBy("high", "low").agg(F.sum("n").alias("n"))
 
 
 # ---- the model
@@ -331,7 +331,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     for k, block in enumerate(model.blocks or [None]):
-        docs = docs.mapInArrow(step(block, k == 0), f"{out}, {_BASE}")
+        docs = docs.mapInArrow(giving_back(step(block, k == 0)), f"{out}, {_BASE}")
     return docs
 
 

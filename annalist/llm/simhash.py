@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import batches, cut, set_aside, table
+from annalist.llm.common import batches, cut, giving_back, set_aside, table
 
 BITS = 64
 SHINGLE = 4
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, wide: int = 1) -> DataFra
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(wide))], [*batch.schema.names, *names])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{own}, " + ", ".join(f"{n} long" for n in names))
+    return docs.mapInArrow(giving_back(run), f"{own}, " + ", ".join(f"{n} long" for n in names))
 
 
 # ---- blocks of correlated bits
@@ -120,7 +120,7 @@ def bit_sums(distinct: DataFrame) -> np.ndarray:
         cell = np.flatnonzero(total.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total.ravel()[cell])], ["cell", "n"])
 
-    sums = distinct.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = distinct.mapInArrow(giving_back(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros(BITS * BITS, np.int64)
     for cell, n in sums.collect():  # 4,096 rows at most
         out[cell] = n
@@ -183,7 +183,7 @@ def part_counts(distinct: DataFrame, parts: list[list[int]]) -> list[np.ndarray]
         cell = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(flat[cell])], ["cell", "n"])
 
-    sums = distinct.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = distinct.mapInArrow(giving_back(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     sizes = [1 << len(bits) for bits in parts]
     flat = np.zeros(sum(sizes), np.int64)
     for cell, n in sums.collect():  # 2 ** 11 rows for each part at most
@@ -295,7 +295,7 @@ def _keyed(nodes: DataFrame, made: Plan, which: str, rest: list[str]) -> DataFra
                 for keys, k in getattr(made, which)(some.column(0).to_numpy().view(np.uint64)):
                     yield pa.RecordBatch.from_arrays([pa.array(keys), *(c.take(pa.array(k)) for c in some.columns)], ["key", "fp", *rest])
 
-    return nodes.select("fp", *rest).mapInArrow(run, ", ".join(f"{n} long" for n in ("key", "fp", *rest)))
+    return nodes.select("fp", *rest).mapInArrow(giving_back(run), ", ".join(f"{n} long" for n in ("key", "fp", *rest)))
 
 
 def _near(a: str, b: str, words: list[str], limit: int) -> Column:
@@ -364,7 +364,7 @@ def forest(edges: DataFrame) -> DataFrame:
                 yield out()
         yield out()
 
-    return edges.mapInArrow(run, "a long, b long")
+    return edges.mapInArrow(giving_back(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
