@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import text
 from annalist.journal import Journal, raw_events
-from annalist.operators import change, eligibility, extract, report, search, similarity, validate
+from annalist.operators import change, eligibility, erasure, extract, report, search, similarity, validate, wordindex
 from annalist.sources import chats, files, notes
 from annalist.storage import cut
 from annalist.store import Conflict, Invalid, Receipt, Store
@@ -51,6 +51,15 @@ def _digest(value) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, default=str).encode()).hexdigest()
 
 
+def _values(column: DataFrame) -> list:
+    """The values of one column, of a batch or a family."""
+    return [r[0] for r in column.collect()]
+
+
+#: What every publication of facts must hold to.
+RULES = (lambda tables: eligibility.violations(tables["facts"]),)
+
+
 class Memory:
     """A store and its journal under one folder."""
 
@@ -172,34 +181,45 @@ class Memory:
             raise Invalid(f"{kind} needs a fact with id, predicate and statement")
         if kind == "forget" and not target:
             raise Invalid("forget needs the id of a fact")
-        facts, controls = self.store.table("facts", base), self.store.table("controls", base)
-        family = facts.filter(text.family(F.col("entity_id")) == text.family(F.lit(entity_id)))
+        controls = self.store.table("controls", base)
+        family = cut(self._family(entity_id, base))
         about = fact["id"] if kind == "remember" else target or fact["id"]
         holder = family.filter(F.col("id") == about).select("entity_id", "ord").first()
-        tables: dict[str, DataFrame] = {}
+        changes: dict[str, DataFrame] = {}
         if kind != "remember" and holder is None:
             raise Invalid(f"{kind}: {about} is not a fact of {entity_id}")
+        here, gone = F.lit(False).alias("gone"), F.lit(True).alias("gone")
         if kind == "forget":
             ids = self.spark.createDataFrame([(target,)], "id string")
-            tables["controls"] = controls = change.forgotten(controls, ids, request["reason"])
-            facts = change.with_status(facts, ids, "retracted")
+            changes["controls"] = change.forgotten(controls, ids, request["reason"]).exceptAll(controls).select("*", here)
+            changes["facts"] = family.join(ids, "id", "left_semi").select("*", gone)
         else:
-            if kind == "correct":
-                facts = change.superseded(facts, self.spark.createDataFrame([(about, fact["id"])], "id string, new_id string"))
             same = family.filter(F.col("id") == fact["id"]).select("entity_id", "ord").first()
             home = (same or holder).entity_id if same or holder else self._home(family, entity_id, fact["statement"])
             place = same.ord if same else (family.agg(F.coalesce(F.max("ord"), F.lit(0))).first()[0] + 1)
-            facts = change.upserted(facts, self._fact(fact, home, place))
-        tables["facts"] = change.pruned(facts, controls)
+            made = self._fact(fact, home, place)
+            if kind == "correct":
+                old = change.superseded(family.filter(F.col("id") == about), self.spark.createDataFrame([(about, fact["id"])], "id string, new_id string"))
+                made = change.upserted(old, made)
+            # What was forgotten stays so.
+            hidden = F.col("id").isin(_values(change.prunable(controls).filter(F.col("id").isin(fact["id"], about))))
+            changes["facts"] = made.select("*", hidden.alias("gone"))
         self.store.write_intent(request["request_id"], {"base": base, "request": request})
         try:
-            receipt = self.store.publish(base, request["request_id"], _digest(request), tables, validators=(lambda t: eligibility.violations(t["facts"]),))
+            receipt = self.store.publish(base, request["request_id"], _digest(request), changes=changes, validators=RULES)
         except Invalid:
             self.store.complete_intent(request["request_id"])
             raise
         self.store.complete_intent(request["request_id"])
         return receipt
 
+    def _family(self, entity_id: str, base: int) -> DataFrame:
+        """The facts of an entity and its further files; fifty files of bounded size at most."""
+        family = text.family(F.lit(entity_id))
+        keys = _values(self.spark.range(1).select(wordindex.family_key(family)))
+        ids = _values(self.store.indexed(keys, base).select("id").distinct())
+        return self.store.rows("facts", ids, base).filter(text.family(F.col("entity_id")) == family)
+
     def _home(self, family: DataFrame, entity_id: str, statement: str) -> str:
         sizes = family.groupBy("entity_id").agg(F.sum(F.octet_length("statement") + change.FACT_BYTES).alias("n")).collect()  # fifty files at most
         home = change.homes([(r.entity_id, r.n) for r in sizes], entity_id, [len(statement.encode())])[0]
@@ -217,6 +237,7 @@ class Memory:
     def recover(self) -> dict[str, str]:
         """Finish changes that were interrupted; those whose base is gone are set aside."""
         out = {}
+        self.store.finish()
         for request_id, intent in self.store.intents().items():
             if intent is None:
                 self.store.set_aside(request_id)
@@ -254,7 +275,8 @@ class Memory:
 
         Without a client the rules extract; with one, what it proposes passes the gate.
         """
-        manifest, base = self.store.manifest(), self.store.head()
+        base = self.store.head()
+        manifest = self.store.manifest(base)
         if request_id in manifest["receipts"]:
             return manifest["state"].get("dispositions", {}).get(request_id, {}) | {"replayed": True}
         through = manifest["state"].get("through_seq", 0)
@@ -263,12 +285,11 @@ class Memory:
             return {"through_seq": through, "events": 0, "caught_up": True}
         window = self.journal.events(through + 1).filter(F.col("seq") <= last).select("event_id", "seq", "scope_id", "role", F.col("source.kind").alias("source_kind"), F.col("source.source_id").alias("source_id"), "occurred_at", "content", "project")
         events = cut(window.filter(F.col("scope_id") == scope) if scope else window)
-        controls = self.store.table("controls")
-        facts = cut(change.pruned(self.store.table("facts"), controls))
+        controls = self.store.table("controls", base)
         if client is None:
             found, set_aside = extract.rule_proposals(events).withColumn("order", F.col("seq") * 1000 + F.col("k")), extract.dispositions(events)
         else:
-            known = facts.groupBy("entity_id").agg(F.first("title").alias("title"))
+            known = self.store.table("facts", base).groupBy("entity_id").agg(F.first("title").alias("title"))
             gated = cut(extract.gated(extract.model_proposals(extract.candidates(events), client), events, known))
             found = gated.filter("reason is null").withColumn("order", F.col("seq") * 1000).withColumn("id", text.fact_id(F.col("entity_id"), F.col("predicate"), F.col("statement")))
             taken = found.select("seq").distinct().withColumn("ok", F.lit(True))
@@ -276,12 +297,14 @@ class Memory:
             set_aside = events.join(taken, "seq", "left").select("seq", reason.alias("reason"))
         found = cut(found)
         blocked = eligibility.blocked(controls)
+        facts = cut(change.pruned(self._touched(found, events, base), controls))
         good = similarity.placeable(found.select("id", "entity_id", "statement", "order"), facts.filter("status = 'active'").select("id", "entity_id", "statement"), blocked)
         new = found.join(good, "id", "left_semi").groupBy("id").agg(F.max_by(F.struct("entity_id", "entity_type", "title", "predicate", "statement", "evidence", "event_id", "seq"), "order").alias("p"), F.min("order").alias("order")).select("id", "order", "p.*")
         new = cut(new)
         # A fact that the family holds already stays in its file; others go to the first with room.
         held = facts.select("id", F.col("entity_id").alias("held"), F.col("ord").alias("held_ord"))
-        sizes = facts.groupBy("entity_id").agg(F.sum(F.octet_length("statement") + change.FACT_BYTES).alias("bytes")).withColumn("family", text.family(F.col("entity_id")))
+        families = new.select(wordindex.family_key(text.family(F.col("entity_id"))).alias("key")).distinct()
+        sizes = self.store.indexed(_values(families), base).groupBy("entity_id").agg(F.sum("bytes").alias("bytes")).withColumn("family", text.family(F.col("entity_id")))
         homes = change.placed(new.join(facts.select("id"), "id", "left_anti").select("id", "entity_id", "statement", "order"), sizes)
         when = events.select("seq", "occurred_at")
         rows = new.join(held, "id", "left").join(homes, "id", "left").join(when, "seq", "left").filter("held is not null or home is not null")
@@ -299,9 +322,22 @@ class Memory:
         reasons = {r.reason: list(r.seqs) for r in extract.by_reason(set_aside).collect()}  # a batch is bounded
         result = {"from_seq": through + 1, "through_seq": last, "events": events.count(), "accepted": accepted, "facts": made.join(facts.select("id"), "id", "left_anti").count(), "quarantined": reasons}
         state = {"through_seq": last, "dispositions": manifest["state"].get("dispositions", {}) | {request_id: result}}
-        self.store.publish(base, request_id, _digest([request_id, through]), {"facts": after}, state)
+        changed = after.join(made.select("id").unionByName(old.select("id")), "id", "left_semi").withColumn("gone", F.lit(False))
+        self.store.publish(base, request_id, _digest([request_id, through]), state=state, changes={"facts": changed}, validators=RULES)
         return result | {"caught_up": False}
 
+    def _touched(self, found: DataFrame, events: DataFrame, base: int) -> DataFrame:
+        """The facts that proposals may be or restate, and those learned from older versions of notes in a batch.
+
+        Ids and keys of a batch, which is bounded, are looked up; no other facts are read.
+        """
+        probes = cut(wordindex.probes(found.select("id", "entity_id", "statement").distinct()))
+        similar = wordindex.similar_ids(probes, cut(self.store.indexed(_values(probes.select("key").distinct()), base)))
+        files = events.filter((F.col("role") == "note") & F.startswith("event_id", F.lit(wordindex.NOTE))).select(wordindex.file_key(F.col("event_id")).alias("key")).distinct()
+        learned = self.store.indexed(_values(files), base).select("id")
+        ids = _values(found.select("id").unionByName(similar).unionByName(learned).distinct())
+        return self.store.rows("facts", ids, base)
+
     def consolidate_all(self, prefix: str, high_water: int = 200, **options) -> int:
         """Batches until the log is read; how many there were."""
         return self.consolidate_totals(prefix, high_water, **options)["batches"]
@@ -319,7 +355,9 @@ class Memory:
 
     def tidy(self, apply: bool = False, keep: tuple[str, ...] = (), judge: Callable[[list[dict]], list[str]] | None = None) -> DataFrame:
         """(id, kind, duplicate_of) of facts that repeat others, or that a judge calls of one session only, twice; with ``apply`` they are forgotten."""
-        live = cut(eligibility.readable_facts(self.store.table("facts"), self.store.table("controls")).filter("status = 'active'"))
+        base = self.store.head()
+        old, facts = self.store.table("controls", base), self.store.table("facts", base)
+        live = cut(eligibility.readable_facts(facts, old).filter("status = 'active'"))
         doubles = similarity.duplicates(live).select("id", F.lit("duplicate").alias("kind"), "duplicate_of")
         found = cut(doubles)
         if judge:
@@ -341,44 +379,47 @@ class Memory:
             found = found.unionByName(once.select("id", F.lit("session_only").alias("kind"), F.lit(None).cast("string").alias("duplicate_of")))
         found = cut(found.filter(~F.col("id").isin(*keep)) if keep else found)
         if apply:
-            controls = change.forgotten(self.store.table("controls"), found.select("id"), "tidy")
-            facts = change.pruned(change.with_status(self.store.table("facts"), found.select("id"), "retracted"), controls)
-            base = self.store.head()
-            self.store.publish(base, f"tidy-{base + 1}", _digest(base), {"facts": facts, "controls": controls})
+            controls = change.forgotten(old, found.select("id"), "tidy").exceptAll(old)
+            gone = facts.join(found.select("id"), "id", "left_semi")
+            self.store.publish(base, f"tidy-{base + 1}", _digest(base), changes={"facts": gone.withColumn("gone", F.lit(True)), "controls": controls.withColumn("gone", F.lit(False))}, validators=RULES)
         return found
 
     def erase(self, target: str) -> dict[str, int]:
         """Remove a fact or an entity for good: from every revision, with the text of the events it came from.
 
-        What only older revisions still hold, as it was forgotten or pruned since, goes as well; so does
-        an id that only controls name. Facts with the same statement stay, and are counted in
-        ``same_statement``. What is erased already changes nothing.
+        Needles are the ids and the statements of what is erased, also of what only older revisions
+        still hold. Facts with such an id or statement go, in all revisions; evidence and aliases of other facts
+        that name one are emptied, lines of the index dropped. An id that only controls name may be erased. What
+        is erased already changes nothing, but for what an interrupted erasure left to do. A revision
+        that another writer publishes meanwhile makes it fail with ``Conflict``.
         """
-        controls, facts = self.store.table("controls"), self.store.table("facts")
-        gone = cut(change.erasure_targets(self.store.ever("facts"), target))
+        left = self.store.finish()
+        base = self.store.head()
+        controls, facts = self.store.table("controls", base), self.store.table("facts", base)
+        ever = self.store.ever("facts")
+        gone = cut(change.erasure_targets(ever, target))
         n = gone.select("id").distinct().count()
         known = {r.control for r in controls.filter(F.col("target") == target).select("control").distinct().collect()}
         if not n and "deleted" in known:
-            return {"facts": 0, "events": 0, "folders": 0, "same_statement": 0}
+            return {"facts": 0, "events": 0, "folders": left, "same_statement": 0}
         if not n and not known:
             raise NotFound(target)
-        ids = cut(gone.select("id").distinct())
+        ids = _values(gone.select("id").distinct())
+        whole = sorted({r.entity_id for r in gone.filter(F.col("id") != target).select("entity_id").distinct().collect()})
+        needles = erasure.Needles([*ids, target, *(f"`{e}`" for e in whole)], _values(gone.select("statement").distinct()))
+        also = ever.filter(F.col("statement").isin(needles.statements) & ~F.col("id").isin(ids)) if needles.statements else ever.limit(0)
+        same = facts.join(also.select("id").distinct(), "id", "left_semi").select("id").distinct().count()
         events = self.journal.redact(change.source_events(gone))
-        said = gone.select(F.col("statement").alias("s")).distinct()
-        same = facts.join(said, F.col("statement") == F.col("s"), "left_semi").join(ids, "id", "left_anti").select("id").distinct().count()
-        named = ids.unionByName(self.spark.createDataFrame([(target,)], "id string")).distinct()
-        fill = (F.current_timestamp().alias("at"), F.lit("erased").alias("reason"), F.lit("completed").alias("state"))
+        named = self.spark.createDataFrame([(i,) for i in sorted({*ids, target})], "id string")
         fresh = named.join(controls.filter("control = 'deleted'").select(F.col("target").alias("id")), "id", "left_anti")
-        controls = controls.unionByName(fresh.select(F.lit("deleted").alias("control"), F.col("id").alias("target"), *fill))
-        base = self.store.head()
-        self.store.publish(base, f"erase-{base + 1}", _digest([target, base]), {"controls": controls, "facts": facts.join(ids, "id", "left_anti")})
-        folders = self.store.rewrite(lambda name, rows: rows.join(ids, "id", "left_anti").select(rows.columns) if name == "facts" else rows)
+        fresh = cut(fresh.select(F.lit("deleted").alias("control"), F.col("id").alias("target"), F.current_timestamp().alias("at"), F.lit("erased").alias("reason"), F.lit("completed").alias("state")))
+        folders = self.store.rewrite(base, f"erase-{base + 1}", _digest([target, base]), needles, fresh)
         for request_id, intent in self.store.intents().items():
             request = (intent or {}).get("request") or {}
             about = [x for x in (request.get("entity_id"), request.get("target"), (request.get("fact") or {}).get("id")) if x]
-            if target in about or ids.filter(F.col("id").isin(about)).limit(1).count():
+            if target in about or set(about) & set(ids) or needles.within(json.dumps(request, ensure_ascii=False)):
                 self.store.complete_intent(request_id)
-        return {"facts": n, "events": events, "folders": folders, "same_statement": same}
+        return {"facts": n, "events": events, "folders": folders + left, "same_statement": same}
 
     def evaluate(self, cases: list[dict], limit: int = 8, rerank: bool = False) -> DataFrame:
         """Scores of a rubric's cases (id, question, and what is expected)."""

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.functions import passages
-from annalist.operators import change, eligibility, extract, report, similarity, validate
+from annalist.functions import passages, text
+from annalist.operators import change, eligibility, erasure, extract, report, similarity, validate
 from annalist.plans import sql
 from annalist.plans.views import conversation_events, document_facts, label_controls, table
+from annalist.schemas import FACT
+from annalist.storage import cut, shared_dir
+from annalist.store import Store
 
 
 def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,6 +229,76 @@ def scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change.scrubbed(lines, needles, "line").select("doc_id")
 
 
+def _store(spark: SparkSession) -> Store:
+    """A store of its own in the shared folder."""
+    return Store(spark, f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+
+
+def _stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' facts, once for each id, in the shape in which they are stored."""
+    f = _base(spark, sf_dir).dropDuplicates(["id"])
+    none = {name: F.lit(None).cast(kind) for name, kind in (("observed_at", "timestamp"), ("supersedes", "array<string>"))}
+    fill = none | {"entity_type": text.entity_type(F.col("entity_id")), "kind": F.lit("explicit_assertion"), "evidence": F.substring("statement", 1, 60)}
+    names = [field.split()[0] for field in FACT.split(", ")]
+    return f.select(*(fill[c].alias(c) if c in fill else F.col(c) for c in names), "doc_id")
+
+
+def layered_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts published in four batches, each of which stores only its own rows, as every revision has them."""
+    store, f = _store(spark), cut(_stored_facts(spark, sf_dir))
+    n, here = F.col("doc_id"), F.lit(False)
+    batches = [
+        f.filter(n % 10 < 7).withColumn("gone", here),
+        f.filter(n % 10 == 7).withColumn("gone", here),
+        f.filter(n % 10 == 5).withColumn("predicate", F.lit("revised")).withColumn("gone", here),
+        f.filter((n % 10 == 7) & (n % 3 == 0)).withColumn("gone", F.lit(True)).unionByName(f.filter(n % 10 == 9).withColumn("gone", here)),
+    ]
+    for k, batch in enumerate(batches):
+        store.publish(k, f"batch-{k}", "", changes={"facts": batch.drop("doc_id")})
+    out = None
+    for number in store.revisions():
+        own = store.table("facts", number).select(F.lit(number).cast("long").alias("revision"), "id", "predicate", F.md5("statement").alias("statement"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+LAYERS_SQL = f"""
+with {sql.DOCUMENT_FACTS}, f as (select distinct id, predicate, md5(statement) as statement, doc_id from f_docs), r as (select unnest([1, 2, 3, 4]) as revision)
+select cast(revision as bigint) as revision, id, case when doc_id % 10 = 5 and revision >= 3 then 'revised' else predicate end as predicate, statement
+from f, r
+where doc_id % 10 < 7 or (doc_id % 10 = 7 and revision >= 2 and not (revision = 4 and doc_id % 3 = 0)) or (doc_id % 10 = 9 and revision = 4)"""
+
+
+def erased_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every revision still has after one source's facts, and all facts of the same statements, were erased from all of them.
+
+    Evidence of other facts that holds an erased statement is emptied.
+    """
+    store, f = _store(spark), cut(_stored_facts(spark, sf_dir))
+    n = F.col("doc_id")
+    for k, batch in enumerate((f.filter(n % 4 != 1), f.filter(n % 4 == 1), f.filter(n % 4 == 2).withColumn("status", F.lit("superseded")))):
+        store.publish(k, f"batch-{k}", "", changes={"facts": batch.drop("doc_id").withColumn("gone", F.lit(False))})
+    gone = change.erasure_targets(store.ever("facts"), "w_src2").filter(F.char_length("statement") < 200)
+    rows = gone.select("id", "statement").distinct().collect()  # the needles of one erasure
+    store.rewrite(3, "erase-1", "", erasure.Needles([r.id for r in rows], [r.statement for r in rows]), store.table("controls").limit(0))
+    out = None
+    for number in store.revisions():
+        own = store.table("facts", number).select(F.lit(number).cast("long").alias("revision"), "id", "status", F.md5("evidence").alias("evidence"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+ERASED_SQL = f"""
+with {sql.DOCUMENT_FACTS}, f as (select distinct id, status, entity_id, statement, substr(statement, 1, 60) as evidence, doc_id from f_docs),
+needle as (select distinct id, statement from f where entity_id = 'w_src2' and length(statement) < 200),
+r as (select unnest([1, 2, 3, 4]) as revision),
+kept as (select * from f where id not in (select id from needle) and statement not in (select statement from needle where statement is not null)),
+quoting as (select distinct kept.id from kept join needle on needle.statement <> '' and contains(kept.evidence, needle.statement))
+select cast(revision as bigint) as revision, id, case when revision >= 3 and doc_id % 4 = 2 then 'superseded' else status end as status,
+       case when id not in (select id from quoting) then md5(evidence) end as evidence
+from kept, r where doc_id % 4 <> 1 or revision >= 2"""
+
+
 def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files that new facts go to: each the first of its family with room."""
     s = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("w_"), "source").alias("entity_id"), F.col("text").alias("statement"), F.col("doc_id").alias("order"))
@@ -386,6 +461,8 @@ QUERIES = {
     "controls_after": controls_after,
     "erased": erased,
     "scrubbed": scrubbed,
+    "layered_facts": layered_facts,
+    "erased_history": erased_history,
     "homes": homes,
     "bad_facts": bad_facts,
     "unknown_references": unknown_references,
@@ -421,6 +498,8 @@ ORACLE_SQL = {
     "erased": f"""with {sql.DOCUMENT_FACTS}, g as (select * from f_docs where entity_id = 'w_src2') select 'fact' as kind, id from g
        union all select 'event', source_ids[1] from g""",
     "scrubbed": "select doc_id from documents where doc_id % 100 not in (1, 2, 33)",
+    "layered_facts": LAYERS_SQL,
+    "erased_history": ERASED_SQL,
     "bad_facts": BAD_FACTS_SQL,
     "unknown_references": "select distinct 'fact_' || (doc_id * 3) as reference from documents where doc_id * 3 not in (select doc_id from documents) union select 'id_' || lang from documents",
     "unknown_targets": "select 'gone_' || doc_id as target from labels where doc_id % 10 = 5",

@@ -1,9 +1,20 @@
-"""Snapshots of facts and controls, published by compare-and-swap.
-
-A revision is a small manifest that names immutable Parquet folders, one for each table, and holds
-the state (checkpoint, tasks, dispositions) and the receipts of requests. Publishing creates the
-next manifest exclusively through the file system that Spark uses: of two writers with one base,
-one fails. Tables that a change does not touch are carried over by name.
+"""Layered snapshots of facts and controls, published by compare-and-swap.
+
+A revision is a small manifest that names immutable Parquet folders and holds the state (checkpoint,
+tasks, dispositions) and the receipts of requests. Publishing creates the next manifest exclusively
+through the file system that Spark uses: of two writers with one base, one fails.
+
+A table is a list of layers: the first holds rows as they were, each later one what has changed
+since, rows to put in a row's place and the ids of rows that are gone. A change writes its own rows
+only; readers merge. A new layer is merged with the one before while that is less than twice its
+size, so that a table of n rows has log2 n layers at most and a row is written again as often.
+Layers lie in order of id, and beside each lies its word index in order of key, so that a few ids
+or keys are found by the statistics of the files.
+
+Erasure publishes a revision first in which nothing is left of what is erased. It is a fence: a
+writer whose base is older fails as with any other revision, and one whose base is newer names only
+clean folders. So older manifests can be put right, and folders deleted that no manifest names any
+more, while others write. What is to be done stands in a record until it is done.
 """
 
 from __future__ import annotations
@@ -16,15 +27,24 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from annalist.operators import eligibility
+from annalist.operators import eligibility, erasure, wordindex
 from annalist.schemas import CONTROL, FACT
+from annalist.storage import cut
 
 TABLES = {"facts": FACT, "controls": CONTROL}
 #: File systems whose renames (for local files: links) refuse a name that is taken, in one step. Object stores do not.
 EXCLUSIVE = ("file", "hdfs", "viewfs")
 
 
+#: A layer is merged with the one before if that has fewer than so many times its rows; rows of a file.
+GROWTH, FILE_ROWS = 2, 200_000
+#: Beyond so many ids or keys a read looks at all rows.
+PUSHED = 20_000
+_PUSHDOWN = "spark.sql.parquet.pushdown.inFilterThreshold"
+
+
 class Conflict(Exception):
     """The base is no longer the head, or a request id came back with another content."""
 
@@ -41,6 +61,11 @@ class Receipt:
     replayed: bool
 
 
+def _columns(name: str) -> list[str]:
+    """The names of a table's columns, in order."""
+    return [f.split()[0] for f in re.sub(r"<[^>]*>", "", TABLES[name]).split(", ")]
+
+
 class Store:
     """The store in a folder that all executors reach."""
 
@@ -51,6 +76,10 @@ class Store:
             raise Invalid(f"{self._fs.getScheme()}: a store needs a file system on which of two renames to one name one fails")
         self._fs.mkdirs(self._path(f"{self.root}/revisions"))
         self._fs.mkdirs(self._path(f"{self.root}/intents"))
+        self._fs.mkdirs(self._path(f"{self.root}/erasures"))
+        # Long lists of ids and keys are compared with the statistics of files, not only their bounds.
+        if int(spark.conf.get(_PUSHDOWN)) < PUSHED:
+            spark.conf.set(_PUSHDOWN, str(PUSHED))
 
     # ---- small files
 
@@ -121,18 +150,91 @@ class Store:
             raise Invalid(f"no revision {number}")
         return json.loads(text)
 
+    def layers(self, name: str, revision: int | None = None) -> list[dict]:
+        """The layers of a table at a revision, oldest first."""
+        return self.manifest(revision)["tables"].get(name, [])
+
     def table(self, name: str, revision: int | None = None) -> DataFrame:
         """A table as it was at a revision: reads of a pinned revision never change."""
-        folder = self.manifest(revision)["tables"].get(name)
-        if folder is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{folder}")
-
-    def _stored(self, name: str, rows: DataFrame) -> str:
-        folder = f"tables/{name}-{uuid.uuid4().hex}"
-        names = [f.split()[0] for f in re.sub(r"<[^>]*>", "", TABLES[name]).split(", ")]
-        rows.select(names).write.parquet(f"{self.root}/{folder}")
-        return folder
+        return self._merged(name, self.layers(name, revision))
+
+    def rows(self, name: str, ids: list[str], revision: int | None = None) -> DataFrame:
+        """The rows with these ids, of which there may be a few thousand; other rows' files are passed over."""
+        return self._merged(name, self.layers(name, revision), F.col("id").isin(ids) if ids else F.lit(False))
+
+    def indexed(self, keys: list[int], revision: int | None = None) -> DataFrame:
+        """The index' entries under these keys, of facts as they are at a revision."""
+        layers = self.layers("facts", revision)
+        found = None
+        for k, layer in enumerate(layers):
+            own = self.spark.read.schema(wordindex.INDEX).parquet(f"{self.root}/{layer['index']}").filter(F.col("key").isin(keys) if keys else F.lit(False))
+            own = own.withColumn("_layer", F.lit(k))
+            found = own if found is None else found.unionByName(own)
+        if found is None:
+            return self.spark.createDataFrame([], wordindex.INDEX)
+        if len(layers) > 1:
+            newest = self._newest(layers).withColumnRenamed("_last", "_now")
+            found = found.join(newest, "id", "left").filter("_now is null or _now = _layer").drop("_now")
+        return found.drop("_layer")
+
+    def _layer(self, name: str, layer: dict, k: int = 0) -> DataFrame:
+        return self.spark.read.schema(f"{TABLES[name]}, gone boolean").parquet(f"{self.root}/{layer['folder']}").withColumn("_layer", F.lit(k))
+
+    def _newest(self, layers: list[dict]) -> DataFrame:
+        """(id, _last): the last layer, but for the first, that has a row of each id."""
+        every = None
+        for k, layer in enumerate(layers[1:], 1):
+            own = self._layer("facts", layer, k).select("id", "_layer")
+            every = own if every is None else every.unionByName(own)
+        return every.groupBy("id").agg(F.max("_layer").alias("_last"))
+
+    def _merged(self, name: str, layers: list[dict], keep=None, gone: bool = False) -> DataFrame:
+        """The rows of some layers as the last of them leaves them; with ``gone``, also the ids of removed rows."""
+        keep = F.lit(True) if keep is None else keep
+        out = None
+        for k, layer in enumerate(layers):
+            own = self._layer(name, layer, k).filter(keep)
+            out = own if out is None else out.unionByName(own)
+        if out is None:
+            return self.spark.createDataFrame([], f"{TABLES[name]}, gone boolean" if gone else TABLES[name])
+        # Controls are only ever added.
+        if len(layers) > 1 and name == "facts":
+            newest = self._newest(layers).filter(keep)
+            older = out.filter("_layer = 0").join(newest, "id", "left_anti")
+            out = older.unionByName(out.filter("_layer > 0").join(newest, "id").filter("_layer = _last").select(out.columns))
+        names = _columns(name)
+        return out.select(*names, "gone") if gone else out.filter("not gone").select(names)
+
+    def _stored(self, name: str, rows: DataFrame) -> dict:
+        """Write a layer of ``rows`` (with ``gone``), and the index of facts."""
+        names = _columns(name)
+        # Of what is gone only its id is kept.
+        rows = cut(rows.select(*(F.col(c) if c in ("id", "target") else F.when(~F.col("gone"), F.col(c)).alias(c) for c in names), "gone"))
+        layer = {"folder": f"tables/{name}-{uuid.uuid4().hex}", "rows": rows.count()}
+        self._sorted(rows, "id" if name == "facts" else "target", layer["rows"], layer["folder"])
+        if name == "facts":
+            layer["index"] = _index_of(layer["folder"])
+            self._sorted(wordindex.entries(rows.filter("not gone")), "key", layer["rows"], layer["index"])
+        return layer
+
+    def _sorted(self, rows: DataFrame, key: str, size: int, folder: str) -> None:
+        """Write rows in order of ``key``, in as many files as about ``size`` rows need."""
+        files = 1 + size // FILE_ROWS
+        spread = rows.repartitionByRange(files, key) if files > 1 else rows.coalesce(1)
+        spread.sortWithinPartitions(key).write.parquet(f"{self.root}/{folder}")
+
+    def _added(self, name: str, layers: list[dict], rows: DataFrame) -> list[dict]:
+        """``layers`` and one of changed ``rows``, merged with those before it that are not much larger."""
+        new = self._stored(name, rows)
+        since, size = len(layers), new["rows"]
+        while since and layers[since - 1]["rows"] < GROWTH * size:
+            since -= 1
+            size += layers[since]["rows"]
+        if since == len(layers):
+            return [*layers, new]
+        whole = self._stored(name, self._merged(name, [*layers[since:], new], gone=since > 0).withColumn("gone", F.col("gone") if since else F.lit(False)))
+        self._drop(new)
+        return [*layers[:since], whole]
 
     def publish(
         self,
@@ -141,12 +243,14 @@ class Store:
         digest: str,
         tables: dict[str, DataFrame] | None = None,
         state: dict | None = None,
+        changes: dict[str, DataFrame] | None = None,
         validators: tuple[Callable[[dict[str, DataFrame]], DataFrame], ...] = (),
     ) -> Receipt:
-        """Publish tables and state on top of ``base``.
+        """Publish whole tables, or changes of tables, and state on top of ``base``.
 
-        A request that was published before gives its old receipt. A validator returns the rows that
-        break its rule; any row stops the change.
+        Changes have a table's columns and ``gone``: rows to put in or in the place of others, and those
+        to remove. A request that was published before gives its old receipt. A validator takes the new
+        rows of each table and returns those that break its rule; any row stops the change.
         """
         if not re.fullmatch(eligibility.REQUEST_ID, request_id):
             raise Invalid(f"request id {request_id!r}")
@@ -160,32 +264,43 @@ class Store:
             raise Conflict(f"revision {base} is not the head")
         if (state or {}).get("through_seq", 0) < manifest["state"].get("through_seq", 0) and "through_seq" in (state or {}):
             raise Invalid("a checkpoint never goes back")
-        stored = {name: self._stored(name, rows) for name, rows in (tables or {}).items()}
-        fresh = {name: self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{folder}") for name, folder in stored.items()}
+        new = {name: rows.withColumn("gone", F.lit(False)) for name, rows in (tables or {}).items()} | {name: cut(rows) for name, rows in (changes or {}).items()}
+        fresh = {name: rows.filter("not gone").drop("gone") for name, rows in new.items()}
         for validator in validators:
             bad = validator(fresh).limit(5).collect()
             if bad:
-                self._drop(stored)
                 raise Invalid(f"{bad}")
+        held = {name: [] if name in (tables or {}) else manifest["tables"].get(name, []) for name in new}
+        made = {name: self._added(name, held[name], rows) for name, rows in new.items()}
+        return self._named_next(base, manifest, request_id, digest, manifest["tables"] | made, state)
+
+    def _named_next(self, base: int, manifest: dict, request_id: str, digest: str, tables: dict, state: dict | None = None) -> Receipt:
         receipts = manifest["receipts"] | {request_id: {"digest": digest, "revision": base + 1}}
-        made = {"tables": manifest["tables"] | stored, "state": manifest["state"] | (state or {}), "receipts": receipts}
         try:
-            self._write(f"revisions/{base + 1:08d}.json", json.dumps(made))
+            self._write(f"revisions/{base + 1:08d}.json", json.dumps({"tables": tables, "state": manifest["state"] | (state or {}), "receipts": receipts}))
         except Conflict:
-            self._drop(stored)
+            known = {layer["folder"] for layers in manifest["tables"].values() for layer in layers}
+            for layer in (layer for layers in tables.values() for layer in layers):
+                if layer["folder"] not in known:
+                    self._drop(layer)
             raise
         return Receipt(base + 1, False)
 
-    def _drop(self, stored: dict[str, str]) -> None:
-        for folder in stored.values():
+    def _drop(self, layer: dict) -> None:
+        for folder in {layer["folder"], layer.get("index", layer["folder"])}:
             self._fs.delete(self._path(f"{self.root}/{folder}"), True)
 
     def ever(self, name: str) -> DataFrame:
         """All rows that a table has in any retained revision."""
-        folders = sorted({m["tables"][name] for m in map(self.manifest, self.revisions()) if name in m["tables"]})
-        if not folders:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/{f}" for f in folders))
+        out = None
+        for layer in self._every(name).values():
+            own = self._layer(name, layer)
+            out = own if out is None else out.unionByName(own)
+        return self.spark.createDataFrame([], TABLES[name]) if out is None else out.filter("not gone").drop("_layer", "gone")
+
+    def _every(self, name: str) -> dict[str, dict]:
+        """All layers of a table in all retained revisions, by folder."""
+        return {layer["folder"]: layer for n in self.revisions() for layer in self.layers(name, n)}
 
     # ---- intents: what was asked for, until it is published
 
@@ -215,17 +330,63 @@ class Store:
 
     # ---- erasure
 
-    def rewrite(self, change: Callable[[str, DataFrame], DataFrame]) -> int:
-        """Apply ``change`` to the tables of every revision and delete what they were; how many folders changed."""
-        moved: dict[str, str] = {}
-        for number in self.revisions():
-            manifest = self.manifest(number)
-            for name, folder in manifest["tables"].items():
-                if folder not in moved:
-                    rows = self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{folder}")
-                    moved[folder] = self._stored(name, change(name, rows))
-                manifest["tables"][name] = moved[folder]
-            self._write(f"revisions/{number:08d}.json", json.dumps(manifest), overwrite=True)
-        for folder in moved:
-            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
-        return len(moved)
+    def rewrite(self, base: int, request_id: str, digest: str, needles: erasure.Needles, controls: DataFrame) -> int:
+        """Erase ``needles`` from all layers of facts and the indexes of all revisions; how many layers were replaced.
+
+        The next revision, clean and with ``controls`` added, is published first; ``Conflict`` if
+        another one was. Layers that hold no needle stay as they are.
+        """
+        manifest = self.manifest(base)
+        moved: dict[str, dict] = {}
+        for folder, layer in self._every("facts").items():
+            rows = self._layer("facts", layer).drop("_layer")
+            if not erasure.touched(rows, needles).isEmpty():
+                moved[folder] = self._stored("facts", erasure.cleaned(rows, needles))
+        added = {"controls": self._added("controls", manifest["tables"].get("controls", []), controls.withColumn("gone", F.lit(False)))} if not controls.isEmpty() else {}
+        record = f"erasures/{request_id}-{uuid.uuid4().hex}.json"
+        self._write(record, json.dumps({"request": request_id, "digest": digest, "moved": moved, "ids": needles.ids}))
+        try:
+            self._named_next(base, manifest, request_id, digest, self._moved(manifest["tables"], moved) | added, _scrubbed(manifest["state"], needles))
+        except Conflict:
+            self._fs.delete(self._path(f"{self.root}/{record}"), False)
+            raise
+        return self.finish()
+
+    @staticmethod
+    def _moved(tables: dict, moved: dict[str, dict]) -> dict:
+        return {name: [moved.get(layer["folder"], layer) for layer in layers] for name, layers in tables.items()}
+
+    def finish(self) -> int:
+        """End what was begun to be erased, by this or another process; how many layers were deleted.
+
+        A record whose revision was never published is dropped with the folders that it names.
+        """
+        done = 0
+        for name in self._names("erasures"):
+            record = json.loads(self._read(f"erasures/{name}") or "{}")
+            moved = record.get("moved", {})
+            if self.manifest()["receipts"].get(record.get("request"), {}).get("digest") != record.get("digest"):
+                for layer in moved.values():
+                    self._drop(layer)
+            else:
+                needles = erasure.Needles(record["ids"], [])
+                for number in self.revisions():
+                    manifest = self.manifest(number)
+                    fixed = manifest | {"tables": self._moved(manifest["tables"], moved), "state": manifest["state"] | _scrubbed(manifest["state"], needles)}
+                    if fixed != manifest:
+                        self._write(f"revisions/{number:08d}.json", json.dumps(fixed), overwrite=True)
+                # Only what no manifest names any more: a writer may have named a folder meanwhile.
+                for folder in set(moved) - set(self._every("facts")):
+                    self._drop({"folder": folder, "index": _index_of(folder)})
+                    done += 1
+            self._fs.delete(self._path(f"{self.root}/erasures/{name}"), False)
+        return done
+
+
+def _index_of(folder: str) -> str:
+    return folder.replace("facts", "words")
+
+
+def _scrubbed(state: dict, needles: erasure.Needles) -> dict:
+    """What changes of a state: its index, without lines that hold a needle."""
+    return {"index": needles.scrubbed(state["index"])} if state.get("index") else {}
