@@ -116,14 +116,21 @@ class Memory:
             events = events.filter(eligibility.in_project(project)) if project else events
             events = events.filter(eligibility.from_sources(sources or []))
         keep = eligibility.project_entities(project) if project else F.lit(True)
-        facts = self._eligible(include_disputed)
+        base = self.store.head()
+        facts = self._eligible(include_disputed, base)
         facts = facts.filter(keep) if pre_filter else facts
         keep = keep & eligibility.cites_sources(sources or [])
-        found = search.combined(facts, events, query, limit, self.reranker if rerank else None, keep)
+        found = search.combined(facts, events, query, limit, self.reranker if rerank else None, keep, lambda asked, most: self._best(facts, asked, most, base))
         return [r.asDict() for r in found.orderBy("place").collect()]
 
-    def _eligible(self, include_disputed: bool = False) -> DataFrame:
-        return eligibility.eligible_facts(self.store.table("facts"), self.store.table("controls"), F.current_timestamp(), include_disputed=include_disputed)
+    def _best(self, facts: DataFrame, query: str, limit: int, base: int) -> DataFrame:
+        """The best of ``facts``, found by the postings of the query's terms; only their own texts are read."""
+        keys = search.posting_keys(self.spark, query)
+        top = cut(search.search_postings(facts, self.store.indexed([k for _, _, k in keys], base), keys, query, limit))
+        return self.store.rows("facts", _values(top.select("id")), base).join(top.select("id", "score", "rank"), "id")
+
+    def _eligible(self, include_disputed: bool = False, base: int | None = None) -> DataFrame:
+        return eligibility.eligible_facts(self.store.table("facts", base), self.store.table("controls", base), F.current_timestamp(), include_disputed=include_disputed)
 
     def _readable(self) -> DataFrame:
         return eligibility.readable_facts(self.store.table("facts"), self.store.table("controls"))

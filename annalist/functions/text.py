@@ -23,37 +23,46 @@ def tokens(text: Column) -> Column:
 
 def stem(word: Column) -> Column:
     """The word without a light suffix; short words are left alone."""
-    w = F.lower(word)
+    return _stem(F.lower(word))
+
+
+def _stem(w: Column) -> Column:
+    """``stem`` of a word in lower case."""
+
+    def ends(suffix: str, least: int) -> Column:
+        return F.endswith(w, F.lit(suffix)) & (F.char_length(w) >= least + len(suffix))
 
     def without(n: int) -> Column:
         return F.substring(w, F.lit(1), F.char_length(w) - n)
 
+    hissing = F.lit(False)
+    for suffix in ("ses", "xes", "zes", "ches", "shes"):
+        hissing = hissing | F.endswith(w, F.lit(suffix))
     return (
-        F.when(w.rlike("^.{3,}ing$"), without(3))
-        .when(w.rlike("^.{3,}ed$"), without(2))
-        .when(w.rlike("^.{3,}es$") & w.rlike("(s|x|z|ch|sh)es$"), without(2))
-        .when(w.rlike("^.{2,}[^s]s$"), without(1))
+        F.when(ends("ing", 3), without(3))
+        .when(ends("ed", 3), without(2))
+        .when(ends("es", 3) & hissing, without(2))
+        .when(ends("s", 3) & ~F.endswith(w, F.lit("ss")), without(1))
         .otherwise(w)
     )
 
 
 def stems(text: Column) -> Column:
     """The distinct stems of a text's tokens."""
-    return F.array_distinct(F.transform(tokens(text), stem))
+    return F.array_distinct(F.transform(F.array_distinct(tokens(text)), _stem))
 
 
 def content_words(statement: Column) -> Column:
     """The distinct stems that count when statements are compared; stopwords go before stemming."""
-    stop = _listed(W.RESTATEMENT_STOPWORDS)
-    found = F.filter(F.split(F.lower(statement), r"[^\p{L}\p{N}]+"), lambda x: (x != "") & ~F.array_contains(stop, x))
-    return F.array_distinct(F.transform(found, stem))
+    # Without stopwords, and each word once, before any is stemmed.
+    found = F.array_except(F.split(F.lower(statement), r"[^\p{L}\p{N}]+"), _listed([*W.RESTATEMENT_STOPWORDS, ""]))
+    return F.array_distinct(F.transform(found, _stem))
 
 
 def content_terms(text: Column) -> Column:
     """The distinct stems of over two characters that are no stopwords of facts."""
     stop = _listed(W.FACT_STOPWORDS)
-    found = F.transform(tokens(text), stem)
-    return F.array_distinct(F.filter(found, lambda x: (F.char_length(x) > 2) & ~F.array_contains(stop, x)))
+    return F.filter(F.array_except(stems(text), stop), lambda x: F.char_length(x) > 2)
 
 
 def prefix(word: Column) -> Column:

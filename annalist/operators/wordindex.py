@@ -1,8 +1,13 @@
 """The word index of facts: what a batch looks up instead of reading all facts.
 
 An entry stands under the hash of what it is found by: a word in a family, a word in any workstream,
-a family, or the file of a note that a fact was learned from. It names the fact, its file, how many
-different content words it has and the bytes it takes.
+a family, the file of a note that a fact was learned from, or, for searches, a stem or the first
+bytes of one. It names the fact, its file, how many different content words it has and the bytes it
+takes.
+
+A search reads the postings of its own terms only. Each term gives a fact one of two fixed amounts,
+whatever the fact's length and the term's count in it, so there are no score bounds by block to
+prune by: all postings of a term weigh the same.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import text
 from annalist.operators.change import FACT_BYTES
-from annalist.operators.similarity import JACCARD, PREFERENCES
+from annalist.operators.similarity import PREFERENCES, SHARED
 
 INDEX = "key long, id string, entity_id string, n int, bytes long"
 #: Versions of a note have ids that begin so and end in a hash after the last colon.
@@ -35,18 +40,33 @@ def file_key(event_id: Column) -> Column:
     return F.xxhash64(F.lit("file"), F.regexp_replace(event_id, "[^:]*$", ""))
 
 
+def stem_key(stem: Column) -> Column:
+    return F.xxhash64(F.lit("stem"), stem)
+
+
+def head_key(head: Column) -> Column:
+    return F.xxhash64(F.lit("head"), head)
+
+
+def hay() -> Column:
+    """What a query is looked for in."""
+    return F.concat_ws(" ", "statement", "title", F.array_join("aliases", " "))
+
+
 def entries(facts: DataFrame) -> DataFrame:
-    """The index' entries of ``facts``: active ones by words and files, all by families."""
+    """The index' entries of ``facts``: active ones by words and files, all by families and for searches."""
     none = F.array().cast("array<bigint>")
     family, active = text.family(F.col("entity_id")), F.col("status") == "active"
     words = text.content_words(F.col("statement"))
     notes = F.filter("source_ids", lambda e: F.startswith(e, F.lit(NOTE)))
-    held = facts.select("id", "entity_id", family.alias("family"), active.alias("active"), words.alias("words"), notes.alias("notes"), F.octet_length("statement").alias("length"))
+    held = facts.select("id", "entity_id", family.alias("family"), active.alias("active"), words.alias("words"), notes.alias("notes"), F.octet_length("statement").alias("length"), text.stems(hay()).alias("stems"))
     by_word = F.transform("words", lambda w: word_key(F.col("family"), w))
     anywhere = F.when(F.startswith("entity_id", F.lit("w_")), F.transform("words", workstream_key)).otherwise(none)
     by_file = F.array_distinct(F.transform(F.coalesce("notes", F.array().cast("array<string>")), file_key))
     live = F.when(F.coalesce("active", F.lit(False)), F.concat(by_word, anywhere, by_file)).otherwise(none)
-    keys = F.concat(F.array(family_key(F.col("family"))), F.coalesce(live, none))
+    heads = F.array_distinct(F.array_compact(F.transform("stems", text.prefix)))
+    sought = F.concat(F.transform("stems", stem_key), F.transform(heads, head_key))
+    keys = F.concat(F.array(family_key(F.col("family"))), F.coalesce(live, none), F.coalesce(sought, none))
     return held.select(F.explode(keys).alias("key"), "id", "entity_id", F.size("words").alias("n"), (F.coalesce("length", F.lit(0)) + FACT_BYTES).cast("long").alias("bytes"))
 
 
@@ -64,17 +84,17 @@ def probes(proposals: DataFrame) -> DataFrame:
 
 
 def similar_ids(probes: DataFrame, found: DataFrame) -> DataFrame:
-    """(id): facts among ``found`` entries that share 0.6 of the smaller set of words with what ``probes`` look for.
+    """(id): facts among ``found`` entries that share 0.75 of the smaller set of words with what ``probes`` look for.
 
-    A proposal's words are taken rarest first. A fact of m words that shares ceil(0.6 m), or of the
-    proposal's n if that is less, has one of them at latest at place n - ceil(0.6 min(m, n)) + 1: so
+    A proposal's words are taken rarest first. A fact of m words that shares ceil(0.75 m), or of the
+    proposal's n if that is less, has one of them at latest at place n - ceil(0.75 min(m, n)) + 1: so
     frequent words meet short facts only. The pairs that remain are counted over all words.
     """
     df = found.groupBy("key").agg(F.count("*").alias("df"))
     order = Window.partitionBy("id", "side").orderBy("df", "key")
     placed = probes.join(df, "key").withColumn("at", F.row_number().over(order) + F.col("size") - F.count("*").over(Window.partitionBy("id", "side")))
     placed = placed.select(F.col("id").alias("proposal"), "side", "size", "key", "at")
-    least = F.ceil(JACCARD[0] * F.least("size", "n") / JACCARD[1])
+    least = F.ceil(SHARED[0] * F.least("size", "n") / SHARED[1])
     met = placed.join(found.select("key", F.col("id").alias("fact"), "n"), "key")
     pairs = met.filter(F.col("at") <= F.col("size") - least + 1).select("proposal", "side", "fact").distinct()
     shared = met.join(pairs, ["proposal", "side", "fact"], "left_semi").groupBy("proposal", "side", "fact").agg(F.count("*").alias("shared"), F.first("size").alias("size"), F.first("n").alias("n"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from annalist.functions import text
 from annalist.operators import eligibility, report, search
 from annalist.plans import sql
-from annalist.plans.views import NOW, conversation_events, document_events, document_facts, label_controls, table
+from annalist.plans.views import NOW, conversation_events, document_events, document_facts, label_controls, own_store, stored_facts, table
+from annalist.storage import cut
 
 #: Words of the synthetic prose: a rare one, a common one, one with an ending and a stopword.
 QUERY = "thereing handed the connected"
@@ -107,6 +108,16 @@ def fact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_facts(_facts(spark, sf_dir), QUERY, 20).select("rank", "id", "score")
 
 
+def indexed_fact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same twenty, of a store that has the facts in three layers: by the postings of the query's terms."""
+    store, facts = own_store(spark), cut(stored_facts(spark, sf_dir))
+    for k, part in enumerate((F.col("doc_id") % 8 < 5, F.col("doc_id") % 8 == 5, F.col("doc_id") % 8 > 5)):
+        store.publish(k, f"part-{k}", "", changes={"facts": facts.filter(part).drop("doc_id").withColumn("gone", F.lit(False))})
+    keys = search.posting_keys(spark, QUERY)
+    eligible = eligibility.eligible_facts(store.table("facts"), label_controls(spark, sf_dir), F.lit(NOW).cast("timestamp"))
+    return search.search_postings(eligible, store.indexed([k for _, _, k in keys]), keys, QUERY, 20).select("rank", "id", "score")
+
+
 def fact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of every eligible fact that the query matches."""
     return search.scored_facts(_facts(spark, sf_dir), QUERY).select("id", F.round("score", 6).alias("score"))
@@ -276,6 +287,7 @@ QUERIES = {
     "fact_filters": fact_filters,
     "path_rules": path_rules,
     "fact_search": fact_search,
+    "indexed_fact_search": indexed_fact_search,
     "fact_scores": fact_scores,
     "term_rarity": term_rarity,
     "event_search": event_search,
@@ -302,6 +314,7 @@ ORACLE_SQL = {
     "fact_filters": FACT_FILTERS_SQL,
     "path_rules": """select doc_id, doc_id % 8 in (0, 1, 3, 4, 6) as writable, doc_id % 2 = 0 as request, doc_id % 3 < 2 as revision, doc_id % 4 > 1 as asks from documents""",
     "fact_search": f"with {sql.FACTS}, {sql.fact_scores(QUERY)} select row_number() over (order by score desc, path, ord, id) as rank, id, score from fs where score > 0 qualify rank <= 20",
+    "indexed_fact_search": f"with {sql.FACTS}, {sql.fact_scores(QUERY)} select row_number() over (order by score desc, path, ord, id) as rank, id, score from fs where score > 0 qualify rank <= 20",
     "fact_scores": f"with {sql.FACTS}, {sql.fact_scores(QUERY)} select id, score from fs where score > 0",
     "term_rarity": f"""with {sql.FACTS}, w as (select unnest({sql.stems("statement || ' ' || title || ' ' || lang")}) as stem from el), n as (select count(*) as n from el)
        select stem, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from (select stem, count(*) as df from w group by 1), n""",

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions import passages, text
 from annalist.operators import change, eligibility, erasure, extract, report, similarity, validate
 from annalist.plans import sql
-from annalist.plans.views import conversation_events, document_facts, label_controls, table
-from annalist.schemas import FACT
-from annalist.storage import cut, shared_dir
-from annalist.store import Store
+from annalist.plans.views import conversation_events, document_facts, label_controls, own_store, stored_facts, table
+from annalist.storage import cut
 
 
 def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,23 +225,9 @@ def scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change.scrubbed(lines, needles, "line").select("doc_id")
 
 
-def _store(spark: SparkSession) -> Store:
-    """A store of its own in the shared folder."""
-    return Store(spark, f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
-
-
-def _stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' facts, once for each id, in the shape in which they are stored."""
-    f = _base(spark, sf_dir).dropDuplicates(["id"])
-    none = {name: F.lit(None).cast(kind) for name, kind in (("observed_at", "timestamp"), ("supersedes", "array<string>"))}
-    fill = none | {"entity_type": text.entity_type(F.col("entity_id")), "kind": F.lit("explicit_assertion"), "evidence": F.substring("statement", 1, 60)}
-    names = [field.split()[0] for field in FACT.split(", ")]
-    return f.select(*(fill[c].alias(c) if c in fill else F.col(c) for c in names), "doc_id")
-
-
 def layered_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts published in four batches, each of which stores only its own rows, as every revision has them."""
-    store, f = _store(spark), cut(_stored_facts(spark, sf_dir))
+    store, f = own_store(spark), cut(stored_facts(spark, sf_dir))
     n, here = F.col("doc_id"), F.lit(False)
     batches = [
         f.filter(n % 10 < 7).withColumn("gone", here),
@@ -274,7 +256,7 @@ def erased_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Evidence of other facts that holds an erased statement is emptied.
     """
-    store, f = _store(spark), cut(_stored_facts(spark, sf_dir))
+    store, f = own_store(spark), cut(stored_facts(spark, sf_dir))
     n = F.col("doc_id")
     for k, batch in enumerate((f.filter(n % 4 != 1), f.filter(n % 4 == 1), f.filter(n % 4 == 2).withColumn("status", F.lit("superseded")))):
         store.publish(k, f"batch-{k}", "", changes={"facts": batch.drop("doc_id").withColumn("gone", F.lit(False))})

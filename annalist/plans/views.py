@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions import text
+from annalist.schemas import FACT
+from annalist.storage import shared_dir
+from annalist.store import Store
 
 #: The time at which queries are asked, so that results do not depend on the day.
 NOW = "2024-06-01 00:00:00"
@@ -92,3 +97,17 @@ def label_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     return labels.join(facts, "doc_id").select(F.explode(kinds).alias("control"), "target")
+
+
+def own_store(spark: SparkSession) -> Store:
+    """A store of its own in the shared folder."""
+    return Store(spark, f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+
+
+def stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' facts, once for each id, in the shape in which they are stored."""
+    f = document_facts(spark, sf_dir).dropDuplicates(["id"])
+    none = {name: F.lit(None).cast(kind) for name, kind in (("observed_at", "timestamp"), ("supersedes", "array<string>"))}
+    fill = none | {"entity_type": text.entity_type(F.col("entity_id")), "kind": F.lit("explicit_assertion"), "evidence": F.substring("statement", 1, 60)}
+    names = [field.split()[0] for field in FACT.split(", ")]
+    return f.select(*(fill[c].alias(c) if c in fill else F.col(c) for c in names), "doc_id")
