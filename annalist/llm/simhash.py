@@ -322,19 +322,14 @@ def first_links(nodes: DataFrame, made: Plan, words: list[str], limit: int) -> D
 def links(nodes: DataFrame, made: Plan, words: list[str], limit: int) -> DataFrame:
     """(a, b), a > b: first classes with fingerprints within the limit, of ``nodes`` (node, fp, further words, first).
 
-    A hot key is split by the skew handling of the sort-merge join; the checks on the first 64 bits and
-    on the classes are part of the join, so that unverified candidates are never written.
+    A hot key is split by the skew handling of the sort-merge join; the checks on all words and on the
+    classes are part of the join, so that unverified candidates are never written.
     """
-    rest = ["node", "first"]
+    rest = [w for w in words if w != "fp"] + ["node", "first"]
     probes, index = _keyed(nodes, made, "probes", rest).alias("p"), _keyed(nodes, made, "index", rest).alias("i").hint("merge")
     # Probes find every neighbour of theirs, so that one direction is enough.
     pair = (F.col("p.key") == F.col("i.key")) & (F.col("p.node") > F.col("i.node")) & (F.col("p.first") != F.col("i.first"))
-    met = probes.join(index, pair & _near("p", "i", ["fp"], made.radius))
-    if len(words) > 1:
-        # The first 64 bits have left few pairs; the further words are joined to those.
-        met = met.select("p.node", F.col("i.node").alias("other"))
-        one, two = (nodes.select(F.col("node").alias(name), "first", *words).alias(x) for x, name in (("p", "node"), ("i", "other")))
-        met = met.join(one.hint("merge"), "node").join(two.hint("merge"), "other").filter(_near("p", "i", words, limit))
+    met = probes.join(index, pair & _near("p", "i", ["fp"], made.radius) & _near("p", "i", words, limit))
     return met.select(F.greatest("p.first", "i.first").alias("a"), F.least("p.first", "i.first").alias("b"))
 
 
