@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import text
+from annalist.journal import numbered
+from annalist.storage import cut
 
 INDEX_HEAD, INDEX_BYTES = "# Memory index\n\n", 60_000
 
@@ -110,13 +112,20 @@ def run_report(scores: DataFrame) -> DataFrame:
 
 
 def timings(runs: DataFrame, by: list[str]) -> DataFrame:
-    """Least, median and 95th percentile of ``ms``: the value at index round((n - 1) q) of the sorted ones, not interpolated."""
-    values = F.sort_array(F.collect_list("ms"))
+    """Least, median and 95th percentile of ``ms``: the value at index round((n - 1) q) of the sorted ones, not interpolated.
 
-    def at(q: float) -> Column:
-        return F.element_at("v", F.floor((F.size("v") - 1) * q + 0.5).cast("int") + 1)
-
-    return runs.groupBy(*by).agg(values.alias("v")).select(*by, F.size("v").cast("long").alias("runs"), at(0.0).alias("min_ms"), at(0.5).alias("median_ms"), at(0.95).alias("p95_ms"))
+    All rows are numbered in order of group and value by ranges, so that no group, however large, is in
+    one array or one task; the three rows of each group are then picked by their numbers. Runs without
+    ``ms`` do not count; a group of such runs only has no values.
+    """
+    rows = runs.select(*by, "ms", F.col("ms").isNull().alias("_none"))
+    rows = cut(numbered(rows.withColumn("_row", F.monotonically_increasing_id()), 0, [*by, "_none", "ms", "_row"]))
+    groups = rows.groupBy(*by).agg(F.count("ms").alias("runs"), F.min("seq").alias("_first"))
+    names = {"min_ms": 0.0, "median_ms": 0.5, "p95_ms": 0.95}
+    places = F.array(*(F.struct(F.lit(name).alias("name"), (F.col("_first") + F.floor((F.col("runs") - 1) * q + 0.5)).alias("seq")) for name, q in names.items()))
+    wanted = groups.select(*by, "runs", F.explode(F.when(F.col("runs") > 0, places).otherwise(F.array(F.struct(F.lit("").alias("name"), F.lit(None).cast("long").alias("seq"))))).alias("at"))
+    picked = wanted.select(*by, "runs", "at.name", "at.seq").join(rows.select("seq", "ms"), "seq", "left")
+    return picked.groupBy(*by, "runs").agg(*(F.max(F.when(F.col("name") == name, F.col("ms"))).alias(name) for name in names))
 
 
 def json_line(*columns: str) -> Column:

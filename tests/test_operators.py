@@ -335,3 +335,20 @@ def test_known_entities_fit_their_budget(spark):
     known = extract.known_entities(f)
     assert [e["id"] for e in known] == ["w_000", "w_001", "w_002", "w_003"]
     assert sum(len(s) for e in known for s in e["facts"]) <= extract.KNOWN_BYTES
+
+
+def test_timings_equal_sorting_each_group(spark):
+    import random
+
+    draw = random.Random(4)
+    rows = [(draw.choice("abcde"), draw.choice((None, 1.5, 2.0, draw.random() * 9))) for _ in range(400)] + [("none", None), (None, 3.0), ("one", 7.0)] + [("hot", float(k % 5)) for k in range(500)]
+    groups = {}
+    for q, ms in rows:
+        groups.setdefault(q, []).append(ms)
+    wanted = {}
+    for q, values in groups.items():
+        v = sorted(x for x in values if x is not None)
+        wanted[q] = (len(v), *(v[int((len(v) - 1) * p + 0.5)] if v else None for p in (0.0, 0.5, 0.95)))
+    found = report.timings(spark.createDataFrame(rows, "q string, ms double").repartition(5), ["q"])
+    assert {r.q: tuple(r)[1:] for r in found.collect()} == wanted
+    assert report.timings(spark.createDataFrame([], "q string, ms double"), ["q"]).count() == 0
