@@ -1,24 +1,29 @@
 """Language-model scores by a back-off automaton of three words, whole at any size of the corpus.
 
 States are the contexts of two words, of one word and of none. Each n-gram of the training texts is
-an arc from its context; a word without an arc takes the failure arc to the shorter context, whose
-weight multiplies what follows. Probabilities are interpolated by absolute discounting: an arc of
-an n-gram that occurs n times has (n - D) / c and the weight times the shorter context's
-probability; the weight is D * T / c, where c counts the context and T its different followers. D is
-n1 / (n1 + 2 n2) of each order. Nothing is pruned: every n-gram counts, those that occur once too.
+an arc from its context to the longest context that it ends in; a word without an arc takes the
+failure arc to the shorter context, whose weight multiplies what follows. Probabilities are smoothed
+by absolute discounting: an arc of an n-gram that occurs n times has (n - D) / c and the weight times
+the shorter context's probability; the weight is D * T / c, where c counts the context and T its
+different followers. D is n1 / (n1 + 2 n2) of each order. Nothing is pruned: every n-gram counts,
+those that occur once too.
 
 The automaton grows with the corpus, so no process holds it. Texts are taken in chunks of about
 ``CHUNK`` tokens. A chunk sends its distinct contexts and n-grams with their counts, dealt by the
 hash of the context, to buckets; a bucket adds up what all chunks sent and answers each chunk with
 the corpus' numbers, in the chunk's own order, so that no names travel back. Where the answers of a
-chunk meet its texts they are the part of the automaton that the texts can reach, and one traversal
-from left to right scores them: the state before a token is given by the two tokens before it, so
-that the arcs of all tokens are looked up at once.
-
-Words and contexts go by hashes, wide enough that a context meets another by chance in one of 2 **
-22 cases at most; followers by 32 bits within their context. Contexts of words that a sample shows
-to be frequent are dealt, by follower, over several buckets whose sums are added. The sample
-decides where numbers are added, never which.
+chunk meet its texts they are the part of the automaton that the texts can reach: its states are
+numbered, its arcs sorted, and one traversal from left to right carries the state, follows arcs and
+failure arcs and adds up their logarithms. Many lanes walk at once, each a stretch of ``LANE``
+tokens; two tokens before its stretch a lane starts in the state of no words, which they take to the
+state that the whole text before would have led to, as no state is longer.
+
+Words and contexts go by hashes whose width follows from the number of tokens that the sample
+estimates: a context meets another by chance in about one of 2 ** 22 cases (more if the estimate is
+low, and at 64 bits at most). Followers go by 32 bits within their context, so that of n followers of
+one context some n * n / 2 ** 33 pairs merge: none of ten thousand, 100 of a million. Contexts of
+words that the sample shows to be frequent are dealt, by follower, over several buckets whose sums
+are added.
 
 Defined cases: a null or empty text consists of its end; with no training text every token is
 unknown and scores 0 in the model; all unknown words share the mass of the discounts; a text of any
@@ -50,6 +55,8 @@ SAMPLE, FREQUENT = 0.01, 1 / 1024
 SPARE_BITS = 22
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 18
+#: Tokens of a lane of the traversal.
+LANE = 256
 
 
 # ---- words and hashes
@@ -231,7 +238,7 @@ class Chunk:
     """
 
     def __init__(self, deal: Deal, words: np.ndarray, ids: np.ndarray, sizes: np.ndarray, train: np.ndarray):
-        self.deal, self.words, self.train, v = deal, words, train, max(len(words), 1)
+        self.deal, self.words, self.ids, self.train, v = deal, words, ids, train, max(len(words), 1)
         first = np.zeros(len(ids), bool)
         first[np.cumsum(sizes) - sizes] = True
         self.starts, at = ids[first], np.flatnonzero(~first).astype(np.int32)
@@ -272,19 +279,92 @@ class Chunk:
         groups = (len(self.words), len(self.words), len(self.pairs))[kind]
         return out[: asked.entries], np.bincount(asked.base, types, groups)
 
-    def scores(self, totals: Totals, parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(known tokens, base score, score) of each text."""
+    def automaton(self, totals: Totals, parts: list[list[bytes]]) -> tuple[Automaton, np.ndarray]:
+        """The part of the automaton that these texts can reach, and how often each word occurs in the corpus."""
         n1, _ = self.answers(0, parts[0])
         n2, followers1 = self.answers(1, parts[1])
         n3, followers2 = self.answers(2, parts[2])
-        d1, d2, d3 = totals.discounts
-        p1 = totals.unigram(n1)
-        p2 = interpolated(n2, n1[self.one], followers1[self.one], d2, p1[self.two])
-        p3 = interpolated(n3, n2[self.before], followers2[self.before], d3, p2[self.shorter])
-        base = np.log10((n1 + 1) / (totals.tokens + totals.types + 1))
-        arcs, texts = np.log10(p2)[self.pair], len(self.train)
-        arcs[self.third] = np.log10(p3)[self.triple]
-        return tuple(np.bincount(self.text, w, texts) for w in ((n1 > 0)[self.word], base[self.word], arcs))  # type: ignore[return-value]
+        v = max(len(self.words), 1)
+        one, two, three = (np.flatnonzero(n > 0) for n in (n1, n2, n3))
+        # States: none, the known words, the known pairs; 0 also stands for what is not known.
+        of_word, of_pair = np.zeros(len(n1), np.int32), np.zeros(len(n2), np.int32)
+        of_word[one] = np.arange(1, len(one) + 1)
+        of_pair[two] = np.arange(len(one) + 1, len(one) + len(two) + 1)
+        fall1, fall2 = (totals.fall(k, types[own], n[own]) for k, types, n, own in ((1, followers1, n1, one), (2, followers2, n2, two)))
+        weight1, weight2 = np.zeros(len(n1)), np.zeros(len(n2))
+        weight1[one], weight2[two] = fall1, fall2
+        # What a known n-gram ends in is known too.
+        p1, p2 = totals.unigram(n1), np.zeros(len(n2))
+        p2[two] = totals.taken(1, n2[two], n1[self.one[two]]) + weight1[self.one[two]] * p1[self.two[two]]
+        before, shorter = self.before[three], self.shorter[three]
+        p3 = totals.taken(2, n3[three], n2[before]) + weight2[before] * p2[shorter]
+        last = (self.triples[three] % v).astype(np.int64)
+        keys = np.concatenate([one, of_word[self.one[two]].astype(np.int64) * v + self.two[two], of_pair[before].astype(np.int64) * v + last])
+        targets = np.concatenate([of_word[one], of_pair[two], of_pair[shorter]])
+        logs = np.log10(np.concatenate([p1[one], p2[two], p3]))
+        failures = np.concatenate([np.zeros(len(one) + 1, np.int32), of_word[self.two[two]]])
+        # A context that nothing follows in these texts is never left by its failure arc.
+        falls = np.concatenate([[0.0], fall1, fall2])
+        falls = np.log10(np.where(falls > 0, falls, 1.0))
+        unknown = float(np.log10(totals.unigram(np.zeros(1))[0]))
+        return Automaton(v, keys, targets, logs, failures, falls, unknown), n1
+
+    def scores(self, totals: Totals, parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known tokens, base score, score) of each text."""
+        automaton, n1 = self.automaton(totals, parts)
+        base, texts = np.log10((n1 + 1) / (totals.tokens + totals.types + 1)), len(self.train)
+        known, plain = (np.bincount(self.text, w[self.word], texts) for w in (n1 > 0, base))
+        start = int(self.starts[0])
+        arcs = automaton.walked(self.ids, start)[self.ids != start]
+        return known, plain, np.bincount(self.text, arcs, texts)
+
+
+class Automaton:
+    """States with arcs and failure arcs; state 0 is that of no words.
+
+    ``keys`` are the arcs' states * ``size`` + words in order, with ``targets`` and ``logs``;
+    ``failures`` and ``falls`` each state's failure arc and its weight's logarithm. In state 0 a word
+    without an arc has ``unknown`` and leads back.
+    """
+
+    def __init__(self, size: int, keys: np.ndarray, targets: np.ndarray, logs: np.ndarray, failures: np.ndarray, falls: np.ndarray, unknown: float):
+        self.size, self.keys, self.targets, self.logs = size, keys, targets, logs
+        self.failures, self.falls, self.unknown = failures, falls, unknown
+
+    def step(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, log-probabilities) of words read in states."""
+        out, logs = np.zeros(len(states), np.int32), np.zeros(len(states))
+        left, now = np.arange(len(states)), states
+        while len(left):
+            wanted = now.astype(np.int64) * self.size + words[left]
+            at = np.searchsorted(self.keys, wanted)
+            found = at < len(self.keys)
+            found[found] = self.keys[at[found]] == wanted[found]
+            out[left[found]] = self.targets[at[found]]
+            logs[left[found]] += self.logs[at[found]]
+            lost = ~found & (now == 0)
+            logs[left[lost]] += self.unknown
+            fails = ~found & (now > 0)
+            left, now = left[fails], now[fails]
+            logs[left] += self.falls[now]
+            now = self.failures[now]
+        return out, logs
+
+    def walked(self, words: np.ndarray, start: int) -> np.ndarray:
+        """The log-probability of each word where all are read from left to right; ``start`` begins a text and has none."""
+        n = len(words)
+        lanes = -(-n // LANE)
+        padded = np.full(lanes * LANE + 2, start, np.int32)
+        padded[2 : n + 2] = words
+        out = np.zeros((LANE, lanes))
+        states = np.zeros(lanes, np.int32)
+        for t in range(-2, LANE):
+            now = padded[t + 2 :: LANE][:lanes]
+            begins = now == start
+            states, logs = self.step(np.where(begins, 0, states), now)
+            if t >= 0:
+                out[t] = np.where(begins, 0.0, logs)
+        return out.T.ravel()[:n]
 
 
 def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,13 +373,6 @@ def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, inverse.astype(np.int32)
 
 
-def interpolated(n: np.ndarray, context: np.ndarray, followers: np.ndarray, discount: float, shorter: np.ndarray) -> np.ndarray:
-    """Probabilities of n-grams from their counts, those of their contexts, and the shorter context's probabilities."""
-    seen = context > 0
-    c = np.where(seen, context, 1)
-    return np.where(seen, np.maximum(n - discount, 0) / c + discount * followers / c * shorter, shorter)
-
-
 class Totals:
     """What the whole corpus has: tokens, different tokens and the discount of each order."""
 
@@ -311,6 +384,14 @@ class Totals:
         size, d = max(self.tokens, 1), self.discounts[0]
         return np.where(n > 0, (n - d) / size, d * self.types / size if self.tokens else 1.0)
 
+    def taken(self, words: int, n: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """What an arc keeps of n occurrences after a context of so many words."""
+        return np.maximum(n - self.discounts[words], 0) / context
+
+    def fall(self, words: int, followers: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """The weight of the failure arc of a context of so many words."""
+        return self.discounts[words] * followers / context
+
 
 # ---- the passes
 

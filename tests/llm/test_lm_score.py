@@ -71,6 +71,47 @@ def rounded(found):
     return Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in found)
 
 
+def test_a_walk_follows_arcs_and_failure_arcs():
+    """States: none 0, a 1, b 2, ab 3. Words: start 0, a 1, b 2, c 3 (unknown)."""
+    arcs = {(0, 0): (0, -9.0), (0, 1): (1, -1.0), (0, 2): (2, -2.0), (1, 2): (3, -0.5), (3, 1): (1, -0.25)}
+    order = sorted(arcs)
+    automaton = lm_score.Automaton(
+        4, np.array([s * 4 + w for s, w in order]), np.array([arcs[k][0] for k in order]), np.array([arcs[k][1] for k in order]),
+        np.array([0, 0, 0, 2]), np.array([0.0, -0.1, -0.2, -0.3]), -4.0,
+    )
+    # a: arc of none; b: arc of a; a: arc of ab; a: a fails to none; c: a fails, unknown; b: arc of none.
+    steps = [(1, -1.0), (2, -0.5), (1, -0.25), (1, -0.1 - 1.0), (3, -0.1 - 4.0), (2, -2.0)]
+    # In ab, b fails to b and then to none.
+    steps += [(0, 0.0), (1, -1.0), (2, -0.5), (2, -0.3 - 0.2 - 2.0)]
+    words = np.array([w for w, _ in steps], np.int32)
+    assert automaton.walked(words, 0) == pytest.approx([x for _, x in steps])
+
+
+@pytest.mark.parametrize("lane", [1, 2, 3, 7])
+def test_lanes_reach_the_states_of_one_walk(lane, monkeypatch):
+    """Lanes of any length give what one lane over all tokens gives."""
+    draw = np.random.default_rng(5)
+    deal = lm_score.Deal(1000, {})
+    words = np.sort(deal.narrow(draw.integers(0, 1 << 63, 9).astype(np.uint64)))
+    sizes = np.array([30, 2, 50, 4])
+    ids = draw.integers(1, 8, sizes.sum()).astype(np.int32)
+    ids[np.cumsum(sizes) - 1], ids[np.cumsum(sizes) - sizes] = 8, 0
+    chunk = lm_score.Chunk(deal, words, ids, sizes, np.array([True, True, False, True]))
+    parts = []
+    for kind in range(3):
+        sent = [lm_score.unpack(payload) for _, payload in chunk.asked(kind).messages(deal)]
+        parts.append([lm_score.bucket_sums([m])[0][0] for m in sent])
+    automaton, n1 = chunk.automaton(lm_score.Totals(int(n1_sum(chunk)), 8, [(2, 1)] * 3), parts)
+    monkeypatch.setattr(lm_score, "LANE", len(ids))
+    whole = automaton.walked(ids, 0)
+    monkeypatch.setattr(lm_score, "LANE", lane)
+    assert automaton.walked(ids, 0) == pytest.approx(whole) and len(automaton.failures) > 20
+
+
+def n1_sum(chunk):
+    return np.repeat(chunk.train, np.bincount(chunk.text, minlength=len(chunk.train))).sum()
+
+
 @pytest.mark.parametrize("size", [1 << 21, 100])
 def test_scores_are_those_of_the_whole_model(spark, size, monkeypatch):
     """With one chunk for each partition, and with many chunks that each see little of the corpus."""
