@@ -277,10 +277,11 @@ class Memory:
 
     # ---- upkeep
 
-    def consolidate(self, request_id: str, high_water: int = 200, scope: str | None = "personal", client: extract.Client | None = None) -> dict:
+    def consolidate(self, request_id: str, high_water: int = 200, scope: str | None = "personal", client: extract.Client | None = None, tell: bool = False) -> dict:
         """Extract facts from the next batch of events and publish them with the checkpoint, once.
 
-        Without a client the rules extract; with one, what it proposes passes the gate.
+        Without a client the rules extract; with one, what it proposes passes the gate. With ``tell``
+        the client is also given the known entities and their first statements, within a budget.
         """
         base = self.store.head()
         manifest = self.store.manifest(base)
@@ -296,8 +297,10 @@ class Memory:
         if client is None:
             found, set_aside = extract.rule_proposals(events).withColumn("order", F.col("seq") * 1000 + F.col("k")), extract.dispositions(events)
         else:
-            known = self.store.table("facts", base).groupBy("entity_id").agg(F.first("title").alias("title"))
-            gated = cut(extract.gated(extract.model_proposals(extract.candidates(events), client), events, known))
+            facts = self.store.table("facts", base)
+            known = facts.groupBy("entity_id").agg(F.first("title").alias("title"))
+            told = extract.known_entities(eligibility.eligible_facts(facts, controls)) if tell else None
+            gated = cut(extract.gated(extract.model_proposals(extract.candidates(events), client, told), events, known))
             found = gated.filter("reason is null").withColumn("order", F.col("seq") * 1000).withColumn("id", text.fact_id(F.col("entity_id"), F.col("predicate"), F.col("statement")))
             taken = found.select("seq").distinct().withColumn("ok", F.lit(True))
             reason = F.when(~F.col("role").isin("user", "note"), "not a user statement or memory file").when(F.col("ok").isNull(), "no durable fact")
@@ -458,7 +461,12 @@ class Memory:
     def export(self, title: str, current: str | None = None, project: str | None = None, include_file_facts: bool = False) -> str:
         """A file with the managed block of current facts put in."""
         keep: Column | None = eligibility.project_entities(project) if project else None
-        return report.spliced(current, report.export_text(title, report.export_sections(self.store.table("facts"), include_file_facts, keep)))
+        return report.spliced(current, report.export_text(title, report.export_lines(self.store.table("facts"), include_file_facts, keep)))
+
+    def export_parts(self, folder: str, project: str | None = None, include_file_facts: bool = False) -> DataFrame:
+        """Write an export of any size as ordered part files; (part, lines, bytes) of each."""
+        keep: Column | None = eligibility.project_entities(project) if project else None
+        return report.write_export(report.export_lines(self.store.table("facts"), include_file_facts, keep), folder)
 
     def validate(self) -> DataFrame:
         """(problem, what) of everything that should not be in the store."""

@@ -47,6 +47,36 @@ def fresh(events: DataFrame, present: DataFrame, order: list[str]) -> DataFrame:
     return first.join(present.select("event_id"), "event_id", "left_anti").select(*columns)
 
 
+def first_kept(rows: DataFrame, order: list[str], id_key: str, other_key: str) -> DataFrame:
+    """The rows that a pass in ``order`` keeps if a row falls that shares either key with a row kept before.
+
+    A row that falls takes no other with it, so one pass for each key would drop too many. Rounds
+    decide many rows at once: of those left, a row that is the first under both its keys is kept, and
+    all that share a key with it fall. A null key is shared with none; of rows that ``order`` does not
+    tell apart any may come first. Rows with both keys alike are one case and are joined to their first
+    before the rounds. Keys that come from the same source take a round or two; a chain of rows, each
+    sharing a key with the next, takes half as many rounds as it has rows.
+    """
+    columns, keys = rows.columns, (id_key, other_key)
+    named = rows.select(F.struct(*columns).alias("_r"), F.struct(*order, F.monotonically_increasing_id()).alias("_o"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(keys)))
+    named = cut(named)
+    free = named.filter("_0 is null and _1 is null").select("_r.*")
+    left = named.filter("_0 is not null or _1 is not null").groupBy("_0", "_1").agg(F.min_by("_r", "_o").alias("_r"), F.min("_o").alias("_o"))
+    left, out = cut(left), free
+    while not left.isEmpty():
+        marked = left
+        for key in ("_0", "_1"):
+            first = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("_o").alias(f"{key}_first"))
+            marked = marked.join(first, key, "left")
+        kept = cut(marked.filter(" and ".join(f"({k} is null or {k}_first <=> _o)" for k in ("_0", "_1"))).select(left.columns))
+        out = out.unionByName(kept.select("_r.*"))
+        for key in ("_0", "_1"):
+            left = left.join(kept.filter(F.col(key).isNotNull()).select(key), key, "left_anti")
+        # A kept row has a key at least, under which it falls itself.
+        left = cut(left.select("_0", "_1", "_r", "_o"))
+    return out
+
+
 def numbered(events: DataFrame, after: int, order: list[str]) -> DataFrame:
     """``events`` with consecutive ``seq`` after ``after``, in ``order``.
 

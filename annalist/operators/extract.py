@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import passages, text
 from annalist.functions import words as W
+from annalist.operators import packing
 
 BATCH_BYTES, NOTE_CHARS, USER_CHARS = 16_000, 8_000, 2_000
 KNOWN_ENTITIES, KNOWN_FACTS, KNOWN_BYTES = 200, 40, 8_000
@@ -71,27 +72,29 @@ def candidates(events: DataFrame) -> DataFrame:
     return rows.select("seq", F.posexplode(pieces).alias("k", "said"))
 
 
-Client = Callable[[list[dict]], list[dict]]
+Client = Callable[..., list[dict]]
 
 
-def model_proposals(rows: DataFrame, client: Client) -> DataFrame:
-    """(ref, lasting, entity_type, entity_name, predicate, statement, evidence) from a client, one call for each packed batch.
+def model_proposals(rows: DataFrame, client: Client, told: list[dict] | None = None) -> DataFrame:
+    """(ref, lasting, entity_type, entity_name, predicate, statement, evidence) from a client, one call for each pack.
 
-    ``rows`` are as ``candidates`` gives them, of one bounded window of events. They are packed in order
-    of seq, all of them together, so that a call's content does not depend on how rows are dealt.
+    ``rows`` are as ``candidates`` gives them. They are packed in order of seq, all of them together, so
+    that a call's content does not depend on how rows are dealt; calls are made by many tasks. With
+    ``told``, a bounded list as ``known_entities`` gives it, the client gets that as its second argument.
     """
     schema = "ref long, lasting boolean, entity_type string, entity_name string, predicate string, statement string, evidence string"
     names = [f.split()[0] for f in schema.split(", ")]
+    arrow = pa.schema([("ref", pa.int64()), ("lasting", pa.bool_()), *((n, pa.string()) for n in names[2:])])
+    more = () if told is None else (told,)
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = (item for batch in stream for item in batch.to_pylist())
-        for own in passages.packed(items, lambda x: len(x["said"].encode()), BATCH_BYTES):
-            refs = {x["seq"] for x in own}
-            found = [f for f in client([{"ref": x["seq"], "text": x["said"]} for x in own]) if f.get("ref") in refs]
-            if found:
-                yield pa.RecordBatch.from_pylist([{n: f.get(n) for n in names} for f in found], pa.schema([("ref", pa.int64()), ("lasting", pa.bool_()), *((n, pa.string()) for n in names[2:])]))
+    def call(own):
+        items = own.sort_by([("seq", "ascending"), ("k", "ascending")]).to_pylist()
+        refs = {x["seq"] for x in items}
+        found = client([{"ref": x["seq"], "text": x["said"]} for x in items], *more)
+        return pa.Table.from_pylist([{n: f.get(n) for n in names} for f in found if f.get("ref") in refs], arrow)
 
-    return rows.coalesce(1).sortWithinPartitions("seq", "k").mapInArrow(run, schema)
+    packed = packing.packs(rows.select("seq", "k", "said"), ["seq", "k"], F.octet_length("said"), BATCH_BYTES)
+    return packed.groupBy("pack").applyInArrow(call, schema)
 
 
 def event_project(event: str = "") -> Column:

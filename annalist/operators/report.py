@@ -54,8 +54,8 @@ def overlaid(base: DataFrame, updates: DataFrame) -> DataFrame:
     return both.select(F.coalesce("path", "u_path").alias("path"), *(F.when(new, F.col(f"u_{c}")).otherwise(F.col(c)).alias(c) for c in base.columns if c != "path"))
 
 
-def export_sections(facts: DataFrame, include_file_facts: bool = False, keep: Column | None = None) -> DataFrame:
-    """(rank, heading, lines): what an export shows under each heading, in order of entity and place."""
+def _export_rows(facts: DataFrame, include_file_facts: bool, keep: Column | None) -> DataFrame:
+    """(rank, heading, path, ord, line) of what an export shows."""
     from annalist.operators.eligibility import from_files_only
 
     shown = facts.filter(F.col("status").isin("active", "disputed"))
@@ -64,10 +64,44 @@ def export_sections(facts: DataFrame, include_file_facts: bool = False, keep: Co
     tag = F.when(F.col("visibility").isin("shared", "public"), F.concat(F.lit(" _("), "visibility", F.lit(")_"))).otherwise("")
     line = F.concat(F.lit("- ["), "id", F.lit("] "), "statement", tag)
     folder = text.bucket(F.col("entity_id"))
-    rows = shown.select(text.heading_order(folder).alias("rank"), text.heading(folder).alias("heading"), F.struct("path", "ord", line.alias("line")).alias("l"))
+    return shown.select(text.heading_order(folder).alias("rank"), text.heading(folder).alias("heading"), "path", "ord", line.alias("line"))
+
+
+def export_sections(facts: DataFrame, include_file_facts: bool = False, keep: Column | None = None) -> DataFrame:
+    """(rank, heading, lines): what an export shows under each heading, in order of entity and place; for exports that fit a row."""
+    rows = _export_rows(facts, include_file_facts, keep).select("rank", "heading", F.struct("path", "ord", "line").alias("l"))
     return rows.groupBy("heading").agg(F.min("rank").alias("rank"), F.transform(F.sort_array(F.collect_list("l")), lambda x: x["line"]).alias("lines"))
 
 
+def export_lines(facts: DataFrame, include_file_facts: bool = False, keep: Column | None = None) -> DataFrame:
+    """(n, heading, k, line): an export of any size, its lines numbered from 1 over all and (k) within their heading.
+
+    Headings that several folders share stand where the first of them does. Lines are numbered by ranges
+    of their order, so that no heading, however large, is in one array or one task.
+    """
+    rows = _export_rows(facts, include_file_facts, keep)
+    ranks = rows.groupBy("heading").agg(F.min("rank").alias("rank"))  # a handful of headings
+    ordered = rows.drop("rank").join(F.broadcast(ranks), "heading")
+    lines = cut(numbered(ordered, 0, ["rank", "heading", "path", "ord", "line"]))
+    first = lines.groupBy("heading").agg(F.min("seq").alias("_first"))
+    return lines.join(F.broadcast(first), "heading").select(F.col("seq").alias("n"), "heading", (F.col("seq") - F.col("_first") + 1).alias("k"), "line")
+
+
+def _with_headings(lines: DataFrame) -> DataFrame:
+    """(n, value): lines of a file, each heading's before its first one."""
+    gap = F.when(F.col("n") > 1, "\n").otherwise("")
+    return lines.select("n", F.concat(F.when(F.col("k") == 1, F.concat(gap, F.lit("## "), "heading", F.lit("\n\n"))).otherwise(""), "line").alias("value"))
+
+
+def write_export(lines: DataFrame, folder: str) -> DataFrame:
+    """Write ``export_lines`` as text files whose names are in the order of their lines; (part, lines, bytes) of each file, in ``folder``/index too."""
+    spark = lines.sparkSession
+    _with_headings(lines).repartitionByRange("n").sortWithinPartitions("n").select("value").write.text(f"{folder}/lines")
+    found = spark.read.text(f"{folder}/lines").select(F.col("_metadata.file_name").alias("part"), (F.octet_length("value") + 1).alias("size"))
+    found.groupBy("part").agg(F.count("*").alias("lines"), F.sum("size").alias("bytes")).write.json(f"{folder}/index")
+    return spark.read.schema("part string, lines long, bytes long").json(f"{folder}/index")
+
+
 BEGIN, END = "<!-- memory:begin (generated; edits inside are replaced) -->", "<!-- memory:end -->"
 
 
@@ -83,11 +117,10 @@ def spliced(current: str | None, body: str) -> str:
     return f"{current}{gap}{block}\n"
 
 
-def export_text(title: str, sections: DataFrame) -> str:
-    """An export as Markdown."""
-    found = sections.orderBy("rank", "heading").collect()  # a handful of headings
-    parts = [f"## {r.heading}\n\n" + "\n".join(r.lines) + "\n\n" for r in found]
-    return f"# {title} memory\n\n" + ("".join(parts) or "> No active facts yet.\n")
+def export_text(title: str, lines: DataFrame) -> str:
+    """An export, of ``export_lines``, as one Markdown text."""
+    body = "".join(f"{r.value}\n" for r in _with_headings(lines).orderBy("n").toLocalIterator())
+    return f"# {title} memory\n\n" + (f"{body}\n" if body else "> No active facts yet.\n")
 
 
 def case_scores(cases: DataFrame, hits: DataFrame) -> DataFrame:

@@ -241,6 +241,13 @@ with {sql.CONVERSATION_EVENTS}
 select event_id, (select coalesce(max(seq + 1), 0) from j_conv where role = 'user') + row_number() over (order by seq) as seq, role from j_conv where role <> 'user'"""
 
 
+def journal_first_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns, of which two and two have one id, without those that share an id or a text with one kept before."""
+    c = table(spark, sf_dir, "conversations")
+    rows = c.select("conv_id", "turn", F.concat("conv_id", F.lit(":"), F.floor((F.col("turn") + 1) / 2)).alias("id"), F.sha2("text", 256).alias("key"))
+    return journal.first_kept(rows, ["conv_id", "turn"], "id", "key").select("conv_id", "turn")
+
+
 def journal_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each day of the log, and the range of their numbers."""
     e = table(spark, sf_dir, "events")
@@ -324,6 +331,7 @@ QUERIES = {
     "files_found": files_found,
     "framed_logs": framed_logs,
     "journal_append": journal_append,
+    "journal_first_kept": journal_first_kept,
     "journal_days": journal_days,
     "journal_range": journal_range,
     "journal_redact": journal_redact,

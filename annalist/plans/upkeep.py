@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions import passages, text
-from annalist.operators import change, eligibility, erasure, extract, report, similarity, validate
+from annalist.operators import change, eligibility, erasure, extract, packing, report, similarity, validate
 from annalist.plans import sql
 from annalist.plans.views import conversation_events, document_facts, label_controls, own_store, stored_facts, table
 from annalist.storage import cut
@@ -386,6 +386,22 @@ with {sql.DOCUMENT_FACTS}, s as (
 select heading, min(rank) as rank, count(*) as n, md5(string_agg(line, chr(10) order by path, ord)) as lines from s group by 1"""
 
 
+def export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an export, numbered over all and within their heading."""
+    return report.export_lines(document_facts(spark, sf_dir)).select("n", "heading", "k", F.md5("line").alias("line"))
+
+
+EXPORT_LINES_SQL = EXPORT_SQL[: EXPORT_SQL.index("select heading, min(rank)")] + """
+select row_number() over (order by rank, heading, path, ord, line) as n, heading, row_number() over (partition by heading order by path, ord, line) as k, md5(line) as line from s"""
+
+
+def prompt_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model may read, in packs for one call each: rows and bytes of each pack."""
+    said = extract.candidates(conversation_events(spark, sf_dir).select("seq", "role", "content"))
+    found = packing.packs(said, ["seq", "k"], F.octet_length("said"), extract.BATCH_BYTES)
+    return found.groupBy("pack").agg(F.count("*").alias("n"), F.sum(F.octet_length("said")).cast("long").alias("bytes"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
 def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least, median and 95th percentile by nearest index."""
     e = table(spark, sf_dir, "events")
@@ -455,6 +471,8 @@ QUERIES = {
     "entity_index": entity_index,
     "overlaid": overlaid,
     "export_sections": export_sections,
+    "export_lines": export_lines,
+    "prompt_packs": prompt_packs,
     "timings": timings,
     "statement_counts": statement_counts,
     "agreed_findings": agreed_findings,
@@ -494,6 +512,7 @@ ORACLE_SQL = {
     "overlaid": """select 'memory/' || doc_id as path, case when lang in ('en', 'fr') then 'new' else lang end as title from documents
        where lang in ('en', 'es', 'fr') and not (lang in ('en', 'fr') and source = 'src1')""",
     "export_sections": EXPORT_SQL,
+    "export_lines": EXPORT_LINES_SQL,
     "timings": TIMINGS_SQL,
     "statement_counts": f"with {sql.DOCUMENT_FACTS} select entity_id, md5(statement) as statement, count(*) as n from f_docs group by 1, 2 having count(*) > 1",
     "agreed_findings": "select distinct doc_id from labels where quality = 1 and toxic = 1 and doc_id not in (select doc_id from documents where lang = 'fr')",

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist import journal
+from annalist.functions import passages
 from annalist.functions import words as W
-from annalist.operators import change, eligibility, extract, report, search, similarity, validate
+from annalist.operators import change, eligibility, extract, packing, report, search, similarity, validate
 from annalist.streaming import consolidate
 
 FACT = "id string, entity_id string, path string, ord long, title string, aliases array<string>, statement string, status string, visibility string, entity_visibility string, valid_from timestamp, valid_to timestamp, expires_at timestamp, source_ids array<string>, supersedes array<string>"
@@ -115,6 +116,61 @@ def test_a_model_sees_the_same_batches_however_rows_are_dealt(spark):
     assert calls[0] == calls[1] and len({s for _, s in calls[0]}) == 3
 
 
+@pytest.fixture
+def small_ranges(spark):
+    """Ranges stay as they are dealt, however small."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("most", [1, 7, 40])
+def test_packs_are_those_of_one_pass(spark, most, small_ranges):
+    """Over ranges of rows, with rows beyond the bound, empty ones and ties in size."""
+    draw = random.Random(most)
+    sizes = [draw.choice([0, 1, 2, 3, 9, 50]) for _ in range(300)]
+    rows = spark.createDataFrame([(k, n, "x") for k, n in enumerate(sizes)], "seq long, n long, pack_of string").repartition(7)
+    found = packing.packs(rows, ["seq"], F.col("n"), most).collect()
+    wanted = [(k, p) for p, own in enumerate(passages.packed(range(300), lambda k: sizes[k], most)) for k in own]
+    assert sorted((r.seq, r.pack) for r in found) == wanted
+    assert packing.packs(rows.limit(0), ["seq"], F.col("n"), most).count() == 0
+
+
+def test_a_client_is_told_what_is_known(spark):
+    rows = spark.createDataFrame([(1, 0, "x" * 9)], "seq long, k int, said string")
+    client = lambda batch, told: [{"ref": batch[0]["ref"], "statement": told[0]["title"]}]
+    assert [r.statement for r in extract.model_proposals(rows, client, [{"title": "Ann"}]).collect()] == ["Ann"]
+
+
+def test_rows_fall_by_either_key_only_beside_kept_ones(spark):
+    draw = random.Random(4)
+    rows = [(k, draw.choice([None, *"abcdefghij"]), draw.choice([None, *range(12)])) for k in range(40)]
+    rows += [(100, "p", 100), (101, "q", 100), (102, "q", 102), (103, "q", 102), (104, None, None), (105, None, None)]
+    kept, seen = [], (set(), set())
+    for n, a, b in rows:
+        if a not in seen[0] and b not in seen[1]:
+            kept.append(n)
+            seen[0].update({a} - {None})
+            seen[1].update({b} - {None})
+    frame = spark.createDataFrame(rows, "n long, id string, key long").repartition(3)
+    assert sorted(r.n for r in journal.first_kept(frame, ["n"], "id", "key").collect()) == kept
+    assert 102 in kept and 101 not in kept  # one pass for each key would drop 102
+    assert journal.first_kept(frame.limit(0), ["n"], "id", "key").count() == 0
+
+
+def test_an_export_is_written_in_ordered_parts(spark, tmp_path, small_ranges):
+    rows = [{"id": f"f{k}", "entity_id": e, "ord": k, "statement": f"s{k}"} for k in range(30) for e in ("w_a", "pref_user")]
+    f = facts(spark, [r | {"id": f"{r['id']}{r['entity_id']}", "source_ids": ["evt_chat_1"]} for r in rows])
+    lines = report.export_lines(f)
+    index = sorted(report.write_export(lines, f"{tmp_path}/out").collect(), key=lambda r: r.part)
+    written = "".join((tmp_path / "out" / "lines" / r.part).read_text() for r in index)
+    assert report.export_text("T", lines) == f"# T memory\n\n{written}\n"
+    assert sum(r.bytes for r in index) == len(written.encode()) and len(index) > 1
+    sections = report.export_sections(f).orderBy("rank", "heading").collect()
+    assert written == "\n".join(f"## {r.heading}\n\n" + "".join(f"{x}\n" for x in r.lines) for r in sections)
+    assert report.export_text("T", report.export_lines(f.limit(0))) == "# T memory\n\n> No active facts yet.\n"
+
+
 @pytest.mark.parametrize(
     "change_, shown",
     [({}, True), ({"status": "superseded"}, False), ({"status": "disputed"}, False), ({"expires_at": "2024-06-01"}, False), ({"valid_to": "2024-06-02"}, True), ({"valid_from": "2024-06-02"}, False), ({"visibility": "public"}, True)],
