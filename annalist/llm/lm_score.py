@@ -269,9 +269,12 @@ class Chunk:
         return Asked(deal, contexts, self.before, names[self.triples % v], n, np.minimum(pieces[self.one], pieces[self.two]))
 
     def answers(self, kind: int, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(count of each entry, followers of each context), from the buckets' answers in their order."""
-        asked, found = self.asked(kind), [unpack(part) for part in parts]
-        counts, types = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.uint64)]).astype(np.float64) for k in (0, 1))
+        """(count of each entry, followers of each context), from the buckets' answers in their order, which are used up."""
+        found = [[np.zeros(0, np.uint64)] * 2, *(unpack(part) for part in parts)]
+        parts.clear()
+        counts, types = (np.concatenate([f[k] for f in found]).astype(np.float64) for k in (0, 1))
+        del found
+        asked = self.asked(kind)
         if len(counts) != len(asked.n) or len(types) != len(asked.contexts):
             raise ValueError("the texts of a chunk changed between two reads")
         out = np.zeros(len(asked.order))
@@ -293,16 +296,23 @@ class Chunk:
         fall1, fall2 = (totals.fall(k, types[own], n[own]) for k, types, n, own in ((1, followers1, n1, one), (2, followers2, n2, two)))
         weight1, weight2 = np.zeros(len(n1)), np.zeros(len(n2))
         weight1[one], weight2[two] = fall1, fall2
-        # What a known n-gram ends in is known too.
+        # What a known n-gram ends in is known too. Arcs lie in order of state, so each order fills its slice.
+        first, second = len(one), len(one) + len(two)
+        keys, logs = np.empty(second + len(three), np.int64), np.empty(second + len(three))
+        targets = np.empty(second + len(three), np.int32)
         p1, p2 = totals.unigram(n1), np.zeros(len(n2))
-        p2[two] = totals.taken(1, n2[two], n1[self.one[two]]) + weight1[self.one[two]] * p1[self.two[two]]
+        keys[:first], targets[:first], logs[:first] = one, of_word[one], p1[one]
+        before, last = self.one[two], self.two[two]
+        p2[two] = totals.taken(1, n2[two], n1[before]) + weight1[before] * p1[last]
+        keys[first:second] = of_word[before].astype(np.int64) * v + last
+        targets[first:second], logs[first:second] = of_pair[two], p2[two]
+        failing = of_word[last]
         before, shorter = self.before[three], self.shorter[three]
-        p3 = totals.taken(2, n3[three], n2[before]) + weight2[before] * p2[shorter]
-        last = (self.triples[three] % v).astype(np.int64)
-        keys = np.concatenate([one, of_word[self.one[two]].astype(np.int64) * v + self.two[two], of_pair[before].astype(np.int64) * v + last])
-        targets = np.concatenate([of_word[one], of_pair[two], of_pair[shorter]])
-        logs = np.log10(np.concatenate([p1[one], p2[two], p3]))
-        failures = np.concatenate([np.zeros(len(one) + 1, np.int32), of_word[self.two[two]]])
+        logs[second:] = totals.taken(2, n3[three], n2[before]) + weight2[before] * p2[shorter]
+        keys[second:] = of_pair[before].astype(np.int64) * v + self.triples[three] % v
+        targets[second:] = of_pair[shorter]
+        np.log10(logs, out=logs)
+        failures = np.concatenate([np.zeros(first + 1, np.int32), failing])
         # A context that nothing follows in these texts is never left by its failure arc.
         falls = np.concatenate([[0.0], fall1, fall2])
         falls = np.log10(np.where(falls > 0, falls, 1.0))
@@ -312,11 +322,12 @@ class Chunk:
     def scores(self, totals: Totals, parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known tokens, base score, score) of each text."""
         automaton, n1 = self.automaton(totals, parts)
+        # The walk needs the tokens only.
+        del self.pairs, self.pair, self.triples, self.triple, self.third, self.one, self.two, self.before, self.shorter
         base, texts = np.log10((n1 + 1) / (totals.tokens + totals.types + 1)), len(self.train)
         known, plain = (np.bincount(self.text, w[self.word], texts) for w in (n1 > 0, base))
         start = int(self.starts[0])
-        arcs = automaton.walked(self.ids, start)[self.ids != start]
-        return known, plain, np.bincount(self.text, arcs, texts)
+        return known, plain, np.bincount(self.text, automaton.walked(self.ids, start)[self.ids != start], texts)
 
 
 class Automaton:
@@ -551,6 +562,8 @@ def scored(docs: DataFrame) -> DataFrame:
             steps, ids, sizes, numbers, nulls, held_out = unpack(parts[-1][0])
             sizes, held = sizes.astype(np.int64), held_out.astype(bool)
             chunk = Chunk(deal, np.cumsum(steps), ids.astype(np.int32), sizes, ~held)
+            del steps, ids, held_out
+            parts[-1].clear()
             known, base, score = chunk.scores(totals, parts[:3])
             k = len(sizes)
             columns = [pa.array(numbers.view(np.int64), mask=nulls.astype(bool)), pa.array(held), pa.array(sizes - 1), pa.array(known.astype(np.int64)), pa.array(np.full(k, totals.tokens)), pa.array(base), pa.array(score)]
