@@ -299,7 +299,7 @@ class Memory:
         else:
             facts = self.store.table("facts", base)
             known = facts.groupBy("entity_id").agg(F.first("title").alias("title"))
-            told = extract.known_entities(eligibility.eligible_facts(facts, controls)) if tell else None
+            told = extract.known_entities(eligibility.eligible_facts(facts, controls, F.current_timestamp())) if tell else None
             gated = cut(extract.gated(extract.model_proposals(extract.candidates(events), client, told), events, known))
             found = gated.filter("reason is null").withColumn("order", F.col("seq") * 1000).withColumn("id", text.fact_id(F.col("entity_id"), F.col("predicate"), F.col("statement")))
             taken = found.select("seq").distinct().withColumn("ok", F.lit(True))

@@ -168,6 +168,21 @@ def test_evaluation_and_export(memory):
     assert "f1" not in memory.export("x", None, project="other")
 
 
+def test_a_client_proposes_and_is_told_what_is_known(memory, tmp_path):
+    memory.request_change("remember", "r1", "w_shop", fact("f1", "The shop deploys on Mondays"))
+    memory.ingest(chat(tmp_path / "in" / "a.jsonl", [("user", "The till is restarted every single night"), ("assistant", "ok")]))
+
+    def client(batch, told):
+        known = " and ".join(x["id"] + ": " + x["facts"][0] for x in told)
+        return [{"ref": x["ref"], "lasting": True, "entity_type": "preference", "entity_name": "till", "predicate": "habit", "statement": f"Known is {known}.", "evidence": x["text"]} for x in batch]
+
+    out = memory.consolidate("batch-1", client=client, tell=True)
+    assert (out["events"], out["accepted"], out["facts"]) == (2, 1, 1)
+    assert "Known is w_shop: The shop deploys on Mondays." in [r.statement for r in memory.store.table("facts").collect()]
+    index = memory.export_parts(str(tmp_path / "parts")).collect()
+    assert sum(r.bytes for r in index) == sum(p.stat().st_size for p in (tmp_path / "parts" / "lines").glob("part-*"))
+
+
 def test_scopes_and_sources(memory, tmp_path):
     memory.ingest(chat(tmp_path / "in" / "a.jsonl", [("user", "needle in mine")]), scope="personal")
     memory.ingest(chat(tmp_path / "in" / "b.jsonl", [("user", "needle in theirs")]), scope="team")

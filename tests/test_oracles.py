@@ -46,6 +46,29 @@ def test_query_without_sql_runs(spark, name):
     assert registry.QUERIES[name](spark, FOLDER).count() > 0
 
 
+def test_kept_turns_are_those_of_one_pass(spark, duck):
+    turns = duck.sql("select conv_id, turn, conv_id || ':' || (turn + 1) // 2, text from conversations order by 1, 2").fetchall()
+    kept, ids, texts = [], set(), set()
+    for conv, turn, own, text in turns:
+        if own not in ids and text not in texts:
+            kept.append((conv, turn))
+            ids.add(own)
+            texts.add(text)
+    assert sorted(tuple(r) for r in registry.QUERIES["journal_first_kept"](spark, FOLDER).collect()) == kept
+    assert len(kept) < len(turns)
+
+
+def test_prompts_are_packed_as_in_one_pass(spark):
+    from annalist.functions import passages
+    from annalist.operators import extract
+    from annalist.plans.views import conversation_events
+
+    said = extract.candidates(conversation_events(spark, FOLDER).select("seq", "role", "content")).orderBy("seq", "k").collect()
+    packs = list(passages.packed(said, lambda r: len(r.said.encode()), extract.BATCH_BYTES))
+    wanted = [(p, len(own), sum(len(r.said.encode()) for r in own), own[0].seq, own[-1].seq) for p, own in enumerate(packs)]
+    assert sorted(tuple(r) for r in registry.QUERIES["prompt_packs"](spark, FOLDER).collect()) == wanted
+
+
 def test_entry(spark):
     import __spark_entry__
 
