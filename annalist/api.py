@@ -126,7 +126,7 @@ class Memory:
     def _best(self, facts: DataFrame, query: str, limit: int, base: int) -> DataFrame:
         """The best of ``facts``, found by the postings of the query's terms; only their own texts are read."""
         keys = search.posting_keys(self.spark, query)
-        top = cut(search.search_postings(facts, self.store.indexed([k for _, _, k in keys], base), keys, query, limit))
+        top = cut(search.search_postings(facts, self.store.indexed([k for _, _, k in keys], base, wordindex.SEARCH), keys, query, limit))
         return self.store.rows("facts", _values(top.select("id")), base).join(top.select("id", "score", "rank"), "id")
 
     def _eligible(self, include_disputed: bool = False, base: int | None = None) -> DataFrame:

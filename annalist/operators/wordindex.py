@@ -20,6 +20,8 @@ from annalist.operators.change import FACT_BYTES
 from annalist.operators.similarity import PREFERENCES, SHARED
 
 INDEX = "key long, id string, entity_id string, n int, bytes long"
+#: The parts of the index: what batches look up, and what searches do, of which only keys and ids are kept.
+BATCH, SEARCH = "batch", "search"
 #: Versions of a note have ids that begin so and end in a hash after the last colon.
 NOTE = "evt_ide_md:"
 
@@ -53,20 +55,23 @@ def hay() -> Column:
     return F.concat_ws(" ", "statement", "title", F.array_join("aliases", " "))
 
 
-def entries(facts: DataFrame) -> DataFrame:
-    """The index' entries of ``facts``: active ones by words and files, all by families and for searches."""
+def entries(facts: DataFrame, part: str = BATCH) -> DataFrame:
+    """A part of the index of ``facts``: for batches active ones by words and files and all by families, for searches all by stems and their first bytes."""
+    if part == SEARCH:
+        # Before the words are exploded, lest they be found once for each of them.
+        held = facts.select("id", F.coalesce(text.stems(hay()), F.array().cast("array<string>")).alias("stems"))
+        heads = F.array_distinct(F.array_compact(F.transform("stems", text.prefix)))
+        return held.select(F.explode(F.concat(F.transform("stems", stem_key), F.transform(heads, head_key))).alias("key"), "id")
     none = F.array().cast("array<bigint>")
     family, active = text.family(F.col("entity_id")), F.col("status") == "active"
     words = text.content_words(F.col("statement"))
     notes = F.filter("source_ids", lambda e: F.startswith(e, F.lit(NOTE)))
-    held = facts.select("id", "entity_id", family.alias("family"), active.alias("active"), words.alias("words"), notes.alias("notes"), F.octet_length("statement").alias("length"), text.stems(hay()).alias("stems"))
+    held = facts.select("id", "entity_id", family.alias("family"), active.alias("active"), words.alias("words"), notes.alias("notes"), F.octet_length("statement").alias("length"))
     by_word = F.transform("words", lambda w: word_key(F.col("family"), w))
     anywhere = F.when(F.startswith("entity_id", F.lit("w_")), F.transform("words", workstream_key)).otherwise(none)
     by_file = F.array_distinct(F.transform(F.coalesce("notes", F.array().cast("array<string>")), file_key))
     live = F.when(F.coalesce("active", F.lit(False)), F.concat(by_word, anywhere, by_file)).otherwise(none)
-    heads = F.array_distinct(F.array_compact(F.transform("stems", text.prefix)))
-    sought = F.concat(F.transform("stems", stem_key), F.transform(heads, head_key))
-    keys = F.concat(F.array(family_key(F.col("family"))), F.coalesce(live, none), F.coalesce(sought, none))
+    keys = F.concat(F.array(family_key(F.col("family"))), F.coalesce(live, none))
     return held.select(F.explode(keys).alias("key"), "id", "entity_id", F.size("words").alias("n"), (F.coalesce("length", F.lit(0)) + FACT_BYTES).cast("long").alias("bytes"))
 
 

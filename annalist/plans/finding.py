@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions import text
-from annalist.operators import eligibility, report, search
+from annalist.operators import eligibility, report, search, wordindex
 from annalist.plans import sql
 from annalist.plans.views import NOW, conversation_events, document_events, document_facts, label_controls, own_store, stored_facts, table
 from annalist.storage import cut
@@ -115,7 +115,7 @@ def indexed_fact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         store.publish(k, f"part-{k}", "", changes={"facts": facts.filter(part).drop("doc_id").withColumn("gone", F.lit(False))})
     keys = search.posting_keys(spark, QUERY)
     eligible = eligibility.eligible_facts(store.table("facts"), label_controls(spark, sf_dir), F.lit(NOW).cast("timestamp"))
-    return search.search_postings(eligible, store.indexed([k for _, _, k in keys]), keys, QUERY, 20).select("rank", "id", "score")
+    return search.search_postings(eligible, store.indexed([k for _, _, k in keys], part=wordindex.SEARCH), keys, QUERY, 20).select("rank", "id", "score")
 
 
 def fact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

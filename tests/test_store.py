@@ -199,3 +199,17 @@ def test_superseded_rows_of_a_correction(memory):
     memory.request_change("forget", "r3", "w_a", target="f1")
     assert {r.id for r in memory.store.table("facts").collect()} == {"f2"} and memory.store.table("controls").count() == 2
     assert change.prunable(memory.store.table("controls")).count() == 1
+
+
+def test_an_index_is_made_by_the_first_read_and_in_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "INDEXED_BYTES", 200)
+    store = Store(spark, str(tmp_path / "s"))
+    texts = [(f"f{k}", f"Deploys of area{k} use blue script{k % 3}") for k in range(40)]
+    store.publish(0, "r1", "", changes={"facts": facts(spark, [(i, "w_a", t, {}) for i, t in texts]).withColumn("gone", F.lit(False))})
+    folder = tmp_path / "s" / store.layers("facts")[0]["index"]
+    assert not folder.exists()  # a layer that is merged or erased before it is asked for never has one
+    keys = [r[0] for r in spark.createDataFrame([("script1",), ("area7",)], "w string").select(wordindex.stem_key(F.col("w"))).collect()]
+    found = [r.id for r in store.indexed(keys, part=wordindex.SEARCH).collect()]
+    assert sorted(found) == sorted([i for k, (i, _) in enumerate(texts) if k % 3 == 1] + ["f7"])
+    assert [p.name for p in folder.iterdir()] == [wordindex.SEARCH] and len(list((folder / wordindex.SEARCH).glob("part-*"))) > 1
+    assert sorted(r.id for r in store.indexed(keys, part=wordindex.SEARCH).collect()) == sorted(found)
