@@ -23,3 +23,10 @@ def test_patterns_are_asked_for_lines_that_hold_the_needle_only(spark):
     found = change.scrubbed(lines, needles, "line")
     assert sorted(r.n for r in found.collect()) == [2, 4, 5]
     assert "contains(line" in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_a_batch_is_cut_in_slices(spark):
+    texts = [None if k % 50 == 7 else f"line {k}\n\n" * (k % 9) + "x" * (k % 23) for k in range(3 * passages.SLICE_ROWS + 5)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").coalesce(1)
+    found = {r.n: r.p for r in rows.select("n", passages.chunks_column(F.col("t"), 20).alias("p")).collect()}
+    assert found == {k: None if t is None else passages.chunks(t, 20) for k, t in enumerate(texts)}
