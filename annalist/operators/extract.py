@@ -144,33 +144,23 @@ def contained(source: DataFrame, quotes: DataFrame, source_text: str, quote_text
 
     They are joined on a word: the longest inner one of a quote must be a token of the text. A quote of
     two words has none, but the longer of them ends or begins a token, and a quote of one word lies
-    within a token; these are joined on pieces of tokens. Containment is then checked.
+    within a token; these are joined on pieces of tokens. All keys of a text are found and exploded in
+    one pass, each once, and containment is then checked.
     """
     normal = quotes.withColumn("quote_normal", text.normalised(F.col(quote_text))).filter(F.char_length("quote_normal") >= QUOTE_CHARS)
     said = F.split("quote_normal", " ")
     inner = F.array_max(F.transform(F.slice(said, F.lit(2), F.greatest(F.size(said) - 2, F.lit(0))), lambda x: F.struct(F.char_length(x).alias("n"), x.alias("w"))))["w"]
-    keyed = normal.withColumn("words", F.size(said)).withColumn("key", inner)
-    texts = source.withColumn("source_normal", text.normalised(F.col(source_text)))
-    tokens = F.array_distinct(F.split("source_normal", " "))
-
-    def met(keys: Column, own: DataFrame) -> DataFrame:
-        return texts.withColumn("key", F.explode(keys)).join(own, "key").filter(F.contains("source_normal", "quote_normal")).drop("key", "words")
-
-    found = met(tokens, keyed.filter("words > 2"))
     first, last = said[0], F.try_element_at(said, F.lit(2))
     behind = F.char_length(last) >= F.char_length(first)
-    key = F.when(F.col("words") == 1, F.concat(F.lit("in "), F.left(first, F.lit(QUOTE_CHARS)))).when(behind, F.concat(F.lit("from "), F.left(last, F.lit(PIECE)))).otherwise(F.concat(F.lit("to "), F.right(first, F.lit(PIECE))))
-    short = keyed.filter("words <= 2").withColumn("key", key)
-    if short.isEmpty():
-        return found
-
-    def pieces(token: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.char_length(token) - (QUOTE_CHARS - 1), F.lit(1)))
-        runs = F.transform(places, lambda k: F.concat(F.lit("in "), F.substring(token, k, F.lit(QUOTE_CHARS))))
-        ends = F.array(F.concat(F.lit("from "), F.left(token, F.lit(PIECE))), F.concat(F.lit("to "), F.right(token, F.lit(PIECE))))
-        return F.when(F.char_length(token) >= QUOTE_CHARS, F.concat(ends, runs)).otherwise(ends)
-
-    return found.unionByName(met(F.array_distinct(F.flatten(F.transform(tokens, pieces))), short))
+    short = F.when(F.size(said) == 1, F.left(first, F.lit(QUOTE_CHARS))).when(behind, F.concat(F.lit(" "), F.left(last, F.lit(PIECE)))).otherwise(F.concat(F.right(first, F.lit(PIECE)), F.lit(" ")))
+    keyed = normal.withColumn("key", F.when(F.size(said) > 2, inner).otherwise(short))
+    texts = source.withColumn("source_normal", text.normalised(F.col(source_text)))
+    keys = F.split("source_normal", " ")
+    if not normal.filter(F.size(said) <= 2).isEmpty():
+        # At each place what begins a token, ends one, or lies within one.
+        piece = rf"(?=( [^ ]{{{PIECE}}}|[^ ]{{{QUOTE_CHARS}}}|[^ ]{{{PIECE}}} ))"
+        keys = F.concat(keys, F.regexp_extract_all(F.concat(F.lit(" "), "source_normal", F.lit(" ")), F.lit(piece), 1))
+    return texts.withColumn("key", F.explode(F.array_distinct(keys))).join(keyed, "key").filter(F.contains("source_normal", "quote_normal")).drop("key")
 
 
 def known_entities(facts: DataFrame) -> list[dict]:

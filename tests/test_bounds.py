@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from annalist import journal
 from annalist.functions import passages
-from annalist.operators import change
+from annalist.operators import change, extract
 from annalist.plans import ingest
 from annalist.sources import entities
 
@@ -51,3 +51,11 @@ def test_framed_logs_come_in_segments(spark, monkeypatch, ids):
     found = ingest.framed_logs(spark, FOLDER)
     assert sorted(map(tuple, found.collect())) == sorted(by_sql(ingest.FRAMED_SQL))
     assert all(r.content.count("\n") <= 2 * ids for r in seen[0].collect())
+
+
+def test_texts_are_normalised_and_exploded_once(spark):
+    texts = spark.createDataFrame([(1, "Say  alphabetic things"), (2, "a lphabet ic"), (3, "xalphabet bcdefgh tail"), (4, None)], "n int, t string")
+    quotes = spark.createDataFrame([(1, "alphabet"), (2, "bet bcdefgh"), (3, "alphabetic thi"), (4, "say alphabetic things"), (5, "t bcdefg")], "q int, quote string")
+    found = extract.contained(texts, quotes, "t", "quote")
+    assert sorted((r.n, r.q) for r in found.collect()) == [(1, 1), (1, 3), (1, 4), (3, 1), (3, 2), (3, 5)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
