@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import text
 from annalist.journal import numbered
+from annalist.operators.digests import ordered_md5
 from annalist.storage import cut
 
 INDEX_HEAD, INDEX_BYTES = "# Memory index\n\n", 60_000
@@ -73,6 +74,13 @@ def export_sections(facts: DataFrame, include_file_facts: bool = False, keep: Co
     return rows.groupBy("heading").agg(F.min("rank").alias("rank"), F.transform(F.sort_array(F.collect_list("l")), lambda x: x["line"]).alias("lines"))
 
 
+def export_digests(facts: DataFrame, include_file_facts: bool = False, keep: Column | None = None) -> DataFrame:
+    """(heading, rank, n, md5): how many lines an export of any size shows under each heading, and the MD5 of these lines, joined by line feeds, in the order of ``export_sections``."""
+    rows = _export_rows(facts, include_file_facts, keep)
+    ranks = rows.groupBy("heading").agg(F.min("rank").alias("rank"))  # a handful of headings
+    return ordered_md5(rows, "heading", ["path", "ord"], "line", "\n").join(F.broadcast(ranks), "heading").select("heading", "rank", "n", "md5")
+
+
 def export_lines(facts: DataFrame, include_file_facts: bool = False, keep: Column | None = None) -> DataFrame:
     """(n, heading, k, line): an export of any size, its lines numbered from 1 over all and (k) within their heading.
 

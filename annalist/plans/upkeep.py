@@ -374,8 +374,8 @@ def overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an export shows under each heading."""
-    found = report.export_sections(document_facts(spark, sf_dir))
-    return found.select("heading", F.col("rank").cast("long").alias("rank"), F.size("lines").cast("long").alias("n"), F.md5(F.array_join("lines", "\n")).alias("lines"))
+    found = report.export_digests(document_facts(spark, sf_dir))
+    return found.select("heading", F.col("rank").cast("long").alias("rank"), "n", F.col("md5").alias("lines"))
 
 
 EXPORT_SQL = f"""

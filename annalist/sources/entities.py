@@ -10,6 +10,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.operators.digests import ordered_md5
+
 ENTITY = (
     "struct<id:string, type:string, title:string, aliases:array<string>, links:array<string>, visibility:string, "
     "facts:array<struct<id:string, predicate:string, statement:string, kind:string, status:string, observed_at:string, valid_from:string, valid_to:string, "
@@ -72,8 +74,23 @@ def parse(files: DataFrame) -> DataFrame:
     )
 
 
+def _body_head(title: Column) -> Column:
+    return F.concat(F.lit("# "), title, F.lit("\n\n## Current facts\n\n"))
+
+
+def _body_line(id_: Column, statement: Column) -> Column:
+    return F.concat(F.lit("- ["), id_, F.lit("] "), statement, F.lit("\n"))
+
+
 def body(title: Column, facts: Column) -> Column:
     """The body of an entity: its title and its active facts (id, statement, status), in order."""
     active = F.filter(facts, lambda f: f["status"] == "active")
-    line = F.transform(active, lambda f: F.concat(F.lit("- ["), f["id"], F.lit("] "), f["statement"], F.lit("\n")))
-    return F.concat(F.lit("# "), title, F.lit("\n\n## Current facts\n\n"), F.array_join(line, ""))
+    return F.concat(_body_head(title), F.array_join(F.transform(active, lambda f: _body_line(f["id"], f["statement"])), ""))
+
+
+def body_digests(facts: DataFrame) -> DataFrame:
+    """(title, md5): the MD5 of each entity's ``body``, which may be of any size, from its facts (title, ord, id, statement, status)."""
+    heads = facts.select("title").distinct().select("title", F.lit(0).alias("part"), F.lit(None).cast(facts.schema["ord"].dataType).alias("ord"), _body_head(F.col("title")).alias("line"))
+    lines = facts.filter("status = 'active'").select("title", F.lit(1).alias("part"), "ord", _body_line(F.col("id"), F.col("statement")).alias("line"))
+    found = ordered_md5(heads.unionByName(lines), "title", ["part", "ord"], "line")
+    return found.select("title", F.when(F.col("title").isNotNull(), F.col("md5")).alias("md5"))
