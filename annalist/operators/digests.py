@@ -16,8 +16,6 @@ from annalist.storage import cut, shared_dir
 TURN_BYTES, RANGE_BYTES = 64 << 20, 16 << 20
 #: What a row takes beside its piece, roughly.
 ROW_BYTES = 64
-#: Tasks for each TURN_BYTES of a turn: so many that few get several full groups.
-SPREAD = 8
 
 _STATE = "_last int, _state binary, _n long, _pieces long, _md5 string"
 
@@ -89,19 +87,22 @@ def ordered_md5(rows: DataFrame, by: str, order: list[str], piece: str, gap: str
     own = Window.partitionBy("_by")
     before = F.coalesce(F.sum("_size").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     turns = sizes.withColumn("_full", F.floor(before / TURN_BYTES)).withColumn("_turn", F.dense_rank().over(own.orderBy("_full")) - 1)
-    turns = cut(turns.withColumn("_last", F.max("_turn").over(own)).select(F.col("_by").alias("_whose"), F.col("_part").alias("_at"), F.col("_size").alias("_bytes"), "_turn", "_last"))
+    # A group goes to the task of its turn's first range, so that a task gets the groups of a range, of which only the last goes on.
+    first = F.min("_part").over(Window.partitionBy("_by", "_turn"))
+    turns = cut(turns.select(F.col("_by").alias("_whose"), F.col("_part").alias("_at"), "_turn", F.max("_turn").over(own).alias("_last"), first.alias("_first")))
     kind = f"_by {rows.schema['_by'].dataType.simpleString()}, {_STATE}"
     columns = ["_by", "_last", "_state", "_n", "_pieces", "_piece"]
     nothing = {"_state": "binary", "_n": "long", "_pieces": "long"}
     states = None
-    for turn, parts, size in turns.groupBy("_turn").agg(F.collect_set("_at"), F.sum("_bytes")).orderBy("_turn").collect():
-        its = turns.filter(F.col("_turn") == turn)
+    for turn, parts in turns.groupBy("_turn").agg(F.sort_array(F.collect_set("_at"))).orderBy("_turn").collect():
+        task = F.array_position(F.array(*map(F.lit, parts)), F.col("_first")).cast("int") - 1
+        its = turns.filter(F.col("_turn") == turn).select("_whose", "_at", "_last", task.alias("_task"))
         lines = dealt.filter(F.col("_part").isin(parts)).join(its, F.col("_by").eqNullSafe(F.col("_whose")) & (F.col("_part") == F.col("_at")))
         lines = lines.select("*", *(F.lit(None).cast(t).alias(c) for c, t in nothing.items())).withColumn("_piece", F.col("_piece").cast("binary"))
         if states is not None:
-            left = states.filter(F.col("_last") >= turn)
-            lines = left.unionByName(lines.select("_by", *keys, "_piece", "_last", *nothing), allowMissingColumns=True)
-        lines = lines.repartition(1 + SPREAD * size // TURN_BYTES, "_by").sortWithinPartitions("_by", F.col("_state").isNull(), *keys, "_piece").select(columns)
+            left = states.filter(F.col("_last") >= turn).join(its.select("_whose", "_task").distinct(), F.col("_by").eqNullSafe(F.col("_whose"))).drop("_whose")
+            lines = left.unionByName(lines.select("_by", *keys, "_piece", "_last", "_task", *nothing), allowMissingColumns=True)
+        lines = lines.repartitionById(len(parts), F.col("_task")).sortWithinPartitions("_by", F.col("_state").isNull(), *keys, "_piece").select(columns)
         path = f"{folder}/states/_turn={turn}"
         lines.mapInArrow(_turn(gap.encode()), kind).write.parquet(path)
         states = spark.read.schema(kind).parquet(path)
