@@ -18,6 +18,9 @@ ENTITY = (
     "expires_at:string, supersedes:array<string>, sources:array<struct<event_id:string, role:string, evidence:string>>, visibility:string>>>"
 )
 
+#: The parser of JSON gives null for a string of over 20 million characters, unless told otherwise.
+LONG = {"maxStringLen": str(2**31 - 1)}
+
 
 def parsed(content: str) -> tuple[dict, str]:
     """(front matter, body) of an entity file; ValueError if it is not one."""
@@ -64,7 +67,7 @@ def parse(files: DataFrame) -> DataFrame:
         except ValueError:
             return None
 
-    found = files.select(F.col("file").alias("path"), F.from_json(F.udf(one, "string", useArrow=True)("content"), ENTITY).alias("e")).filter("e is not null")
+    found = files.select(F.col("file").alias("path"), F.from_json(F.udf(one, "string", useArrow=True)("content"), ENTITY, LONG).alias("e")).filter("e is not null")
     rows = found.select("path", "e", F.posexplode("e.facts").alias("ord", "f"))
     return rows.select(
         F.col("e.id").alias("entity_id"), "path", "ord", F.col("e.title").alias("title"), F.coalesce("e.aliases", F.array().cast("array<string>")).alias("aliases"), F.col("e.type").alias("entity_type"),

@@ -59,3 +59,20 @@ def test_texts_are_normalised_and_exploded_once(spark):
     found = extract.contained(texts, quotes, "t", "quote")
     assert sorted((r.n, r.q) for r in found.collect()) == [(1, 1), (1, 3), (1, 4), (3, 1), (3, 2), (3, 5)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+
+
+def test_entity_files_hold_facts_without_values(spark, tmp_path):
+    rows = [(k, f"text {k}", "en", "src1") for k in range(5)]
+    rows += [(5, "", "en", "src1"), (6, None, "de", "src1"), (7, "a", None, "src1"), (8, "=-", "", "src1"), (9, "-", "-", ""), (10, "b", "fr", None), (None, "c", "fr", "src2"), (12, " ", "en", "src3"), (13, "---\n\ufeff\0", "en", "src2")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = ingest.entity_files(spark, str(tmp_path))
+    names = ["entity_id", "path", "fact_id", "predicate", "statement", "status", "entity_visibility", "valid_from"]
+    wanted = duckdb.sql(ingest.ENTITY_SQL.replace("from documents", f"from '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, found.select(names).collect()), key=repr) == sorted(wanted, key=repr) and len(wanted) == 12
+
+
+def test_a_statement_may_be_longer_than_the_limit_of_a_parser(spark):
+    long = "x" * 20_000_001
+    made = entities.rendered({"id": "w_a", "type": "project", "title": "a", "facts": [{"id": "f", "predicate": "p", "statement": long}]})
+    files = spark.createDataFrame([("a.md", made)], "file string, content string")
+    assert [tuple(r) for r in entities.parse(files).select("id", F.char_length("statement")).collect()] == [("f", len(long))]
