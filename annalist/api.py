@@ -423,7 +423,8 @@ class Memory:
         named = self.spark.createDataFrame([(i,) for i in sorted({*ids, target})], "id string")
         fresh = named.join(controls.filter("control = 'deleted'").select(F.col("target").alias("id")), "id", "left_anti")
         fresh = cut(fresh.select(F.lit("deleted").alias("control"), F.col("id").alias("target"), F.current_timestamp().alias("at"), F.lit("erased").alias("reason"), F.lit("completed").alias("state")))
-        folders = self.store.rewrite(base, f"erase-{base + 1}", _digest([target, base]), needles, fresh)
+        every = erasure.sought(*(self.spark.createDataFrame([(x,) for x in own], f"{c} string") for c, own in (("id", needles.ids), ("statement", needles.statements))))
+        folders = self.store.rewrite(base, f"erase-{base + 1}", _digest([target, base]), every, fresh)
         for request_id, intent in self.store.intents().items():
             request = (intent or {}).get("request") or {}
             about = [x for x in (request.get("entity_id"), request.get("target"), (request.get("fact") or {}).get("id")) if x]

@@ -256,13 +256,13 @@ def erased_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Evidence of other facts that holds an erased statement is emptied.
     """
-    store, f = own_store(spark), cut(stored_facts(spark, sf_dir))
-    n = F.col("doc_id")
-    for k, batch in enumerate((f.filter(n % 4 != 1), f.filter(n % 4 == 1), f.filter(n % 4 == 2).withColumn("status", F.lit("superseded")))):
+    store, n = own_store(spark), F.col("doc_id") % 4
+    for k, which in enumerate((n != 1, n == 1, n == 2)):
+        batch = stored_facts(spark, sf_dir, which)
+        batch = batch.withColumn("status", F.lit("superseded")) if k == 2 else batch
         store.publish(k, f"batch-{k}", "", changes={"facts": batch.drop("doc_id").withColumn("gone", F.lit(False))})
-    gone = change.erasure_targets(store.ever("facts"), "w_src2").filter(F.char_length("statement") < 200)
-    rows = gone.select("id", "statement").distinct().collect()  # the needles of one erasure
-    store.rewrite(3, "erase-1", "", erasure.Needles([r.id for r in rows], [r.statement for r in rows]), store.table("controls").limit(0))
+    gone = change.erasure_targets(store.ever("facts"), "w_src2")
+    store.rewrite(3, "erase-1", "", erasure.sought(gone.select("id"), gone.select("statement")), store.table("controls").limit(0))
     out = None
     for number in store.revisions():
         own = store.table("facts", number).select(F.lit(number).cast("long").alias("revision"), "id", "status", F.md5("evidence").alias("evidence"))
@@ -272,7 +272,7 @@ def erased_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ERASED_SQL = f"""
 with {sql.DOCUMENT_FACTS}, f as (select distinct id, status, entity_id, statement, substr(statement, 1, 60) as evidence, doc_id from f_docs),
-needle as (select distinct id, statement from f where entity_id = 'w_src2' and length(statement) < 200),
+needle as (select distinct id, statement from f where entity_id = 'w_src2'),
 r as (select unnest([1, 2, 3, 4]) as revision),
 kept as (select * from f where id not in (select id from needle) and statement not in (select statement from needle where statement is not null)),
 quoting as (select distinct kept.id from kept join needle on needle.statement <> '' and contains(kept.evidence, needle.statement))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions import text
@@ -104,9 +104,10 @@ def own_store(spark: SparkSession) -> Store:
     return Store(spark, f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
 
 
-def stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' facts, once for each id, in the shape in which they are stored."""
-    f = document_facts(spark, sf_dir).dropDuplicates(["id"])
+def stored_facts(spark: SparkSession, sf_dir: str, which: Column | None = None) -> DataFrame:
+    """The documents' facts, once for each id, in the shape in which they are stored; ``which`` of them by doc_id, on which the id depends."""
+    f = document_facts(spark, sf_dir)
+    f = (f if which is None else f.filter(which)).dropDuplicates(["id"])
     none = {name: F.lit(None).cast(kind) for name, kind in (("observed_at", "timestamp"), ("supersedes", "array<string>"))}
     fill = none | {"entity_type": text.entity_type(F.col("entity_id")), "kind": F.lit("explicit_assertion"), "evidence": F.substring("statement", 1, 60)}
     names = [field.split()[0] for field in FACT.split(", ")]

@@ -24,14 +24,51 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def with_conf(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Set options of Spark SQL, named with ``__`` for a dot, for what is run within."""
+    names = {name.replace("__", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Write ``df`` to a new folder; the files of its shuffles go once it is written, not when the driver next collects garbage."""
+    with with_conf(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.option("compression", "zstd").parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that its lineage ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = _new_cut(spark)
+    write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _new_cut(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """The same as ``cut`` for as long as it is needed: the folder is deleted at the end."""
+    spark = df.sparkSession
+    path = _new_cut(spark)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        write(df, path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 class Locked(Exception):
     """Another writer is at work, or died and left its lock."""
 

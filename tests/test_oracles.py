@@ -75,3 +75,10 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_an_erasure_has_long_statements_too(duck):
+    # Whatever the length of its statement, a fact of the erased source is in no revision.
+    assert duck.sql("select count(*) from documents where source = 'src2' and doc_id % 11 > 0 and length(text) >= 200").fetchall()[0][0] > 0
+    kept = "'fact_' || left(sha256('w_src2|' || lang || '|' || doc_id || '|' || lower(text)), 12)"
+    assert duck.sql(f"select count(*) from ({registry.ORACLE_SQL['erased_history']}) where id in (select {kept} from documents where source = 'src2' and doc_id % 11 > 0)").fetchall()[0][0] == 0

@@ -213,3 +213,28 @@ def test_an_index_is_made_by_the_first_read_and_in_many_files(spark, tmp_path, m
     assert sorted(found) == sorted([i for k, (i, _) in enumerate(texts) if k % 3 == 1] + ["f7"])
     assert [p.name for p in folder.iterdir()] == [wordindex.SEARCH] and len(list((folder / wordindex.SEARCH).glob("part-*"))) > 1
     assert sorted(r.id for r in store.indexed(keys, part=wordindex.SEARCH).collect()) == sorted(found)
+
+
+def test_an_erasure_of_many_needles_is_done_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(erasure, "BLOCK_CHARS", 40)
+    seen, real = [], erasure.Needles
+    monkeypatch.setattr(erasure, "Needles", lambda ids, statements: seen.append(sum(map(len, [*ids, *statements]))) or real(ids, statements))
+    store = Store(spark, str(tmp_path / "s"))
+    long = [(f"g{k}", "w_a", f"said by a {k:03}" + "!" * 500 * (k % 2), {}) for k in range(30)]
+    others = [("o1", "w_b", "x", {"evidence": "as said by a 004 there"}), ("o2", "w_b", "y", {"evidence": "see g7", "aliases": ["g8", "g88", "z"]}), ("o3", "w_b", "said by a 006", {}), ("o4", "w_b", "z", {"evidence": "said by a 0", "aliases": None})]
+    rows = facts(spark, long + others).withColumn("gone", F.lit(False))
+    store.publish(0, "r0", "", changes={"facts": rows})
+    gone = change.erasure_targets(store.ever("facts"), "w_a")
+    assert store.rewrite(1, "e", "", erasure.sought(gone.select("id"), gone.select("statement")), store.table("controls").limit(0)) == 1
+    for revision in (1, 2):
+        assert sorted((r.id, r.evidence, r.aliases) for r in store.table("facts", revision).collect()) == [("o1", None, []), ("o2", None, ["z", "g88"][::-1]), ("o4", "said by a 0", None)]
+    # No statement that is longer than every evidence and alias is sought in them, and none of all is sought at once.
+    assert len(seen) > 5 and max(seen) < 150
+
+
+def test_a_store_leaves_no_copies_behind(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("annalist.storage.shared_dir", lambda spark: str(tmp_path / "shared"))
+    store = Store(spark, str(tmp_path / "s"))
+    for k in range(3):
+        store.publish(k, f"r{k}", "", changes={"facts": facts(spark, [(f"f{k}", "w_a", "text", {})]).withColumn("gone", F.lit(False))})
+    assert not list((tmp_path / "shared").glob("cut-*"))
