@@ -9,7 +9,6 @@ from annalist.functions import text
 from annalist.operators import eligibility, report, search, wordindex
 from annalist.plans import sql
 from annalist.plans.views import NOW, conversation_events, document_events, document_facts, label_controls, own_store, stored_facts, table
-from annalist.storage import cut
 
 #: Words of the synthetic prose: a rare one, a common one, one with an ending and a stopword.
 QUERY = "thereing handed the connected"
@@ -110,9 +109,9 @@ def fact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def indexed_fact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same twenty, of a store that has the facts in three layers: by the postings of the query's terms."""
-    store, facts = own_store(spark), cut(stored_facts(spark, sf_dir))
-    for k, part in enumerate((F.col("doc_id") % 8 < 5, F.col("doc_id") % 8 == 5, F.col("doc_id") % 8 > 5)):
-        store.publish(k, f"part-{k}", "", changes={"facts": facts.filter(part).drop("doc_id").withColumn("gone", F.lit(False))})
+    store, n = own_store(spark), F.col("doc_id") % 8
+    for k, part in enumerate((n < 5, n == 5, n > 5)):
+        store.publish(k, f"part-{k}", "", changes={"facts": stored_facts(spark, sf_dir, part).drop("doc_id").withColumn("gone", F.lit(False))})
     keys = search.posting_keys(spark, QUERY)
     eligible = eligibility.eligible_facts(store.table("facts"), label_controls(spark, sf_dir), F.lit(NOW).cast("timestamp"))
     return search.search_postings(eligible, store.indexed([k for _, _, k in keys], part=wordindex.SEARCH), keys, QUERY, 20).select("rank", "id", "score")

@@ -38,10 +38,10 @@ def with_conf(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.set(name, value)
 
 
-def write(df: DataFrame, path: str) -> None:
-    """Write ``df`` to a new folder; the files of its shuffles go once it is written, not when the driver next collects garbage."""
+def write(df: DataFrame, path: str, mode: str = "error", **options: str) -> None:
+    """Write ``df`` to a new folder, or with ``append`` to one that is there; the files of its shuffles go once it is written, not when the driver next collects garbage."""
     with with_conf(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.mode(mode).options(compression="zstd", **options).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:

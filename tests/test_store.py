@@ -238,3 +238,15 @@ def test_a_store_leaves_no_copies_behind(spark, tmp_path, monkeypatch):
     for k in range(3):
         store.publish(k, f"r{k}", "", changes={"facts": facts(spark, [(f"f{k}", "w_a", "text", {})]).withColumn("gone", F.lit(False))})
     assert not list((tmp_path / "shared").glob("cut-*"))
+
+
+def test_an_index_is_made_of_a_few_files_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "FILE_ROWS", 5)
+    monkeypatch.setattr(store_module, "INDEXED_FILES", 3)
+    seen, real = [], wordindex.entries
+    monkeypatch.setattr(wordindex, "entries", lambda rows, part: seen.append(rows.count()) or real(rows, part))
+    store = Store(spark, str(tmp_path / "s"))
+    store.publish(0, "r1", "", changes={"facts": facts(spark, [(f"f{k:02}", "w_a", f"Deploys of area{k}", {}) for k in range(40)]).withColumn("gone", F.lit(False))})
+    keys = [r[0] for r in spark.createDataFrame([("deploy",), ("area7",)], "w string").select(wordindex.stem_key(F.col("w"))).collect()]
+    assert sorted(r.id for r in store.indexed(keys, part=wordindex.SEARCH).collect()) == sorted([f"f{k:02}" for k in range(40)] + ["f07"])
+    assert sum(seen) == 40 and max(seen) < 30 and len(seen) >= 3
